@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortlab import constants as C
 from cohortlab.functions.columns import clean_funding_text, lenient_double, strict_double
+from cohortlab.session import materialize
 
 FEATURE_COLUMNS = [
     "founded_year", "time_to_first_funding_days", "country_code", "region",
@@ -138,9 +139,17 @@ def engineer(df: DataFrame) -> DataFrame:
 
 
 def build_features(raw: DataFrame, test_quantile: float = C.TEST_QUANTILE,
-                   keep_dates: bool = False) -> DataFrame:
-    """E1 end to end: label -> dates -> split -> features (lazy; one plan)."""
-    out = engineer(add_split(add_dates(label_and_filter(raw)), test_quantile))
+                   keep_dates: bool = False, materialize_stage: bool = True) -> DataFrame:
+    """E1 end to end: label -> dates -> split -> features.
+
+    The labelled, parsed table is scanned three times (latest first funding, split
+    quantile, features); with ``materialize_stage`` it is written once to the shared
+    checkpoint folder instead of recomputing the raw joins for every scan.
+    """
+    labelled = label_and_filter(raw)
+    if materialize_stage:
+        labelled = materialize(labelled, "labelled")
+    out = engineer(add_split(add_dates(labelled), test_quantile))
     if not keep_dates:
         out = out.drop("effective_date", "split_boundary")
     return out

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlab.session import materialize
+
 
 def default_blocks(spark) -> int:
     return max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -71,6 +73,7 @@ def exact_quantiles(df: DataFrame, value_col: str, qs: list[float], group_cols:
     cells = (df.where(F.col(value_col).isNotNull())
                .groupBy(*group_cols, F.col(value_col).cast("double").alias("v"))
                .agg(F.count(F.lit(1)).alias("cnt")))
+    cells = materialize(cells, "quantile-cells")  # scanned by the sketch, the scan and the totals
     cum = running_sums(cells, "v", ["cnt"], group_cols, n_blocks=n_blocks)
     cum = cum.select(*group_cols, "v", (F.col("cum_cnt") - F.col("cnt")).alias("lo_rank"),
                      F.col("cum_cnt").alias("hi_rank"))
@@ -79,15 +82,20 @@ def exact_quantiles(df: DataFrame, value_col: str, qs: list[float], group_cols:
     targets = (tot.crossJoin(F.broadcast(qdf))
                   .withColumn("pos", (F.col("n") - 1).cast("double") * F.col("q"))
                   .withColumn("lo_pos", F.floor("pos")).withColumn("hi_pos", F.ceil("pos")))
-    lo = cum.select(*group_cols, F.col("v").alias("lo_v"), F.col("lo_rank").alias("a1"), F.col("hi_rank").alias("b1"))
-    hi = cum.select(*group_cols, F.col("v").alias("hi_v"), F.col("lo_rank").alias("a2"), F.col("hi_rank").alias("b2"))
-    # targets is tiny (groups x qs); the range conditions pick exactly one cell each.
-    t = F.broadcast(targets)
-    cond_lo = [lo[g] == t[g] for g in group_cols] + [t.lo_pos >= lo.a1, t.lo_pos < lo.b1]
-    j = lo.join(t, cond_lo, "inner").select(*[t[g] for g in group_cols], "q", "q_idx", "pos", "lo_pos", "hi_pos", "lo_v")
-    j2 = F.broadcast(j)
-    cond_hi = [hi[g] == j2[g] for g in group_cols] + [j2.hi_pos >= hi.a2, j2.hi_pos < hi.b2]
-    k = hi.join(j2, cond_hi, "inner").select(*[j2[g] for g in group_cols], "q", "q_idx", "pos", "lo_pos", "lo_v", "hi_v")
+    # targets is tiny (groups x qs); each range condition picks exactly one cell
+    tg = targets.select(*[F.col(g).alias(f"_t_{g}") for g in group_cols], "q", "q_idx", "pos", "lo_pos", "hi_pos")
+    lo = cum.select(*[F.col(g).alias(f"_l_{g}") for g in group_cols], F.col("v").alias("lo_v"),
+                    F.col("lo_rank").alias("a1"), F.col("hi_rank").alias("b1"))
+    cond_lo = [F.col(f"_l_{g}") == F.col(f"_t_{g}") for g in group_cols] + [
+        F.col("lo_pos") >= F.col("a1"), F.col("lo_pos") < F.col("b1")]
+    j = lo.join(F.broadcast(tg), cond_lo, "inner").select(
+        *[f"_t_{g}" for g in group_cols], "q", "q_idx", "pos", "lo_pos", "hi_pos", "lo_v")
+    hi = cum.select(*[F.col(g).alias(f"_h_{g}") for g in group_cols], F.col("v").alias("hi_v"),
+                    F.col("lo_rank").alias("a2"), F.col("hi_rank").alias("b2"))
+    cond_hi = [F.col(f"_h_{g}") == F.col(f"_t_{g}") for g in group_cols] + [
+        F.col("hi_pos") >= F.col("a2"), F.col("hi_pos") < F.col("b2")]
+    k = hi.join(F.broadcast(j), cond_hi, "inner").select(
+        *[F.col(f"_t_{g}").alias(g) for g in group_cols], "q", "q_idx", "pos", "lo_pos", "lo_v", "hi_v")
     frac = F.col("pos") - F.col("lo_pos")
     return k.select(*group_cols, "q", "q_idx",
                     (F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * frac).alias("value"))

@@ -55,3 +55,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def materialize(df, label: str = "stage"):
+    """Cut lineage: write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Used where one intermediate is scanned several times (e.g. the labelled table,
+    scanned for the date bound, the split quantile and the features). Reading the
+    parquet back keeps column pruning and filter pushdown for every later scan;
+    the files live in ``spark.checkpoint.dir`` so a lost executor does not lose them.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = os.path.join(base, f"{label}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
