@@ -476,3 +476,61 @@ def s9_eval_questions_json(spark, sf_dir):
 
 
 __all__ = ["json"]
+
+
+def _request_rows(spark, sf_dir):
+    p = _profiles(spark, sf_dir)
+    req = sv.request_features(p).join(p.select("request_id", "funding_total_usd", "feature_set", "batch_id"),
+                                      "request_id")
+    from cohortlab.streaming.scoring import REQUEST_SCHEMA
+    return req.select(*[F.col(f.name).cast(f.dataType) for f in REQUEST_SCHEMA.fields])
+
+
+@query("q1_stream_dead_letters", ["profiles"], """
+  SELECT request_id, len(list_filter([
+      CASE WHEN year(founded_date) IS NULL OR year(founded_date) < 1900 OR year(founded_date) > 2100 THEN 1 END,
+      CASE WHEN date_diff('day', founded_date, first_funding_date) IS NULL THEN 1 END,
+      CASE WHEN country_code IS NULL OR length(country_code) < 1 OR length(country_code) > 8 THEN 1 END,
+      CASE WHEN region IS NULL OR length(region) < 1 THEN 1 END,
+      CASE WHEN primary_category IS NULL OR length(primary_category) < 1 THEN 1 END,
+      CASE WHEN funding_total_usd < 0 THEN 1 END,
+      CASE WHEN funding_rounds < 1 THEN 1 END,
+      CASE WHEN date_diff('day', first_funding_date, last_funding_date) < 0 THEN 1 END,
+      CASE WHEN feature_set NOT IN ('clean', 'full') OR feature_set IS NULL THEN 1 END,
+      CASE WHEN feature_set = 'full' AND (funding_total_usd IS NULL OR funding_rounds IS NULL
+                OR date_diff('day', first_funding_date, last_funding_date) IS NULL) THEN 1 END],
+      lambda x: x IS NOT NULL)) AS n_errors
+  FROM profiles
+  WHERE len(list_filter([
+      CASE WHEN year(founded_date) IS NULL OR year(founded_date) < 1900 OR year(founded_date) > 2100 THEN 1 END,
+      CASE WHEN date_diff('day', founded_date, first_funding_date) IS NULL THEN 1 END,
+      CASE WHEN country_code IS NULL OR length(country_code) < 1 OR length(country_code) > 8 THEN 1 END,
+      CASE WHEN region IS NULL OR length(region) < 1 THEN 1 END,
+      CASE WHEN primary_category IS NULL OR length(primary_category) < 1 THEN 1 END,
+      CASE WHEN funding_total_usd < 0 THEN 1 END,
+      CASE WHEN funding_rounds < 1 THEN 1 END,
+      CASE WHEN date_diff('day', first_funding_date, last_funding_date) < 0 THEN 1 END,
+      CASE WHEN feature_set NOT IN ('clean', 'full') OR feature_set IS NULL THEN 1 END,
+      CASE WHEN feature_set = 'full' AND (funding_total_usd IS NULL OR funding_rounds IS NULL
+                OR date_diff('day', first_funding_date, last_funding_date) IS NULL) THEN 1 END],
+      lambda x: x IS NOT NULL)) > 0""")
+def q1_stream_dead_letters(spark, sf_dir):
+    """Q1: request files drained by a file-source stream (availableNow); the dead-letter sink read back."""
+    from cohortlab.streaming.scoring import run_stream
+    base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
+    in_dir = os.path.join(base, "in")
+    _request_rows(spark, sf_dir).repartition(4).write.parquet(in_dir)  # several request files
+    _, dead = run_stream(spark, in_dir, base, model=None)
+    return spark.read.parquet(dead).select("request_id", F.size("errors").cast("bigint").alias("n_errors"))
+
+
+@query("q1_stream_scoring")
+def q1_stream_scoring(spark, sf_dir):
+    """Q1: the same stream with the calibrated clean model: valid requests scored per micro-batch."""
+    from cohortlab.streaming.scoring import run_stream
+    m = _serving(spark, sf_dir, "clean")
+    base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
+    in_dir = os.path.join(base, "in")
+    _request_rows(spark, sf_dir).repartition(4).write.parquet(in_dir)
+    out, _ = run_stream(spark, in_dir, base, model=m)
+    return spark.read.parquet(out)
