@@ -36,7 +36,7 @@ def words(col: Column) -> Column:
 def strip_front_matter(col: Column) -> Column:
     """Drop a leading '---' block up to the next '---'; then leading newlines."""
     second = F.locate("---", col, 4)
-    rest = F.substring(col, second + 3, F.lit(2147483647))
+    rest = F.substring(col, second + 3, F.length(col))
     return (F.when(col.startswith("---") & (second > 0), F.regexp_replace(rest, "^\\n+", ""))
             .otherwise(col))
 
@@ -55,10 +55,12 @@ HEAD_END = "\u0002"
 def sections_array(body: Column) -> Column:
     """X3: '## heading' sections as array<struct<heading, body>>; text before the first heading is dropped."""
     marked = F.regexp_replace(body, HEADING_RE, f"{SEC_MARK}$1{HEAD_END}")
-    parts = F.slice(F.split(marked, SEC_MARK), 2, 2147483647)
+    pieces = F.split(marked, SEC_MARK)
+    parts = F.when(F.size(pieces) > 1, F.slice(pieces, 2, F.size(pieces) - 1)).otherwise(
+        F.array().cast("array<string>"))
     return F.transform(parts, lambda p: F.struct(
         strip_ws(F.substring_index(p, HEAD_END, 1)).alias("heading"),
-        strip_ws(F.substring(p, F.instr(p, HEAD_END) + 1, 2147483647)).alias("body")))
+        strip_ws(F.substring(p, F.instr(p, HEAD_END) + 1, F.length(p))).alias("body")))
 
 
 def sentences(body: Column) -> Column:
