@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortlab import constants as C
 from cohortlab.functions.text import tokens
-from cohortlab.session import ensure_checkpoint_dir
+from cohortlab.session import ensure_checkpoint_dir, materialize
 
 ORD_COLS = ["doc_id", "sec_idx", "piece_idx"]
 
@@ -42,7 +42,9 @@ def _l2(weighted: DataFrame, id_col: str) -> DataFrame:
 
 def build_index(chunks: DataFrame, stop_words=None) -> tuple[DataFrame, DataFrame]:
     """(postings(term, chunk_id, weight), idf(term, df, idf)); weights are L2-normalised tf*idf."""
-    tf = term_counts(chunks, "chunk_id", "text", stop_words)
+    # the term counts are scanned twice (document frequencies, weights): store them once
+    # instead of tokenising the corpus twice
+    tf = materialize(term_counts(chunks, "chunk_id", "text", stop_words), "term-counts")
     n_docs = chunks.agg(F.count(F.lit(1)).alias("n_docs"))
     idf = fit_idf(tf, "chunk_id", n_docs)
     weighted = tf.join(idf, "term").select("chunk_id", "term", (F.col("tf") * F.col("idf")).alias("w"))

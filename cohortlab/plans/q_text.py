@@ -14,15 +14,15 @@ from cohortlab.operators import retrieval as rt
 from cohortlab.operators import routing as ro
 from cohortlab.plans.oracle import add_view
 from cohortlab.plans.registry import query
-from cohortlab.session import ensure_checkpoint_dir
-from cohortlab.sources.tables import table
+from cohortlab.session import ensure_checkpoint_dir, materialize
+from cohortlab.sources.tables import spread, table
 
 # ------------------------------------------------------------------ inputs
 
 
 def doc_chunks(spark, sf_dir):
     """Documents as single chunks (chunk_id = doc_id): the SQL-checkable retrieval corpus."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"),
                     F.col("source").alias("heading"), "text", F.col("source").alias("source_url"),
                     F.lit(0).alias("sec_idx"), F.lit(0).alias("piece_idx"))
@@ -30,7 +30,9 @@ def doc_chunks(spark, sf_dir):
 
 def corpus_chunks(spark, sf_dir):
     """The chunked corpus (X5) with the document source as heading when a document has none."""
-    return ch.chunk_documents(table(spark, sf_dir, "documents"), source_url="source", fallback_heading="source")
+    # the chunk table is an index artifact (S6) read by indexing, ranking and rendering: store it once
+    return materialize(ch.chunk_documents(spread(table(spark, sf_dir, "documents")), source_url="source",
+                                          fallback_heading="source"), "chunks")
 
 
 def eval_questions(spark, sf_dir):
@@ -159,7 +161,7 @@ def x6_term_counts(spark, sf_dir):
     SELECT unnest(regexp_extract_all(lower(text), '[a-zA-Z]{{2,}}')) AS raw FROM documents) t""")
 def x7_stems(spark, sf_dir):
     """Suffix stemmer over the whole raw vocabulary."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     raw = d.select(F.explode(raw_tokens(F.col("text"))).alias("raw")).distinct()
     return raw.select("raw", stem(F.col("raw")).alias("term"))
 

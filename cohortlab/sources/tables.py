@@ -74,3 +74,14 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Generic parquet sink (S6/S7/S8 use it for index, ECDF and registry tables)."""
     df.write.mode(mode).parquet(path)
     return path
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """Round-robin repartition when a scan yields fewer splits than the cluster has cores.
+
+    CPU-heavy per-row work (chunking, tokenising) right after a scan of a few large
+    row groups would otherwise run in one task. On a cluster reading many files the
+    scan already has more splits than cores and this is a no-op (no extra shuffle).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * per_core
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
