@@ -72,12 +72,32 @@ def select_feature_set(df: DataFrame, feature_set: str, extra: list | None = Non
 
 # ------------------------------------------------------------------ statistics (L1, L2)
 
+# Integer-valued features (years, day counts, round counts): their distinct values are bounded
+# by a calendar / count range, so Spark's exact ``percentile`` aggregate (one counter per
+# distinct value) has bounded state and needs one pass. Continuous features use the
+# distributed order-statistic path instead.
+BOUNDED_DOMAIN = {"founded_year", "time_to_first_funding_days", "funding_rounds", "funding_span_days"}
+
+
 def medians(train: DataFrame, cols: list) -> DataFrame:
     """L1: exact medians per numeric column (long format: feature, median)."""
-    stacked = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    long = train.selectExpr(f"stack({len(cols)}, {stacked}) AS (feature, value)")
-    q = exact_quantiles(long, "value", [0.5], ["feature"])
-    return q.select("feature", F.col("value").alias("median"))
+    spark = train.sparkSession
+    parts = []
+    bounded = [c for c in cols if c in BOUNDED_DOMAIN]
+    other = [c for c in cols if c not in BOUNDED_DOMAIN]
+    if bounded:
+        row = train.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in bounded])
+        stacked = ", ".join(f"'{c}', `{c}`" for c in bounded)
+        parts.append(row.selectExpr(f"stack({len(bounded)}, {stacked}) AS (feature, median)"))
+    if other:
+        stacked = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in other)
+        long = train.selectExpr(f"stack({len(other)}, {stacked}) AS (feature, value)")
+        q = exact_quantiles(long, "value", [0.5], ["feature"])
+        parts.append(q.select("feature", F.col("value").alias("median")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out if parts else spark.createDataFrame([], "feature string, median double")
 
 
 def scaling_stats(train: DataFrame, cols: list, med: dict) -> dict:
@@ -134,7 +154,7 @@ def _classifier(spec: ModelSpec, n_train: int):
         # sklearn's C=1 L2 penalty on a summed loss == regParam 1/n on Spark's mean loss
         return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / max(n_train, 1),
                                   elasticNetParam=0.0, standardization=False,
-                                  maxIter=spec.params.get("maxIter", 2000), tol=1e-8)
+                                  maxIter=spec.params.get("maxIter", 2000), tol=1e-6)
     if spec.kind == "gbt":
         return GBTClassifier(featuresCol="features", labelCol="label", maxIter=spec.params.get("maxIter", 100),
                              stepSize=0.1, maxDepth=5, maxBins=64, seed=42)
@@ -196,7 +216,7 @@ def assign_folds(train: DataFrame, key: str, n_splits: int = C.CV_FOLDS, repeats
 
 
 def cross_validated_scores(spec: ModelSpec, train: DataFrame, key: str, n_splits: int = C.CV_FOLDS,
-                           repeats: int = 1, seed: int = 42, parallelism: int = 4) -> DataFrame:
+                           repeats: int = 1, seed: int = 42, parallelism: int = 8) -> DataFrame:
     """Held-out scores of every (repeat, fold) fit; fits run as concurrent Spark jobs."""
     folds = assign_folds(train, key, n_splits, repeats, seed)
     folds = folds.checkpoint(eager=True)  # fold ids are reused by every fit

@@ -62,7 +62,7 @@ def read_eval_questions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_markdown_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """One row per Markdown file: (doc_id = file stem, text)."""
-    df = spark.read.option("wholetext", True).text(os.path.join(folder, "*.md"))
+    df = spark.read.text(os.path.join(folder, "*.md"), wholetext=True)
     name = F.col("_metadata.file_name")
     return df.select(
         F.regexp_replace(name, r"\.md$", "").alias("doc_id"),
