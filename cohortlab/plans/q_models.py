@@ -307,6 +307,10 @@ def l9_l10_test_metrics(spark, sf_dir):
     """L6-L10 + M10: every catalogue model fit on train, metric bundle on test (one row per model)."""
     f = _features(spark, sf_dir)
     test = f.where(F.col("split") == "test")
+    # the five fits are independent Spark jobs: submit them concurrently
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=5) as pool:
+        list(pool.map(lambda s: _fitted(spark, sf_dir, s.name), mo.build_specs()))
     rows = None
     for spec in mo.build_specs():
         s = _fitted(spark, sf_dir, spec.name).transform(test).select("label", "score")
