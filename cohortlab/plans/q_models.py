@@ -335,26 +335,56 @@ def a17_leakage_gap(spark, sf_dir):
     return out
 
 
+def _cv_summary(spark, sf_dir, name, repeats=C.CV_REPEATS):
+    k = ("cv", sf_dir, id(spark), name, repeats)
+    if k not in _CACHE:
+        f = _features(spark, sf_dir).where(F.col("split") == "train").withColumn("k", F.col("name").cast("bigint"))
+        scores = mo.cross_validated_scores(mo.spec_by_name(name), f, "k", C.CV_FOLDS, repeats)
+        g = ["repeat", "fold"]
+        fm = (me.roc_auc(scores, g).join(me.average_precision(scores, g, digits=None), g)
+                .join(me.brier(scores, g, digits=None), g))
+        lng = fm.selectExpr("repeat", "fold", "stack(3, 'roc_auc', roc_auc, 'average_precision', average_precision, "
+                            "'brier_score', brier_score) AS (metric, value)")
+        _CACHE[k] = me.metric_summary(lng, digits=6).checkpoint(eager=True)
+    return _CACHE[k]
+
+
+def _oof_threshold(spark, sf_dir, name):
+    k = ("oof", sf_dir, id(spark), name)
+    if k not in _CACHE:
+        f = _features(spark, sf_dir).where(F.col("split") == "train").withColumn("k", F.col("name").cast("bigint"))
+        scores = mo.cross_validated_scores(mo.spec_by_name(name), f, "k", C.CV_FOLDS, 1)
+        _CACHE[k] = me.choose_threshold(scores.select("label", "score")).checkpoint(eager=True)
+    return _CACHE[k]
+
+
 @query("l12_cv_logistic_clean")
 def l12_cv_logistic_clean(spark, sf_dir):
     """L12 + A18: repeated stratified CV (5 folds x 10 repeats) of the clean logistic model."""
-    f = _features(spark, sf_dir).where(F.col("split") == "train").withColumn("k", F.col("name").cast("bigint"))
-    scores = mo.cross_validated_scores(mo.spec_by_name("logistic_regression_clean"), f, "k",
-                                       C.CV_FOLDS, C.CV_REPEATS)
-    g = ["repeat", "fold"]
-    fm = (me.roc_auc(scores, g).join(me.average_precision(scores, g, digits=None), g)
-            .join(me.brier(scores, g, digits=None), g))
-    lng = fm.selectExpr("repeat", "fold", "stack(3, 'roc_auc', roc_auc, 'average_precision', average_precision, "
-                        "'brier_score', brier_score) AS (metric, value)")
-    return me.metric_summary(lng, digits=6)
+    return _cv_summary(spark, sf_dir, "logistic_regression_clean")
 
 
 @query("l13_oof_threshold")
 def l13_oof_threshold(spark, sf_dir):
     """L13 + M8: F0.5-best threshold on 5-fold out-of-fold probabilities (clean logistic model)."""
-    f = _features(spark, sf_dir).where(F.col("split") == "train").withColumn("k", F.col("name").cast("bigint"))
-    scores = mo.cross_validated_scores(mo.spec_by_name("logistic_regression_clean"), f, "k", C.CV_FOLDS, 1)
-    return me.choose_threshold(scores.select("label", "score"))
+    return _oof_threshold(spark, sf_dir, "logistic_regression_clean")
+
+
+@query("l14_train_one")
+def l14_train_one(spark, sf_dir):
+    """L14 + S8: CV summary, OOF threshold, final fit, test metrics at that threshold - one registry row."""
+    name = "logistic_regression_clean"
+    cv = _cv_summary(spark, sf_dir, name)
+    thr = _oof_threshold(spark, sf_dir, name).first()
+    model = _fitted(spark, sf_dir, name)
+    test = _features(spark, sf_dir).where(F.col("split") == "test")
+    m = me.compute_metrics(model.transform(test).select("label", "score"), float(thr["threshold"]))
+    cvw = cv.groupBy().pivot("metric", ["roc_auc", "average_precision", "brier_score"]).agg(
+        F.first("mean").alias("mean"), F.first("std").alias("std"))
+    meta = spark.createDataFrame([(name, "clean", "onehot", model.n_train, float(thr["best_f_beta"]))],
+                                 "model_name string, feature_set string, categorical_encoding string, n_train long, "
+                                 "oof_f0_5 double")
+    return meta.crossJoin(m).crossJoin(cvw)
 
 
 @query("l19_calibration_report")

@@ -103,3 +103,17 @@ def test_stream_equals_batch(spark, tmp_path):
     a = sorted(r.request_id for r in spark.read.parquet(dead_stream).collect())
     b = sorted(r.request_id for r in spark.read.parquet(str(tmp_path / "b" / "dead")).collect())
     assert a == b and len(a) == 15
+
+
+def test_sigmoid_calibrator(spark):
+    rng = np.random.default_rng(5)
+    raw = rng.random(400)
+    y = (rng.random(400) < raw).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(raw, y)], "raw_score double, label int")
+    cal = ca.fit_calibrator(df, "sigmoid")
+    out = sorted((r.raw_score, r.probability) for r in cal.transform(df).collect())
+    probs = [p for _, p in out]
+    assert probs == sorted(probs) and 0 < probs[0] < probs[-1] < 1
+    iso = ca.fit_calibrator(df, "isotonic")
+    ip = [r.probability for r in sorted(iso.transform(df).collect(), key=lambda r: r.raw_score)]
+    assert ip == sorted(ip)
