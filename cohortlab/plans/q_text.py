@@ -326,7 +326,17 @@ def x16_named_feature(spark, sf_dir):
     return user_questions(spark, sf_dir).select("qid", ro.find_named_feature(F.col("question")).alias("named_feature"))
 
 
-@query("x19_render_retrieved")
+@query("x19_render_retrieved", ["top8f", "postings", "questions"], f"""
+  WITH rr AS ({_mmr_sql("top8f", C.RERANK_K, C.MMR_LAMBDA)}),
+  lines AS (SELECT rr.qid, rr.mmr_rank,
+                   '- **' || d.source || '** (' || CAST(d.doc_id AS VARCHAR) || '): ' || d.text || chr(10)
+                   || '  Source: ' || coalesce(d.source, 'None') AS line
+            FROM rr JOIN documents d ON CAST(d.doc_id AS VARCHAR) = rr.chunk_id),
+  per AS (SELECT qid, '## Related context' || chr(10) || string_agg(line, chr(10) ORDER BY mmr_rank) AS answer
+          FROM lines GROUP BY qid)
+  SELECT q.qid, coalesce(per.answer, '## Related context' || chr(10)
+                         || 'Nothing in the local corpus matched this question.') AS answer
+  FROM questions q LEFT JOIN per USING (qid)""")
 def x19_render_retrieved(spark, sf_dir):
     """Rendered 'Related context' per question from the reranked chunks."""
     r, chunks, post = _retrieved(spark, sf_dir, C.RETRIEVAL_TOP_K)
