@@ -135,13 +135,70 @@ def x3_sections(spark, sf_dir):
     return s.select("doc_id", "sec_idx", F.col("sec.heading").alias("heading"), F.col("sec.body").alias("body"))
 
 
-@query("x5_chunks")
+_WSR = "[ \\t\\n\\r\\f\\x0B]"  # same whitespace class as the Spark side
+_TRIMC = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
+
+
+def _words_duck(x: str) -> str:
+    return (f"(CASE WHEN trim({x}, {_TRIMC}) = '' THEN []::VARCHAR[] "
+            f"ELSE regexp_split_to_array(trim({x}, {_TRIMC}), '{_WSR}+') END)")
+
+
+def _chunks_sql(target: int = C.CHUNK_TARGET_WORDS, overlap: int = C.CHUNK_OVERLAP_WORDS,
+                limit: int = C.CHUNK_MAX_SECTION_WORDS) -> str:
+    """The chunker in DuckDB SQL: same section split, sentence split, run-on windows and greedy fold."""
+    stride = max(target - overlap, 1)
+    sents = f"string_split(regexp_replace(body, '([.!?]){_WSR}+', '\\1' || chr(1), 'g'), chr(1))"
+    runon = (f"list_transform(range(0, CAST(ceil(len({_words_duck('body')}) / {stride}.0) AS BIGINT)), "
+             f"lambda i: array_to_string(list_slice({_words_duck('body')}, i * {stride} + 1, i * {stride} + {target}), ' '))")
+    units = f"(CASE WHEN len({sents}) = 1 AND len({_words_duck('body')}) > {2 * target} THEN {runon} ELSE {sents} END)"
+    items = f"list_transform({units}, lambda x: {{'s': x, 'ws': {_words_duck('x')}}})"
+    cur2 = "(CASE WHEN acc.n = 0 THEN it.s ELSE acc.cur || ' ' || it.s END)"
+    tw2 = (f"list_slice(list_concat(acc.tw, it.ws), greatest(len(acc.tw) + len(it.ws) - {overlap} + 1, 1), "
+           f"len(acc.tw) + len(it.ws))")
+    step = (f"CASE WHEN acc.w + len(it.ws) >= {target} "
+            f"THEN {{'pieces': list_append(acc.pieces, {cur2}), 'cur': array_to_string({tw2}, ' '), 'n': 1, "
+            f"'w': len({tw2}), 'tw': {tw2}}} "
+            f"ELSE {{'pieces': acc.pieces, 'cur': {cur2}, 'n': acc.n + 1, 'w': acc.w + len(it.ws), 'tw': {tw2}}} END")
+    init = "{'pieces': []::VARCHAR[], 'cur': '', 'n': 0, 'w': 0, 'tw': []::VARCHAR[]}"
+    fold = f"list_reduce({items}, lambda acc, it: {step}, {init})"
+    finish = (f"(CASE WHEN f.n > 0 AND trim(f.cur, {_TRIMC}) <> '' THEN list_append(f.pieces, f.cur) ELSE f.pieces END)")
+    return f"""
+  WITH d AS (
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, source,
+           CASE WHEN starts_with(text, '---') AND strpos(substr(text, 4), '---') > 0
+                THEN regexp_replace(substr(text, strpos(substr(text, 4), '---') + 6), '^\\n+', '') ELSE text END AS b
+    FROM documents),
+  m AS (SELECT doc_id, source, b, string_split(regexp_replace(b, '(?m)^##\\s+(.+)$', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS pcs FROM d),
+  secs AS (SELECT doc_id, source,
+                  CASE WHEN len(pcs) > 1 THEN list_transform(pcs[2:], lambda p: {{'heading': trim(split_part(p, chr(2), 1), {_TRIMC}),
+                                                                       'body': trim(substr(p, strpos(p, chr(2)) + 1), {_TRIMC})}})
+                       ELSE [{{'heading': trim(source, {_TRIMC}), 'body': trim(b, {_TRIMC})}}] END AS sl
+           FROM m),
+  s AS (SELECT doc_id, source, unnest(sl) AS sec FROM secs),
+  s2 AS (SELECT doc_id, source, sec.heading AS heading, sec.body AS body FROM s),
+  fo AS (SELECT doc_id, source, heading,
+                CASE WHEN len({_words_duck('body')}) <= {limit} THEN [body]
+                     ELSE (SELECT {finish} FROM (SELECT {fold} AS f) z) END AS pieces
+         FROM s2),
+  pe AS (SELECT doc_id, source, heading, len(pieces) AS n_pieces, unnest(pieces) AS text,
+                unnest(range(len(pieces))) AS piece_idx FROM fo)
+  SELECT doc_id || '::' || replace(lower(heading), ' ', '_')
+           || CASE WHEN n_pieces > 1 THEN '_' || CAST(piece_idx AS VARCHAR) ELSE '' END AS chunk_id,
+         doc_id, heading, text, source AS source_url
+  FROM pe"""
+
+
+add_view("chunks", [], _chunks_sql())
+
+
+@query("x5_chunks", ["chunks"], "SELECT chunk_id, doc_id, heading, text, source_url FROM chunks")
 def x5_chunks(spark, sf_dir):
     """The chunked corpus (greedy sentence packing with overlap); checked by brute force in tests."""
     return corpus_chunks(spark, sf_dir).select("chunk_id", "doc_id", "heading", "text", "source_url")
 
 
-@query("x21_chunks_per_document")
+@query("x21_chunks_per_document", ["chunks"], "SELECT doc_id, count(*) AS n_chunks FROM chunks GROUP BY doc_id")
 def x21_chunks_per_document(spark, sf_dir):
     """Chunks per document."""
     return ch.chunks_per_document(corpus_chunks(spark, sf_dir))
