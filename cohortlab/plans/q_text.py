@@ -80,17 +80,21 @@ add_view("qvec", ["questions", "cidf"], f"""
         FROM ({_terms_sql('questions', 'qid', 'question')}) x JOIN cidf USING (term) GROUP BY id, term) y""")
 
 
-def _topk_sql(k: int) -> str:
+def _topk_sql(k: int, qvec: str = "qvec", postings: str = "postings", chunks: str = "dchunks",
+              order: str = "c.chunk_id DESC") -> str:
     return f"""
   SELECT qid, rank, chunk_id, score FROM (
-    SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id DESC) AS rank FROM (
+    SELECT s.qid, s.chunk_id, s.score,
+           row_number() OVER (PARTITION BY s.qid ORDER BY s.score DESC, {order}) AS rank
+    FROM (
       SELECT qid, chunk_id, round(sum(q.weight * p.weight), 9) AS score
-      FROM qvec q JOIN postings p USING (term) GROUP BY qid, chunk_id
+      FROM {qvec} q JOIN {postings} p USING (term) GROUP BY qid, chunk_id
       UNION ALL
       SELECT q.qid, z.chunk_id, 0.0 FROM (SELECT DISTINCT qid FROM questions) q
-      CROSS JOIN (SELECT chunk_id FROM dchunks ORDER BY chunk_id DESC LIMIT {2 * k}) z
-      WHERE NOT EXISTS (SELECT 1 FROM qvec q2 JOIN postings p2 USING (term)
-                        WHERE q2.qid = q.qid AND p2.chunk_id = z.chunk_id)) s) r
+      CROSS JOIN (SELECT chunk_id FROM {chunks} c ORDER BY {order} LIMIT {2 * k}) z
+      WHERE NOT EXISTS (SELECT 1 FROM {qvec} q2 JOIN {postings} p2 USING (term)
+                        WHERE q2.qid = q.qid AND p2.chunk_id = z.chunk_id)) s
+    JOIN {chunks} c ON c.chunk_id = s.chunk_id) r
   WHERE rank <= {k}"""
 
 
@@ -175,21 +179,37 @@ def _chunks_sql(target: int = C.CHUNK_TARGET_WORDS, overlap: int = C.CHUNK_OVERL
                                                                        'body': trim(substr(p, strpos(p, chr(2)) + 1), {_TRIMC})}})
                        ELSE [{{'heading': trim(source, {_TRIMC}), 'body': trim(b, {_TRIMC})}}] END AS sl
            FROM m),
-  s AS (SELECT doc_id, source, unnest(sl) AS sec FROM secs),
-  s2 AS (SELECT doc_id, source, sec.heading AS heading, sec.body AS body FROM s),
-  fo AS (SELECT doc_id, source, heading,
+  s AS (SELECT doc_id, source, unnest(sl) AS sec, unnest(range(len(sl))) AS sec_idx FROM secs),
+  s2 AS (SELECT doc_id, source, sec_idx, sec.heading AS heading, sec.body AS body FROM s),
+  fo AS (SELECT doc_id, source, sec_idx, heading,
                 CASE WHEN len({_words_duck('body')}) <= {limit} THEN [body]
                      ELSE (SELECT {finish} FROM (SELECT {fold} AS f) z) END AS pieces
          FROM s2),
-  pe AS (SELECT doc_id, source, heading, len(pieces) AS n_pieces, unnest(pieces) AS text,
+  pe AS (SELECT doc_id, source, sec_idx, heading, len(pieces) AS n_pieces, unnest(pieces) AS text,
                 unnest(range(len(pieces))) AS piece_idx FROM fo)
   SELECT doc_id || '::' || replace(lower(heading), ' ', '_')
            || CASE WHEN n_pieces > 1 THEN '_' || CAST(piece_idx AS VARCHAR) ELSE '' END AS chunk_id,
-         doc_id, heading, text, source AS source_url
+         doc_id, heading, text, source AS source_url, sec_idx, piece_idx
   FROM pe"""
 
 
 add_view("chunks", [], _chunks_sql())
+add_view("ktf", ["chunks"], f"""
+  SELECT id AS chunk_id, term, count(*) AS tf FROM ({_terms_sql('chunks', 'chunk_id', 'text')}) x GROUP BY id, term""")
+add_view("kidf", ["ktf"], """
+  SELECT term, count(*) AS df, ln((1.0 + (SELECT count(*) FROM chunks)) / (1.0 + count(*))) + 1.0 AS idf
+  FROM ktf GROUP BY term""")
+add_view("kpostings", ["ktf", "kidf"], """
+  SELECT chunk_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)) AS weight
+  FROM (SELECT chunk_id, term, tf * idf AS w FROM ktf JOIN kidf USING (term)) x""")
+add_view("kqvec", ["questions", "kidf"], f"""
+  SELECT qid, term, w / sqrt(sum(w * w) OVER (PARTITION BY qid)) AS weight
+  FROM (SELECT id AS qid, term, count(*) * any_value(idf) AS w
+        FROM ({_terms_sql('questions', 'qid', 'question')}) x JOIN kidf USING (term) GROUP BY id, term) y""")
+add_view("ktop8", ["kqvec", "kpostings", "chunks", "questions"],
+         _topk_sql(C.RETRIEVAL_TOP_K, "kqvec", "kpostings", "chunks",
+                   "c.doc_id DESC, c.sec_idx DESC, c.piece_idx DESC"))
+add_view("ktop8f", ["ktop8"], "SELECT * FROM ktop8 WHERE score >= 0.15")
 
 
 @query("x5_chunks", ["chunks"], "SELECT chunk_id, doc_id, heading, text, source_url FROM chunks")
@@ -268,9 +288,9 @@ def p14_relevance_filter(spark, sf_dir):
     return rt.relevance_filter(r)
 
 
-def _mmr_sql(cands: str, k: int, lam: float) -> str:
+def _mmr_sql(cands: str, k: int, lam: float, postings: str = "postings") -> str:
     """Greedy MMR rounds as CTEs over a candidate view (qid, rank, chunk_id, score)."""
-    ctes = [f"""cp AS (SELECT c.qid, c.chunk_id, p.term, p.weight FROM {cands} c JOIN postings p USING (chunk_id))""",
+    ctes = [f"""cp AS (SELECT c.qid, c.chunk_id, p.term, p.weight FROM {cands} c JOIN {postings} p USING (chunk_id))""",
             """sim AS (SELECT a.qid, a.chunk_id AS c1, b.chunk_id AS c2, round(sum(a.weight * b.weight), 9) AS sim
                        FROM cp a JOIN cp b ON a.qid = b.qid AND a.term = b.term GROUP BY a.qid, a.chunk_id, b.chunk_id)"""]
     sel = []
@@ -414,7 +434,7 @@ def x20_answers(spark, sf_dir):
     return ro.answer(qs, ro.render_retrieved(rr, chunks, general))
 
 
-@query("x12_chunk_pipeline")
+@query("x12_chunk_pipeline", ["ktop8f", "kpostings"], _mmr_sql("ktop8f", C.RERANK_K, C.MMR_LAMBDA, "kpostings"))
 def x12_chunk_pipeline(spark, sf_dir):
     """X12 over the real chunked corpus: retrieve 8, filter, rerank 3 for every benchmark question."""
     chunks = corpus_chunks(spark, sf_dir)
