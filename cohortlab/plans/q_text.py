@@ -81,7 +81,7 @@ add_view("qvec", ["questions", "cidf"], f"""
 
 
 def _topk_sql(k: int, qvec: str = "qvec", postings: str = "postings", chunks: str = "dchunks",
-              order: str = "c.chunk_id DESC") -> str:
+              order: str = "c.chunk_id DESC", questions: str = "questions") -> str:
     return f"""
   SELECT qid, rank, chunk_id, score FROM (
     SELECT s.qid, s.chunk_id, s.score,
@@ -90,7 +90,7 @@ def _topk_sql(k: int, qvec: str = "qvec", postings: str = "postings", chunks: st
       SELECT qid, chunk_id, round(sum(q.weight * p.weight), 9) AS score
       FROM {qvec} q JOIN {postings} p USING (term) GROUP BY qid, chunk_id
       UNION ALL
-      SELECT q.qid, z.chunk_id, 0.0 FROM (SELECT DISTINCT qid FROM questions) q
+      SELECT q.qid, z.chunk_id, 0.0 FROM (SELECT DISTINCT qid FROM {questions}) q
       CROSS JOIN (SELECT chunk_id FROM {chunks} c ORDER BY {order} LIMIT {2 * k}) z
       WHERE NOT EXISTS (SELECT 1 FROM {qvec} q2 JOIN {postings} p2 USING (term)
                         WHERE q2.qid = q.qid AND p2.chunk_id = z.chunk_id)) s
@@ -421,7 +421,36 @@ def x19_render_retrieved(spark, sf_dir):
     return ro.render_retrieved(rr, chunks, eval_questions(spark, sf_dir))
 
 
-@query("x20_answers")
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+add_view("ugen", ["user_questions"], f"""
+  SELECT qid, question FROM user_questions WHERE ({_intent_sql('question')}) = 'general'""")
+add_view("uqvec", ["ugen", "kidf"], f"""
+  SELECT qid, term, w / sqrt(sum(w * w) OVER (PARTITION BY qid)) AS weight
+  FROM (SELECT id AS qid, term, count(*) * any_value(idf) AS w
+        FROM ({_terms_sql('ugen', 'qid', 'question')}) x JOIN kidf USING (term) GROUP BY id, term) y""")
+add_view("utop8f", ["uqvec", "kpostings", "chunks", "ugen"], "SELECT * FROM (" + _topk_sql(
+    C.RETRIEVAL_TOP_K, "uqvec", "kpostings", "chunks", "c.doc_id DESC, c.sec_idx DESC, c.piece_idx DESC", "ugen")
+    + ") t WHERE score >= 0.15")
+
+
+@query("x20_answers", ["user_questions", "utop8f", "kpostings", "chunks"], f"""
+  WITH rr AS ({_mmr_sql("utop8f", C.RERANK_K, C.MMR_LAMBDA, "kpostings")}),
+  lines AS (SELECT rr.qid, rr.mmr_rank,
+                   '- **' || c.heading || '** (' || c.doc_id || '): ' || c.text || chr(10)
+                   || '  Source: ' || coalesce(c.source_url, 'None') AS line
+            FROM rr JOIN chunks c USING (chunk_id)),
+  per AS (SELECT qid, '## Related context' || chr(10) || string_agg(line, chr(10) ORDER BY mmr_rank) AS answer
+          FROM lines GROUP BY qid),
+  routed AS (SELECT qid, {_intent_sql('question')} AS intent FROM user_questions)
+  SELECT r.qid, r.intent,
+         CASE WHEN r.intent = 'greeting' THEN {_lit(C.CAPABILITY_STATEMENT)}
+              WHEN r.intent = 'about_prediction' THEN {_lit(C.NO_PREDICTION_TEXT)}
+              WHEN r.intent = 'general' THEN coalesce(per.answer, {_lit(C.NOTHING_MATCHED_TEXT)})
+              ELSE {_lit(C.OUT_OF_SCOPE_TEXT + C.CAPABILITY_STATEMENT)} END AS answer
+  FROM routed r LEFT JOIN per USING (qid)""")
 def x20_answers(spark, sf_dir):
     """Answer per user turn by intent (general -> retrieve/filter/rerank over the chunked corpus)."""
     qs = user_questions(spark, sf_dir)
