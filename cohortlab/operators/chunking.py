@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortlab import constants as C
 from cohortlab.functions.text import (
-    SEC_MARK, WS, front_matter_field, sections_array, sentences, slug, strip_front_matter, strip_ws, word_count,
+    SEC_MARK, WS, front_matter_field, sections_array, slug, strip_front_matter, strip_ws, word_count,
 )
 
 
@@ -99,6 +99,3 @@ def chunks_per_document(chunks: DataFrame) -> DataFrame:
     """Corpus summary."""
     return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
-
-def sentence_array(col):
-    return sentences(col)

@@ -17,12 +17,11 @@ from __future__ import annotations
 import math
 import os
 import uuid
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab import constants as C
@@ -50,9 +49,8 @@ def tree_table(model: FittedModel) -> pd.DataFrame:
 
     Read from the saved model's node parquet (model-sized) via Spark.
     """
-    spark = model.pipeline.stages[-1]._java_obj  # noqa: F841  (ensures a fitted JVM model)
     gbt = model.pipeline.stages[-1]
-    sess = __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
+    sess = SparkSession.getActiveSession()
     path = os.path.join(ensure_checkpoint_dir(sess), f"gbt-{uuid.uuid4().hex}")
     gbt.write().overwrite().save(path)
     nodes = sess.read.parquet(os.path.join(path, "data")).select(
@@ -225,11 +223,3 @@ def numeric_ranges(train: DataFrame, cols: list[str]) -> DataFrame:
                                  F.max(F.when(F.col("q_idx") == 1, F.col("value"))).alias("p99"))
     mm = long.groupBy("feature").agg(F.min("value").alias("min"), F.max("value").alias("max"))
     return mm.join(p, "feature")
-
-
-def top_n_by(df: DataFrame, part: str, order) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(part).orderBy(order)))
-
-
-__all__ = ["tree_contributions", "linear_contributions", "sensitivity", "numeric_grid", "numeric_ranges",
-           "combinations"]

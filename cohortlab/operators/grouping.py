@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab import constants as C
-from cohortlab.functions.columns import age_band, funding_band, funding_band_ord, round6
+from cohortlab.functions.columns import age_band, funding_band, funding_band_ord
 
 
 def grouped_success_rate(df: DataFrame, key: str | Column, min_n: int = C.MIN_COHORT_SIZE,

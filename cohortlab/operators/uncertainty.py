@@ -1,7 +1,7 @@
 """Uncertainty: Wilson intervals, quantile band tables, band lookup, ECDF percentiles."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab import constants as C
@@ -78,7 +78,7 @@ def ecdf_table(reference: DataFrame, score_col: str = "score") -> DataFrame:
     cells = reference.groupBy(F.col(score_col).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("n"))
     cum = running_sums(cells, "score", ["n"])
     tot = cells.agg(F.sum("n").alias("total"))
-    return cum.withColumnRenamed("cum_n", "cum_n").crossJoin(F.broadcast(tot))
+    return cum.crossJoin(F.broadcast(tot))
 
 
 def percentile_of(requests: DataFrame, reference: DataFrame, req_col: str = "probability",

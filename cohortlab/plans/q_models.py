@@ -1,7 +1,6 @@
 """Named queries: preprocessing, models, CV, calibration, serving, explanations (L*, U4-U6, P9-P13, J7-J10, M13/M14, X17/X18, S4/S8/S9)."""
 from __future__ import annotations
 
-import json
 import os
 import uuid
 
@@ -509,8 +508,6 @@ def s9_eval_questions_json(spark, sf_dir):
     return spark.read.schema(schema).json(out)
 
 
-__all__ = ["json"]
-
 
 def _request_rows(spark, sf_dir):
     p = _profiles(spark, sf_dir)
