@@ -7,6 +7,7 @@ training ECDF (as-of scan), bootstrap band, top contributions and the decision.
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -52,16 +53,20 @@ def calibrate_feature_set(features: DataFrame, feature_set: str, key: str = "nam
     base = mo.fit(spec, fit_part)
     cal_raw = base.transform(cal_part).withColumnRenamed("score", "raw_score").checkpoint(eager=True)
     calibrator = ca.fit_calibrator(cal_raw, method)
-    test_scored = calibrator.transform(base.transform(test).withColumnRenamed("score", "raw_score"))
-    test_scored = test_scored.checkpoint(eager=True)
-    before = me.compute_metrics(test_scored.select("label", F.col("raw_score").alias("score")), 0.5).first()
-    after = me.compute_metrics(test_scored.select("label", F.col("probability").alias("score")), 0.5).first()
     # O1: the reference distribution is every training row (fit + calibration), calibrated
     train_all = fit_part.unionByName(cal_part)
-    reference = calibrator.transform(base.transform(train_all).withColumnRenamed("score", "raw_score")) \
-        .select(F.col("probability").alias("score")).checkpoint(eager=True)
+    # the test scoring, the reference scores and the bootstrap curves are independent jobs
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        f_test = pool.submit(lambda: calibrator.transform(
+            base.transform(test).withColumnRenamed("score", "raw_score")).checkpoint(eager=True))
+        f_ref = pool.submit(lambda: calibrator.transform(
+            base.transform(train_all).withColumnRenamed("score", "raw_score"))
+            .select(F.col("probability").alias("score")).checkpoint(eager=True))
+        f_curves = pool.submit(lambda: ca.bootstrap_curves(ca.bootstrap_cells(cal_raw, key)).checkpoint(eager=True))
+        test_scored, reference, curves = f_test.result(), f_ref.result(), f_curves.result()
+    before = me.compute_metrics(test_scored.select("label", F.col("raw_score").alias("score")), 0.5).first()
+    after = me.compute_metrics(test_scored.select("label", F.col("probability").alias("score")), 0.5).first()
     bands = un.confidence_bands(test_scored.select("label", F.col("probability").alias("score"))).checkpoint(eager=True)
-    curves = ca.bootstrap_curves(ca.bootstrap_cells(cal_raw, key)).checkpoint(eager=True)
     meta = {
         "model_name": name, "feature_set": feature_set, "calibration_method": method,
         "numeric_features": ",".join(spec.numeric), "categorical_features": ",".join(spec.categorical),
