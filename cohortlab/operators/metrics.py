@@ -46,9 +46,13 @@ def average_precision(scored: DataFrame, group_cols: list[str] | None = None, di
     return cells.groupBy(*g).agg(_rnd(F.sum(term) / F.sum("pos"), digits).alias("average_precision"))
 
 
-def brier(scored: DataFrame, group_cols: list[str] | None = None, digits: int = 9,
+def brier(scored: DataFrame, group_cols: list[str] | None = None, digits: int = 6,
           score_col: str = "score", label_col: str = "label") -> DataFrame:
-    """M3: mean squared error of the probability."""
+    """M3: mean squared error of the probability.
+
+    Rounded to 6 digits: with scores on a fixed grid the exact mean often ends in a 5 at
+    the 10th digit, where engines that sum in different orders would round apart.
+    """
     g = list(group_cols or [])
     d = F.col(score_col).cast("double") - F.col(label_col).cast("double")
     return scored.groupBy(*g).agg(_rnd(F.avg(d * d), digits).alias("brier_score"))
@@ -147,7 +151,7 @@ def reliability_curve(scored: DataFrame, n_bins: int = C.N_CALIBRATION_BINS, dig
     b = scored.crossJoin(F.broadcast(inner)).select(
         F.size(F.filter("_inner", lambda e: e < s)).alias("bin"), s.alias("s"), F.col(label_col).cast("double").alias("y"))
     return b.groupBy("bin").agg(
-        F.round(F.avg("s"), digits).alias("mean_predicted"),
+        F.round(F.avg("s"), min(digits, 6)).alias("mean_predicted"),
         F.avg("y").alias("fraction_positive"), F.count(F.lit(1)).alias("n"))
 
 

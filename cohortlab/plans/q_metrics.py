@@ -44,7 +44,7 @@ def ap_sql(src: str, g: str | None = None, digits: int | None = 9) -> str:
         FROM (SELECT {gs}score, sum(label) AS pos, sum(1 - label) AS neg FROM {src} GROUP BY {gs}score) c) w{gb}"""
 
 
-def brier_sql(src: str, g: str | None = None, digits: int | None = 9) -> str:
+def brier_sql(src: str, g: str | None = None, digits: int | None = 6) -> str:
     gs, gb = (f"{g}, ", f" GROUP BY {g}") if g else ("", "")
     v = "avg((score - label) * (score - label))"
     v = f"round({v}, {digits})" if digits is not None else v
@@ -131,7 +131,7 @@ _RC_Q = exact_quantile_sql("scores", "score", me.quantile_fracs(10)[1:-1])
 
 
 @query("m9_reliability_curve", ["scores"], f"""
-  SELECT bin, round(avg(score), 9) AS mean_predicted, avg(CAST(label AS DOUBLE)) AS fraction_positive, count(*) AS n
+  SELECT bin, round(avg(score), 6) AS mean_predicted, avg(CAST(label AS DOUBLE)) AS fraction_positive, count(*) AS n
   FROM (SELECT s.score, s.label, (SELECT count(*) FROM {_RC_Q} e WHERE e.value < s.score) AS bin FROM scores s) b
   GROUP BY bin""")
 def m9_reliability_curve(spark, sf_dir):
