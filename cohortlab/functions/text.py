@@ -5,9 +5,6 @@ only line terminator in Java, which is what the reference's Python regexes assum
 """
 from __future__ import annotations
 
-import functools
-import os
-import zipfile
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,18 +69,6 @@ def slug(heading: Column) -> Column:
     return F.replace(F.lower(heading), F.lit(" "), F.lit("_"))
 
 
-@functools.lru_cache(maxsize=1)
-def spark_english_stop_words() -> tuple[str, ...]:
-    """Spark ML's default English stop-word list, read from the bundled jar (no JVM needed)."""
-    import pyspark
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    for name in sorted(os.listdir(jars)):
-        if name.startswith("spark-mllib_") and name.endswith(".jar"):
-            with zipfile.ZipFile(os.path.join(jars, name)) as z:
-                return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split())
-    raise RuntimeError("Spark ML stop-word list not found")
-
-
 def raw_tokens(text: Column) -> Column:
     """X6 part 1: lower-case, then every run of >= 2 ASCII letters."""
     return F.regexp_extract_all(F.lower(text), F.lit(f"({C.TOKEN_PATTERN})"), 1)
@@ -102,6 +87,6 @@ def stem(tok: Column) -> Column:
 
 def tokens(text: Column, stop_words: tuple[str, ...] | None = None) -> Column:
     """X6 + X7: tokens with stop words removed on the raw token, then stemmed."""
-    sw = list(stop_words or spark_english_stop_words())
+    sw = list(stop_words or C.STOP_WORDS)
     # a literal IN list becomes a hash-set lookup (InSet) inside codegen
     return F.transform(F.filter(raw_tokens(text), lambda t: ~t.isin(*sw)), stem)

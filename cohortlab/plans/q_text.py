@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from cohortlab import constants as C
-from cohortlab.functions.text import raw_tokens, spark_english_stop_words, stem, strip_front_matter
+from cohortlab.functions.text import raw_tokens, stem, strip_front_matter
 from cohortlab.functions.text import sections_array
 from cohortlab.operators import chunking as ch
 from cohortlab.operators import retrieval as rt
@@ -45,7 +45,7 @@ def user_questions(spark, sf_dir):
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question"))
 
 
-_SW = ", ".join("'" + w.replace("'", "''") + "'" for w in spark_english_stop_words())
+_SW = ", ".join("'" + w.replace("'", "''") + "'" for w in C.STOP_WORDS)
 
 
 def _stem_sql(x: str) -> str:
