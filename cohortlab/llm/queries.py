@@ -5,16 +5,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import near_dedup
+from cohortlab.llm import decontaminate, near_dedup
 from cohortlab.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and items of every document against the whole benchmark."""
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.drop("items")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Builder] = {f.__name__: f for f in (op4_near_dedup,)}
+QUERIES: dict[str, Builder] = {f.__name__: f for f in (op3_decontaminate, op4_near_dedup)}
 ORACLES: dict[str, str] = {}
