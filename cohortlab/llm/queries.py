@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlab.llm import decontaminate, near_dedup
+from cohortlab.llm import decontaminate, near_dedup, recompress
 from cohortlab.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -22,5 +23,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Builder] = {f.__name__: f for f in (op3_decontaminate, op4_near_dedup)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document without the windows that a smaller doc_id holds."""
+    out = recompress.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Builder] = {f.__name__: f for f in (op3_decontaminate, op4_near_dedup, op9_substring_dedup)}
 ORACLES: dict[str, str] = {}
