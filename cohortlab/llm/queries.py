@@ -6,12 +6,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontaminate, near_dedup, recompress
-from cohortlab.llm.common import table
+from cohortlab.llm import decontaminate, language, near_dedup, recompress
+from cohortlab.llm.common import held_out, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned outside the held-out fold."""
+    out = language.identify(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document against the whole benchmark."""
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -29,5 +35,5 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Builder] = {f.__name__: f for f in (op3_decontaminate, op4_near_dedup, op9_substring_dedup)}
+QUERIES: dict[str, Builder] = {f.__name__: f for f in (op1_language_id, op3_decontaminate, op4_near_dedup, op9_substring_dedup)}
 ORACLES: dict[str, str] = {}

@@ -120,12 +120,12 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole, offsets
 
 
-def cuts(offsets: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes, one row at least."""
+def cuts(offsets: np.ndarray, most: int = PIECE_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes and ``rows`` rows, one row at least."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), i + rows, n)
         yield i, j
         i = j
 
