@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontaminate, language, near_dedup, quality_model, recompress
+from cohortlab.llm import decontaminate, language, near_dedup, quality_model, recompress, secrets
 from cohortlab.llm.common import held_out, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -35,11 +35,19 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credential spans of every document."""
+    out = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    n = {f"n_{k}": F.size(secrets.base_of(F.col("spans"), k)).cast("long") for k in ("assign", "access", "hex")}
+    return out.select("doc_id", *[c.alias(k) for k, c in n.items()], F.sha2(secrets.joined_spans(secrets.base_of(F.col("spans"))), 256).alias("base_sha256"),
+                      secrets.joined_spans(F.col("spans")).alias("spans"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document without the windows that a smaller doc_id holds."""
     out = recompress.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Builder] = {f.__name__: f for f in (op1_language_id, op3_decontaminate, op4_near_dedup, op6_quality_model, op9_substring_dedup)}
+QUERIES: dict[str, Builder] = {f.__name__: f for f in (op1_language_id, op3_decontaminate, op4_near_dedup, op6_quality_model, op8_secret_scan, op9_substring_dedup)}
 ORACLES: dict[str, str] = {}
