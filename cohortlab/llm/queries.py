@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontaminate, language, near_dedup, quality_model, recompress, secrets
+from cohortlab.llm import decontaminate, language, mixing, near_dedup, quality_model, recompress, secrets
 from cohortlab.llm.common import held_out, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labels outside the held-out fold."""
     out = quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -49,5 +54,5 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Builder] = {f.__name__: f for f in (op1_language_id, op3_decontaminate, op4_near_dedup, op6_quality_model, op8_secret_scan, op9_substring_dedup)}
+QUERIES: dict[str, Builder] = {f.__name__: f for f in (op1_language_id, op3_decontaminate, op4_near_dedup, op5_mix_sources, op6_quality_model, op8_secret_scan, op9_substring_dedup)}
 ORACLES: dict[str, str] = {}
