@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontaminate, language, mixing, near_dedup, quality_model, recompress, secrets
+from cohortlab.llm import decontaminate, language, mixing, near_dedup, oracles, quality_model, quality_rules, recompress, secrets
 from cohortlab.llm.common import held_out, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -54,5 +54,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Builder] = {f.__name__: f for f in (op1_language_id, op3_decontaminate, op4_near_dedup, op5_mix_sources, op6_quality_model, op8_secret_scan, op9_substring_dedup)}
-ORACLES: dict[str, str] = {}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Builder] = {f.__name__: f for f in (op1_language_id, op3_decontaminate, op4_near_dedup, op5_mix_sources, op6_quality_model, op8_secret_scan, op9_substring_dedup, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op10_quality_rules": oracles.quality_rules_sql()}
