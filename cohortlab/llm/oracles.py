@@ -27,12 +27,12 @@ def quality_rules_sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS words,
-      list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '{_WORD}')) AS lines FROM d),
+      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM d),
 g AS (SELECT doc_id, i, array_to_string(words[i:i + {q.NGRAM - 1}], ' ') AS gram
       FROM (SELECT doc_id, words, unnest(range(1, len(words) - {q.NGRAM - 2})) AS i FROM w WHERE len(words) >= {q.NGRAM})),
 r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
 v AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {q.NGRAM})) AS p FROM r) GROUP BY doc_id),
-c AS (SELECT w.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS BIGINT) AS word_chars,
+c AS (SELECT w.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
       CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
       CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(v.n, 0) AS BIGINT) AS n_repeat_words,
       CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper FROM w LEFT JOIN v ON v.doc_id = w.doc_id),
