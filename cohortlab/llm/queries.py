@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontaminate, language, mixing, near_dedup, oracles, quality_model, quality_rules, recompress, secrets
+from cohortlab.llm import decontaminate, html_text, language, mixing, near_dedup, oracles, quality_model, quality_rules, recompress, secrets, warc
 from cohortlab.llm.common import held_out, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document against the whole benchmark."""
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -40,6 +45,11 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page's response record."""
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")), "page_id")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credential spans of every document."""
     out = secrets.find_secrets(table(spark, sf_dir, "documents"))
@@ -59,5 +69,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Builder] = {f.__name__: f for f in (op1_language_id, op3_decontaminate, op4_near_dedup, op5_mix_sources, op6_quality_model, op8_secret_scan, op9_substring_dedup, op10_quality_rules)}
+QUERIES: dict[str, Builder] = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_decontaminate, op4_near_dedup, op5_mix_sources, op6_quality_model, op7_warc_derivatives, op8_secret_scan, op9_substring_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op10_quality_rules": oracles.quality_rules_sql()}
