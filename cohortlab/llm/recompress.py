@@ -8,7 +8,11 @@ symbols merge depends on those two alone, so an occurrence of a symbol is settle
 its words plus the neighbouring symbols' contexts. Wherever the same words cover that context, the same
 symbol appears.
 
-Each window of ``WINDOW`` words picks one symbol whose context lies inside it: of the highest round that
+The starts of the symbols of round ``BLOCK_ROUNDS`` cut a text into blocks (about 24 words). A block, with the words
+that its last windows need, that a smaller document also has settles all its windows at once; the rest goes on.
+A window's first occurrence in the corpus never lies in such a block, so nothing is lost.
+
+Each remaining window of ``WINDOW`` words picks one symbol whose context lies inside it: of the highest round that
 has one, the symbol with the smallest hash; a window without one (inside a run) stands for itself. Equal
 windows pick the same symbol at the same place. Spark then counts in how many documents each picked symbol
 (named with its whole context) occurs; windows with an unshared symbol can't repeat. The windows of
@@ -20,6 +24,8 @@ comparison and keep one output row per input row; other columns are ignored.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,12 +34,12 @@ from pyspark.sql import functions as F
 from cohortlab.llm.common import discard, map_arrow, release, stored
 from cohortlab.llm.words import GRAM, Piece, Roll, SPACED, U, WORD, covered, mix, pieces, same_row
 
-WINDOW, ROUNDS = 13, 2
+WINDOW, ROUNDS, BLOCK_ROUNDS = 13, 2, 11
 WORD2, GRAM2 = Roll(31), Roll(47)
 
 
 def symbols(names: np.ndarray, row: np.ndarray, rounds: int):
-    """Symbols of every round: yields (names, context starts, context ends), in words, as arrays.
+    """Symbols of every round: yields (names, starts, context starts, context ends), in words, as arrays.
 
     Contexts reach one place beyond the text's end (or before it) for symbols whose neighbour is missing.
     """
@@ -60,7 +66,7 @@ def symbols(names: np.ndarray, row: np.ndarray, rounds: int):
         name = np.where(head == tail, name[head], mix(fresh ^ salt))
         end, start, text = end[tail], start[head], text[head]
         lo, hi = new_lo, new_hi
-        yield name, lo, hi
+        yield name, start, lo, hi
 
 
 def range_least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -80,6 +86,44 @@ def range_least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         level *= 2
 
 
+@dataclass
+class Blocks:
+    """Blocks that start windows: first word, end of their window starts, end of their words."""
+
+    start: np.ndarray
+    stop: np.ndarray
+    end: np.ndarray
+
+
+def blocks_of(p: Piece, h: np.ndarray) -> Blocks:
+    none = np.empty(0, dtype=np.int64)
+    start = none
+    for _, start, _, _ in symbols(h, p.row, BLOCK_ROUNDS):
+        pass
+    if not len(start):
+        return Blocks(none, none, none)
+    text_end = p.begin[p.row[start] + 1]
+    stop = np.minimum(np.r_[start[1:], len(h)], text_end - WINDOW + 1)
+    ok = stop > start
+    return Blocks(start[ok], stop[ok], stop[ok] + WINDOW - 1)
+
+
+def settled(p: Piece, b: Blocks, places: pa.Array) -> np.ndarray:
+    """Which blocks start at the listed places of their texts (a list of places for each row of the piece)."""
+    row = np.repeat(np.arange(p.rows), np.diff(places.offsets.to_numpy()))
+    return np.isin(b.start, p.begin[row] + places.flatten().to_numpy())
+
+
+def open_windows(p: Piece, h: np.ndarray, places: pa.Array) -> np.ndarray:
+    """Which words start a window outside the settled blocks."""
+    b = blocks_of(p, h)
+    done = settled(p, b, places)
+    out = np.zeros(len(h) + 1, dtype=np.int64)
+    np.add.at(out, b.start[~done], 1)
+    np.add.at(out, b.stop[~done], -1)
+    return np.cumsum(out[:-1]) > 0
+
+
 def picked(p: Piece, h: np.ndarray, k: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all windows of k words, and the name of the symbol (with its context) that each picks."""
     start = np.flatnonzero(same_row(p.row, k))
@@ -87,7 +131,7 @@ def picked(p: Piece, h: np.ndarray, k: int = WINDOW, rounds: int = ROUNDS) -> tu
         return start, np.empty(0, dtype=U)
     out = mix(GRAM.windows(h, k) ^ U(k))[start]
     open_ = np.ones(len(start), dtype=bool)
-    for name, lo, hi in reversed(list(symbols(h, p.row, rounds))):
+    for name, _, lo, hi in reversed(list(symbols(h, p.row, rounds))):
         first = np.searchsorted(lo, start[open_], side="left")
         last = np.searchsorted(hi, start[open_] + k, side="right")
         has = last > first
@@ -104,34 +148,64 @@ def window_names(p: Piece, h: np.ndarray, start: np.ndarray, k: int = WINDOW) ->
     return GRAM.windows(h, k)[start], GRAM2.windows(h2, k)[start]
 
 
-def picked_symbols(docs: DataFrame) -> DataFrame:
-    """Distinct (doc_id, symbol) that some window of the document picks."""
+def first_blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, settled: places of the blocks that a smaller document also has (documents without any are left out)."""
 
     def run(batch: pa.RecordBatch):
         for p in pieces(batch.column(1)):
-            start, name = picked(p, p.hashes())
-            row = p.row[start]
-            fresh = np.ones(len(name), dtype=bool)
-            fresh[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1])
-            row, name = row[fresh], name[fresh]
-            order = np.lexsort((name, row))
-            row, name = row[order], name[order]
-            fresh = np.ones(len(name), dtype=bool)
-            fresh[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1])
-            row, name = row[fresh], name[fresh]
+            h = p.hashes()
+            b, h2 = blocks_of(p, h), p.hashes(WORD2)
+            b1, b2 = GRAM.slices(h, b.start, b.end), GRAM2.slices(h2, b.start, b.end)
+            yield pa.record_batch([batch.column(0).take(pa.array(p.first + p.row[b.start])), pa.array((b.start - p.begin[p.row[b.start]]).astype(np.int32)),
+                                   pa.array(b1.view(np.int64)), pa.array(b2.view(np.int64))], ["doc_id", "place", "b1", "b2"])
+
+    blocks = stored(map_arrow(docs, run, "doc_id long, place int, b1 long, b2 long"), "blocks")
+    least = blocks.groupBy("b1", "b2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    again = blocks.join(least, ["b1", "b2"]).where("least < doc_id")
+    out = stored(again.groupBy("doc_id").agg(F.collect_list("place").alias("settled")), "settled")
+    discard(blocks)
+    return out
+
+
+def _with(docs: DataFrame, *sides: DataFrame) -> DataFrame:
+    """docs with the sides' list columns, empty where a side lacks the document."""
+    lists_ = sides[0]
+    for side in sides[1:]:
+        lists_ = lists_.join(side, "doc_id", "full")
+    names = [(c, t) for c, t in lists_.dtypes if c != "doc_id"]
+    return docs.join(lists_, "doc_id", "left").select("doc_id", "text", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in names])
+
+
+def picked_symbols(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """Distinct (doc_id, symbol) that some open window of the document picks."""
+
+    def run(batch: pa.RecordBatch):
+        for p in pieces(batch.column(1)):
+            h = p.hashes()
+            start, name = picked(p, h)
+            some = open_windows(p, h, batch.column(2).slice(p.first, p.rows))[start]
+            row, name = p.row[start[some]], name[some]
+            for _ in range(2):  # neighbours first, then all
+                fresh = np.ones(len(name), dtype=bool)
+                fresh[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1])
+                row, name = row[fresh], name[fresh]
+                order = np.lexsort((name, row))
+                row, name = row[order], name[order]
             yield pa.record_batch([batch.column(0).take(pa.array(p.first + row)), pa.array(name.view(np.int64))], ["doc_id", "symbol"])
 
-    return map_arrow(docs, run, "doc_id long, symbol long")
+    return map_arrow(_with(docs, first), run, "doc_id long, symbol long")
 
 
-def _candidate_windows(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """Windows whose picked symbol is shared: doc_id, place, w1, w2."""
+def _candidate_windows(docs: DataFrame, first: DataFrame, shared: DataFrame) -> DataFrame:
+    """Open windows whose picked symbol is shared: doc_id, place, w1, w2."""
 
     def run(batch: pa.RecordBatch):
         for p in pieces(batch.column(1)):
             h = p.hashes()
             start, name = picked(p, h)
-            mine = batch.column(2).slice(p.first, p.rows)
+            some = open_windows(p, h, batch.column(2).slice(p.first, p.rows))[start]
+            start, name = start[some], name[some]
+            mine = batch.column(3).slice(p.first, p.rows)
             row = np.repeat(np.arange(p.rows), np.diff(mine.offsets.to_numpy())).astype(U)
             # (row, symbol) pairs as one sorted key
             known = np.sort(mix(mine.flatten().to_numpy().view(U) ^ mix(row + U(1))))
@@ -142,22 +216,29 @@ def _candidate_windows(docs: DataFrame, shared: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0).take(pa.array(p.first + p.row[start])), pa.array((start - p.begin[p.row[start]]).astype(np.int32)),
                                    pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], ["doc_id", "place", "w1", "w2"])
 
-    return map_arrow(docs.join(shared, "doc_id"), run, "doc_id long, place int, w1 long, w2 long")
+    told = shared.join(first, "doc_id", "left").select("doc_id", F.coalesce("settled", F.array().cast("array<int>")).alias("settled"), "symbols")
+    return map_arrow(docs.join(told, "doc_id").select("doc_id", "text", "settled", "symbols"), run, "doc_id long, place int, w1 long, w2 long")
 
 
-def _kept(docs: DataFrame, repeats: DataFrame) -> DataFrame:
+def _kept(docs: DataFrame, first: DataFrame, repeats: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch):
         for p in pieces(batch.column(1)):
-            mine = batch.column(2).slice(p.first, p.rows)
-            per = np.diff(mine.offsets.to_numpy())
-            row = np.repeat(np.arange(p.rows), per)
-            gone = covered(p.begin[row] + mine.flatten().to_numpy(), WINDOW, len(p.starts))
+            places, done = batch.column(3).slice(p.first, p.rows), batch.column(2).slice(p.first, p.rows)
+            row = np.repeat(np.arange(p.rows), np.diff(places.offsets.to_numpy()))
+            gone = covered(p.begin[row] + places.flatten().to_numpy(), WINDOW, len(p.starts))
+            if len(done.flatten()):
+                b = blocks_of(p, p.hashes())
+                here = settled(p, b, done)
+                step = np.zeros(len(gone) + 1, dtype=np.int64)
+                np.add.at(step, b.start[here], 1)
+                np.add.at(step, b.end[here], -1)
+                gone |= np.cumsum(step[:-1]) > 0
             removed = np.bincount(p.row[gone], minlength=p.rows) if len(p.row) else np.zeros(p.rows, dtype=np.int64)
             raw, texts = p.data.tobytes(), []
             for r in range(p.rows):
-                a, b = int(p.begin[r]), int(p.begin[r + 1])
+                a, b_ = int(p.begin[r]), int(p.begin[r + 1])
                 if removed[r]:
-                    stay = a + np.flatnonzero(~gone[a:b])
+                    stay = a + np.flatnonzero(~gone[a:b_])
                     texts.append(b" ".join([raw[s:e] for s, e in zip(p.starts[stay].tolist(), p.ends[stay].tolist())]))
                 else:
                     texts.append(b" ".join(raw[p.offsets[r] : p.offsets[r + 1]].split()))
@@ -165,25 +246,26 @@ def _kept(docs: DataFrame, repeats: DataFrame) -> DataFrame:
                 [batch.column(0).slice(p.first, p.rows), pa.array(p.count.astype(np.int64)), pa.array(removed.astype(np.int64)),
                  pa.array(texts, type=pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    none = F.array().cast("array<int>")
-    joined = docs.join(repeats, "doc_id", "left").select("doc_id", "text", F.coalesce("places", none).alias("places"))
-    return map_arrow(joined, run, "doc_id long, n_words long, n_removed long, kept_text string")
+    return map_arrow(_with(docs, first, repeats), run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    drawn = stored(picked_symbols(docs), "symbols")
+    first = first_blocks(docs)
+    release(spark)
+    drawn = stored(picked_symbols(docs, first), "symbols")
+    release(spark)
     twice = drawn.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol")
     shared = stored(drawn.join(twice, "symbol").groupBy("doc_id").agg(F.collect_set("symbol").alias("symbols")), "shared")
     discard(drawn)
     release(spark)
-    windows = stored(_candidate_windows(docs, shared), "windows")
+    windows = stored(_candidate_windows(docs, first, shared), "windows")
     discard(shared)
     release(spark)
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     repeats = stored(windows.join(least, ["w1", "w2"]).where("least < doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places")), "repeats")
     discard(windows)
     release(spark)
-    return _kept(docs, repeats)
+    return _kept(docs, first, repeats)
