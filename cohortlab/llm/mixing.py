@@ -165,11 +165,12 @@ def mixed_documents(docs: DataFrame, **knobs: int) -> DataFrame:
     """The mix itself: one row per copy with shard, slot (order within the shard), copy, words, and the document's columns.
 
     ``words`` is below the document's size where a source's last walk ends inside it; the text stays whole.
-    Rows of documents that share an id must be equal.
+    Of rows that share a doc_id each is drawn for itself; they must be equal.
     """
     placed, copies = mixture(docs, **knobs)
     named = copies.join(placed.select("place", "at", "doc_id", "size").where("size > 0").drop("size"), ["place", "at"])
     order = Window.partitionBy("shard").orderBy("key", "place", "at", "copy")
     plan = named.withColumn("slot", F.row_number().over(order) - 1).select(F.col("doc_id").alias("_id"), "shard", "slot", "copy", "words")
+    docs = docs.dropDuplicates(["doc_id"])  # the join below uses the same partitioning
     own = [docs[c] for c in docs.columns if c not in ("shard", "slot", "copy", "words")]
-    return docs.join(plan, docs["doc_id"] == plan["_id"]).select("shard", "slot", plan["copy"], plan["words"], *own)
+    return docs.join(plan, docs["doc_id"] == plan["_id"]).select(plan["shard"], plan["slot"], plan["copy"], plan["words"], *own)

@@ -283,18 +283,20 @@ def base_of(spans: Column, kind: str | None = None) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with the spans of each text replaced by ``mark``; overlapping spans become one mark.
+    """``docs`` with the spans of each text replaced by ``mark``; overlapping or touching spans become one mark.
 
-    Rows are joined by doc_id; texts that share an id must be equal.
+    Rows are joined by doc_id; texts that share an id must be equal. A column ``n_chars`` follows the text.
     """
     hit = find_secrets(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), "spans")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
-    piece = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    walked = F.aggregate("spans", start, lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when((s["start"] < acc["at"]) & (acc["at"] > 0), acc["text"]).otherwise(F.concat(acc["text"], piece(acc["at"], s["start"]), F.lit(mark))).alias("text")))
-    clean = F.concat(walked["text"], piece(walked["at"], F.length("text").cast("long")))
     out = docs.join(hit, docs["doc_id"].cast("long") == hit["_id"], "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean)
-    new = {"text": text} | ({"n_chars": F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(clean)).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    text, spans = docs["text"], hit["spans"]
+    piece = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    start = F.struct(F.lit(-1).cast("long").alias("at"), F.lit("").alias("text"))
+    walked = F.aggregate(spans, start, lambda acc, s: F.struct(
+        F.greatest(acc["at"], s["end"]).alias("at"),
+        F.when(s["start"] <= acc["at"], acc["text"]).otherwise(F.concat(acc["text"], piece(F.greatest(acc["at"], F.lit(0)), s["start"]), F.lit(mark))).alias("text")))
+    clean = F.concat(walked["text"], piece(walked["at"], F.length(text).cast("long")))
+    new = {"text": F.when(spans.isNull(), text).otherwise(clean)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(spans.isNull(), docs["n_chars"]).otherwise(F.length(clean)).cast(dict(docs.dtypes)["n_chars"])
     return out.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
