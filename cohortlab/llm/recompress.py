@@ -108,20 +108,14 @@ def blocks_of(p: Piece, h: np.ndarray) -> Blocks:
     return Blocks(start[ok], stop[ok], stop[ok] + WINDOW - 1)
 
 
-def settled(p: Piece, b: Blocks, places: pa.Array) -> np.ndarray:
-    """Which blocks start at the listed places of their texts (a list of places for each row of the piece)."""
-    row = np.repeat(np.arange(p.rows), np.diff(places.offsets.to_numpy()))
-    return np.isin(b.start, p.begin[row] + places.flatten().to_numpy())
-
-
-def open_windows(p: Piece, h: np.ndarray, places: pa.Array) -> np.ndarray:
-    """Which words start a window outside the settled blocks."""
-    b = blocks_of(p, h)
-    done = settled(p, b, places)
-    out = np.zeros(len(h) + 1, dtype=np.int64)
-    np.add.at(out, b.start[~done], 1)
-    np.add.at(out, b.stop[~done], -1)
-    return np.cumsum(out[:-1]) > 0
+def spans_mask(p: Piece, spans: pa.Array, beyond: int = 0) -> np.ndarray:
+    """Which words lie in the listed (place, stop) ranges of their texts, made ``beyond`` words longer."""
+    row = np.repeat(np.arange(p.rows), np.diff(spans.offsets.to_numpy()))
+    flat = spans.flatten()
+    step = np.zeros(len(p.starts) + 1, dtype=np.int64)
+    np.add.at(step, p.begin[row] + flat.field(0).to_numpy(), 1)
+    np.add.at(step, p.begin[row] + flat.field(1).to_numpy() + beyond, -1)
+    return np.cumsum(step[:-1]) > 0
 
 
 def picked(p: Piece, h: np.ndarray, k: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +143,10 @@ def window_names(p: Piece, h: np.ndarray, start: np.ndarray, k: int = WINDOW) ->
 
 
 def first_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, settled: places of the blocks that a smaller document also has (documents without any are left out)."""
+    """doc_id, settled: (place, stop) of the window starts of blocks that a smaller document also has.
+
+    Documents without any are left out.
+    """
 
     def run(batch: pa.RecordBatch):
         for p in pieces(batch.column(1)):
@@ -157,16 +154,21 @@ def first_blocks(docs: DataFrame) -> DataFrame:
             b, h2 = blocks_of(p, h), p.hashes(WORD2)
             b1, b2 = GRAM.slices(h, b.start, b.end), GRAM2.slices(h2, b.start, b.end)
             yield pa.record_batch([batch.column(0).take(pa.array(p.first + p.row[b.start])), pa.array((b.start - p.begin[p.row[b.start]]).astype(np.int32)),
-                                   pa.array(b1.view(np.int64)), pa.array(b2.view(np.int64))], ["doc_id", "place", "b1", "b2"])
+                                   pa.array((b.stop - p.begin[p.row[b.start]]).astype(np.int32)), pa.array(b1.view(np.int64)), pa.array(b2.view(np.int64))], ["doc_id", "place", "stop", "b1", "b2"])
 
-    blocks = stored(map_arrow(docs, run, "doc_id long, place int, b1 long, b2 long"), "blocks")
-    least = blocks.groupBy("b1", "b2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    blocks = stored(map_arrow(docs, run, "doc_id long, place int, stop int, b1 long, b2 long"), "blocks")
+    least = _least(blocks, "b1", "b2")
     again = blocks.join(least, ["b1", "b2"]).where("least < doc_id")
-    out = stored(again.groupBy("doc_id").agg(F.collect_list("place").alias("settled")), "settled")
-    discard(blocks)
+    out = stored(again.groupBy("doc_id").agg(F.collect_list(F.struct("place", "stop")).alias("settled")), "settled")
+    discard(blocks, least)
     return out
 
 
+def _least(rows: DataFrame, *key: str) -> DataFrame:
+    """The smallest document of each key that two have; stored, so that a join with it can split hot keys."""
+    return stored(rows.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "least")
+
+
 def _with(docs: DataFrame, *sides: DataFrame) -> DataFrame:
     """docs with the sides' list columns, empty where a side lacks the document."""
     lists_ = sides[0]
@@ -183,7 +185,7 @@ def picked_symbols(docs: DataFrame, first: DataFrame) -> DataFrame:
         for p in pieces(batch.column(1)):
             h = p.hashes()
             start, name = picked(p, h)
-            some = open_windows(p, h, batch.column(2).slice(p.first, p.rows))[start]
+            some = ~spans_mask(p, batch.column(2).slice(p.first, p.rows))[start]
             row, name = p.row[start[some]], name[some]
             for _ in range(2):  # neighbours first, then all
                 fresh = np.ones(len(name), dtype=bool)
@@ -203,7 +205,7 @@ def _candidate_windows(docs: DataFrame, first: DataFrame, shared: DataFrame) ->
         for p in pieces(batch.column(1)):
             h = p.hashes()
             start, name = picked(p, h)
-            some = open_windows(p, h, batch.column(2).slice(p.first, p.rows))[start]
+            some = ~spans_mask(p, batch.column(2).slice(p.first, p.rows))[start]
             start, name = start[some], name[some]
             mine = batch.column(3).slice(p.first, p.rows)
             row = np.repeat(np.arange(p.rows), np.diff(mine.offsets.to_numpy())).astype(U)
@@ -216,7 +218,7 @@ def _candidate_windows(docs: DataFrame, first: DataFrame, shared: DataFrame) ->
             yield pa.record_batch([batch.column(0).take(pa.array(p.first + p.row[start])), pa.array((start - p.begin[p.row[start]]).astype(np.int32)),
                                    pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], ["doc_id", "place", "w1", "w2"])
 
-    told = shared.join(first, "doc_id", "left").select("doc_id", F.coalesce("settled", F.array().cast("array<int>")).alias("settled"), "symbols")
+    told = shared.join(first, "doc_id", "left").select("doc_id", F.coalesce("settled", F.array().cast(first.schema["settled"].dataType)).alias("settled"), "symbols")
     return map_arrow(docs.join(told, "doc_id").select("doc_id", "text", "settled", "symbols"), run, "doc_id long, place int, w1 long, w2 long")
 
 
@@ -226,13 +228,7 @@ def _kept(docs: DataFrame, first: DataFrame, repeats: DataFrame) -> DataFrame:
             places, done = batch.column(3).slice(p.first, p.rows), batch.column(2).slice(p.first, p.rows)
             row = np.repeat(np.arange(p.rows), np.diff(places.offsets.to_numpy()))
             gone = covered(p.begin[row] + places.flatten().to_numpy(), WINDOW, len(p.starts))
-            if len(done.flatten()):
-                b = blocks_of(p, p.hashes())
-                here = settled(p, b, done)
-                step = np.zeros(len(gone) + 1, dtype=np.int64)
-                np.add.at(step, b.start[here], 1)
-                np.add.at(step, b.end[here], -1)
-                gone |= np.cumsum(step[:-1]) > 0
+            gone |= spans_mask(p, done, WINDOW - 1)
             removed = np.bincount(p.row[gone], minlength=p.rows) if len(p.row) else np.zeros(p.rows, dtype=np.int64)
             raw, texts = p.data.tobytes(), []
             for r in range(p.rows):
@@ -257,15 +253,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     release(spark)
     drawn = stored(picked_symbols(docs, first), "symbols")
     release(spark)
-    twice = drawn.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol")
+    twice = stored(drawn.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol"), "twice")
     shared = stored(drawn.join(twice, "symbol").groupBy("doc_id").agg(F.collect_set("symbol").alias("symbols")), "shared")
-    discard(drawn)
+    discard(drawn, twice)
     release(spark)
     windows = stored(_candidate_windows(docs, first, shared), "windows")
     discard(shared)
     release(spark)
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    least = _least(windows, "w1", "w2")
     repeats = stored(windows.join(least, ["w1", "w2"]).where("least < doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places")), "repeats")
-    discard(windows)
+    discard(windows, least)
     release(spark)
     return _kept(docs, first, repeats)
