@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.llm.common import lists, map_arrow, stored
-from cohortlab.llm.words import ALNUM, GRAM, Piece, Roll, U, WORD, covered, mix, pieces, same_row
+from cohortlab.llm.words import ALNUM, GRAM, Piece, Roll, U, WORD, mix, pieces, same_row
 
 WINDOW, K = 10, 4
 #: Bits of the bitmap (a multiple of 32768, the bits of one bitmap bucket).
@@ -168,7 +168,8 @@ def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
     drawn = stored(_counted_and_hit(docs, sorted(spans), _bitmap(fps)), "drawn")
     hits = drawn.where(F.size("hits") > 0).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.span", "h.place", "h.fp")
     hits = hits.join(fps, ["span", "fp"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("span", "place")).alias("spots"))
-    found = _extended(docs, hits).join(windows.select("span", "w1", "w2").distinct(), ["span", "w1", "w2"])
+    known = stored(windows.select("span", "w1", "w2").distinct(), "known")  # stored: the join can split hot keys
+    found = _extended(docs, hits).join(known, ["span", "w1", "w2"])
     found = stored(found, "found")
     words = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("place", "span"))).alias("at"))
     end = F.aggregate("at", F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")), lambda s, x: F.struct(
