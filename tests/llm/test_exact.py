@@ -115,3 +115,17 @@ def test_registered_queries_have_the_contracts_columns(spark, sf):
     assert len(names) == 10
     for op, columns in want.items():
         assert set(columns.split()) <= set(queries.QUERIES[names[op]](spark, sf).columns), op
+
+
+def test_oracle_sql_matches(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    assert set(queries.ORACLES) <= set(queries.QUERIES)
+    for name, sql in queries.ORACLES.items():
+        result = con.execute(sql)
+        columns = [d[0] for d in result.description]
+        df = queries.QUERIES[name](spark, sf)
+        assert sorted(df.columns) == sorted(columns)
+        assert sorted(map(repr, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(repr, result.fetchall()))
