@@ -151,3 +151,20 @@ us very via was we well were what whatever when whence whenever where whereafter
 whereupon wherever whether which while whither who whoever whole whom whose why will with within without would
 yet you your yours yourself yourselves
 """.split())
+
+# The texts of a rendered facts answer.
+FACTS_HEADER = "## What the model says"
+FACTS_PROBABILITY = "- Calibrated probability of a positive outcome (acquired/IPO): **"
+FACTS_BAND = "** (90% confidence band: "
+FACTS_RAW = "- Raw model score (pre-calibration, log-odds space on the uncalibrated model): **"
+FACTS_RAW_NOTE = "** - the contributions below decompose this number, not the calibrated one above."
+FACTS_PERCENTILE = "- Percentile vs. the training cohort: **"
+FACTS_TABLE_HEAD = ["| Feature | Value | SHAP | Direction |", "|---|---|---|---|"]
+FACTS_FOREGROUND = "- You asked about `%s`: it %s the score (SHAP %+.3f, value = %s)."
+FACTS_COHORT = "- Matching cohort ("
+FACTS_COHORT_RATE = "): observed success rate **"
+FACTS_COHORT_END = "** in the training data."
+
+# Fixed value: the feature set of a request that names none.
+DEFAULT_FEATURE_SET = "clean"
+FEATURE_SETS = ("clean", "full")

@@ -2,11 +2,12 @@
 
 Isotonic calibration is Spark ML's IsotonicRegression (pool-adjacent-violators,
 linear interpolation, clamped at the ends); sigmoid calibration is a one-feature
-logistic regression. The bootstrap uses Poisson(1) replicate weights from a keyed
-hash (map-side, no row numbering), compresses each replicate to score cells, fits
-one PAV per replicate with ``applyInPandas`` (group size bounded by distinct
-scores), and scores requests with ``mapInPandas`` against the broadcast step
-functions (200 x cells values, a model-sized table).
+logistic regression. The bootstrap first compresses the calibration rows to score cells (counts of
+both labels), draws Poisson replicate counts per cell from a keyed hash, and refits the model's own
+calibrator per replicate. Isotonic refits pool adjacent violators within fixed score ranges first and
+then across the ranges' pooled steps (pooling is associative), so no task holds all distinct scores of
+a replicate; a sigmoid refit (chosen below 1,000 rows only) is a weighted logistic fit of the cells. The
+result is one small step function or (slope, intercept) per replicate.
 """
 from __future__ import annotations
 
@@ -18,12 +19,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlab import constants as C
-from cohortlab.operators.prefix import fold_hash
 
 
 class Calibrator:
@@ -62,11 +62,13 @@ def fit_calibrator(cal: DataFrame, method: str, raw_col: str = "raw_score", labe
 
 # ------------------------------------------------------------------ bootstrap (U4)
 
-# fixed values: Poisson(1) cumulative probabilities P(X <= k), k = 0..9
+# Poisson(1) cumulative probabilities P(X <= k), k = 0..9
 _POISSON1_CDF = [math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(k + 1)) for k in range(10)]
+#: Ranges of [0, 1] whose cells are pooled first, and groups of replicates that share a task.
+RANGES, REPLICATE_GROUPS = 16, 8
 
 
-def poisson_weight(u) -> "F.Column":
+def poisson_weight(u: Column) -> Column:
     """Inverse CDF of Poisson(1) for a uniform u in [0, 1)."""
     expr = F.when(u < _POISSON1_CDF[0], F.lit(0))
     for k in range(1, len(_POISSON1_CDF)):
@@ -74,63 +76,97 @@ def poisson_weight(u) -> "F.Column":
     return expr.otherwise(F.lit(len(_POISSON1_CDF)))
 
 
-MAX_SCORE_CELLS = 10_000
-
-
-def bootstrap_cells(cal: DataFrame, key: str, n_bootstrap: int = C.N_BOOTSTRAP, seed: int = 42,
-                    raw_col: str = "raw_score", label_col: str = "label",
-                    max_cells: int = MAX_SCORE_CELLS) -> DataFrame:
-    """(replicate, score, w, wpos): Poisson-weighted score cells per replicate, combined map-side.
-
-    When the calibration scores have more than ``max_cells`` distinct values they are
-    pre-binned to a 1/max_cells grid, which bounds every replicate's PAV group and the
-    broadcast curve table.
-    """
-    n_distinct = cal.select(raw_col).distinct().count()
-    score = F.col(raw_col).cast("double")
-    if n_distinct > max_cells:
-        score = F.round(score * F.lit(float(max_cells))) / F.lit(float(max_cells))
-    rep = cal.select(F.col(key).alias("_k"), score.alias("score"),
-                     F.col(label_col).cast("double").alias("y"),
-                     F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("replicate"))
-    u = fold_hash(F.col("_k") * F.lit(1009) + F.col("replicate"), seed).cast("double") / F.lit(4294967296.0)
-    w = poisson_weight(u)
-    return (rep.withColumn("w", w).where(F.col("w") > 0)
-               .groupBy("replicate", "score")
-               .agg(F.sum("w").cast("double").alias("w"), F.sum(F.col("w") * F.col("y")).cast("double").alias("wpos")))
-
-
-def _pav(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Weighted pool-adjacent-violators on sorted distinct scores; returns the step points."""
-    pdf = pdf.sort_values("score")
-    x = pdf["score"].to_numpy()
-    w = pdf["w"].to_numpy().astype(float)
-    y = pdf["wpos"].to_numpy() / w
-    vals, wts, starts = [], [], []
-    for i in range(len(x)):
-        vals.append(y[i]); wts.append(w[i]); starts.append(i)
-        while len(vals) > 1 and vals[-2] > vals[-1]:
-            v2, w2 = vals.pop(), wts.pop(); starts.pop()
-            vals[-1] = (vals[-1] * wts[-1] + v2 * w2) / (wts[-1] + w2)
-            wts[-1] += w2
-    fitted = np.empty(len(x))
-    bounds = starts + [len(x)]
-    for b in range(len(vals)):
-        fitted[bounds[b]:bounds[b + 1]] = vals[b]
-    return pd.DataFrame({"replicate": pdf["replicate"].iloc[0], "x": x, "y": np.clip(fitted, 0.0, 1.0)})
-
-
-def bootstrap_curves(cells: DataFrame) -> DataFrame:
-    """One isotonic fit per replicate (grouped map; a group holds one replicate's distinct scores)."""
-    return cells.groupBy("replicate").applyInPandas(_pav, "replicate int, x double, y double")
+def poisson_draw(u: Column, n: Column) -> Column:
+    """Poisson(n) for a count n: the CASE above for 1, else an inverse transform over 9 standard deviations."""
+    lam = n.cast("double")
+    lo = F.greatest(F.lit(0.0), F.floor(lam - 9 * F.sqrt(lam) - 9).cast("double")).cast("long")
+    hi = F.ceil(lam + 9 * F.sqrt(lam) + 12).cast("long")
+    start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"))
+    total = F.aggregate(F.sequence(lo, hi), start, lambda s, x: F.struct((s["w"] * lam / (x + 1)).alias("w"), (s["sum"] + s["w"]).alias("sum")))["sum"]
+    seek = F.struct(F.lit(1.0).alias("w"), (u * total).alias("left"), lo.alias("x"))
+    found = F.aggregate(F.sequence(lo, hi), seek, lambda s, x: F.struct(
+        (s["w"] * lam / (x + 1)).alias("w"), (s["left"] - s["w"]).alias("left"),
+        F.when((s["left"] > s["w"]) & (x < hi), x + 1).otherwise(s["x"]).alias("x")))["x"]
+    return F.when(n == 0, F.lit(0)).when(n == 1, poisson_weight(u)).otherwise(found).cast("double")
+
+
+def score_cells(cal: DataFrame, raw_col: str = "raw_score", label_col: str = "label") -> DataFrame:
+    """(score, n0, n1): rows of either label per distinct score."""
+    y = F.col(label_col).cast("int")
+    return cal.groupBy(F.col(raw_col).cast("double").alias("score")).agg(
+        F.sum(F.when(y == 0, 1).otherwise(0)).alias("n0"), F.sum(F.when(y == 1, 1).otherwise(0)).alias("n1"))
+
+
+def bootstrap_cells(cal: DataFrame, n_bootstrap: int = C.N_BOOTSTRAP, seed: int = 42,
+                    raw_col: str = "raw_score", label_col: str = "label") -> DataFrame:
+    """(replicate, score, w, wpos): Poisson-resampled counts of every score cell and replicate."""
+    rep = score_cells(cal, raw_col, label_col).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))))
+    u = lambda label: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "score", "replicate", F.lit(label)), 11) / F.lit(float(1 << 53))
+    drawn = rep.withColumns({"_w0": poisson_draw(u(0), F.col("n0")), "wpos": poisson_draw(u(1), F.col("n1"))})
+    return drawn.select("replicate", "score", (F.col("_w0") + F.col("wpos")).alias("w"), "wpos").where("w > 0")
+
+
+def pool(lo: np.ndarray, hi: np.ndarray, w: np.ndarray, wpos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Weighted pool-adjacent-violators of ordered steps: (lo, hi, w, wpos) of the pooled steps."""
+    out: list[list[float]] = []
+    for step in zip(lo, hi, w, wpos):
+        out.append(list(step))
+        while len(out) > 1 and out[-2][3] * out[-1][2] >= out[-1][3] * out[-2][2]:
+            _, h, a, b = out.pop()
+            out[-1][1] = h
+            out[-1][2] += a
+            out[-1][3] += b
+    return tuple(np.array(c, dtype=float) for c in zip(*out)) if out else (np.empty(0),) * 4
+
+
+def _pool_replicates(pdf: pd.DataFrame) -> pd.DataFrame:
+    parts = []
+    for replicate, g in pdf.sort_values("lo").groupby("replicate"):
+        lo, hi, w, wpos = pool(*(g[c].to_numpy() for c in ("lo", "hi", "w", "wpos")))
+        parts.append(pd.DataFrame({"replicate": replicate, "lo": lo, "hi": hi, "w": w, "wpos": wpos}))
+    return pd.concat(parts)
+
+
+def sigmoid_fit(x: np.ndarray, w: np.ndarray, wpos: np.ndarray) -> tuple[float, float]:
+    """(slope, intercept) of the logistic fit with penalty slope**2 / 2 on the summed loss, by Newton steps."""
+    a, b = 0.0, math.log((wpos.sum() + 0.5) / (w.sum() - wpos.sum() + 0.5))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(a * x + b)))
+        r, v = w * p - wpos, w * p * (1 - p)
+        g = np.array([(r * x).sum() + a, r.sum()])
+        h = np.array([[(v * x * x).sum() + 1, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-12]])
+        step = np.linalg.solve(h, g)
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-10:
+            break
+    return float(a), float(b)
+
+
+def _fit_sigmoids(pdf: pd.DataFrame) -> pd.DataFrame:
+    rows = [(r, *sigmoid_fit(*(g[c].to_numpy() for c in ("score", "w", "wpos")))) for r, g in pdf.sort_values("score").groupby("replicate")]
+    return pd.DataFrame(rows, columns=["replicate", "x", "y"])
+
+
+def bootstrap_curves(cells: DataFrame, method: str = "isotonic") -> DataFrame:
+    """One refit per replicate: (replicate, x, y) are the ends of isotonic steps, or a sigmoid's slope and intercept."""
+    group = F.col("replicate") % REPLICATE_GROUPS
+    if method == "sigmoid":
+        return cells.groupBy(group).applyInPandas(_fit_sigmoids, "replicate int, x double, y double")
+    steps = "replicate int, lo double, hi double, w double, wpos double"
+    own = cells.select("replicate", F.col("score").alias("lo"), F.col("score").alias("hi"), "w", "wpos", F.floor(F.col("score") * RANGES).alias("_range"))
+    first = own.groupBy("_range", group).applyInPandas(lambda pdf: _pool_replicates(pdf), steps)
+    whole = first.groupBy(group).applyInPandas(lambda pdf: _pool_replicates(pdf), steps)
+    mean = F.col("wpos") / F.col("w")
+    ends = F.when(F.col("lo") < F.col("hi"), F.array("lo", "hi")).otherwise(F.array("lo"))
+    return whole.select("replicate", F.explode(ends).alias("x"), mean.alias("y"))
 
 
 def bootstrap_band(requests: DataFrame, curves: DataFrame, raw_col: str = "raw_score",
-                   confidence: float = C.BOOTSTRAP_CONFIDENCE) -> DataFrame:
+                   confidence: float = C.BOOTSTRAP_CONFIDENCE, method: str = "isotonic") -> DataFrame:
     """U4: 5 / 95 % quantiles over replicates of each request's calibrated raw score.
 
-    The curves table (replicates x distinct calibration scores) is collected once
-    as the broadcast model; requests stay distributed.
+    The curves are the model: per replicate the pooled steps (far fewer than distinct scores, as
+    pooled means rise strictly), or two numbers. They are read once; requests stay distributed.
     """
     spark = requests.sparkSession
     pdf = curves.toPandas().sort_values(["replicate", "x"])
@@ -140,10 +176,9 @@ def bootstrap_band(requests: DataFrame, curves: DataFrame, raw_col: str = "raw_s
     cols = requests.columns
 
     def run(it):
-        curves_local = bc.value
         for batch in it:
             r = batch[raw_col].to_numpy(dtype=float)
-            preds = np.vstack([np.interp(r, x, y) for x, y in curves_local])  # replicates x rows
+            preds = np.vstack([np.interp(r, x, y) if method == "isotonic" else 1 / (1 + np.exp(-(x[0] * r + y[0]))) for x, y in bc.value])
             batch = batch.copy()
             batch["band_lower"] = np.quantile(preds, alpha / 2, axis=0)
             batch["band_upper"] = np.quantile(preds, 1 - alpha / 2, axis=0)

@@ -3,14 +3,11 @@
 Linear models: exact SHAP for independent features, coef * (x - mean(x)) in the
 model's input space, summed over a categorical's one-hot slots.
 
-Boosted trees: exact path-dependent tree SHAP. For the reference's feature counts
-(at most 8 features) every Shapley value is computed by enumerating feature
-subsets: for each tree the conditional expectation E[f(x) | x_S] (follow the row
-where the split feature is in S, otherwise average the children by training
-cover) is evaluated for all 2^M subsets at once as a (rows x subsets) matrix, and
-the Shapley weights turn it into contributions with one matrix product. This runs
-in ``mapInPandas`` over request batches against the broadcast tree table
-(model-sized), so requests stay distributed.
+Boosted trees: exact path-dependent tree SHAP, leaf by leaf. A leaf of a depth-5 tree has at most
+five distinct features on its path, whatever the number of features of the model. For every pattern of
+path conditions that a row meets, the Shapley values of the leaf are precomputed on the driver
+(2^d x d numbers per leaf, model-sized); a request batch in ``mapInPandas`` only tests the conditions and
+looks its pattern up. Ranking by absolute value happens in the JVM.
 """
 from __future__ import annotations
 
@@ -21,6 +18,7 @@ import uuid
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,20 +26,6 @@ from cohortlab import constants as C
 from cohortlab.operators.modeling import FittedModel
 from cohortlab.session import ensure_checkpoint_dir
 
-CONTRIB_SCHEMA = "array<struct<feature:string,value:string,shap_value:double,direction:string>>"
-
-
-def _top_n(contribs: np.ndarray, names: list[str], raw: pd.DataFrame, top_n: int) -> list:
-    out = []
-    for i in range(contribs.shape[0]):
-        row = contribs[i]
-        order = sorted(range(len(names)), key=lambda j: -abs(row[j]))[:top_n]
-        out.append([{"feature": names[j], "value": None if pd.isna(raw.iloc[i][names[j]]) else str(raw.iloc[i][names[j]]),
-                     "shap_value": float(row[j]), "direction": "increases" if row[j] > 0 else "decreases"}
-                    for j in order])
-    return out
-
-
 # ------------------------------------------------------------------ trees
 
 def tree_table(model: FittedModel) -> pd.DataFrame:
@@ -64,81 +48,103 @@ def tree_table(model: FittedModel) -> pd.DataFrame:
     return nodes
 
 
-def _tree_arrays(nodes: pd.DataFrame):
-    trees = []
-    for tid, g in nodes.groupby("treeID"):
+def _leaf_table(weight: float, tree: dict) -> list[tuple]:
+    """For each leaf: its features, their (low, high] intervals, Shapley values by pattern of met intervals, and base value.
+
+    The conditional expectation of a leaf given the features in S is its value times, per path feature,
+    whether the row meets the feature's interval (in S) or the share of training cover that does (not in S).
+    """
+    out, todo = [], [(0, {})]
+    while todo:
+        nid, path = todo.pop()
+        node = tree[nid]
+        if node["left"] >= 0:
+            f, cut, cover = int(node["feature"]), node["threshold"], tree[node["left"]]["cover"] + tree[node["right"]]["cover"]
+            lo, hi, share = path.get(f, (-math.inf, math.inf, 1.0))
+            todo.append((node["left"], path | {f: (lo, min(hi, cut), share * tree[node["left"]]["cover"] / cover)}))
+            todo.append((node["right"], path | {f: (max(lo, cut), hi, share * tree[node["right"]]["cover"] / cover)}))
+            continue
+        value, feats = weight * node["prediction"], sorted(path)
+        d = len(feats)
+        share = [path[f][2] for f in feats]
+        phi = np.zeros((1 << d, d))
+        for pattern in range(1 << d):
+            met = [(pattern >> j) & 1 for j in range(d)]
+            for j in range(d):
+                others = [k for k in range(d) if k != j]
+                # poly[s]: sum over subsets of size s of met (inside) times share (outside)
+                poly = [1.0]
+                for k in others:
+                    grown = [0.0] * (len(poly) + 1)
+                    for size, x in enumerate(poly):
+                        grown[size] += x * share[k]
+                        grown[size + 1] += x * met[k]
+                    poly = grown
+                weights = [math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d) for s in range(d)]
+                phi[pattern, j] = value * (met[j] - share[j]) * sum(w * x for w, x in zip(weights, poly))
+        out.append((feats, [path[f][:2] for f in feats], phi, value * math.prod(share), value))
+    return out
+
+
+def _tree_arrays(nodes: pd.DataFrame) -> list[tuple]:
+    leaves = []
+    for _, g in nodes.groupby("treeID"):
         g = g.set_index("id")
-        trees.append((float(g["weight"].iloc[0]), g[["prediction", "cover", "left", "right", "feature", "threshold"]]
-                      .to_dict("index")))
-    return trees
-
-
-def _subset_values(x: np.ndarray, trees, n_feat: int) -> np.ndarray:
-    """(rows x 2^M) matrix of sum_t w_t E[tree_t(x) | x_S] (path-dependent expectation)."""
-    n_sub = 1 << n_feat
-    member = np.array([[(s >> f) & 1 for s in range(n_sub)] for f in range(n_feat)], dtype=bool)
-    total = np.zeros((x.shape[0], n_sub))
-
-    def expect(tree, nid):
-        nd = tree[nid]
-        if nd["left"] < 0:
-            return np.full((x.shape[0], n_sub), nd["prediction"])
-        el, er = expect(tree, nd["left"]), expect(tree, nd["right"])
-        cl, cr = tree[nd["left"]]["cover"], tree[nd["right"]]["cover"]
-        avg = (cl * el + cr * er) / (cl + cr)
-        go_left = (x[:, int(nd["feature"])] <= nd["threshold"])[:, None]
-        follow = np.where(go_left, el, er)
-        return np.where(member[int(nd["feature"])][None, :], follow, avg)
-
-    for w, tree in trees:
-        total += w * expect(tree, 0)
-    return total
-
-
-def _shapley_matrix(n_feat: int) -> np.ndarray:
-    """(2^M x M) weights so that phi = V @ W."""
-    n_sub = 1 << n_feat
-    W = np.zeros((n_sub, n_feat))
-    fact = [math.factorial(i) for i in range(n_feat + 1)]
-    for s in range(n_sub):
-        size = bin(s).count("1")
-        for f in range(n_feat):
-            if (s >> f) & 1:
-                W[s, f] += fact[size - 1] * fact[n_feat - size] / fact[n_feat]
-            else:
-                W[s, f] -= fact[size] * fact[n_feat - size - 1] / fact[n_feat]
-    return W
-
-
-def tree_contributions(model: FittedModel, requests: DataFrame, key: str, top_n: int = C.TOP_N_CONTRIBUTIONS,
-                       max_features: int = 12) -> DataFrame:
+        leaves += _leaf_table(float(g["weight"].iloc[0]), g[["prediction", "cover", "left", "right", "feature", "threshold"]].to_dict("index"))
+    return leaves
+
+
+def _leaf_values(x: np.ndarray, leaves: list[tuple]) -> tuple[np.ndarray, np.ndarray, float]:
+    """(Shapley values, ensemble value, base value) of the rows of x."""
+    phi, total, base = np.zeros(x.shape), np.zeros(len(x)), 0.0
+    for feats, intervals, table, mean, value in leaves:
+        pattern = np.zeros(len(x), dtype=np.int64)
+        for j, (f, (lo, hi)) in enumerate(zip(feats, intervals)):
+            pattern |= ((x[:, f] > lo) & (x[:, f] <= hi)).astype(np.int64) << j
+        if feats:
+            phi[:, feats] += table[pattern]
+        total += value * (pattern == (1 << len(feats)) - 1)
+        base += mean
+    return phi, total, base
+
+
+def _ranked(names: list[str], values, raw: list, top_n: int):
+    """The ``top_n`` contributions by absolute value, the earlier feature first on ties."""
+    parts = [F.struct(F.lit(f).alias("feature"), raw[i].alias("value"), values[i].alias("shap_value"),
+                      F.when(values[i] > 0, "increases").otherwise("decreases").alias("direction"), F.lit(i).alias("pos"))
+             for i, f in enumerate(names)]
+    order = F.array_sort(F.array(*parts), lambda a, b: F.when(F.abs(a["shap_value"]) > F.abs(b["shap_value"]), -1)
+                         .when(F.abs(a["shap_value"]) < F.abs(b["shap_value"]), 1).otherwise(a["pos"] - b["pos"]))
+    return F.transform(F.slice(order, 1, top_n), lambda c: F.struct(
+        c["feature"].alias("feature"), c["value"].alias("value"), c["shap_value"].alias("shap_value"), c["direction"].alias("direction")))
+
+
+def tree_contributions(model: FittedModel, requests: DataFrame, key: str, top_n: int = C.TOP_N_CONTRIBUTIONS) -> DataFrame:
     """L21 for boosted trees: (key, base_value, margin, contributions) in log-odds (2F) units."""
     names = model.spec.columns
-    if len(names) > max_features:
-        raise ValueError(f"subset enumeration is limited to {max_features} features")
-    nodes = tree_table(model)
     spark = requests.sparkSession
-    bc = spark.sparkContext.broadcast((_tree_arrays(nodes), _shapley_matrix(len(names))))
+    bc = spark.sparkContext.broadcast(_tree_arrays(tree_table(model)))
     prepared = model.prepared(requests).select(
         F.col(key).alias("_key"), vector_to_array("features").alias("_x"),
-        *[F.col(c).cast("string").alias(c) for c in names])
+        *[F.col(c).cast("string").alias(f"_raw_{i}") for i, c in enumerate(names)])
+    raw_cols = [f"_raw_{i}" for i in range(len(names))]
 
     def run(it):
-        trees, W = bc.value
-        n = len(names)
+        leaves = bc.value
         for batch in it:
             if batch.empty:
                 continue
-            x = np.vstack(batch["_x"].to_numpy())
-            V = 2.0 * _subset_values(x, trees, n)  # margin units: probability = sigmoid(2F)
-            phi = V @ W
-            out = pd.DataFrame({"_key": batch["_key"], "base_value": V[:, 0], "margin": V[:, -1]})
-            out["contributions"] = _top_n(phi, names, batch[names], top_n)
+            phi, total, base = _leaf_values(np.vstack(batch["_x"].to_numpy()), leaves)
+            out = batch[["_key", *raw_cols]].copy()
+            out["base_value"], out["margin"] = 2.0 * base, 2.0 * total  # margin units: probability = sigmoid(2F)
+            out["_phi"] = list(2.0 * phi)
             yield out
 
-    schema = (f"_key {requests.schema[key].dataType.simpleString()}, base_value double, margin double, "
-              f"contributions {CONTRIB_SCHEMA}")
-    return prepared.mapInPandas(run, schema).withColumnRenamed("_key", key)
+    schema = (f"_key {requests.schema[key].dataType.simpleString()}, " + "".join(f"{c} string, " for c in raw_cols)
+              + "base_value double, margin double, _phi array<double>")
+    out = prepared.mapInPandas(run, schema)
+    ranked = _ranked(names, [F.col("_phi")[i] for i in range(len(names))], [F.col(c) for c in raw_cols], top_n)
+    return out.select(F.col("_key").alias(key), "base_value", "margin", ranked.alias("contributions"))
 
 
 # ------------------------------------------------------------------ linear
@@ -149,26 +155,22 @@ def linear_contributions(model: FittedModel, requests: DataFrame, train: DataFra
     names = model.spec.columns
     lr = model.pipeline.stages[-1]
     coef = lr.coefficients.toArray().tolist()
-    prep_train = model.prepared(train).select(vector_to_array("features").alias("_x"))
-    n_slots = len(coef)
-    means = prep_train.select([F.avg(F.col("_x")[i]).alias(f"m{i}") for i in range(n_slots)]).first()
-    slot_feature = _slot_features(model)
+    mean = model.prepared(train).select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray().tolist()
+    places: dict[str, list[int]] = {}
+    for i, f in enumerate(_slot_features(model)):
+        places.setdefault(f, []).append(i)
+    # per feature one dot product over its slots; coefficients and means are literal arrays of the model
     prepared = model.prepared(requests).select(F.col(key), vector_to_array("features").alias("_x"),
                                                *[F.col(c).cast("string").alias(f"_raw_{c}") for c in names])
-    per_feat = []
+    values = []
     for f in names:
-        terms = [F.lit(coef[i]) * (F.col("_x")[i] - F.lit(means[f"m{i}"])) for i in range(n_slots)
-                 if slot_feature[i] == f]
-        val = terms[0] if terms else F.lit(0.0)
-        for t in terms[1:]:
-            val = val + t
-        per_feat.append(F.struct(F.lit(f).alias("feature"), F.col(f"_raw_{f}").alias("value"),
-                                 val.alias("shap_value"),
-                                 F.when(val > 0, "increases").otherwise("decreases").alias("direction")))
-    arr = F.array(*per_feat)
-    ranked = F.array_sort(arr, lambda a, b: F.when(F.abs(a["shap_value"]) > F.abs(b["shap_value"]), -1)
-                          .when(F.abs(a["shap_value"]) < F.abs(b["shap_value"]), 1).otherwise(0))
-    return prepared.select(key, F.slice(ranked, 1, top_n).alias("contributions"))
+        slots = places.get(f, [])
+        first = slots[0] if slots else 0
+        own = F.array(*[F.lit(coef[i]) for i in slots]) if slots else F.array().cast("array<double>")
+        offset = F.lit(float(sum(coef[i] * mean[i] for i in slots)))
+        dot = F.aggregate(F.zip_with(F.slice("_x", first + 1, max(len(slots), 0)), own, lambda x, c: x * c), F.lit(0.0), lambda a, x: a + x)
+        values.append(dot - offset)
+    return prepared.select(key, _ranked(names, values, [F.col(f"_raw_{f}") for f in names], top_n).alias("contributions"))
 
 
 def _slot_features(model: FittedModel) -> list[str]:

@@ -157,7 +157,7 @@ def _classifier(spec: ModelSpec, n_train: int):
                                   maxIter=spec.params.get("maxIter", 2000), tol=1e-6)
     if spec.kind == "gbt":
         return GBTClassifier(featuresCol="features", labelCol="label", maxIter=spec.params.get("maxIter", 100),
-                             stepSize=0.1, maxDepth=5, maxBins=64, seed=42)
+                             stepSize=0.1, maxDepth=5, maxBins=255, seed=42)
     raise ValueError(spec.kind)
 
 

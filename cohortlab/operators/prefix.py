@@ -19,6 +19,13 @@ def default_blocks(spark) -> int:
     return max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def blocks_below(bounds: Column, value: Column, n: int) -> Column:
+    """How many of the n sorted bounds lie below the value, by binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, n.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= F.size(bounds)) & (F.get(bounds, at + step - 1) < value), at + step).otherwise(at))
+
+
 def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols: list[str] | None = None,
                  descending: bool = False, tie_cols: list[str] | None = None, n_blocks: int | None = None,
                  prefix: str = "cum_") -> DataFrame:
@@ -37,15 +44,14 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols:
         F.percentile_approx("_o", F.array(*[F.lit(f) for f in fracs]), 10000).alias("_bounds"))
         if group_cols else
         work.agg(F.percentile_approx("_o", F.array(*[F.lit(f) for f in fracs]), 10000).alias("_bounds")))
-    # one row per group: a broadcast of (#groups x n_blocks) doubles
-    work = (work.join(F.broadcast(sketch), group_cols, "left") if group_cols
-            else work.crossJoin(F.broadcast(sketch)))
-    work = work.withColumn("_blk", F.size(F.filter(F.col("_bounds"), lambda b: b < F.col("_o")))).drop("_bounds")
+    # ungrouped: one row; grouped: one row per group, whose size Spark checks before broadcasting
+    work = work.join(sketch, group_cols, "left") if group_cols else work.crossJoin(F.broadcast(sketch))
+    work = work.withColumn("_blk", blocks_below(F.col("_bounds"), F.col("_o"), n_blocks - 1)).drop("_bounds")
     totals = work.groupBy(*group_cols, "_blk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     wo = Window.partitionBy(*group_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group_cols, "_blk", *[
         F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_off_{c}") for c in sum_cols])
-    work = work.join(F.broadcast(offsets), group_cols + ["_blk"], "inner")
+    work = work.join(offsets, group_cols + ["_blk"], "inner")
     wr = (Window.partitionBy(*group_cols, "_blk").orderBy("_o", *tie_cols)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     for c in sum_cols:

@@ -1,15 +1,15 @@
 """Sparse TF-IDF retrieval as joins.
 
 The index is a postings table (term, chunk_id, weight) plus an idf table; a query
-is scored by an equi-join on term and a grouped sum, never a dense matrix. Hot
-terms make that join skewed; AQE's skew-join split handles it without changing
-results. Top-k per query uses ``row_number() <= k``, which Spark plans as a
-partial + final WindowGroupLimit, so no task ever holds a query's full candidate
-list.
+is scored by an equi-join on term and a grouped sum, never a dense matrix. Postings
+are dealt by chunk, so where the question vectors fit Spark's broadcast threshold
+the sums need no further exchange and only each partition's top k per question is
+shuffled (``row_number() <= k`` becomes a partial + final WindowGroupLimit). Larger
+question tables join by term, where AQE splits hot terms.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab import constants as C
@@ -17,6 +17,8 @@ from cohortlab.functions.text import tokens
 from cohortlab.session import ensure_checkpoint_dir, materialize
 
 ORD_COLS = ["doc_id", "sec_idx", "piece_idx"]
+#: Words of a containment key, and characters of a short question's.
+KEY_WORDS, KEY_CHARS = 3, 8
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, stop_words=None) -> DataFrame:
@@ -59,10 +61,15 @@ def vectorize_queries(queries: DataFrame, idf: DataFrame, id_col: str = "qid", t
     return _l2(weighted, id_col)
 
 
+def contributions(qvec: DataFrame, postings: DataFrame, id_col: str = "qid") -> DataFrame:
+    """(qid, chunk_id, x): the products whose sum per pair is the cosine."""
+    return (qvec.withColumnRenamed("weight", "wq").join(postings.withColumnRenamed("weight", "wc"), "term")
+                .select(id_col, "chunk_id", (F.col("wq") * F.col("wc")).alias("x")))
+
+
 def score_chunks(qvec: DataFrame, postings: DataFrame, id_col: str = "qid") -> DataFrame:
     """cosine = dot product of normalised vectors, by an equi-join on term."""
-    return (qvec.withColumnRenamed("weight", "wq").join(postings.withColumnRenamed("weight", "wc"), "term")
-                .groupBy(id_col, "chunk_id").agg(F.sum(F.col("wq") * F.col("wc")).alias("score")))
+    return contributions(qvec, postings, id_col).groupBy(id_col, "chunk_id").agg(F.sum("x").alias("score"))
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, postings: DataFrame, idf: DataFrame, top_k: int,
@@ -71,20 +78,18 @@ def retrieve(queries: DataFrame, chunks: DataFrame, postings: DataFrame, idf: Da
     """X10 + K4: top-k chunks per query by cosine; ties broken by chunk order, later chunk first.
 
     ``fill_zero`` pads queries with fewer than k matching chunks with zero-score
-    chunks (latest first), as the reference's dense scoring does. The pad table is
-    the 2k last chunks in chunk order, a constant-size broadcast.
+    chunks (latest first), as the reference's dense scoring does: the k last chunks in
+    chunk order enter the one sum as zero contributions.
     """
     order = chunks.select("chunk_id", *ORD_COLS)
-    qv = vectorize_queries(queries, idf, id_col, text_col, stop_words)
-    scored = score_chunks(qv, postings, id_col).withColumn("score", F.round("score", digits))
-    scored = scored.join(order, "chunk_id")
+    # stored: its size is known to the join, and it is read once per question table
+    qv = materialize(vectorize_queries(queries, idf, id_col, text_col, stop_words), "question-vectors")
+    parts = contributions(qv, postings.repartition("chunk_id"), id_col)
     if fill_zero:
-        pad = (order.orderBy(*[F.col(c).desc() for c in ORD_COLS]).limit(2 * top_k)
-                    .withColumn("score", F.lit(0.0)))
-        qids = queries.select(id_col).distinct()
-        padded = qids.crossJoin(F.broadcast(pad))  # queries x 2k rows, k a small constant
-        padded = padded.join(scored.select(id_col, "chunk_id"), [id_col, "chunk_id"], "left_anti")
-        scored = scored.unionByName(padded.select(*scored.columns))
+        pad = order.orderBy(*[F.col(c).desc() for c in ORD_COLS]).limit(top_k).select("chunk_id")
+        zero = queries.select(id_col).distinct().crossJoin(F.broadcast(pad))  # queries x k rows, k a small constant
+        parts = parts.unionByName(zero.withColumn("x", F.lit(0.0)))
+    scored = parts.groupBy(id_col, "chunk_id").agg(F.round(F.sum("x"), digits).alias("score")).join(order, "chunk_id")
     w = Window.partitionBy(id_col).orderBy(F.col("score").desc(), *[F.col(c).desc() for c in ORD_COLS])
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
                   .select(id_col, "rank", "chunk_id", "score"))
@@ -158,19 +163,37 @@ def score_gap(retrieved: DataFrame, expected: DataFrame, id_col: str = "qid") ->
                  F.max(F.when(~F.col("in_corpus"), F.col("score"))).alias("max_out_of_corpus_top1"))
 
 
+def _word_keys(text: Column, inner_only: bool) -> Column:
+    """Hashes of the runs of KEY_WORDS blank-separated words; ``inner_only`` leaves out the first and last word."""
+    words = F.split(text, " ", -1)
+    words = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))) if inner_only else words
+    runs = F.transform(words, lambda _, i: F.slice(words, i + 1, KEY_WORDS))
+    return F.transform(F.filter(runs, lambda r: F.size(r) == KEY_WORDS), lambda r: F.xxhash64(r))
+
+
 def expected_by_containment(questions: DataFrame, docs: DataFrame, chunks: DataFrame, id_col: str = "qid",
-                            text_col: str = "question", max_questions: int = 100_000) -> DataFrame:
+                            text_col: str = "question") -> DataFrame:
     """Eval labels: every chunk of each document that contains the question text verbatim.
 
-    The question set is an evaluation set; its size is checked before it is
-    broadcast (a metadata-sized count), so the containment test is a broadcast
-    nested-loop join over the documents.
+    A text that contains the question contains its inner words (all but the first and last) as words of
+    its own. So each question is keyed by its rarest run of KEY_WORDS inner words, documents are joined on
+    the hashes of their runs, and ``contains`` verifies. Questions too short for a key are joined the
+    same way on their leading characters, against all substrings of those lengths.
     """
-    n = questions.count()
-    if n > max_questions:
-        raise ValueError(f"{n} evaluation questions exceed the broadcast bound {max_questions}")
-    q = F.broadcast(questions.select(id_col, F.col(text_col).alias("_qt")))
-    hit_docs = (docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-                    .join(q, F.col("text").contains(F.col("_qt")))
-                    .select(id_col, "doc_id"))
-    return hit_docs.join(chunks.select("doc_id", "chunk_id"), "doc_id").select(id_col, "chunk_id")
+    q = questions.select(id_col, F.col(text_col).alias("_qt")).where(F.col("_qt").isNotNull())
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    keyed = q.select(id_col, "_qt", F.array_distinct(_word_keys(F.col("_qt"), True)).alias("_keys"))
+    wanted = materialize(keyed.select(F.explode("_keys").alias("_key")).distinct(), "question-keys")
+    runs = texts.select("doc_id", F.explode(F.array_distinct(_word_keys(F.col("text"), False))).alias("_key")).join(wanted, "_key", "left_semi")
+    runs = materialize(runs, "document-keys")
+    counts = wanted.join(runs.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")), "_key", "left").select("_key", F.coalesce("_n", F.lit(0)).alias("_n"))
+    rarest = (keyed.where(F.size("_keys") > 0).select(id_col, F.explode("_keys").alias("_key")).join(counts, "_key")
+                   .groupBy(id_col).agg(F.min(F.struct("_n", "_key")).alias("_r")).select(id_col, F.col("_r._key").alias("_key")))
+    pairs = rarest.join(runs, "_key").select(id_col, "doc_id")
+    short = materialize(keyed.where(F.size("_keys") == 0).select(id_col, F.substring("_qt", 1, KEY_CHARS).alias("_key")), "short-questions")
+    lengths = short.select(F.length("_key").alias("_len")).distinct()  # at most KEY_CHARS + 1 rows
+    grams = texts.crossJoin(F.broadcast(lengths)).select("doc_id", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("text") - F.col("_len") + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.col("_len"))))).alias("_key"))
+    pairs = pairs.unionByName(short.join(grams, "_key").select(id_col, "doc_id")).distinct()
+    hits = pairs.join(q, id_col).join(texts, "doc_id").where(F.col("text").contains(F.col("_qt"))).select(id_col, "doc_id")
+    return hits.join(chunks.select("doc_id", "chunk_id"), "doc_id").select(id_col, "chunk_id")

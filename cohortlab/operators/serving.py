@@ -10,7 +10,7 @@ import datetime as dt
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab import constants as C
@@ -30,7 +30,8 @@ class ServingModel:
     method: str
     reference: DataFrame       # calibrated train scores (ECDF source)
     bands: DataFrame           # U2 table on the test split
-    curves: DataFrame          # bootstrap step functions
+    curves: DataFrame          # bootstrap refits
+    train: DataFrame           # fit + calibration rows (means of linear contributions)
     metadata: dict = field(default_factory=dict)
 
     @property
@@ -62,7 +63,7 @@ def calibrate_feature_set(features: DataFrame, feature_set: str, key: str = "nam
         f_ref = pool.submit(lambda: calibrator.transform(
             base.transform(train_all).withColumnRenamed("score", "raw_score"))
             .select(F.col("probability").alias("score")).checkpoint(eager=True))
-        f_curves = pool.submit(lambda: ca.bootstrap_curves(ca.bootstrap_cells(cal_raw, key)).checkpoint(eager=True))
+        f_curves = pool.submit(lambda: ca.bootstrap_curves(ca.bootstrap_cells(cal_raw), method).checkpoint(eager=True))
         test_scored, reference, curves = f_test.result(), f_ref.result(), f_curves.result()
     before = me.compute_metrics(test_scored.select("label", F.col("raw_score").alias("score")), 0.5).first()
     after = me.compute_metrics(test_scored.select("label", F.col("probability").alias("score")), 0.5).first()
@@ -75,7 +76,7 @@ def calibrate_feature_set(features: DataFrame, feature_set: str, key: str = "nam
         "roc_auc_before": before["roc_auc"], "roc_auc_after": after["roc_auc"],
         "trained_at": dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds"),
     }
-    return ServingModel(name, feature_set, base, calibrator, method, reference, bands, curves, meta)
+    return ServingModel(name, feature_set, base, calibrator, method, reference, bands, curves, train_all, meta)
 
 
 def registry_row(spark, model: ServingModel) -> DataFrame:
@@ -83,21 +84,41 @@ def registry_row(spark, model: ServingModel) -> DataFrame:
     return spark.createDataFrame([model.metadata])
 
 
-def score_requests(model: ServingModel, requests: DataFrame, key: str = "request_id",
-                   with_contributions: bool = True) -> DataFrame:
-    """Probability, raw score, percentile, bootstrap band (+ check), contributors, version."""
+def _contributions(model: ServingModel, requests: DataFrame, key: str) -> DataFrame:
+    if model.base.spec.kind == "gbt":
+        return ex.tree_contributions(model.base, requests, key).select(key, "contributions")
+    return ex.linear_contributions(model.base, requests, model.train, key)
+
+
+def _score(model: ServingModel, requests: DataFrame, key: str, with_contributions: bool) -> DataFrame:
     raw = model.base.transform(requests).withColumnRenamed("score", "raw_score")
-    scored = model.calibrator.transform(raw)
+    # read three times: as-of sketch and scan, band
+    scored = model.calibrator.transform(raw).select(key, "raw_score", "probability").checkpoint(eager=True)
     pct = un.percentile_of(scored.select(key, "probability"), model.reference, "probability", "score")
-    out = scored.select(key, "raw_score", "probability").join(pct.select(key, "percentile"), key)
-    band = ca.bootstrap_band(out, model.curves, "raw_score")
-    band = un.collapse_on_failure(band)
-    if with_contributions and model.base.spec.kind == "gbt":
-        contrib = ex.tree_contributions(model.base, requests, key)
-        band = band.join(contrib.select(key, "contributions"), key, "left")
+    out = scored.join(pct.select(key, "percentile"), key)
+    band = un.collapse_on_failure(ca.bootstrap_band(out, model.curves, "raw_score", method=model.method))
+    if with_contributions:
+        band = band.join(_contributions(model, requests, key), key, "left")
     return band.withColumn("model_version", F.lit(model.version)).withColumn("feature_set", F.lit(model.feature_set))
 
 
+def score_requests(models: ServingModel | dict[str, ServingModel], requests: DataFrame, key: str = "request_id",
+                   with_contributions: bool = True) -> DataFrame:
+    """Probability, raw score, percentile, bootstrap band (+ check), contributors, version.
+
+    ``models`` by feature set: each request is scored by the model of its own ``feature_set`` (null:
+    the default set). A single model scores every request.
+    """
+    if isinstance(models, ServingModel):
+        return _score(models, requests, key, with_contributions)
+    chosen = F.coalesce(F.col("feature_set"), F.lit(C.DEFAULT_FEATURE_SET))
+    out = None
+    for name, model in models.items():
+        part = _score(model, requests.where(chosen == name), key, with_contributions)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def decision(prob_pct, threshold: int = C.DECISION_THRESHOLD_PCT):
     """Success / failure / abstain at a confidence threshold tau (percent)."""
     return (F.when(prob_pct >= threshold, F.lit("likely success"))
@@ -120,7 +141,7 @@ def request_features(profiles: DataFrame) -> DataFrame:
 
 
 def validation_errors(req: DataFrame) -> DataFrame:
-    """Adds ``errors ARRAY<STRING>`` with every rule a request breaks (empty = valid)."""
+    """Adds ``errors ARRAY<STRING>`` with every rule a request breaks (empty = valid). A null feature set is the default."""
     checks = [
         (F.col("founded_year").isNull() | (F.col("founded_year") < 1900) | (F.col("founded_year") > 2100),
          "founded_year must be within [1900, 2100]"),
@@ -132,7 +153,8 @@ def validation_errors(req: DataFrame) -> DataFrame:
         (F.col("funding_total_usd") < 0, "funding_total_usd must be >= 0"),
         (F.col("funding_rounds") < 1, "funding_rounds must be >= 1"),
         (F.col("funding_span_days") < 0, "funding_span_days must be >= 0"),
-        (~F.col("feature_set").isin("clean", "full") | F.col("feature_set").isNull(), "feature_set must be clean or full"),
+        (F.col("funding_rounds").cast("double") != F.floor(F.col("funding_rounds").cast("double")), "funding_rounds must be an integer"),
+        (~F.col("feature_set").isin("clean", "full"), "feature_set must be clean or full"),
         ((F.col("feature_set") == "full") & (F.col("funding_total_usd").isNull() | F.col("funding_rounds").isNull()
                                              | F.col("funding_span_days").isNull()),
          "funding_total_usd, funding_rounds, and funding_span_days are required when feature_set='full'"),
@@ -164,34 +186,31 @@ def _pct1(x):
     return F.format_string("%.1f%%", x * 100)
 
 
-def render_facts(facts_df: DataFrame, key: str = "request_id", foreground: str | None = None) -> DataFrame:
-    """The facts as Markdown text (formatting of the reference's bundle renderer)."""
+def format_value(feature: Column, value: Column) -> Column:
+    """Numbers with two decimals, categories as they are (T-values print as the reference's floats do)."""
+    number = F.when(value.isNull(), F.lit("nan")).otherwise(F.format_string("%.2f", value.try_cast("double")))
+    return F.when(feature.isin(*C.FULL_NUMERIC_FEATURES), number).otherwise(F.coalesce(value, F.lit("None")))
+
+
+def render_facts(facts_df: DataFrame, key: str = "request_id", foreground: str | Column | None = None) -> DataFrame:
+    """The facts as Markdown text. ``foreground``: a feature, or a column that names one per row."""
     f = F.col("facts")
-    lines = [
-        F.lit("## What the model says"),
-        F.concat(F.lit("- Calibrated probability of a positive outcome (acquired/IPO): **"), _pct1(f["probability"]),
-                 F.lit("** (90% confidence band: "), _pct1(f["band_lower"]), F.lit("-"), _pct1(f["band_upper"]), F.lit(")")),
-        F.concat(F.lit("- Raw model score (pre-calibration, log-odds space on the uncalibrated model): **"),
-                 _pct1(f["raw_probability"]),
-                 F.lit("** - the contributions below decompose this number, not the calibrated one above.")),
-        F.concat(F.lit("- Percentile vs. the training cohort: **"), F.format_string("%.1f%%", f["percentile"]), F.lit("**")),
-    ]
     contrib = f["top_contributions"]
-    table_rows = F.transform(contrib, lambda c: F.format_string(
-        "| `%s` | %s | %+.3f | %s |", c["feature"], c["value"], c["shap_value"], c["direction"]))
-    table = F.when(F.size(contrib) > 0, F.concat_ws("\n", F.lit(""), F.lit("| Feature | Value | SHAP | Direction |"),
-                                                     F.lit("|---|---|---|---|"), F.array_join(table_rows, "\n")))
-    fg = None
-    if foreground:
-        m = F.filter(contrib, lambda c: c["feature"] == foreground)
-        fg = F.when(F.size(m) > 0, F.format_string(
-            f"- You asked about `{foreground}`: it %s the score (SHAP %+.3f, value = %s).",
-            m[0]["direction"], m[0]["shap_value"], m[0]["value"]))
-    level_label = F.regexp_replace(F.regexp_replace(f["cohort_level"], "\\+", " + "), "_", " ")
+    band = F.concat(F.lit(C.FACTS_BAND), _pct1(f["band_lower"]), F.lit("-"), _pct1(f["band_upper"]), F.lit(")"))
+    lines = [F.lit(C.FACTS_HEADER), F.concat(F.lit(C.FACTS_PROBABILITY), _pct1(f["probability"]), band),
+             F.concat(F.lit(C.FACTS_RAW), _pct1(f["raw_probability"]), F.lit(C.FACTS_RAW_NOTE)),
+             F.concat(F.lit(C.FACTS_PERCENTILE), F.format_string("%.1f%%", f["percentile"]), F.lit("**"))]
+    rows = F.transform(contrib, lambda c: F.format_string(
+        "| `%s` | %s | %+.3f | %s |", c["feature"], format_value(c["feature"], c["value"]), c["shap_value"], c["direction"]))
+    table = F.when(F.size(contrib) > 0, F.concat_ws("\n", F.lit(""), *[F.lit(x) for x in C.FACTS_TABLE_HEAD], F.array_join(rows, "\n")))
+    asked = F.lit(None).cast("string") if foreground is None else F.lit(foreground) if isinstance(foreground, str) else foreground
+    named = F.get(F.filter(contrib, lambda c: c["feature"] == asked), F.lit(0))
+    shown = F.when(named.isNotNull(), F.format_string(
+        C.FACTS_FOREGROUND, asked, named["direction"], named["shap_value"], format_value(named["feature"], named["value"])))
+    level = F.replace(F.replace(f["cohort_level"], F.lit("+"), F.lit(" + ")), F.lit("_"), F.lit(" "))
     cohort = F.when(f["cohort_level"].isNotNull(), F.concat(
-        F.lit("- Matching cohort ("), level_label, F.lit(" = "), f["cohort_country"],
+        F.lit(C.FACTS_COHORT), level, F.lit(" = "), f["cohort_country"],
         F.when(f["cohort_category"].isNotNull(), F.concat(F.lit(", "), f["cohort_category"])).otherwise(F.lit("")),
-        F.lit(", n="), f["cohort_n"].cast("string"), F.lit("): observed success rate **"),
-        _pct1(f["cohort_success_rate"]), F.lit("** in the training data."))).otherwise(F.lit(C.NO_COHORT_TEXT))
-    parts = lines + ([fg] if fg is not None else []) + [table, cohort]
-    return facts_df.select(key, F.concat_ws("\n", *parts).alias("answer"))
+        F.lit(", n="), f["cohort_n"].cast("string"), F.lit(C.FACTS_COHORT_RATE),
+        _pct1(f["cohort_success_rate"]), F.lit(C.FACTS_COHORT_END))).otherwise(F.lit(C.NO_COHORT_TEXT))
+    return facts_df.select(key, F.concat_ws("\n", *lines, shown, table, cohort).alias("answer"))

@@ -85,10 +85,11 @@ def percentile_of(requests: DataFrame, reference: DataFrame, req_col: str = "pro
                   ref_col: str = "score") -> DataFrame:
     """100 * (reference values at or below the request value) / n, as an as-of scan."""
     tot = reference.agg(F.count(F.lit(1)).alias("_total"))
-    cnt = asof_count_at_or_below(requests, reference, req_col, ref_col)
-    return (cnt.crossJoin(F.broadcast(tot))
-               .withColumn("percentile", F.lit(100.0) * F.col("n_at_or_below") / F.col("_total"))
-               .drop("_total"))
+    # scan distinct values only: a value that very many requests share is one row of the scan
+    values = requests.select(F.col(req_col).alias("_value")).distinct()
+    cnt = (asof_count_at_or_below(values, reference, "_value", ref_col).crossJoin(F.broadcast(tot))
+           .withColumn("percentile", F.lit(100.0) * F.col("n_at_or_below") / F.col("_total")).drop("_total"))
+    return requests.join(cnt, F.col(req_col).eqNullSafe(F.col("_value")), "left").drop("_value")
 
 
 def collapse_on_failure(df: DataFrame, point: str = "probability", lower: str = "band_lower",

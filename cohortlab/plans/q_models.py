@@ -21,11 +21,23 @@ from cohortlab.session import ensure_checkpoint_dir
 from cohortlab.sources import tables as tb
 from cohortlab.sources.standins import event_scores
 
+#: Stored intermediates and fitted models of this application, by input folder and the files' state.
 _CACHE: dict = {}
 
 
+def _stamp(spark, sf_dir) -> tuple:
+    """Application, folder, and modification time and length of the tables that the models are built from."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = [spark.sparkContext.applicationId, sf_dir]
+    for name in ("orders", "lineitem", "customer", "nation", "part"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out += [status.getModificationTime(), status.getLen()]
+    return tuple(out)
+
+
 def _features(spark, sf_dir):
-    k = ("features", sf_dir, id(spark))
+    k = ("features", _stamp(spark, sf_dir))
     if k not in _CACHE:
         ensure_checkpoint_dir(spark)
         _CACHE[k] = features_of(spark, sf_dir).checkpoint(eager=True)
@@ -33,14 +45,23 @@ def _features(spark, sf_dir):
 
 
 def _serving(spark, sf_dir, feature_set="clean"):
-    k = ("serving", sf_dir, id(spark), feature_set)
+    k = ("serving", _stamp(spark, sf_dir), feature_set)
     if k not in _CACHE:
         _CACHE[k] = sv.calibrate_feature_set(_features(spark, sf_dir), feature_set)
     return _CACHE[k]
 
 
+def _served(spark, sf_dir):
+    """Both served models by feature set; they are fitted concurrently."""
+    from concurrent.futures import ThreadPoolExecutor
+    _features(spark, sf_dir)
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        models = list(pool.map(lambda fs: _serving(spark, sf_dir, fs), C.FEATURE_SETS))
+    return dict(zip(C.FEATURE_SETS, models))
+
+
 def _fitted(spark, sf_dir, name):
-    k = ("fit", sf_dir, id(spark), name)
+    k = ("fit", _stamp(spark, sf_dir), name)
     if k not in _CACHE:
         f = _features(spark, sf_dir)
         _CACHE[k] = mo.fit(mo.spec_by_name(name), f.where(F.col("split") == "train"))
@@ -48,8 +69,11 @@ def _fitted(spark, sf_dir, name):
 
 
 def _requests(spark, sf_dir):
+    """The test companies as requests: every other one asks for the full model, every tenth names none."""
     f = _features(spark, sf_dir).where(F.col("split") == "test")
-    return f.withColumn("request_id", F.col("permalink"))
+    n = F.col("name").cast("bigint")
+    return f.withColumn("request_id", F.col("permalink")).withColumn(
+        "feature_set", F.when(n % 10 == 0, F.lit(None).cast("string")).when(n % 2 == 0, "full").otherwise("clean"))
 
 
 # ------------------------------------------------------------------ preprocessing (SQL-checked)
@@ -279,7 +303,7 @@ def _validated(spark, sf_dir):
       CASE WHEN funding_total_usd < 0 THEN 'funding_total_usd must be >= 0' END,
       CASE WHEN funding_rounds < 1 THEN 'funding_rounds must be >= 1' END,
       CASE WHEN date_diff('day', first_funding_date, last_funding_date) < 0 THEN 'funding_span_days must be >= 0' END,
-      CASE WHEN feature_set NOT IN ('clean', 'full') OR feature_set IS NULL THEN 'feature_set must be clean or full' END,
+      CASE WHEN feature_set NOT IN ('clean', 'full') THEN 'feature_set must be clean or full' END,
       CASE WHEN feature_set = 'full' AND (funding_total_usd IS NULL OR funding_rounds IS NULL
                 OR date_diff('day', first_funding_date, last_funding_date) IS NULL)
            THEN 'funding_total_usd, funding_rounds, and funding_span_days are required when feature_set=''full''' END],
@@ -335,7 +359,7 @@ def a17_leakage_gap(spark, sf_dir):
 
 
 def _cv_summary(spark, sf_dir, name, repeats=C.CV_REPEATS):
-    k = ("cv", sf_dir, id(spark), name, repeats)
+    k = ("cv", _stamp(spark, sf_dir), name, repeats)
     if k not in _CACHE:
         f = _features(spark, sf_dir).where(F.col("split") == "train").withColumn("k", F.col("name").cast("bigint"))
         scores = mo.cross_validated_scores(mo.spec_by_name(name), f, "k", C.CV_FOLDS, repeats)
@@ -349,7 +373,7 @@ def _cv_summary(spark, sf_dir, name, repeats=C.CV_REPEATS):
 
 
 def _oof_threshold(spark, sf_dir, name):
-    k = ("oof", sf_dir, id(spark), name)
+    k = ("oof", _stamp(spark, sf_dir), name)
     if k not in _CACHE:
         f = _features(spark, sf_dir).where(F.col("split") == "train").withColumn("k", F.col("name").cast("bigint"))
         scores = mo.cross_validated_scores(mo.spec_by_name(name), f, "k", C.CV_FOLDS, 1)
@@ -388,26 +412,28 @@ def l14_train_one(spark, sf_dir):
 
 @query("l19_calibration_report")
 def l19_calibration_report(spark, sf_dir):
-    """L16-L19 + S8: calibrate the clean boosted model; before / after Brier and AUC as a registry row."""
-    return sv.registry_row(spark, _serving(spark, sf_dir, "clean"))
+    """L16-L19 + S8: calibrate both served boosted models; before / after Brier and AUC as registry rows."""
+    rows = [sv.registry_row(spark, m) for m in _served(spark, sf_dir).values()]
+    return rows[0].unionByName(rows[1])
 
 
 @query("l20_batch_predictions")
 def l20_batch_predictions(spark, sf_dir):
     """L20 + J2 + U4-U6 + L21: score every test company as a request table."""
-    m = _serving(spark, sf_dir, "clean")
-    return sv.score_requests(m, _requests(spark, sf_dir))
+    return sv.score_requests(_served(spark, sf_dir), _requests(spark, sf_dir))
 
 
 @query("l21_tree_contributions")
 def l21_tree_contributions(spark, sf_dir):
-    """L21 + K3: exact path-dependent tree SHAP, top 5 by |value|; additivity residual per row."""
-    m = _serving(spark, sf_dir, "clean")
-    req = _requests(spark, sf_dir)
-    c = ex.tree_contributions(m.base, req, "request_id", top_n=len(m.base.spec.columns))
-    total = F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x["shap_value"])
-    return c.select("request_id", "base_value", "margin", F.slice("contributions", 1, C.TOP_N_CONTRIBUTIONS)
-                    .alias("contributions"), (F.col("margin") - F.col("base_value") - total).alias("additivity_residual"))
+    """L21 + K3: exact path-dependent tree SHAP for both served models, top 5 by |value|; additivity residual per row."""
+    out = None
+    for name, m in _served(spark, sf_dir).items():
+        c = ex.tree_contributions(m.base, _requests(spark, sf_dir), "request_id", top_n=len(m.base.spec.columns))
+        total = F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x["shap_value"])
+        c = c.select("request_id", F.lit(name).alias("feature_set"), "base_value", "margin", F.slice("contributions", 1, C.TOP_N_CONTRIBUTIONS)
+                     .alias("contributions"), (F.col("margin") - F.col("base_value") - total).alias("additivity_residual"))
+        out = c if out is None else out.unionByName(c)
+    return out
 
 
 @query("l21_linear_contributions")
@@ -420,14 +446,18 @@ def l21_linear_contributions(spark, sf_dir):
 
 @query("l22_sensitivity_curve")
 def l22_sensitivity_curve(spark, sf_dir):
-    """L22 + J10: founded_year sensitivity for every test request, and its population average."""
-    m = _serving(spark, sf_dir, "clean")
+    """L22 + J10: population curve of every numeric feature for both served models."""
     f = _features(spark, sf_dir)
-    r = ex.numeric_ranges(f.where(F.col("split") == "train"), ["founded_year"])
-    grid = ex.numeric_grid(r, "founded_year", floor=C.PDP_FOUNDED_YEAR_FLOOR)
-    curve = ex.sensitivity(m.base, _requests(spark, sf_dir), "request_id", "founded_year", grid, m.calibrator)
-    return curve.groupBy("grid_value").agg(F.avg("predicted_probability").alias("mean_probability"),
-                                           F.count(F.lit(1)).alias("n_requests"))
+    out = None
+    for name, m in _served(spark, sf_dir).items():
+        r = ex.numeric_ranges(f.where(F.col("split") == "train"), m.base.spec.numeric).checkpoint(eager=True)
+        for feature in m.base.spec.numeric:
+            grid = ex.numeric_grid(r, feature, floor=C.PDP_FOUNDED_YEAR_FLOOR if feature == "founded_year" else None)
+            curve = ex.sensitivity(m.base, _requests(spark, sf_dir), "request_id", feature, grid, m.calibrator)
+            curve = curve.groupBy("grid_value").agg(F.avg("predicted_probability").alias("mean_probability"), F.count(F.lit(1)).alias("n_requests"))
+            curve = curve.select(F.lit(name).alias("feature_set"), F.lit(feature).alias("feature"), "grid_value", "mean_probability", "n_requests")
+            out = curve if out is None else out.unionByName(curve)
+    return out
 
 
 @query("u4_bootstrap_band_check")
@@ -447,7 +477,7 @@ def x18_rendered_facts(spark, sf_dir):
     req = f.where(F.col("split") == "test").select(F.col("permalink").alias("request_id"), "country_code",
                                                     "primary_category", "funding_total_usd")
     cohorts = gr.cohort_lookup(req, f)
-    return sv.render_facts(sv.facts(s, cohorts), foreground="founded_year")
+    return sv.render_facts(sv.facts(s, cohorts), foreground="founded_year")  # the feature that the table of requests asks about
 
 
 @query("l25_report_lines")
@@ -527,7 +557,7 @@ def _request_rows(spark, sf_dir):
       CASE WHEN funding_total_usd < 0 THEN 1 END,
       CASE WHEN funding_rounds < 1 THEN 1 END,
       CASE WHEN date_diff('day', first_funding_date, last_funding_date) < 0 THEN 1 END,
-      CASE WHEN feature_set NOT IN ('clean', 'full') OR feature_set IS NULL THEN 1 END,
+      CASE WHEN feature_set NOT IN ('clean', 'full') THEN 1 END,
       CASE WHEN feature_set = 'full' AND (funding_total_usd IS NULL OR funding_rounds IS NULL
                 OR date_diff('day', first_funding_date, last_funding_date) IS NULL) THEN 1 END],
       lambda x: x IS NOT NULL)) AS n_errors
@@ -541,7 +571,7 @@ def _request_rows(spark, sf_dir):
       CASE WHEN funding_total_usd < 0 THEN 1 END,
       CASE WHEN funding_rounds < 1 THEN 1 END,
       CASE WHEN date_diff('day', first_funding_date, last_funding_date) < 0 THEN 1 END,
-      CASE WHEN feature_set NOT IN ('clean', 'full') OR feature_set IS NULL THEN 1 END,
+      CASE WHEN feature_set NOT IN ('clean', 'full') THEN 1 END,
       CASE WHEN feature_set = 'full' AND (funding_total_usd IS NULL OR funding_rounds IS NULL
                 OR date_diff('day', first_funding_date, last_funding_date) IS NULL) THEN 1 END],
       lambda x: x IS NOT NULL)) > 0""")
@@ -550,18 +580,18 @@ def q1_stream_dead_letters(spark, sf_dir):
     from cohortlab.streaming.scoring import run_stream
     base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
     in_dir = os.path.join(base, "in")
-    _request_rows(spark, sf_dir).repartition(4).write.parquet(in_dir)  # several request files
-    _, dead = run_stream(spark, in_dir, base, model=None)
-    return spark.read.parquet(dead).select("request_id", F.size("errors").cast("bigint").alias("n_errors"))
+    _request_rows(spark, sf_dir).write.parquet(in_dir)
+    _, dead = run_stream(spark, in_dir, base)
+    return spark.read.parquet(dead).drop("epoch").select("request_id", F.size("errors").cast("bigint").alias("n_errors"))
 
 
 @query("q1_stream_scoring")
 def q1_stream_scoring(spark, sf_dir):
-    """Q1: the same stream with the calibrated clean model: valid requests scored per micro-batch."""
+    """Q1: the same stream with both calibrated models: valid requests scored by their feature set per micro-batch."""
     from cohortlab.streaming.scoring import run_stream
-    m = _serving(spark, sf_dir, "clean")
+    m = _served(spark, sf_dir)
     base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
     in_dir = os.path.join(base, "in")
-    _request_rows(spark, sf_dir).repartition(4).write.parquet(in_dir)
-    out, _ = run_stream(spark, in_dir, base, model=m)
+    _request_rows(spark, sf_dir).write.parquet(in_dir)
+    out, _ = run_stream(spark, in_dir, base, m)
     return spark.read.parquet(out)

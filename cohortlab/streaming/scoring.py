@@ -3,8 +3,8 @@
 Request files land in a folder; a file-source stream with an explicit schema
 reads them, and every micro-batch goes through exactly the batch functions
 (``validation_errors`` then ``score_requests``) inside ``foreachBatch``. Valid
-rows are scored and appended to the output parquet; rows that break a request
-rule go to the dead-letter parquet with their error list. No state is kept, so
+rows are scored, by the model of their feature set, into the epoch's folder of the output; rows that break
+a request rule go to the dead-letter folder with their error list. No state is kept, so
 no watermark is needed; the checkpoint makes the query restartable and the
 ``availableNow`` trigger drains the folder and stops.
 """
@@ -33,24 +33,29 @@ REQUEST_SCHEMA = T.StructType([
 ])
 
 
-def process_batch(batch: DataFrame, model: sv.ServingModel | None, out_dir: str, dead_dir: str) -> None:
-    """The per-micro-batch body; also callable on a static DataFrame (batch = stream)."""
-    checked = sv.validation_errors(batch)
-    dead = checked.where(F.size("errors") > 0)
-    dead.write.mode("append").parquet(dead_dir)
-    valid = checked.where(F.size("errors") == 0).drop("errors")
-    if model is not None:
-        valid = sv.score_requests(model, valid.withColumn(
-            "funding_total_usd_log1p", F.log1p("funding_total_usd")), with_contributions=False)
-    valid.write.mode("append").parquet(out_dir)
+def process_batch(batch: DataFrame, models: dict[str, sv.ServingModel] | sv.ServingModel | None, out_dir: str, dead_dir: str, epoch: int = 0) -> None:
+    """The per-micro-batch body; also callable on a static DataFrame (batch = stream).
 
+    Each epoch owns one folder of either sink and overwrites it, so a replayed micro-batch leaves the same rows.
+    """
+    checked = sv.validation_errors(batch).persist()
+    try:
+        checked.where(F.size("errors") > 0).write.mode("overwrite").parquet(f"{dead_dir}/epoch={epoch}")
+        valid = checked.where(F.size("errors") == 0).drop("errors")
+        if models is not None:
+            valid = sv.score_requests(models, valid.withColumn(
+                "funding_total_usd_log1p", F.log1p("funding_total_usd")), with_contributions=False)
+        valid.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
+    finally:
+        checked.unpersist()
 
-def run_stream(spark: SparkSession, in_dir: str, work_dir: str, model: sv.ServingModel | None = None) -> tuple[str, str]:
+
+def run_stream(spark: SparkSession, in_dir: str, work_dir: str, models: dict[str, sv.ServingModel] | sv.ServingModel | None = None) -> tuple[str, str]:
     """Drain ``in_dir`` once (availableNow) and return (scored_dir, dead_letter_dir)."""
     out_dir, dead_dir = os.path.join(work_dir, "scored"), os.path.join(work_dir, "dead_letter")
     stream = spark.readStream.schema(REQUEST_SCHEMA).parquet(in_dir)
     q = (stream.writeStream
-         .foreachBatch(lambda df, epoch: process_batch(df, model, out_dir, dead_dir))
+         .foreachBatch(lambda df, epoch: process_batch(df, models, out_dir, dead_dir, epoch))
          .option("checkpointLocation", os.path.join(work_dir, "checkpoint"))
          .trigger(availableNow=True)
          .start())

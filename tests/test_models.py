@@ -54,11 +54,83 @@ def test_cohort_backoff(spark):
     assert got[4].level is None and got[4].cohort_n is None
 
 
-def test_pav_is_monotone():
-    pdf = pd.DataFrame({"replicate": 0, "score": [0.1, 0.2, 0.3, 0.4], "w": [1.0, 2.0, 1.0, 1.0],
-                        "wpos": [1.0, 0.0, 1.0, 0.0]})
-    out = ca._pav(pdf)
-    assert list(out["y"]) == sorted(out["y"]) and abs((out["y"] * pdf["w"]).sum() - 2.0) < 1e-12
+def test_pooling_is_monotone_and_associative():
+    rng = np.random.default_rng(1)
+    x = np.sort(rng.random(500))
+    w = rng.integers(1, 5, 500).astype(float)
+    wpos = np.minimum(w, rng.binomial(4, x).astype(float))
+    lo, hi, pw, pp = ca.pool(x, x, w, wpos)
+    assert (np.diff(pp / pw) > 0).all() and pw.sum() == w.sum() and pp.sum() == wpos.sum()
+    first = [ca.pool(x[i:i + 50], x[i:i + 50], w[i:i + 50], wpos[i:i + 50]) for i in range(0, 500, 50)]
+    again = ca.pool(*(np.concatenate(c) for c in zip(*first)))
+    assert all(np.allclose(u, v) for u, v in zip(again, (lo, hi, pw, pp)))
+
+
+def test_poisson_draws(spark):
+    u = spark.range(3000).select(((F.col("id") + 0.5) / 3000).alias("u"))
+    for n in (0, 1, 2, 40, 5000):
+        x = np.array([r[0] for r in u.select(ca.poisson_draw(F.col("u"), F.lit(n))).collect()])
+        assert abs(x.mean() - n) <= 0.02 * max(n, 1) ** 0.5 + 1e-9 and abs(x.var() - n) <= 0.03 * max(n, 1)
+
+
+def test_bootstrap_cells_and_bands_above_the_old_limit(spark):
+    """12,000 distinct scores: no grid, one refit per replicate, bands around the isotonic fit."""
+    cal = spark.range(12000).select(((F.col("id") + 0.25) / 12000).alias("raw_score"), (F.rand(3) < (F.col("id") + 0.25) / 12000).cast("int").alias("label")).cache()
+    cells = ca.bootstrap_cells(cal, n_bootstrap=20)
+    assert cells.select("score").distinct().count() == 12000
+    curves = ca.bootstrap_curves(cells).cache()
+    assert curves.select("replicate").distinct().count() == 20 and curves.count() < 20 * 2000
+    req = spark.createDataFrame([(0.2,), (0.5,), (0.8,)], "raw_score double")
+    for r in ca.bootstrap_band(req, curves).collect():
+        assert r.band_lower - 0.05 <= r.raw_score <= r.band_upper + 0.05 and r.band_upper - r.band_lower < 0.3
+
+
+def test_bootstrap_refits_the_sigmoid(spark):
+    rng = np.random.default_rng(2)
+    raw = rng.random(600)
+    cal = spark.createDataFrame([(float(a), int(b)) for a, b in zip(raw, rng.random(600) < raw)], "raw_score double, label int")
+    point = {round(r.raw_score, 9): r.probability for r in ca.fit_calibrator(cal, "sigmoid").transform(cal.limit(50)).collect()}
+    curves = ca.bootstrap_curves(ca.bootstrap_cells(cal, n_bootstrap=100), "sigmoid")
+    band = ca.bootstrap_band(cal.limit(50), curves, method="sigmoid").collect()
+    inside = [r.band_lower <= point[round(r.raw_score, 9)] <= r.band_upper for r in band]
+    assert np.mean(inside) >= 0.95
+
+
+def test_leaf_shap_equals_subset_enumeration():
+    """Against the definition, for a random tree over more features than the old limit of 12."""
+    import itertools
+    import math
+    rng = np.random.default_rng(4)
+    tree, todo = {}, [(0, 0, 1000.0)]
+    while todo:
+        nid, depth, cover = todo.pop()
+        if depth == 4 or cover < 40:
+            tree[nid] = {"prediction": float(rng.normal()), "cover": cover, "left": -1, "right": -1, "feature": -1, "threshold": None}
+            continue
+        share = 0.2 + 0.6 * rng.random()
+        tree[nid] = {"prediction": 0.0, "cover": cover, "left": 2 * nid + 1, "right": 2 * nid + 2, "feature": int(rng.integers(0, 15)), "threshold": float(rng.random())}
+        todo += [(2 * nid + 1, depth + 1, cover * share), (2 * nid + 2, depth + 1, cover * (1 - share))]
+    x = rng.random((5, 15))
+    phi, total, base = ex._leaf_values(x, ex._leaf_table(0.5, tree))
+
+    def expect(row, nid, known):
+        node = tree[nid]
+        if node["left"] < 0:
+            return 0.5 * node["prediction"]
+        if node["feature"] in known:
+            return expect(row, node["left"] if row[node["feature"]] <= node["threshold"] else node["right"], known)
+        l, r = tree[node["left"]]["cover"], tree[node["right"]]["cover"]
+        return (l * expect(row, node["left"], known) + r * expect(row, node["right"], known)) / (l + r)
+
+    used = sorted({n["feature"] for n in tree.values() if n["left"] >= 0})
+    for i in range(5):
+        assert abs(total[i] - expect(x[i], 0, set(used))) < 1e-12 and abs(base - expect(x[i], 0, set())) < 1e-12
+        for f in used:
+            rest, want = [g for g in used if g != f], 0.0
+            for n in range(len(rest) + 1):
+                weight = math.factorial(n) * math.factorial(len(used) - n - 1) / math.factorial(len(used))
+                want += weight * sum(expect(x[i], 0, {*s, f}) - expect(x[i], 0, set(s)) for s in itertools.combinations(rest, n))
+            assert abs(phi[i, f] - want) < 1e-9
 
 
 def test_tree_shap_additivity_and_linear(spark, features):
@@ -89,6 +161,8 @@ def test_validation_dead_letters(spark):
     got = {r.request_id: r.errors for r in sv.validation_errors(req).collect()}
     assert got["a"] == []
     assert len(got["b"]) == 3
+    default = req.withColumns({"feature_set": F.lit(None).cast("string"), "funding_rounds": F.lit(1.5)}).where("request_id = 'a'")
+    assert sv.validation_errors(default).first().errors == ["funding_rounds must be an integer"]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -103,6 +177,42 @@ def test_stream_equals_batch(spark, tmp_path):
     a = sorted(r.request_id for r in spark.read.parquet(dead_stream).collect())
     b = sorted(r.request_id for r in spark.read.parquet(str(tmp_path / "b" / "dead")).collect())
     assert a == b and len(a) == 15
+    process_batch(df, None, str(tmp_path / "b" / "scored"), str(tmp_path / "b" / "dead"))  # a replayed epoch
+    assert spark.read.parquet(str(tmp_path / "b" / "dead")).count() == 15
+    assert spark.read.parquet(str(tmp_path / "b" / "scored")).count() == 45
+
+
+def test_facts_text(spark):
+    contributions = "array<struct<feature:string,value:string,shap_value:double,direction:string>>"
+    row = ("q", (0.5, 0.4, 0.45, 0.61, 70.04, [("founded_year", "2000.0", -0.25, "decreases"), ("region", "ASIA", 0.1, "increases")], "country+category", "US", "Web", 40, 0.125))
+    schema = ("request_id string, facts struct<probability:double,raw_probability:double,band_lower:double,band_upper:double,percentile:double,"
+              f"top_contributions:{contributions},cohort_level:string,cohort_country:string,cohort_category:string,cohort_n:long,cohort_success_rate:double>")
+    text = sv.render_facts(spark.createDataFrame([row], schema), foreground=F.lit("founded_year")).first().answer
+    assert "- You asked about `founded_year`: it decreases the score (SHAP -0.250, value = 2000.00)." in text
+    assert "| `founded_year` | 2000.00 | -0.250 | decreases |\n| `region` | ASIA | +0.100 | increases |" in text
+    assert text.endswith("- Matching cohort (country + category = US, Web, n=40): observed success rate **12.5%** in the training data.")
+    assert "You asked" not in sv.render_facts(spark.createDataFrame([row], schema), foreground=F.lit("other")).first().answer
+
+
+def test_requests_are_scored_by_their_feature_set(spark, features):
+    train = features.where(F.col("split") == "train")
+    models = {}
+    for name, column in (("clean", "founded_year"), ("full", "funding_rounds")):
+        spec = mo.ModelSpec(name, "gbt", [column], ["country_code"], "ordinal", name, False, {"maxIter": 3})
+        base = mo.fit(spec, train)
+        raw = base.transform(train).withColumnRenamed("score", "raw_score")
+        calibrator = ca.fit_calibrator(raw, "sigmoid")
+        reference = calibrator.transform(raw).select(F.col("probability").alias("score")).cache()
+        curves = ca.bootstrap_curves(ca.bootstrap_cells(raw, n_bootstrap=5), "sigmoid").cache()
+        models[name] = sv.ServingModel(name, name, base, calibrator, "sigmoid", reference, reference, curves, train)
+    req = features.where(F.col("split") == "test").limit(30).withColumn("request_id", F.col("permalink")).withColumn(
+        "feature_set", F.when(F.col("name").cast("long") % 3 == 0, "full").when(F.col("name").cast("long") % 3 == 1, "clean")).cache()
+    got = {r.request_id: r for r in sv.score_requests(models, req).collect()}
+    assert len(got) == req.count()
+    for r in req.collect():
+        want = r.feature_set or "clean"
+        assert got[r.request_id].feature_set == want
+        assert {c.feature for c in got[r.request_id].contributions} == set(models[want].base.spec.columns)
 
 
 def test_sigmoid_calibrator(spark):
