@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import SEPARATORS, stored
+from cohortlab.llm.common import SEPARATORS, kept, stored
 
 SPLIT = "[ \\t\\n\\x0B\\f\\r]+"
 SYMBOLS = "#*$%&|<>"
@@ -34,6 +34,8 @@ GROUP = 200
 FENCE = 3
 #: Measure -> (slack below the lower fence or None, slack above the upper one), in buckets.
 MEASURES: dict[str, tuple[int | None, int]] = {"symbols": (None, 50), "dup_lines": (None, 350), "repeats": (None, 200), "upper": (None, 150), "word_length": (15, 15)}
+#: Files of a stored sketch.
+FILES = 4
 #: Largest bucket.
 TOP = 1000
 
@@ -130,8 +132,9 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept and failed (the measures beyond their fences)."""
-    drawn = stored(buckets(measured(docs)), "measures")
-    limits = stored(thresholds(stored(sketches(drawn), "sketch")), "thresholds")
+    drawn = kept(buckets(measured(docs)))
+    # both are small (groups x measures x buckets): a few files each
+    limits = stored(thresholds(stored(sketches(drawn).coalesce(FILES), "sketch")).coalesce(FILES), "thresholds")
     out = drawn.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")))
     beyond = lambda m: (F.col(m) > F.col("t")[m]["hi"]) | F.coalesce(F.col(m) < F.col("t")[m]["lo"], F.lit(False))
     failed = F.filter(F.array(*[F.when(beyond(m), F.lit(m)) for m in MEASURES]), lambda x: x.isNotNull())
