@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import SEPARATORS, parts, stored
+from cohortlab.llm.common import SEPARATORS, kept, parts, stored
 
 WEIGHTS, CAP = (5, 2, 1), 3
 #: Words of a block and of an output shard.
@@ -36,8 +36,9 @@ WIDE = 256
 
 
 def word_count(text: Column) -> Column:
-    trimmed = F.btrim(text, F.lit(SEPARATORS))
-    return F.when(F.length(trimmed) > 0, F.size(F.split(trimmed, "[ \\t\\n\\x0B\\f\\r]+"))).otherwise(0).cast("long")
+    """Each word with the separators after it becomes one mark; the marks are counted."""
+    marks = F.regexp_replace(F.ltrim(text, F.lit(SEPARATORS)), "[^ \\t\\n\\x0B\\f\\r]+[ \\t\\n\\x0B\\f\\r]*", "x")
+    return F.coalesce(F.length(marks), F.lit(0)).cast("long")
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -132,10 +133,10 @@ def mixture(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int =
     documents: doc_id, size, source_size, target, place, at; copies: place, at, copy, words, shard, key.
     ``place`` and ``at`` name a document with words; ``key`` orders a shard's rows.
     """
-    sized = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
-    targets = stored(source_targets(sized), "targets")
+    sized = kept(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+    targets = stored(source_targets(sized).coalesce(1), "targets")  # one row per source
     told = sized.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-    placed = stored(lines(told, seed), "lines")
+    placed = kept(lines(told, seed))
     want = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(0).cast("long")
     drawn = (placed.where("size > 0").withColumn("want", want).withColumn("passes", passes).select("place", "at", "size", "source_size", "want", "passes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("copy"))
