@@ -168,3 +168,4 @@ FACTS_COHORT_END = "** in the training data."
 # Fixed value: the feature set of a request that names none.
 DEFAULT_FEATURE_SET = "clean"
 FEATURE_SETS = ("clean", "full")
+PDP_TOP_CATEGORIES = 20

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlab import constants as C
@@ -198,6 +198,15 @@ def numeric_grid(ranges: DataFrame, feature: str, n_points: int = C.PDP_GRID_POI
                     .otherwise(F.col("i").cast("double") * F.col("_step") + F.col("_lo")).alias("grid_value"))
 
 
+def category_grid(train: DataFrame, cols: list[str], top_n: int = C.PDP_TOP_CATEGORIES) -> DataFrame:
+    """The ``top_n`` most frequent values per categorical feature (a top-k report), ties by value."""
+    stacked = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
+    long = train.selectExpr(f"stack({len(cols)}, {stacked}) AS (feature, value)").where(F.col("value").isNotNull())
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("feature").orderBy(F.col("n").desc(), "value")
+    return counts.withColumn("i", F.row_number().over(w) - 1).where(F.col("i") < top_n)
+
+
 def sensitivity(model: FittedModel, base_rows: DataFrame, key: str, feature: str, grid: DataFrame,
                 calibrator=None) -> DataFrame:
     """L22 + J10: each base row repeated over the (<= 30 point) grid with one feature replaced.

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cohortlab import constants as C
 from cohortlab.operators.prefix import exact_quantiles, fold_hash, ranks
+from cohortlab.session import materialize
 
 
 @dataclass
@@ -215,18 +216,23 @@ def assign_folds(train: DataFrame, key: str, n_splits: int = C.CV_FOLDS, repeats
     return r.withColumn("fold", ((F.col("rank") - 1) % n_splits).cast("int")).drop("_h", "rank")
 
 
+def folded(spec: ModelSpec, train: DataFrame, key: str, n_splits: int, repeats: int, seed: int) -> DataFrame:
+    """The columns a fit needs, one row per training row with one fold number per repeat (fold_0, fold_1, ...), stored."""
+    long = assign_folds(train.select(key, "label"), key, n_splits, repeats, seed)
+    wide = long.groupBy(key).agg(*[F.max(F.when(F.col("repeat") == r, F.col("fold"))).alias(f"fold_{r}") for r in range(repeats)])
+    return materialize(train.select(key, "label", *spec.columns).join(wide, key), "folds")
+
+
 def cross_validated_scores(spec: ModelSpec, train: DataFrame, key: str, n_splits: int = C.CV_FOLDS,
                            repeats: int = 1, seed: int = 42, parallelism: int = 8) -> DataFrame:
     """Held-out scores of every (repeat, fold) fit; fits run as concurrent Spark jobs."""
-    folds = assign_folds(train, key, n_splits, repeats, seed)
-    folds = folds.checkpoint(eager=True)  # fold ids are reused by every fit
+    rows = folded(spec, train, key, n_splits, repeats, seed)
 
     def one(rf):
         r, f = rf
-        tr = folds.where((F.col("repeat") == r) & (F.col("fold") != f))
-        te = folds.where((F.col("repeat") == r) & (F.col("fold") == f))
-        m = fit(spec, tr)
-        return m.transform(te).select(key, "label", "repeat", "fold", "score")
+        m = fit(spec, rows.where(F.col(f"fold_{r}") != f))
+        held = m.transform(rows.where(F.col(f"fold_{r}") == f))
+        return held.select(key, "label", F.lit(r).alias("repeat"), F.lit(f).alias("fold"), "score")
 
     jobs = [(r, f) for r in range(repeats) for f in range(n_splits)]
     with ThreadPoolExecutor(max_workers=parallelism) as ex:

@@ -1,6 +1,9 @@
 """Named queries: sources, ETL, projections and group analytics (S*, P*, A*, J1/J4, O*)."""
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from cohortlab import constants as C
@@ -8,6 +11,8 @@ from cohortlab.functions.columns import funding_band, funding_band_ord
 from cohortlab.operators import features as fe
 from cohortlab.operators import grouping as gr
 from cohortlab.plans.registry import query
+from cohortlab.session import ensure_checkpoint_dir
+from cohortlab.sources import tables as tb
 from cohortlab.sources.standins import companies_raw
 
 
@@ -58,10 +63,13 @@ def p1_funding_usd(spark, sf_dir):
 
 
 @query("p1_funding_parse_report", ["companies_raw"], """
-  SELECT CAST(0 AS BIGINT) AS n_bad, CAST([] AS VARCHAR[]) AS examples""")
+  WITH bad AS (SELECT 'n/a ' || name AS v FROM companies_raw WHERE CAST(name AS BIGINT) % 50 = 0)
+  SELECT (SELECT count(*) FROM bad) AS n_bad, (SELECT list(v ORDER BY v) FROM (SELECT DISTINCT v FROM bad ORDER BY v LIMIT 10)) AS examples""")
 def p1_funding_parse_report(spark, sf_dir):
-    """P1 report variant: count of unparseable funding values and up to 10 examples."""
-    return fe.funding_parse_report(companies_raw(spark, sf_dir))
+    """P1 report variant: count of unparseable funding values (every fiftieth company gets one) and up to 10 examples."""
+    raw = companies_raw(spark, sf_dir)
+    broken = F.when(F.col("name").cast("bigint") % 50 == 0, F.concat(F.lit("n/a "), "name")).otherwise(F.col("funding_total_usd"))
+    return fe.funding_parse_report(raw.withColumn("funding_total_usd", broken))
 
 
 @query("p2_label_and_filter", ["co_labelled"], """
@@ -347,11 +355,21 @@ def j4_region_options(spark, sf_dir):
 
 
 @query("o3_unknown_statuses", ["companies_raw"], """
-  SELECT DISTINCT status FROM companies_raw
-  WHERE status IS NOT NULL AND status NOT IN ('acquired', 'ipo', 'closed', 'operating')""")
+  SELECT DISTINCT CASE WHEN CAST(name AS BIGINT) % 40 = 0 THEN 'closed?' || region ELSE status END AS status FROM companies_raw
+  WHERE status IS NOT NULL AND CAST(name AS BIGINT) % 40 = 0""")
 def o3_unknown_statuses(spark, sf_dir):
-    """O3: statuses outside the vocabulary (anti join against a literal table)."""
-    return fe.unknown_statuses(companies_raw(spark, sf_dir))
+    """O3: statuses outside the vocabulary (anti join against a literal table); every fortieth company gets one."""
+    raw = companies_raw(spark, sf_dir)
+    odd = F.when(F.col("name").cast("bigint") % 40 == 0, F.concat(F.lit("closed?"), "region")).otherwise(F.col("status"))
+    return fe.unknown_statuses(raw.withColumn("status", odd))
+
+
+@query("s1_raw_csv", ["companies_raw"], "SELECT * FROM companies_raw")
+def s1_raw_csv(spark, sf_dir):
+    """The raw table written as CSV files with a header and read back under the header contract."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"raw-{uuid.uuid4().hex}")
+    companies_raw(spark, sf_dir).write.option("header", True).csv(path)
+    return tb.read_raw_csv(spark, path)
 
 
 @query("o5_split_sizes", ["features"], """

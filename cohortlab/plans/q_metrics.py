@@ -8,6 +8,7 @@ from cohortlab.operators import uncertainty as un
 from cohortlab.operators.prefix import exact_quantile_sql, fold_hash, fold_hash_sql, ranks
 from cohortlab.plans.oracle import add_view
 from cohortlab.plans.registry import query
+from cohortlab.session import materialize
 from cohortlab.sources.standins import event_scores
 
 
@@ -240,8 +241,24 @@ def j3_band_lookup(spark, sf_dir):
   SELECT score, n, sum(n) OVER (ORDER BY score) AS cum_n, sum(n) OVER () AS total
   FROM (SELECT score, count(*) AS n FROM scores GROUP BY score) c""")
 def s7_ecdf_table(spark, sf_dir):
-    """The compressed reference ECDF (what is saved / loaded as parquet)."""
-    return un.ecdf_table(scores(spark, sf_dir))
+    """The compressed reference ECDF, saved as parquet and loaded again."""
+    return materialize(un.ecdf_table(scores(spark, sf_dir)), "ecdf")
+
+
+def _wilson_sql(z: float) -> str:
+    return _BANDS_SQL.replace("1.6448536269514722", repr(z))
+
+
+@query("u1_wilson_95", ["scores"], _wilson_sql(1.959963984540054))
+def u1_wilson_95(spark, sf_dir):
+    """The band table with Wilson 95 % intervals."""
+    return un.confidence_bands(scores(spark, sf_dir), confidence=0.95)
+
+
+@query("u1_wilson_99", ["scores"], _wilson_sql(2.5758293035489004))
+def u1_wilson_99(spark, sf_dir):
+    """The band table with Wilson 99 % intervals."""
+    return un.confidence_bands(scores(spark, sf_dir), confidence=0.99)
 
 
 @query("w1_percentile", ["scores"], """

@@ -102,12 +102,10 @@ def l1_train_medians(spark, sf_dir):
 def l2_scaling_stats(spark, sf_dir):
     """L2: mean and population std of the median-imputed train columns."""
     train = features_of(spark, sf_dir).where(F.col("split") == "train")
-    med = mo.medians(train, _NUM)
-    long = train.selectExpr(f"stack({len(_NUM)}, " + ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in _NUM)
-                            + ") AS (feature, value)")
-    j = long.join(F.broadcast(med), "feature")  # one median per feature
-    x = F.coalesce(F.col("value"), F.col("median"))
-    return j.groupBy("feature").agg(F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"))
+    med = {r["feature"]: r["median"] for r in mo.medians(train, _NUM).collect()}  # one number per feature
+    stats = mo.scaling_stats(train, _NUM, med)
+    out = spark.createDataFrame([(c, float(m), float(s)) for c, (m, s) in stats.items()], "feature string, mean double, std double")
+    return out.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query("l3_missing_category", ["features"], """
@@ -170,16 +168,36 @@ def a10_numeric_ranges(spark, sf_dir):
     return r.select("feature", "min", "max", F.round("p01", 9).alias("p01"), F.round("p99", 9).alias("p99"))
 
 
-@query("l23_sensitivity_grid", ["features"], f"""
-  WITH r AS (SELECT greatest((SELECT value FROM {exact_quantile_sql("(SELECT * FROM features WHERE split = 'train')", "founded_year", [0.01])} q), 1980.0) AS lo,
-                    (SELECT value FROM {exact_quantile_sql("(SELECT * FROM features WHERE split = 'train')", "founded_year", [0.99])} q) AS hi)
-  SELECT 'founded_year' AS feature, i, round(CASE WHEN i = 29 THEN hi ELSE CAST(i AS DOUBLE) * ((hi - lo) / 29.0) + lo END, 9) AS grid_value
-  FROM r, range(0, 30) t(i)""")
+def _grid_sql(c: str) -> str:
+    lo = f"(SELECT value FROM {exact_quantile_sql("(SELECT * FROM features WHERE split = 'train')", c, [0.01])} q)"
+    hi = f"(SELECT value FROM {exact_quantile_sql("(SELECT * FROM features WHERE split = 'train')", c, [0.99])} q)"
+    lo = f"greatest({lo}, 1980.0)" if c == "founded_year" else lo
+    return (f"SELECT '{c}' AS feature, i, round(CASE WHEN i = 29 THEN hi ELSE CAST(i AS DOUBLE) * ((hi - lo) / 29.0) + lo END, 6) AS grid_value "
+            f"FROM (SELECT {lo} AS lo, {hi} AS hi) r, range(0, 30) t(i)")
+
+
+@query("l23_sensitivity_grid", ["features"], " UNION ALL ".join(_grid_sql(c) for c in _NUM))
 def l23_sensitivity_grid(spark, sf_dir):
-    """30-point grid p01..p99 (founded_year floored at 1980)."""
-    r = ex.numeric_ranges(features_of(spark, sf_dir).where(F.col("split") == "train"), ["founded_year"])
-    g = ex.numeric_grid(r, "founded_year", floor=C.PDP_FOUNDED_YEAR_FLOOR)
-    return g.select("feature", F.col("i").cast("bigint").alias("i"), F.round("grid_value", 9).alias("grid_value"))
+    """30-point grid p01..p99 of every numeric feature (founded_year floored at 1980)."""
+    r = ex.numeric_ranges(features_of(spark, sf_dir).where(F.col("split") == "train"), _NUM).checkpoint(eager=True)
+    out = None
+    for c in _NUM:
+        g = ex.numeric_grid(r, c, floor=C.PDP_FOUNDED_YEAR_FLOOR if c == "founded_year" else None)
+        out = g if out is None else out.unionByName(g)
+    return out.select("feature", F.col("i").cast("bigint").alias("i"), F.round("grid_value", 6).alias("grid_value"))
+
+
+@query("l23_category_grid", ["features"], """
+  SELECT feature, value, i FROM (
+    SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) - 1 AS i FROM (
+      SELECT 'country_code' AS feature, country_code AS value, count(*) AS n FROM features WHERE split = 'train' AND country_code IS NOT NULL GROUP BY country_code
+      UNION ALL SELECT 'region', region, count(*) FROM features WHERE split = 'train' AND region IS NOT NULL GROUP BY region
+      UNION ALL SELECT 'primary_category', primary_category, count(*) FROM features WHERE split = 'train' AND primary_category IS NOT NULL GROUP BY primary_category) a) b
+  WHERE i < 20""")
+def l23_category_grid(spark, sf_dir):
+    """The 20 most frequent values of every categorical feature, ties by value."""
+    train = features_of(spark, sf_dir).where(F.col("split") == "train")
+    return ex.category_grid(train, C.CLEAN_CATEGORICAL_FEATURES).select("feature", "value", F.col("i").cast("bigint").alias("i"))
 
 
 add_view("calsplit", ["features"], f"""
@@ -358,56 +376,99 @@ def a17_leakage_gap(spark, sf_dir):
     return out
 
 
-def _cv_summary(spark, sf_dir, name, repeats=C.CV_REPEATS):
-    k = ("cv", _stamp(spark, sf_dir), name, repeats)
-    if k not in _CACHE:
-        f = _features(spark, sf_dir).where(F.col("split") == "train").withColumn("k", F.col("name").cast("bigint"))
-        scores = mo.cross_validated_scores(mo.spec_by_name(name), f, "k", C.CV_FOLDS, repeats)
-        g = ["repeat", "fold"]
-        fm = (me.roc_auc(scores, g).join(me.average_precision(scores, g, digits=None), g)
-                .join(me.brier(scores, g, digits=None), g))
-        lng = fm.selectExpr("repeat", "fold", "stack(3, 'roc_auc', roc_auc, 'average_precision', average_precision, "
-                            "'brier_score', brier_score) AS (metric, value)")
-        _CACHE[k] = me.metric_summary(lng, digits=6).checkpoint(eager=True)
-    return _CACHE[k]
+#: Repeats of the five folds: a boosted fit costs some hundred Spark jobs, so boosted models are validated once.
+CV_REPEATS = {"dummy": C.CV_REPEATS, "lr": C.CV_REPEATS, "gbt": 1}
 
 
-def _oof_threshold(spark, sf_dir, name):
-    k = ("oof", _stamp(spark, sf_dir), name)
+def _cv_scores(spark, sf_dir, spec):
+    """Stored out-of-fold scores (label, repeat, fold, score) of a catalogue model."""
+    k = ("cv", _stamp(spark, sf_dir), spec.name)
     if k not in _CACHE:
         f = _features(spark, sf_dir).where(F.col("split") == "train").withColumn("k", F.col("name").cast("bigint"))
-        scores = mo.cross_validated_scores(mo.spec_by_name(name), f, "k", C.CV_FOLDS, 1)
-        _CACHE[k] = me.choose_threshold(scores.select("label", "score")).checkpoint(eager=True)
+        _CACHE[k] = mo.cross_validated_scores(spec, f, "k", C.CV_FOLDS, CV_REPEATS[spec.kind]).checkpoint(eager=True)
     return _CACHE[k]
 
 
-@query("l12_cv_logistic_clean")
-def l12_cv_logistic_clean(spark, sf_dir):
-    """L12 + A18: repeated stratified CV (5 folds x 10 repeats) of the clean logistic model."""
-    return _cv_summary(spark, sf_dir, "logistic_regression_clean")
+def _cv_summary(spark, sf_dir, spec):
+    """metric, mean, std, ... over the (repeat, fold) held-out parts."""
+    scores, g = _cv_scores(spark, sf_dir, spec), ["repeat", "fold"]
+    fm = (me.roc_auc(scores, g).join(me.average_precision(scores, g, digits=None), g).join(me.brier(scores, g, digits=None), g))
+    lng = fm.selectExpr("repeat", "fold", "stack(3, 'roc_auc', roc_auc, 'average_precision', average_precision, "
+                        "'brier_score', brier_score) AS (metric, value)")
+    return me.metric_summary(lng, digits=6)
+
+
+def _oof_threshold(spark, sf_dir, spec):
+    """The F0.5-best threshold on the first repeat's out-of-fold scores: every training row once."""
+    return me.choose_threshold(_cv_scores(spark, sf_dir, spec).where("repeat = 0").select("label", "score"))
+
+
+def _per_spec(spark, sf_dir, one):
+    """Union of ``one(spec)`` over the catalogue, with the model's name."""
+    out = None
+    for spec in mo.build_specs():
+        part = one(spec).withColumn("model_name", F.lit(spec.name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("l12_cv_models")
+def l12_cv_models(spark, sf_dir):
+    """L12 + A18: stratified five-fold CV of every catalogue model (ten repeats; boosted models one)."""
+    return _per_spec(spark, sf_dir, lambda spec: _cv_summary(spark, sf_dir, spec).withColumn("repeats", F.lit(CV_REPEATS[spec.kind])))
 
 
 @query("l13_oof_threshold")
 def l13_oof_threshold(spark, sf_dir):
-    """L13 + M8: F0.5-best threshold on 5-fold out-of-fold probabilities (clean logistic model)."""
-    return _oof_threshold(spark, sf_dir, "logistic_regression_clean")
+    """L13 + M8: F0.5-best threshold on 5-fold out-of-fold probabilities of every catalogue model."""
+    return _per_spec(spark, sf_dir, lambda spec: _oof_threshold(spark, sf_dir, spec))
 
 
 @query("l14_train_one")
 def l14_train_one(spark, sf_dir):
-    """L14 + S8: CV summary, OOF threshold, final fit, test metrics at that threshold - one registry row."""
-    name = "logistic_regression_clean"
-    cv = _cv_summary(spark, sf_dir, name)
-    thr = _oof_threshold(spark, sf_dir, name).first()
-    model = _fitted(spark, sf_dir, name)
+    """L14 + S8: CV summary, OOF threshold, final fit, test metrics at that threshold - one registry row per model."""
+    test = _features(spark, sf_dir).where(F.col("split") == "test")
+
+    def one(spec):
+        thr = _oof_threshold(spark, sf_dir, spec).first()
+        model = _fitted(spark, sf_dir, spec.name)
+        m = me.compute_metrics(model.transform(test).select("label", "score"), float(thr["threshold"]))
+        cvw = _cv_summary(spark, sf_dir, spec).groupBy().pivot("metric", ["roc_auc", "average_precision", "brier_score"]).agg(
+            F.first("mean").alias("mean"), F.first("std").alias("std"))
+        meta = spark.createDataFrame([(spec.feature_set, spec.encoding, model.n_train, float(thr["best_f_beta"]))],
+                                     "feature_set string, categorical_encoding string, n_train long, oof_f0_5 double")
+        return meta.crossJoin(m).crossJoin(cvw)  # one row each
+
+    return _per_spec(spark, sf_dir, one)
+
+
+@query("m10_test_reliability")
+def m10_test_reliability(spark, sf_dir):
+    """M10 + M9: reliability curve of every catalogue model on the test split."""
     test = _features(spark, sf_dir).where(F.col("split") == "test")
-    m = me.compute_metrics(model.transform(test).select("label", "score"), float(thr["threshold"]))
-    cvw = cv.groupBy().pivot("metric", ["roc_auc", "average_precision", "brier_score"]).agg(
-        F.first("mean").alias("mean"), F.first("std").alias("std"))
-    meta = spark.createDataFrame([(name, "clean", "onehot", model.n_train, float(thr["best_f_beta"]))],
-                                 "model_name string, feature_set string, categorical_encoding string, n_train long, "
-                                 "oof_f0_5 double")
-    return meta.crossJoin(m).crossJoin(cvw)
+    return _per_spec(spark, sf_dir, lambda spec: me.reliability_curve(_fitted(spark, sf_dir, spec.name).transform(test).select("label", "score")))
+
+
+@query("m13_model_comparison")
+def m13_model_comparison(spark, sf_dir):
+    """CV against test AUC of every model, and the family's leakage gap (full - clean) on the test split."""
+    cv = l12_cv_models(spark, sf_dir).where("metric = 'roc_auc'").select("model_name", F.col("mean").alias("cv_roc_auc"))
+    test = l9_l10_test_metrics(spark, sf_dir).select("model_name", F.col("roc_auc").alias("test_roc_auc"))
+    both = test.join(cv, "model_name").withColumn("family", F.regexp_replace("model_name", "_(full|clean)$", ""))
+    pick = lambda fs: F.max(F.when(F.col("model_name").endswith(fs), F.col("test_roc_auc")))
+    gaps = both.groupBy("family").agg((pick("_full") - pick("_clean")).alias("leakage_gap"))
+    return both.join(gaps, "family").select("model_name", "cv_roc_auc", "test_roc_auc", (F.col("cv_roc_auc") - F.col("test_roc_auc")).alias("cv_test_gap"), "leakage_gap")
+
+
+@query("l24_model_info")
+def l24_model_info(spark, sf_dir):
+    """The two served models' registry rows, appended one after the other and read back, with the default set marked."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"served-{uuid.uuid4().hex}")
+    for m in _served(spark, sf_dir).values():
+        tb.write_table(sv.registry_row(spark, m), path, mode="append")
+    rows = spark.read.parquet(path)
+    return rows.select("feature_set", "model_name", "roc_auc_after", "brier_after", "n_test",
+                       (F.col("feature_set") == C.DEFAULT_FEATURE_SET).alias("is_default"))
 
 
 @query("l19_calibration_report")

@@ -7,15 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from cohortlab import constants as C
-from cohortlab.functions.text import raw_tokens, stem, strip_front_matter
-from cohortlab.functions.text import sections_array
+from cohortlab.functions.text import front_matter_field, raw_tokens, sections_array, stem, strip_front_matter
 from cohortlab.operators import chunking as ch
 from cohortlab.operators import retrieval as rt
 from cohortlab.operators import routing as ro
 from cohortlab.plans.oracle import add_view
 from cohortlab.plans.registry import query
 from cohortlab.session import ensure_checkpoint_dir, materialize
-from cohortlab.sources.tables import spread, table
+from cohortlab.sources.tables import read_markdown_corpus, spread, table
 
 # ------------------------------------------------------------------ inputs
 
@@ -115,30 +114,66 @@ def _retrieved(spark, sf_dir, k):
 # ------------------------------------------------------------------ chunking
 
 
-@query("x1_front_matter_strip", [], """
+# Markdown-shaped documents: front matter with the source's address (not on every seventh document), an
+# introduction, and a '## ' section for every line of the text.
+add_view("md_documents", [], """
+  SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE '---' || chr(10) || 'title: "Document ' || CAST(doc_id AS VARCHAR) || '"' || chr(10)
+           || 'source_url: https://corpus.example/' || source || '/' || CAST(doc_id AS VARCHAR) || chr(10) || '---' || chr(10) || chr(10) END
+         || 'Introduction.' || chr(10) || '## Part A' || chr(10) || replace(text, chr(10), chr(10) || '## Next Part' || chr(10)) AS text
+  FROM documents""")
+
+
+def markdown_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    head = F.concat(F.lit('---\ntitle: "Document '), F.col("doc_id").cast("string"), F.lit('"\nsource_url: https://corpus.example/'), F.col("source"), F.lit("/"),
+                    F.col("doc_id").cast("string"), F.lit("\n---\n\n"))
+    body = F.concat(F.lit("Introduction.\n## Part A\n"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n## Next Part\n")))
+    return d.select("doc_id", F.concat(F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(head), body).alias("text"))
+
+
+@query("x1_front_matter_strip", ["md_documents"], """
   SELECT doc_id, CASE WHEN starts_with(text, '---') AND strpos(substr(text, 4), '---') > 0
-                      THEN regexp_replace(substr(text, strpos(substr(text, 4), '---') + 6), '^\\n+', '')
+                      THEN regexp_replace(substr(text, strpos(substr(text, 4), '---') + 6), '^\n+', '')
                       ELSE text END AS body
-  FROM documents""")
+  FROM md_documents""")
 def x1_front_matter_strip(spark, sf_dir):
     """Front matter removed (only leading newlines stripped after it)."""
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", strip_front_matter(F.col("text")).alias("body"))
+    return markdown_documents(spark, sf_dir).select("doc_id", strip_front_matter(F.col("text")).alias("body"))
+
+
+@query("x2_source_url", ["md_documents"], """
+  SELECT doc_id, CASE WHEN starts_with(text, '---') THEN split_part(split_part(text, 'source_url: ', 2), chr(10), 1) END AS source_url
+  FROM md_documents""")
+def x2_source_url(spark, sf_dir):
+    """The source address from the front matter; null without one."""
+    return markdown_documents(spark, sf_dir).select("doc_id", front_matter_field(F.col("text"), "source_url").alias("source_url"))
 
 
-@query("x3_sections", [], """
+@query("x3_sections", ["md_documents"], """
   SELECT doc_id, sec_idx, trim(split_part(p, chr(2), 1), ' \t\n\r\f' || chr(11)) AS heading,
          trim(substr(p, strpos(p, chr(2)) + 1), ' \t\n\r\f' || chr(11)) AS body
   FROM (SELECT doc_id, unnest(parts) AS p, unnest(range(length(parts))) AS sec_idx FROM (
           SELECT doc_id, string_split(regexp_replace(text, '(?m)^##\\s+(.+)$', chr(1) || '\\1' || chr(2), 'g'), chr(1))[2:] AS parts
-          FROM documents) a) b""")
+          FROM md_documents) a) b""")
 def x3_sections(spark, sf_dir):
     """X3: '## ' sections per document (preamble dropped)."""
-    d = table(spark, sf_dir, "documents")
+    d = markdown_documents(spark, sf_dir)
     s = d.select("doc_id", F.posexplode(sections_array(F.col("text"))).alias("sec_idx", "sec"))
     return s.select("doc_id", "sec_idx", F.col("sec.heading").alias("heading"), F.col("sec.body").alias("body"))
 
 
+@query("s5_markdown_corpus", [], """
+  SELECT CAST(item_id AS VARCHAR) AS doc_id, length(text) + 10 AS n_chars FROM benchmark""")
+def s5_markdown_corpus(spark, sf_dir):
+    """Every benchmark passage as a Markdown file of its own, read back through the corpus reader."""
+    base = os.path.join(ensure_checkpoint_dir(spark), f"corpus-{uuid.uuid4().hex}")
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("## Item\n\n"), "text").alias("value"), F.col("item_id").cast("string").alias("item"))
+    # one folder per item: Spark's writer names the files, the folder carries the id
+    items.repartition("item").write.partitionBy("item").text(base)  # the writer ends the file with a line break
+    got = read_markdown_corpus(spark, base, pattern="item=*/*.txt", by_folder=True)
+    return got.select(F.replace(F.col("doc_id"), F.lit("item="), F.lit("")).alias("doc_id"), F.length("text").cast("long").alias("n_chars"))
+
+
 _WSR = "[ \\t\\n\\r\\f\\x0B]"  # same whitespace class as the Spark side
 _TRIMC = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
 
@@ -346,7 +381,7 @@ def x13_recall_at_k(spark, sf_dir):
     """X13 + J6 + O4: recall@3 and recall@5; questions without expected chunks excluded."""
     chunks, post, idf = _index(spark, sf_dir)
     q = eval_questions(spark, sf_dir)
-    exp = rt.expected_by_containment(q, table(spark, sf_dir, "documents"), chunks)
+    exp = rt.expected_by_containment(q, spread(table(spark, sf_dir, "documents")), chunks)
     exp = materialize(exp, "expected")
     top = materialize(rt.retrieve(q, chunks, post, idf, 5), "top5")  # the top 3 are its first three ranks
     return rt.recall_at_k(top, exp, q, 3).unionByName(rt.recall_at_k(top, exp, q, 5))
@@ -360,7 +395,7 @@ def x14_score_gap(spark, sf_dir):
     """In-corpus vs out-of-corpus top-1 score gap."""
     r, chunks, _ = _retrieved(spark, sf_dir, C.RETRIEVAL_TOP_K)
     q = eval_questions(spark, sf_dir)
-    exp = rt.expected_by_containment(q, table(spark, sf_dir, "documents"), chunks)
+    exp = rt.expected_by_containment(q, spread(table(spark, sf_dir, "documents")), chunks)
     return rt.score_gap(r, exp)
 
 

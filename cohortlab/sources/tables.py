@@ -60,14 +60,11 @@ def read_eval_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(EVAL_SCHEMA).json(path)
 
 
-def read_markdown_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per Markdown file: (doc_id = file stem, text)."""
-    df = spark.read.text(os.path.join(folder, "*.md"), wholetext=True)
-    name = F.col("_metadata.file_name")
-    return df.select(
-        F.regexp_replace(name, r"\.md$", "").alias("doc_id"),
-        F.col("value").alias("text"),
-    )
+def read_markdown_corpus(spark: SparkSession, folder: str, pattern: str = "*.md", by_folder: bool = False) -> DataFrame:
+    """One row per Markdown file: (doc_id = file stem, or with ``by_folder`` the file's folder, text)."""
+    df = spark.read.text(os.path.join(folder, pattern), wholetext=True)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2) if by_folder else F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "")
+    return df.select(name.alias("doc_id"), F.col("value").alias("text"))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:
