@@ -86,8 +86,9 @@ def add_dates(labelled: DataFrame) -> DataFrame:
     """founded_clean / effective_date, with the upper bound = latest first funding."""
     df = (labelled
           .withColumn("_founded_raw", F.try_to_date(F.col("founded_at"), "yyyy-MM-dd"))
-          .withColumn("_first", F.try_to_date(F.col("first_funding_at"), "yyyy-MM-dd"))
-          .withColumn("_last", F.try_to_date(F.col("last_funding_at"), "yyyy-MM-dd")))
+          .withColumn("_first", F.try_to_date(F.col("first_funding_at"), "yyyy-MM-dd")))
+    if "last_funding_at" in labelled.columns:
+        df = df.withColumn("_last", F.try_to_date(F.col("last_funding_at"), "yyyy-MM-dd"))
     bound = df.agg(F.max("_first").alias("_upper"))
     df = df.crossJoin(F.broadcast(bound))
     plausible = (F.col("_founded_raw").isNotNull()
@@ -115,41 +116,56 @@ def add_split(df: DataFrame, test_quantile: float = C.TEST_QUANTILE) -> DataFram
               .drop("_boundary_days"))
 
 
-def engineer(df: DataFrame) -> DataFrame:
-    """P3 + P5: the model features (plus raw USD, kept for exact banding)."""
-    usd = funding_usd(F.col("funding_total_usd"))
-    return df.select(
-        F.year("_effective").cast("double").alias("founded_year"),
-        F.datediff(F.col("_first"), F.col("_founded_clean")).cast("double").alias("time_to_first_funding_days"),
-        F.col("country_code"),
-        F.col("region"),
-        F.split_part(F.col("category_list"), F.lit("|"), F.lit(1)).alias("primary_category"),
-        F.col("category_list"),
-        F.log1p(usd).alias("funding_total_usd_log1p"),
-        strict_double(F.col("funding_rounds"), "funding_rounds").alias("funding_rounds"),
-        F.datediff(F.col("_last"), F.col("_first")).cast("double").alias("funding_span_days"),
-        F.col("label").cast("int").alias("label"),
-        F.col("permalink"),
-        F.col("name"),
-        usd.alias("funding_total_usd"),
-        F.col("split"),
-        F.col("_effective").alias("effective_date"),
-        F.col("split_boundary"),
-    )
+def _feature_exprs() -> dict:
+    usd = lambda: funding_usd(F.col("funding_total_usd"))
+    return {
+        "founded_year": lambda: F.year("_effective").cast("double"),
+        "time_to_first_funding_days": lambda: F.datediff(F.col("_first"), F.col("_founded_clean")).cast("double"),
+        "country_code": lambda: F.col("country_code"),
+        "region": lambda: F.col("region"),
+        "primary_category": lambda: F.split_part(F.col("category_list"), F.lit("|"), F.lit(1)),
+        "category_list": lambda: F.col("category_list"),
+        "funding_total_usd_log1p": lambda: F.log1p(usd()),
+        "funding_rounds": lambda: strict_double(F.col("funding_rounds"), "funding_rounds"),
+        "funding_span_days": lambda: F.datediff(F.col("_last"), F.col("_first")).cast("double"),
+        "label": lambda: F.col("label").cast("int"),
+        "permalink": lambda: F.col("permalink"),
+        "name": lambda: F.col("name"),
+        "funding_total_usd": usd,
+        "split": lambda: F.col("split"),
+        "effective_date": lambda: F.col("_effective"),
+        "split_boundary": lambda: F.col("split_boundary"),
+    }
+
+
+#: Raw columns behind a feature, where they are not its namesake (the two dates are always needed for the split).
+RAW_OF = {
+    "founded_year": [], "time_to_first_funding_days": [], "primary_category": ["category_list"], "funding_total_usd_log1p": ["funding_total_usd"],
+    "funding_span_days": ["last_funding_at"], "split": [], "effective_date": [], "split_boundary": [],
+}
+
+
+def engineer(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """P3 + P5: the model features (plus raw USD, kept for exact banding), or the named ones of them."""
+    exprs = _feature_exprs()
+    return df.select(*[exprs[c]().alias(c) for c in exprs if columns is None or c in columns])
 
 
 def build_features(raw: DataFrame, test_quantile: float = C.TEST_QUANTILE,
-                   keep_dates: bool = False, materialize_stage: bool = True) -> DataFrame:
+                   keep_dates: bool = False, columns: list[str] | None = None) -> DataFrame:
     """E1 end to end: label -> dates -> split -> features.
 
     The labelled, parsed table is scanned three times (latest first funding, split
-    quantile, features); with ``materialize_stage`` it is written once to the shared
-    checkpoint folder instead of recomputing the raw joins for every scan.
+    quantile, features), so it is written once to the shared checkpoint folder instead
+    of recomputing the raw joins for every scan. ``columns`` names the features
+    needed: only the raw columns behind them are computed and written.
     """
-    labelled = label_and_filter(raw)
-    if materialize_stage:
-        labelled = materialize(labelled, "labelled")
-    out = engineer(add_split(add_dates(labelled), test_quantile))
+    wanted = FEATURE_COLUMNS + ["split", "effective_date", "split_boundary"] if columns is None else list(dict.fromkeys([*columns, "label", "split"]))
     if not keep_dates:
-        out = out.drop("effective_date", "split_boundary")
-    return out
+        wanted = [c for c in wanted if c not in ("effective_date", "split_boundary")]
+    needed = {"founded_at", "first_funding_at", "last_funding_at", "label"}.union(*[RAW_OF.get(c, [c]) for c in wanted])
+    if "funding_span_days" not in wanted:
+        needed.discard("last_funding_at")
+    labelled = label_and_filter(raw)
+    labelled = materialize(labelled.select(*[c for c in labelled.columns if c in needed]), "labelled")
+    return engineer(add_split(add_dates(labelled), test_quantile), wanted)

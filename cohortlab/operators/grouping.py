@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortlab import constants as C
 from cohortlab.functions.columns import age_band, funding_band, funding_band_ord
+from cohortlab.session import materialize
 
 
 def grouped_success_rate(df: DataFrame, key: str | Column, min_n: int = C.MIN_COHORT_SIZE,
@@ -160,7 +161,7 @@ def cohort_lookup(requests: DataFrame, train: DataFrame, min_n: int = C.MIN_COHO
     The cohort table is bounded by the number of distinct groups, and Spark
     decides broadcast vs shuffle from its size.
     """
-    levels = cohort_levels(train).where(F.col("n") >= min_n)
+    levels = materialize(cohort_levels(train).where(F.col("n") >= min_n), "cohorts")  # read three times
     l1 = levels.where(F.col("level") == "country+category+funding_band").select(
         "country_code", "primary_category", "funding_band",
         F.col("n").alias("n1"), F.col("success_rate").alias("r1"))
@@ -203,11 +204,11 @@ def region_option_table(train: DataFrame) -> DataFrame:
 
 def region_options(requests: DataFrame, train: DataFrame) -> DataFrame:
     """Per request, its country's regions by frequency; an unknown country falls
-    back to all regions. Equi left join + coalesce to the '*' key, then one equi join
-    to the option lists. Output (request_id, rank, region)."""
-    table = region_option_table(train)
-    keys = table.select(F.col("option_key").alias("country_code")).distinct().withColumn("_known", F.lit(True))
-    req = (requests.select("request_id", "country_code").join(keys, "country_code", "left")
-                   .select("request_id", F.when(F.col("_known"), F.col("country_code"))
-                           .otherwise(F.lit("*")).alias("option_key")))
-    return req.join(table, "option_key", "inner").select("request_id", "rank", "region")
+    back to all regions. One list per option key, so requests stay one row each:
+    (request_id, regions)."""
+    table = region_option_table(train).groupBy("option_key").agg(F.array_sort(F.collect_list(F.struct("rank", "region"))).alias("r"))
+    table = materialize(table.select("option_key", F.transform("r", lambda x: x["region"]).alias("regions")), "regions")
+    known = table.select(F.col("option_key").alias("country_code"), F.col("regions").alias("own"))
+    every = table.where("option_key = '*'").select(F.col("regions").alias("all"))  # at most one row
+    return (requests.select("request_id", "country_code").join(known, "country_code", "left").join(F.broadcast(every), how="left")
+                    .select("request_id", F.coalesce("own", "all").alias("regions")))

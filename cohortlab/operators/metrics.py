@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortlab import constants as C
 from cohortlab.operators.prefix import exact_quantiles, running_sums
+from cohortlab.session import materialize
 
 
 def _rnd(c, digits):
@@ -21,8 +22,10 @@ def _rnd(c, digits):
 
 def score_cells(scored: DataFrame, group_cols: list[str] | None = None, score_col: str = "score",
                 label_col: str = "label") -> DataFrame:
-    """(group..., score, pos, neg, n, sum_score) per distinct score: a map-side combined aggregate."""
+    """(group..., score, pos, neg, n) per distinct score: a map-side combined aggregate. Cells stay as they are."""
     g = list(group_cols or [])
+    if {"pos", "neg", "n"} <= set(scored.columns):
+        return scored
     lab = F.col(label_col).cast("bigint")
     return scored.groupBy(*g, F.col(score_col).cast("double").alias("score")).agg(
         F.sum(lab).alias("pos"), F.sum(F.lit(1) - lab).alias("neg"), F.count(F.lit(1)).alias("n"))
@@ -74,21 +77,31 @@ def confusion_at(scored: DataFrame, threshold: float, group_cols: list[str] | No
         F.count_if(~pred & ~lab).alias("tn"), F.count_if(pred & ~lab).alias("fp"),
         F.count_if(~pred & lab).alias("fn"), F.count_if(pred & lab).alias("tp"),
         F.avg(F.col(label_col).cast("double")).alias("positive_rate"), F.count(F.lit(1)).alias("n"))
+    return agg.select(*g, *_confusion_columns(threshold), "positive_rate", "n")
+
+
+def _confusion_columns(threshold: float) -> list:
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return agg.select(
-        *g, F.lit(float(threshold)).alias("threshold"), "tn", "fp", "fn", "tp",
-        F.when(tp + fp == 0, F.lit(0.0)).otherwise(tp / (tp + fp)).alias("precision"),
-        F.when(tp + fn == 0, F.lit(0.0)).otherwise(tp / (tp + fn)).alias("recall"),
-        _fbeta(tp, fp, fn, 1.0).alias("f1"), _fbeta(tp, fp, fn, 0.5).alias("f0_5"),
-        "positive_rate", "n")
+    return [F.lit(float(threshold)).alias("threshold"), F.col("tn"), fp, fn, tp,
+            F.when(tp + fp == 0, F.lit(0.0)).otherwise(tp / (tp + fp)).alias("precision"),
+            F.when(tp + fn == 0, F.lit(0.0)).otherwise(tp / (tp + fn)).alias("recall"),
+            _fbeta(tp, fp, fn, 1.0).alias("f1"), _fbeta(tp, fp, fn, 0.5).alias("f0_5")]
 
 
 def compute_metrics(scored: DataFrame, threshold: float, group_cols: list[str] | None = None) -> DataFrame:
     """M7: the metric bundle as one row per group."""
     g = list(group_cols or [])
-    out = confusion_at(scored, threshold, g)
-    for part in (roc_auc(scored, g), average_precision(scored, g), brier(scored, g)):
-        out = out.crossJoin(part) if not g else out.join(part, g)
+    # one pass over the rows: everything follows from the counts of both labels per distinct score
+    cells = materialize(score_cells(scored, g), "score-cells")
+    s, t = F.col("score"), F.lit(float(threshold))
+    part = cells.groupBy(*g).agg(
+        F.sum(F.when(s < t, F.col("neg")).otherwise(0)).alias("tn"), F.sum(F.when(s >= t, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(s < t, F.col("pos")).otherwise(0)).alias("fn"), F.sum(F.when(s >= t, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum("pos").alias("_p"), F.sum("n").alias("n"),
+        F.sum(F.col("pos") * (s - 1) * (s - 1) + F.col("neg") * s * s).alias("_se"))
+    out = part.select(*g, *_confusion_columns(threshold), (F.col("_p") / F.col("n")).alias("positive_rate"), "n", _rnd(F.col("_se") / F.col("n"), 6).alias("brier_score"))
+    for more in (roc_auc(cells, g), average_precision(cells, g)):
+        out = out.crossJoin(more) if not g else out.join(more, g)
     return out
 
 

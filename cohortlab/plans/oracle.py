@@ -27,7 +27,7 @@ _view("companies_raw", ["co_per_order"], """
          CAST(o_orderkey AS VARCHAR) AS name,
          CAST(NULL AS VARCHAR) AS homepage_url,
          category_list,
-         CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '-'
+         CASE WHEN o_orderpriority = '4-NOT SPECIFIED' OR usd IS NULL THEN '-'
               ELSE CAST(usd * CASE o_orderkey % 5 WHEN 0 THEN 0.1 WHEN 1 THEN 1.0 WHEN 2 THEN 10.0
                                    WHEN 3 THEN 100.0 ELSE 1000.0 END AS VARCHAR) END AS funding_total_usd,
          CASE WHEN o_orderstatus = 'P' THEN 'operating'
@@ -39,15 +39,15 @@ _view("companies_raw", ["co_per_order"], """
          CAST(NULL AS VARCHAR) AS state_code,
          r_name AS region,
          c_mktsegment AS city,
-         CAST(n_lines AS VARCHAR) AS funding_rounds,
+         CAST(coalesce(n_lines, 0) AS VARCHAR) AS funding_rounds,
          CASE WHEN o_orderkey % 4 = 1 THEN NULL
               WHEN o_orderkey % 97 = 0 THEN '1015-01-30'
               WHEN o_orderkey % 101 = 0 THEN '2914-01-01'
               ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS founded_at,
-         CAST(CAST(first_ship AS DATE) AS VARCHAR) AS first_funding_at,
-         CAST(CAST(last_ship AS DATE) AS VARCHAR) AS last_funding_at
+         CAST(CAST(coalesce(first_ship, o_orderdate) AS DATE) AS VARCHAR) AS first_funding_at,
+         CAST(CAST(coalesce(last_ship, o_orderdate) AS DATE) AS VARCHAR) AS last_funding_at
   FROM orders
-  JOIN co_per_order ON o_orderkey = l_orderkey
+  LEFT JOIN co_per_order ON o_orderkey = l_orderkey
   LEFT JOIN customer ON o_custkey = c_custkey
   LEFT JOIN nation ON c_nationkey = n_nationkey
   LEFT JOIN region ON n_regionkey = r_regionkey""")

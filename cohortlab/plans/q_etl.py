@@ -16,8 +16,9 @@ from cohortlab.sources import tables as tb
 from cohortlab.sources.standins import companies_raw
 
 
-def features_of(spark, sf_dir, keep_dates=False):
-    return fe.build_features(companies_raw(spark, sf_dir), keep_dates=keep_dates)
+def features_of(spark, sf_dir, keep_dates=False, columns=None, whole_categories=False):
+    """The feature table; ``columns`` limits it (and the scans behind it) to the named features, label and split."""
+    return fe.build_features(companies_raw(spark, sf_dir, first_category=not whole_categories), keep_dates=keep_dates, columns=columns)
 
 
 FEATURE_COLS_SQL = ", ".join(
@@ -48,7 +49,7 @@ def s3_feature_table(spark, sf_dir):
 
     log1p is rounded to 9 decimals for the comparison only (engines differ in the last bit).
     """
-    f = features_of(spark, sf_dir)
+    f = features_of(spark, sf_dir, whole_categories=True)
     return f.withColumn("funding_total_usd_log1p", F.round("funding_total_usd_log1p", 9))
 
 
@@ -327,7 +328,7 @@ def a16_cohort_levels(spark, sf_dir):
   LEFT JOIN l3 ON r.country_code = l3.country_code""")
 def j1_cohort_lookup(spark, sf_dir):
     """Per-request cohort with progressive back-off (test rows as requests)."""
-    f = features_of(spark, sf_dir)
+    f = features_of(spark, sf_dir, columns=["permalink", "country_code", "primary_category", "funding_total_usd"])
     req = f.where(F.col("split") == "test").select(
         F.col("permalink").alias("request_id"), "country_code", "primary_category", "funding_total_usd")
     return gr.cohort_lookup(req, f)
@@ -346,10 +347,10 @@ def j1_cohort_lookup(spark, sf_dir):
   req AS (SELECT permalink AS request_id,
                  CASE WHEN country_code IN (SELECT option_key FROM tbl) THEN country_code ELSE '*' END AS option_key
           FROM features WHERE split = 'test')
-  SELECT request_id, rank, region FROM req JOIN tbl USING (option_key)""")
+  SELECT request_id, regions FROM req JOIN (SELECT option_key, list(region ORDER BY rank) AS regions FROM tbl GROUP BY option_key) USING (option_key)""")
 def j4_region_options(spark, sf_dir):
     """Region options for each request's country, with the all-regions fallback."""
-    f = features_of(spark, sf_dir)
+    f = features_of(spark, sf_dir, columns=["permalink", "country_code", "region"])
     req = f.where(F.col("split") == "test").select(F.col("permalink").alias("request_id"), "country_code")
     return gr.region_options(req, f.where(F.col("split") == "train"))
 

@@ -232,7 +232,7 @@ def u2_confidence_bands(spark, sf_dir):
 def j3_band_lookup(spark, sf_dir):
     """Per-request band lookup (broadcast range join against <= n_bins bands)."""
     s = scores(spark, sf_dir)
-    bands = un.confidence_bands(s)
+    bands = materialize(un.confidence_bands(s), "bands")
     req = s.select("key", F.col("score").alias("probability"))
     return un.lookup_band(req, bands)
 
@@ -287,4 +287,4 @@ def u6_collapse_band(spark, sf_dir):
     """U5 flag + U6: bands that do not bracket the point collapse to it."""
     s = scores(spark, sf_dir)
     req = s.select("key", F.col("score").alias("probability"))
-    return un.collapse_on_failure(un.lookup_band(req, un.confidence_bands(s)))
+    return un.collapse_on_failure(un.lookup_band(req, materialize(un.confidence_bands(s), "bands")))

@@ -585,7 +585,7 @@ def m14_rescore_saved_model(spark, sf_dir):
 def s4_feature_parquet_roundtrip(spark, sf_dir):
     """S4 + S3: the feature table written partitioned by split and read back."""
     out = os.path.join(ensure_checkpoint_dir(spark), f"features-{uuid.uuid4().hex}")
-    path = tb.write_features(features_of(spark, sf_dir), out)
+    path = tb.write_features(features_of(spark, sf_dir, whole_categories=True), out)
     return tb.read_features(spark, path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 

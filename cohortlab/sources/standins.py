@@ -2,7 +2,7 @@
 
 The reference's own raw company CSV is not available, so a company-shaped table is
 derived from orders / lineitem / customer / nation / region / part (one company per
-order that has lineitems). The rules are fixed and mirrored one to one by the DuckDB
+order). The rules are fixed and mirrored one to one by the DuckDB
 oracle text in ``cohortlab.plans.oracle``.
 """
 from __future__ import annotations
@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from cohortlab.sources.tables import table
 
 
-def companies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw, all-string company records (the reference's 14-column CSV shape)."""
+def companies_raw(spark: SparkSession, sf_dir: str, first_category: bool = False) -> DataFrame:
+    """Raw, all-string company records (the reference's 14-column CSV shape), one per order.
+
+    ``first_category`` keeps only the first entry of ``category_list``, which is all that the features
+    use: a partial aggregate, where the full list gathers an order's lines in one place.
+    """
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
@@ -25,8 +29,9 @@ def companies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         li.join(part, li.l_partkey == part.p_partkey, "left")
         .groupBy("l_orderkey")
         .agg(
-            F.expr("listagg(p_type, '|') WITHIN GROUP "
-                   "(ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate)").alias("category_list"),
+            (F.min_by("p_type", F.when(F.col("p_type").isNotNull(), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))) if first_category
+             else F.expr("listagg(p_type, '|') WITHIN GROUP "
+                         "(ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate)")).alias("category_list"),
             F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("usd"),
             F.count(F.lit(1)).alias("n_lines"),
             F.min("l_shipdate").alias("first_ship"),
@@ -55,7 +60,9 @@ def companies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(k % 5 == 2, F.lit(10).cast("decimal(5,1)"))
             .when(k % 5 == 3, F.lit(100).cast("decimal(5,1)"))
             .otherwise(F.lit(1000).cast("decimal(5,1)")))
-    funding = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("-")).otherwise(
+    # an order without lines is a company without a known amount, first funded on its order date
+    day = lambda c: F.coalesce(F.col(c), F.col("o_orderdate")).cast("date").cast("string")
+    funding = F.when((F.col("o_orderpriority") == "4-NOT SPECIFIED") | F.col("usd").isNull(), F.lit("-")).otherwise(
         (F.col("usd") * mult).cast("string"))
     founded = (
         F.when(k % 4 == 1, F.lit(None).cast("string"))
@@ -64,7 +71,7 @@ def companies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("o_orderdate").cast("date").cast("string"))
     )
     return (
-        orders.join(per_order, orders.o_orderkey == per_order.l_orderkey, "inner")
+        orders.join(per_order, orders.o_orderkey == per_order.l_orderkey, "left")
         .join(cust, orders.o_custkey == cust.c_custkey, "left")
         .join(geo, F.col("c_nationkey") == geo.n_nationkey, "left")
         .select(
@@ -78,10 +85,10 @@ def companies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(None).cast("string").alias("state_code"),
             F.col("r_name").alias("region"),
             F.col("c_mktsegment").alias("city"),
-            F.col("n_lines").cast("string").alias("funding_rounds"),
+            F.coalesce("n_lines", F.lit(0)).cast("string").alias("funding_rounds"),
             founded.alias("founded_at"),
-            F.col("first_ship").cast("date").cast("string").alias("first_funding_at"),
-            F.col("last_ship").cast("date").cast("string").alias("last_funding_at"),
+            day("first_ship").alias("first_funding_at"),
+            day("last_ship").alias("last_funding_at"),
         )
     )
 
