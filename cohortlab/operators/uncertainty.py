@@ -99,3 +99,13 @@ def collapse_on_failure(df: DataFrame, point: str = "probability", lower: str =
     return (df.withColumn("brackets", F.coalesce(br, F.lit(False)))
               .withColumn(lower, F.when(F.col("brackets"), F.col(lower)).otherwise(F.col(point)))
               .withColumn(upper, F.when(F.col("brackets"), F.col(upper)).otherwise(F.col(point))))
+
+
+def bracket_summary(df: DataFrame, strict: bool = True, point: str = "probability", lower: str = "band_lower", upper: str = "band_upper") -> DataFrame:
+    """One row (n, n_bracketing). ``strict`` fails the job on any band that misses its point."""
+    br = F.coalesce((F.col(lower) <= F.col(point)) & (F.col(point) <= F.col(upper)), F.lit(False))
+    out = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(br).alias("n_bracketing"))
+    if not strict:
+        return out
+    missed = F.concat((F.col("n") - F.col("n_bracketing")).cast("string"), F.lit(" confidence bands do not bracket their point estimate"))
+    return out.select("n", F.when(F.col("n") > F.col("n_bracketing"), F.raise_error(missed).cast("bigint")).otherwise(F.col("n_bracketing")).alias("n_bracketing"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortlab.operators import calibration as ca
 from cohortlab.operators import metrics as me
 from cohortlab.operators import uncertainty as un
 from cohortlab.operators.prefix import exact_quantile_sql, fold_hash, fold_hash_sql, ranks
@@ -273,6 +274,44 @@ def w1_percentile(spark, sf_dir):
     return un.percentile_of(req, s).select("key", "probability", "percentile")
 
 
+@query("u5_bracket_summary", ["scores"], f"""
+  WITH bands AS ({_BANDS_SQL.replace('WITH ', '', 1).join(['(WITH ', ')'])}),
+  tb AS (SELECT max(bin_upper) AS top FROM bands),
+  lk AS (SELECT s.key, s.score AS probability, b.ci_lower AS lo, b.ci_upper AS hi
+         FROM scores s JOIN bands b ON b.bin_lower <= s.score
+              AND (s.score < b.bin_upper OR (b.bin_upper = (SELECT top FROM tb) AND s.score <= b.bin_upper)))
+  SELECT count(*) AS n, count_if(coalesce(lo <= probability AND probability <= hi, false)) AS n_bracketing FROM lk""")
+def u5_bracket_summary(spark, sf_dir):
+    """How many looked-up bands bracket their point (the raising form is the same with ``strict``)."""
+    s = scores(spark, sf_dir)
+    req = s.select("key", F.col("score").alias("probability"))
+    return un.bracket_summary(un.lookup_band(req, materialize(un.confidence_bands(s), "bands")), strict=False)
+
+
+@query("l18_sigmoid_calibration")
+def l18_sigmoid_calibration(spark, sf_dir):
+    """A sigmoid calibrator fitted on the scores, evaluated at every distinct score."""
+    s = scores(spark, sf_dir)
+    fitted = ca.fit_calibrator(s.select(F.col("score").alias("raw_score"), "label"), "sigmoid")
+    return fitted.transform(s.select(F.col("score").alias("raw_score")).distinct()).select("raw_score", "probability")
+
+
+@query("u4_score_cells", ["scores"], """
+  SELECT score, count_if(label = 0) AS n0, count_if(label = 1) AS n1 FROM scores GROUP BY score""")
+def u4_score_cells(spark, sf_dir):
+    """U4: the score cells that bootstrap replicates are drawn from."""
+    return ca.score_cells(scores(spark, sf_dir), "score", "label").select("score", F.col("n0").cast("bigint").alias("n0"), F.col("n1").cast("bigint").alias("n1"))
+
+
+@query("s8_metadata_json", ["scores"], """
+  SELECT CAST(score_key % 10 AS INTEGER) AS bucket, count(*) AS n, sum(label) AS successes FROM scores GROUP BY 1""")
+def s8_metadata_json(spark, sf_dir):
+    """Per-bucket metadata written as JSON text and read back with a schema (to_json / from_json)."""
+    rows = scores(spark, sf_dir).groupBy((F.col("score_key") % 10).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("successes"))
+    text = materialize(rows.select(F.to_json(F.struct("bucket", "n", "successes")).alias("metadata")), "metadata")
+    return text.select(F.from_json("metadata", "bucket int, n bigint, successes bigint").alias("m")).select("m.*")
+
+
 @query("u6_collapse_band", ["scores"], f"""
   WITH bands AS ({_BANDS_SQL.replace('WITH ', '', 1).join(['(WITH ', ')'])}),
   tb AS (SELECT max(bin_upper) AS top FROM bands),

@@ -11,6 +11,7 @@ from cohortlab.functions.text import front_matter_field, raw_tokens, sections_ar
 from cohortlab.operators import chunking as ch
 from cohortlab.operators import retrieval as rt
 from cohortlab.operators import routing as ro
+from cohortlab.operators import serving as sv
 from cohortlab.plans.oracle import add_view
 from cohortlab.plans.registry import query
 from cohortlab.session import ensure_checkpoint_dir, materialize
@@ -469,6 +470,54 @@ add_view("utop8f", ["uqvec", "kpostings", "chunks", "ugen"], "SELECT * FROM (" +
     + ") t WHERE score >= 0.15")
 
 
+# A stand-in for the prediction that a session holds: fixed arithmetic on an integer key (no value ends in a rounding tie).
+def facts_of_keys(keys):
+    """keys (request_id, k) -> request_id, facts."""
+    k = F.col("k")
+    part = lambda a, m: (k * a % m).cast("double") / m
+    p = part(31, 97)
+    contribution = lambda name, value, shap: F.struct(
+        F.lit(name).alias("feature"), value.alias("value"), shap.alias("shap_value"), F.when(shap > 0, "increases").otherwise("decreases").alias("direction"))
+    return keys.select("request_id", F.struct(
+        p.alias("probability"), part(17, 89).alias("raw_probability"), (p * 0.9).alias("band_lower"), (p * 0.95 + 0.05).alias("band_upper"),
+        (part(13, 83) * 100).alias("percentile"),
+        F.array(contribution("founded_year", (1980 + k % 40).cast("double").cast("string"), ((k % 41).cast("double") - 20.5) / 37),
+                contribution("region", F.concat(F.lit("R"), (k % 5).cast("string")), ((k % 7).cast("double") - 3.5) / 11)).alias("top_contributions"),
+        F.when(k % 3 == 1, "country").when(k % 3 == 2, "country+category+funding_band").alias("cohort_level"),
+        F.concat(F.lit("N"), (k % 25).cast("string")).alias("cohort_country"), F.when(k % 3 == 2, F.concat(F.lit("Cat"), (k % 4).cast("string"))).alias("cohort_category"),
+        (k + 30).alias("cohort_n"), part(7, 53).alias("cohort_success_rate")).alias("facts"))
+
+
+def _facts_sql(k: str, asked: str) -> str:
+    pct = lambda x: f"printf('%.1f%%', 100 * ({x}))"
+    part = lambda a, m: f"(CAST({k} * {a} % {m} AS DOUBLE) / {m})"
+    p, nl = part(31, 97), "chr(10)"
+    shap = {"founded_year": f"((CAST({k} % 41 AS DOUBLE) - 20.5) / 37)", "region": f"((CAST({k} % 7 AS DOUBLE) - 3.5) / 11)"}
+    value = {"founded_year": f"printf('%.2f', CAST(1980 + {k} % 40 AS DOUBLE))", "region": f"'R' || ({k} % 5)"}
+    way = {f: f"CASE WHEN {x} > 0 THEN 'increases' ELSE 'decreases' END" for f, x in shap.items()}
+    signed = {f: f"printf('%+.3f', {x})" for f, x in shap.items()}
+    row = lambda f: f"'| `{f}` | ' || {value[f]} || ' | ' || {signed[f]} || ' | ' || {way[f]} || ' |'"
+    named = " ".join(f"WHEN {asked} = '{f}' THEN '- You asked about `{f}`: it ' || {way[f]} || ' the score (SHAP ' || {signed[f]} || ', value = ' || {value[f]} || ').' || {nl}"
+                     for f in shap)
+    head = f" || {nl} || ".join([
+        _lit(C.FACTS_HEADER), f"{_lit(C.FACTS_PROBABILITY)} || {pct(p)} || {_lit(C.FACTS_BAND)} || {pct(p + ' * 0.9')} || '-' || {pct(p + ' * 0.95 + 0.05')} || ')'",
+        f"{_lit(C.FACTS_RAW)} || {pct(part(17, 89))} || {_lit(C.FACTS_RAW_NOTE)}", f"{_lit(C.FACTS_PERCENTILE)} || {pct(part(13, 83))} || '**'"])
+    table = f" || {nl} || ".join(["''", *[_lit(x) for x in C.FACTS_TABLE_HEAD], row("founded_year"), row("region")])
+    cohort = (f"CASE WHEN {k} % 3 = 0 THEN {_lit(C.NO_COHORT_TEXT)} ELSE {_lit(C.FACTS_COHORT)} || CASE WHEN {k} % 3 = 1 THEN 'country' ELSE 'country + category + funding band' END "
+              f"|| ' = N' || ({k} % 25) || CASE WHEN {k} % 3 = 2 THEN ', Cat' || ({k} % 4) ELSE '' END || ', n=' || ({k} + 30) || {_lit(C.FACTS_COHORT_RATE)} "
+              f"|| {pct(part(7, 53))} || {_lit(C.FACTS_COHORT_END)} END")
+    return f"({head} || {nl} || (CASE {named} ELSE '' END) || {table} || {nl} || {cohort})"
+
+
+@query("x18_facts_text", [], f"""
+  SELECT event_id AS request_id, {_facts_sql("event_id", "CASE event_id % 3 WHEN 0 THEN 'founded_year' WHEN 1 THEN 'region' END")} AS answer FROM events""")
+def x18_facts_text(spark, sf_dir):
+    """X17 + X18: facts of every event's key as text, with the feature asked about (if any) in front."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("event_id").alias("k"))
+    facts = facts_of_keys(e).withColumn("asked", F.when(F.col("request_id") % 3 == 0, "founded_year").when(F.col("request_id") % 3 == 1, "region"))
+    return sv.render_facts(facts, foreground=F.col("asked"))
+
+
 @query("x20_answers", ["user_questions", "utop8f", "kpostings", "chunks"], f"""
   WITH rr AS ({_mmr_sql("utop8f", C.RERANK_K, C.MMR_LAMBDA, "kpostings")}),
   lines AS (SELECT rr.qid, rr.mmr_rank,
@@ -477,15 +526,17 @@ add_view("utop8f", ["uqvec", "kpostings", "chunks", "ugen"], "SELECT * FROM (" +
             FROM rr JOIN chunks c USING (chunk_id)),
   per AS (SELECT qid, '## Related context' || chr(10) || string_agg(line, chr(10) ORDER BY mmr_rank) AS answer
           FROM lines GROUP BY qid),
-  routed AS (SELECT qid, {_intent_sql('question')} AS intent FROM user_questions)
+  routed AS (SELECT qid, qid // 1000 AS k, {_intent_sql('question')} AS intent, {_feature_sql('question')} AS asked FROM user_questions)
   SELECT r.qid, r.intent,
          CASE WHEN r.intent = 'greeting' THEN {_lit(C.CAPABILITY_STATEMENT)}
-              WHEN r.intent = 'about_prediction' THEN {_lit(C.NO_PREDICTION_TEXT)}
+              WHEN r.intent = 'about_prediction' THEN CASE WHEN k % 4 = 3 THEN {_lit(C.NO_PREDICTION_TEXT)} ELSE {_facts_sql("k", "asked")} END
               WHEN r.intent = 'general' THEN coalesce(per.answer, {_lit(C.NOTHING_MATCHED_TEXT)})
               ELSE {_lit(C.OUT_OF_SCOPE_TEXT + C.CAPABILITY_STATEMENT)} END AS answer
   FROM routed r LEFT JOIN per USING (qid)""")
 def x20_answers(spark, sf_dir):
-    """Answer per user turn by intent (general -> retrieve/filter/rerank over the chunked corpus)."""
+    """Answer per user turn by intent: general -> retrieve/filter/rerank over the chunked corpus;
+    about_prediction -> the session's facts with the question's own feature in front (every fourth
+    conversation holds no prediction yet)."""
     qs = user_questions(spark, sf_dir)
     routed = ro.route(qs)
     general = routed.where(F.col("intent") == "general").select("qid", "question")
@@ -493,7 +544,10 @@ def x20_answers(spark, sf_dir):
     post, idf = rt.build_index(chunks)
     r = rt.retrieve(general, chunks, post, idf, C.RETRIEVAL_TOP_K)
     rr = rt.mmr_rerank(rt.relevance_filter(r), post)
-    return ro.answer(qs, ro.render_retrieved(rr, chunks, general))
+    about = routed.where(F.col("intent") == "about_prediction").withColumn("k", F.floor(F.col("qid") / 1000)).where("k % 4 <> 3")
+    facts = facts_of_keys(about.select(F.col("qid").alias("request_id"), "k")).join(about.select(F.col("qid").alias("request_id"), "named_feature"), "request_id")
+    text = sv.render_facts(facts, foreground=F.col("named_feature")).withColumnRenamed("request_id", "qid")
+    return ro.answer(qs, ro.render_retrieved(rr, chunks, general), text)
 
 
 @query("x12_chunk_pipeline", ["ktop8f", "kpostings"], _mmr_sql("ktop8f", C.RERANK_K, C.MMR_LAMBDA, "kpostings"))

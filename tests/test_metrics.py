@@ -103,3 +103,13 @@ def test_percentile_extremes_and_monotone(spark):
     req = spark.createDataFrame([(1, -1.0), (2, 2.0), (3, 0.5), (4, 0.25)], "id int, probability double")
     got = {r.id: r.percentile for r in un.percentile_of(req, ref).collect()}
     assert got[1] == 0.0 and got[2] == 100.0 and 48 <= got[3] <= 52 and got[4] < got[3]
+
+
+def test_bracket_summary_raises_on_a_miss(spark):
+    import pytest
+    from cohortlab.operators import uncertainty as un
+    df = spark.createDataFrame([(0.5, 0.4, 0.6), (0.9, 0.1, 0.2)], "probability double, band_lower double, band_upper double")
+    assert tuple(un.bracket_summary(df, strict=False).first()) == (2, 1)
+    with pytest.raises(Exception, match="1 confidence bands do not bracket"):
+        un.bracket_summary(df).collect()
+    assert tuple(un.bracket_summary(df.limit(1)).first()) == (1, 1)
