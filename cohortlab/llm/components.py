@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 A step is one partial aggregate and one equi-join, so a node with very many neighbours is never
-gathered in one place. Each step's edges are written to the shared checkpoint folder.
+gathered in one place; the aggregate is stored first, so that the join can split a hot node's edges. Each
+step's edges are written to the shared checkpoint folder.
 """
 from __future__ import annotations
 
@@ -16,17 +17,24 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), least
+
+
+def _stepped(star, edges: DataFrame) -> DataFrame:
+    out, least = star(edges)
+    after = stored(out, "edges")
+    discard(edges, least)
+    return after
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,10 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select("u", "v").where("u <> v").distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
-        after = stored(_small_star(_large_star(now)), "edges")
-        seen = _mark(after)
-        discard(now)
-        now = after
+        now = _stepped(_small_star, _stepped(_large_star, now))
+        seen = _mark(now)
         if seen == mark:
             break
         mark = seen

@@ -94,7 +94,7 @@ def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     small = stored(side.select("node", F.explode(F.concat(
         F.transform("a", lambda x: F.struct(F.lit(0).alias("side"), x.alias("h"))),
         F.transform("b", lambda x: F.struct(F.lit(1).alias("side"), x.alias("h"))))).alias("s")).select("node", "s.side", "s.h"), "small")
-    shared = small.groupBy("side", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = stored(small.groupBy("side", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared")  # stored: the join can split hot keys
     mine = (small.join(shared, ["side", "h"]).groupBy("node")
             .agg(F.collect_list(F.when(F.col("side") == 0, F.col("h"))).alias("a"), F.collect_list(F.when(F.col("side") == 1, F.col("h"))).alias("b"))
             .where((F.size("a") > 0) & (F.size("b") > 0)))
@@ -104,7 +104,7 @@ def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _stars(keys: DataFrame) -> DataFrame:
-    centre = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
+    centre = stored(keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre"), "centres")
     return keys.join(centre, "key").where("node <> centre").select("node", "centre").distinct()
 
 
@@ -182,6 +182,7 @@ def _between(keys: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between components that share a bucket: blocks of the groups that such buckets connect."""
     mine = keys.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     open_keys = mine.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "lo")
+    open_keys = stored(open_keys, "keys")
     rest = stored(mine.join(open_keys, "key").select("node", "comp", F.col("lo").alias("group")).distinct(), "open")
     # groups that share a component are one
     near = rest.select(F.col("comp").alias("u"), F.col("group").alias("v")).distinct()
