@@ -24,25 +24,31 @@ def _words_sql(x: str) -> str:
     return f"(CASE WHEN {s} = '' THEN array() ELSE split({s}, '{WS_SQL}+') END)"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL text of ``body`` with ``name`` bound to a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def _pack_sql(sents: str, target: int, overlap: int) -> str:
     """Greedy packing: add sentences until >= target words, emit, restart from the last ``overlap`` words.
 
-    Each sentence is split into words once (``transform``); the accumulator keeps
-    the joined text, the word count and only the last ``overlap`` words.
+    The fold only finds the cuts (sentence number and words so far); pieces are then slices of the
+    sentences, each after the first led by the ``overlap`` words before its cut.
     """
-    items = f"transform({sents}, x -> named_struct('s', x, 'ws', {_words_sql('x')}))"
-    cur2 = "CASE WHEN acc.n = 0 THEN it.s ELSE concat(acc.cur, ' ', it.s) END"
-    tw2 = f"slice(concat(acc.tw, it.ws), greatest(size(acc.tw) + size(it.ws) - {overlap} + 1, 1), {overlap})"
-    step = (f"CASE WHEN acc.w + size(it.ws) >= {target} "
-            f"THEN named_struct('pieces', array_append(acc.pieces, {cur2}), 'cur', array_join({tw2}, ' '), "
-            f"'n', 1, 'w', size({tw2}), 'tw', {tw2}) "
-            f"ELSE named_struct('pieces', acc.pieces, 'cur', {cur2}, 'n', acc.n + 1, 'w', acc.w + size(it.ws), "
-            f"'tw', {tw2}) END")
-    init = ("named_struct('pieces', CAST(array() AS ARRAY<STRING>), 'cur', '', 'n', 0, 'w', 0, "
-            "'tw', CAST(array() AS ARRAY<STRING>))")
-    finish = ("CASE WHEN acc.n > 0 AND regexp_replace(acc.cur, "
-              f"'^{WS_SQL}+|{WS_SQL}+$', '') <> '' THEN array_append(acc.pieces, acc.cur) ELSE acc.pieces END")
-    return f"aggregate({items}, {init}, (acc, it) -> {step}, acc -> {finish})"
+    items = "transform(ws, (w, i) -> named_struct('i', i, 'c', size(w)))"
+    cut = "named_struct('j', it.i, 't', a.t + it.c)"
+    fold = (f"aggregate({items}, named_struct('cuts', CAST(array() AS ARRAY<STRUCT<j: INT, t: INT>>), 'w', 0, 't', 0), (a, it) -> "
+            f"IF(a.w + it.c >= {target}, named_struct('cuts', array_append(a.cuts, {cut}), 'w', least({overlap}, a.t + it.c), 't', a.t + it.c), "
+            "named_struct('cuts', a.cuts, 'w', a.w + it.c, 't', a.t + it.c)), a -> a.cuts)")
+    carry = lambda t: f"array_join(slice(words, greatest({t} - {overlap} + 1, 1), least({overlap}, {t})), ' ')"
+    first = "IF(k = 0, 0, get(cuts, k - 1).j + 1)"
+    piece = f"concat(IF(k = 0, '', concat({carry('get(cuts, k - 1).t')}, ' ')), array_join(slice(units, {first} + 1, c.j - {first} + 1), ' '))"
+    last = "element_at(cuts, -1)"
+    rest = (f"IF(size(cuts) = 0, array_join(units, ' '), concat({carry(last + '.t')}, "
+            f"IF({last}.j + 1 < size(units), concat(' ', array_join(slice(units, {last}.j + 2, size(units)), ' ')), '')))")
+    pieces = (f"concat(transform(cuts, (c, k) -> {piece}), " + _let(rest, "x", f"IF(regexp_replace(x, '^{WS_SQL}+|{WS_SQL}+$', '') <> '', array(x), "
+                                                                      "CAST(array() AS ARRAY<STRING>))") + ")")
+    return _let(sents, "units", _let(f"transform(units, x -> {_words_sql('x')})", "ws", _let("flatten(ws)", "words", _let(fold, "cuts", pieces))))
 
 
 def _runon_sql(body: str, target: int, overlap: int) -> str:
