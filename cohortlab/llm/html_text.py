@@ -15,7 +15,7 @@ rows give one row each; other columns are ignored.
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +42,15 @@ IMPLIED = {
 }
 SCOPE = frozenset("table td th caption button".split())
 IN_TABLE = frozenset("table tbody thead tfoot tr".split())
+#: Elements whose content is text up to their end tag; references count in the second set only.
+RAW = frozenset("script style xmp iframe noembed noframes".split())
+TEXT_ONLY = frozenset("title textarea".split())
+#: A comment, a tag with its attributes, or other markup; what the end of the page cuts off is dropped.
+_TOKEN = re.compile(
+    r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|(/?)([a-zA-Z][^\s/>]*+)((?:\s++|/|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))?)*+)>"
+    r"|[!?/][^>]*(?:>|\Z)|[a-zA-Z][^>]*\Z)", re.S)
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _BLANK = " \t\n\r\f"
 _RUNS = re.compile(r"[ \t\n\r\f]+")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -56,15 +65,46 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
-class Builder(HTMLParser):
+def attributes(text: str) -> dict[str, str]:
+    """The attributes of a tag; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(text):
+        value = m[2] or m[3] or m[4] or ""
+        out.setdefault(m[1].lower(), unescape(value) if "&" in value else value)
+    return out
+
+
+class Builder:
     """Builds the tree; ``hiding`` gathers simple selectors that style sheets hide."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
         self.hiding: set[str] = set()
 
+    def feed(self, html: str) -> None:
+        at, size = 0, len(html)
+        while at < size:
+            m = _TOKEN.search(html, at)
+            text = html[at : m.start()] if m else html[at:]
+            if text:
+                self.handle_data(unescape(text) if "&" in text else text)
+            if not m:
+                return
+            at = m.end()
+            if m[2]:
+                tag = m[2].lower()
+                if m[1]:
+                    self.handle_endtag(tag)
+                    continue
+                self.handle_starttag(tag, attributes(m[3]) if m[3] else {})
+                if tag in RAW or tag in TEXT_ONLY:
+                    end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+                    text = html[at : end.start() if end else size]
+                    at = end.start() if end else size
+                    if text:
+                        self.handle_data(unescape(text) if tag in TEXT_ONLY else text)
+
     def _end(self, tags, shields) -> None:
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
@@ -77,8 +117,7 @@ class Builder(HTMLParser):
         self.open[-1].kids.append(node)
         self.open.append(node)
 
-    def handle_starttag(self, tag, attrs):
-        attrs = {k: v or "" for k, v in reversed(attrs)}
+    def handle_starttag(self, tag: str, attrs: dict[str, str]) -> None:
         if tag == "html":
             self.root.attrs = attrs | self.root.attrs
             return
@@ -98,10 +137,7 @@ class Builder(HTMLParser):
             else:
                 self._push(node)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # a slash closes nothing in HTML
-
-    def handle_endtag(self, tag):
+    def handle_endtag(self, tag: str) -> None:
         if tag == "p" and not any(n.tag == "p" for n in self.open):
             self.open[-1].kids.append(Node("p", {}))
             return
@@ -109,7 +145,9 @@ class Builder(HTMLParser):
             self.open[-1].kids.append(Node("br", {}))
             return
         if tag not in ("html", "body"):
-            self._end({tag}, {"td", "th", "caption", "table"} - {tag} if tag not in IN_TABLE else {"table"} - {tag})
+            # inline elements end within their block only
+            shields = {"table"} if tag in IN_TABLE else SCOPE if tag in BLOCKS else BLOCKS
+            self._end({tag}, shields - {tag})
 
     def _parent(self, tag: str) -> list:
         """Where loose content of a table goes: before the table."""
@@ -124,7 +162,7 @@ class Builder(HTMLParser):
                         return spare.kids
         return self.open[-1].kids
 
-    def handle_data(self, data):
+    def handle_data(self, data: str) -> None:
         top = self.open[-1]
         if top.tag == "style":
             for names, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", data, flags=re.S)):
@@ -334,7 +372,6 @@ def table_lines(table: Node, hiding: set[str], depth: int) -> list[str]:
 def parsed(html: str) -> Builder:
     builder = Builder()
     builder.feed(html)
-    builder.close()
     return builder
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm import decontaminate, html_text, language, mixing, near_dedup, oracles, quality_model, quality_rules, recompress, secrets, warc
-from cohortlab.llm.common import held_out, table
+from cohortlab.llm.common import compact, held_out, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +36,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
-    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+    return compact(mixing.mixed_sizes(table(spark, sf_dir, "documents")))
 
 
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and conversion records of every page's response record."""
-    return warc.derive(warc.responses(table(spark, sf_dir, "pages")), "page_id")
+    return warc.derive_pages(table(spark, sf_dir, "pages"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
-    return quality_rules.judged(table(spark, sf_dir, "documents"))
+    return compact(quality_rules.judged(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_decontaminate, op4_near_dedup, op5_mix_sources, op6_quality_model, op7_warc_derivatives, op8_secret_scan, op9_substring_dedup, op10_quality_rules)}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm.common import map_arrow
-from cohortlab.llm.html_text import elements, parsed, text_of, title_of
+from cohortlab.llm.html_text import Node, elements, parsed, text_of, title_of
 
 VERSION, END = "WARC/1.1", "\r\n\r\n"
 #: Date of records that are made from a table without dates.
@@ -47,7 +47,7 @@ def identifier(*parts: str) -> str:
 
 
 def _safe(value: str) -> str:
-    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
+    return value if value.isprintable() else re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
 def header_text(fields: list[tuple[str, str | None]]) -> str:
@@ -121,6 +121,23 @@ def text_body(content_type: str, body: bytes) -> str:
         return body.decode("utf-8", "replace")
 
 
+def _outlinks(root: Node, uri: str) -> list[tuple[str, str]]:
+    """(absolute address, element/@attribute) in document order."""
+    base, host, out = uri, "", []
+    for x in elements(root):
+        name = LINKS.get(x.tag)
+        if x.tag == "base" and x.attrs.get("href"):
+            base, host = x.attrs["href"], ""
+        elif name and (target := x.attrs.get(name)):
+            try:
+                host = host or urljoin(base, "/")[:-1] if base else ""
+                plain = host and target[0] == "/" and target[:2] != "//" and "/." not in target
+                out.append((host + target if plain else urljoin(base, target), f"{x.tag}/@{name}"))
+            except ValueError:
+                out.append((target, f"{x.tag}/@{name}"))
+    return out
+
+
 def derivatives(record: bytes) -> list[dict]:
     """The metadata and conversion records of one response record; none for other records."""
     _, source, block = split_head(record)
@@ -137,16 +154,7 @@ def derivatives(record: bytes) -> list[dict]:
         if is_html:
             page = parsed(text)
             title, text = title_of(page.root), text_of(page)
-            base = uri or ""
-            for x in elements(page.root):
-                target = x.attrs.get(LINKS.get(x.tag, ""), "")
-                if x.tag == "base" and x.attrs.get("href"):
-                    base = x.attrs["href"]
-                elif target:
-                    try:
-                        links.append((urljoin(base, target), f"{x.tag}/@{LINKS[x.tag]}"))
-                    except ValueError:
-                        links.append((target, f"{x.tag}/@{LINKS[x.tag]}"))
+            links = _outlinks(page.root, uri or "")
     payload_digest = field(source, "WARC-Payload-Digest") or digest(body)
     facts = [("source-record-id", source_id), *[("source-header", f"{k}: {v}") for k, v in source], ("source-payload-digest", payload_digest)]
     facts += [("http-status", status)] * bool(status) + [("http-header", f"{k}: {v}") for k, v in http] + [("title", title)] * bool(title)
@@ -157,31 +165,49 @@ def derivatives(record: bytes) -> list[dict]:
     out = []
     for kind, content_type, content in made:
         data = content.encode()
-        own = identifier(kind, source_id)
+        own, sha = identifier(kind, source_id), digest(data)
         fields = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", source_id),
-                  ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Payload-Digest", payload_digest if kind == "metadata" else digest(data)),
-                  ("WARC-Block-Digest", digest(data)), ("Content-Type", content_type), ("Content-Length", str(len(data)))]
-        out.append({"record_id": own, "type": kind, "refers_to": source_id, "target_uri": uri, "date": date, "content_type": content_type, "block_digest": digest(data),
+                  ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Payload-Digest", payload_digest if kind == "metadata" else sha),
+                  ("WARC-Block-Digest", sha), ("Content-Type", content_type), ("Content-Length", str(len(data)))]
+        out.append({"record_id": own, "type": kind, "refers_to": source_id, "target_uri": uri, "date": date, "content_type": content_type, "block_digest": sha,
                     "payload_digest": payload_digest, "header": header_text(fields), "block": content})
     return out
 
 
+_NAMES = [x.split()[0] for x in KIND.split(", ")]
+
+
+def _derived(keys: list, records, kind: pa.DataType, keep: str) -> pa.RecordBatch:
+    made = [(k, d) for k, r in zip(keys, records) if r is not None for d in derivatives(r)]
+    return pa.record_batch([pa.array([k for k, _ in made], type=kind), *[pa.array([d[n] for _, d in made], type=pa.string()) for n in _NAMES]], [keep, *_NAMES])
+
+
 def derive(records: DataFrame, keep: str) -> DataFrame:
     """``keep`` (a column), and the derivatives of each response in column ``record`` (bytes).
 
     record_id, type, refers_to, target_uri, date, content_type, block_digest, payload_digest (of the source), header, block.
     """
-    names = [x.split()[0] for x in KIND.split(", ")]
 
     def run(batch: pa.RecordBatch):
         for i in range(0, batch.num_rows, 256):
             some = batch.slice(i, 256)
-            made = [(k, d) for k, r in zip(some.column(0).to_pylist(), some.column(1).to_pylist()) if r is not None for d in derivatives(r)]
-            yield pa.record_batch([pa.array([k for k, _ in made], type=some.schema.field(0).type), *[pa.array([d[n] for _, d in made], type=pa.string()) for n in names]], [keep, *names])
+            yield _derived(some.column(0).to_pylist(), some.column(1).to_pylist(), some.schema.field(0).type, keep)
 
     return map_arrow(records.select(keep, "record"), run, f"{keep} {dict(records.dtypes)[keep]}, {KIND}")
 
 
+def derive_pages(pages: DataFrame) -> DataFrame:
+    """``derive(responses(pages), "page_id")`` in one step: the response records never leave the task."""
+
+    def run(batch: pa.RecordBatch):
+        for i in range(0, batch.num_rows, 256):
+            some = batch.slice(i, 256)
+            rows = list(zip(*(some.column(c).to_pylist() for c in range(3))))
+            yield _derived([r[0] for r in rows], (response_record(str(p), u, h) for p, u, h in rows), some.schema.field(0).type, "page_id")
+
+    return map_arrow(pages.select("page_id", "url", "html"), run, f"page_id {dict(pages.dtypes)['page_id']}, {KIND}")
+
+
 def write_records(derived: DataFrame, path: str, **options: str) -> None:
     """WARC files of the derived records; option ``compression="gzip"`` packs them."""
     derived.select(F.concat("header", F.lit("\r\n"), "block").alias("value")).write.options(lineSep=END, **options).text(path)

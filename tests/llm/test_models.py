@@ -137,9 +137,9 @@ def test_shards_get_conserved_disjoint_blocks(spark):
 
 
 def test_hypergeometric_draws(spark):
-    u = spark.range(4000).select((F.col("id") + 0.5) / 4000)
+    u = spark.range(4000).select(((F.col("id") + 0.5) / 4000).alias("u"))
     for total, good, drawn in ((10, 4, 5), (1000, 300, 500), (7, 7, 3), (5, 0, 2), (100000, 30000, 50000)):
-        x = [r[0] for r in u.select(mixing.hypergeometric(u[u.columns[0]], F.lit(total), F.lit(good), F.lit(drawn)).alias("x")).collect()]
+        x = [r[0] for r in u.select(mixing.hypergeometric(F.col("u"), F.lit(total), F.lit(good), F.lit(drawn)).alias("x")).collect()]
         mean, var = drawn * good / total, drawn * good / total * (1 - good / total) * (total - drawn) / (total - 1)
         assert min(x) >= max(0, drawn + good - total) and max(x) <= min(good, drawn)
         assert abs(np.mean(x) - mean) < 0.01 * max(1, var**0.5) and abs(np.var(x) - var) <= 0.02 * var + 1e-9

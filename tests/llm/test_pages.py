@@ -21,6 +21,10 @@ CASES = {
     "pre": ("<pre>  x\n    y</pre>z", "  x\n    y\n\nz"),
     "quote": ("<blockquote>q<p>r</blockquote><dl><dt>t<dd>d</dl>", "  q\n\n  r\n\nt\n  d"),
     "crossed": ("<b>a<p>b</b>c</i></p></div>d", "a\n\nbc\n\nd"),
+    "attributes": ("<p title=\"a>b\" class='x>y' data-q=it's>one<br/><a href=x&amp;y>two</a><img alt='three &lt; four'>", "one\ntwothree < four"),
+    "markup": ("a<!-->b<!-- <p>c -->d<!doctype html>e<?pi?>f<![CDATA[g]]>h < i <3 j", "abdefh < i <3 j"),
+    "raw": ("<script>if (a</b) '</p>'</script>x<textarea><b>y &amp; z</textarea><xmp><i>w</i></xmp>", "x<b>y & z<i>w</i>"),
+    "cut off": ("a<b", "a"),
     "empty": ("", ""),
 }
 
@@ -66,6 +70,7 @@ def test_derivatives_link_and_digest(spark, sf):
         source = {warc.field(warc.split_head(bytes(r["record"]))[1], "WARC-Record-ID"): bytes(r["record"]) for r in warc.responses(pages).collect()}
         rows = warc.derive(warc.responses(pages), "page_id").collect()
         assert len(rows) == 2 * pages.count()
+        assert sorted(map(tuple, warc.derive_pages(pages).collect()), key=repr) == sorted(map(tuple, rows), key=repr)
         for r in rows:
             _, headers, _ = warc.split_head((r["header"] + "\r\n").encode())
             _, own, block = warc.split_head(source[r["refers_to"]])
@@ -102,3 +107,13 @@ def test_encoded_and_foreign_responses():
     assert [d["type"] for d in warc.derivatives(record(b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG"))] == ["metadata"]
     assert warc.derivatives(record(b"x", "request")) == []
     assert warc.derivatives(record(b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\nplain"))[1]["block"] == "plain"
+
+
+def test_outlinks_are_absolute():
+    from urllib.parse import urljoin
+
+    targets = ["/a", "/a/../b", "//other/x", "c?d", "#e", "http://f/g", "mailto:h", "/", "."]
+    for uri in ("http://host:80/p/q?r", "https://host", ""):
+        page = html_text.parsed("".join(f"<a href='{t}'>x</a>" for t in targets))
+        assert [x for x, _ in warc._outlinks(page.root, uri)] == [urljoin(uri, t) for t in targets]
+    assert warc._outlinks(html_text.parsed("<base href='http://b/c/'><img src=d><a href='/e'>").root, "http://x/y") == [("http://b/c/d", "img/@src"), ("http://b/e", "a/@href")]
