@@ -16,6 +16,9 @@ from cohortlab.operators.prefix import exact_quantiles, running_sums
 from cohortlab.session import materialize
 
 
+BRIER_DIGITS = 10
+
+
 def _rnd(c, digits):
     return c if digits is None else F.round(c, digits)
 
@@ -49,12 +52,12 @@ def average_precision(scored: DataFrame, group_cols: list[str] | None = None, di
     return cells.groupBy(*g).agg(_rnd(F.sum(term) / F.sum("pos"), digits).alias("average_precision"))
 
 
-def brier(scored: DataFrame, group_cols: list[str] | None = None, digits: int = 6,
+def brier(scored: DataFrame, group_cols: list[str] | None = None, digits: int = BRIER_DIGITS,
           score_col: str = "score", label_col: str = "label") -> DataFrame:
     """M3: mean squared error of the probability.
 
-    Rounded to 6 digits: with scores on a fixed grid the exact mean often ends in a 5 at
-    the 10th digit, where engines that sum in different orders would round apart.
+    Rounded to 10 digits: with scores on a grid of thousandths and up to 10,000 rows the exact mean has no more, so
+    engines that sum in different orders never round apart.
     """
     g = list(group_cols or [])
     d = F.col(score_col).cast("double") - F.col(label_col).cast("double")
@@ -99,7 +102,7 @@ def compute_metrics(scored: DataFrame, threshold: float, group_cols: list[str] |
         F.sum(F.when(s < t, F.col("pos")).otherwise(0)).alias("fn"), F.sum(F.when(s >= t, F.col("pos")).otherwise(0)).alias("tp"),
         F.sum("pos").alias("_p"), F.sum("n").alias("n"),
         F.sum(F.col("pos") * (s - 1) * (s - 1) + F.col("neg") * s * s).alias("_se"))
-    out = part.select(*g, *_confusion_columns(threshold), (F.col("_p") / F.col("n")).alias("positive_rate"), "n", _rnd(F.col("_se") / F.col("n"), 6).alias("brier_score"))
+    out = part.select(*g, *_confusion_columns(threshold), (F.col("_p") / F.col("n")).alias("positive_rate"), "n", _rnd(F.col("_se") / F.col("n"), BRIER_DIGITS).alias("brier_score"))
     for more in (roc_auc(cells, g), average_precision(cells, g)):
         out = out.crossJoin(more) if not g else out.join(more, g)
     return out

@@ -46,7 +46,7 @@ def ap_sql(src: str, g: str | None = None, digits: int | None = 9) -> str:
         FROM (SELECT {gs}score, sum(label) AS pos, sum(1 - label) AS neg FROM {src} GROUP BY {gs}score) c) w{gb}"""
 
 
-def brier_sql(src: str, g: str | None = None, digits: int | None = 6) -> str:
+def brier_sql(src: str, g: str | None = None, digits: int | None = 10) -> str:
     gs, gb = (f"{g}, ", f" GROUP BY {g}") if g else ("", "")
     v = "avg((score - label) * (score - label))"
     v = f"round({v}, {digits})" if digits is not None else v
