@@ -51,3 +51,56 @@ f AS (SELECT b.*, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_RE
       concat_ws(',', {', '.join(fails)}) AS failed FROM b {joins})
 SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM f
 """
+
+
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def decontaminate_sql() -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+WITH i AS (SELECT item_id, regexp_extract_all({_FOLDED}, '{word}') AS w FROM benchmark),
+iw AS (SELECT item_id, span, array_to_string(w[p:p + span - 1], ' ') AS gram FROM (
+         SELECT item_id, w, span, unnest(range(1, len(w) - span + 2)) AS p FROM (SELECT *, least(10, len(w)) AS span FROM i WHERE len(w) > 0))),
+k AS (SELECT DISTINCT span, gram FROM iw),
+d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '{word}') AS w FROM documents),
+dw AS (SELECT doc_id, span, p, array_to_string(w[p:p + span - 1], ' ') AS gram FROM (
+         SELECT doc_id, w, span, unnest(range(1, len(w) - span + 2)) AS p FROM d JOIN (SELECT DISTINCT span FROM k) ON len(w) >= span)),
+h AS (SELECT doc_id, span, p, gram FROM dw JOIN k USING (span, gram)),
+c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + span)) AS x FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, list(item ORDER BY item) AS items FROM (
+        SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM (SELECT DISTINCT doc_id, span, gram FROM h) JOIN iw USING (span, gram)) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
+
+def near_dedup_sql() -> str:
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '{_WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, gram FROM (
+        SELECT doc_id, array_to_string(w[p:p + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)
+        UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(gram, chr(10) ORDER BY gram)) AS sig FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS both_ FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM b JOIN n p ON p.doc_id = u JOIN n q ON q.doc_id = v WHERE 100 * both_ >= 75 * (p.n + q.n - both_)),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept,
+       CASE WHEN n.n IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY n.sig) END AS class_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id
+"""
+
+
+def substring_dedup_sql() -> str:
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+m AS (SELECT gram, min(doc_id) AS least FROM g GROUP BY gram),
+c AS (SELECT DISTINCT doc_id, x FROM (SELECT g.doc_id, unnest(range(p, p + 13)) AS x FROM g JOIN m USING (gram) WHERE least < g.doc_id)),
+k AS (SELECT t.doc_id, count(c.x) AS n_removed, string_agg(CASE WHEN c.x IS NULL THEN word END, ' ' ORDER BY t.x) AS kept
+      FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS x FROM d) t LEFT JOIN c ON c.doc_id = t.doc_id AND c.x = t.x GROUP BY t.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

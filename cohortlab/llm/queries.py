@@ -70,4 +70,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_decontaminate, op4_near_dedup, op5_mix_sources, op6_quality_model, op7_warc_derivatives, op8_secret_scan, op9_substring_dedup, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op10_quality_rules": oracles.quality_rules_sql()}
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": oracles.decontaminate_sql(),
+    "op4_near_dedup": oracles.near_dedup_sql(),
+    "op9_substring_dedup": oracles.substring_dedup_sql(),
+    "op10_quality_rules": oracles.quality_rules_sql(),
+}

@@ -121,7 +121,8 @@ def test_oracle_sql_matches(spark, sf):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf}/{name}.parquet')")
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     for name, sql in queries.ORACLES.items():
         result = con.execute(sql)
