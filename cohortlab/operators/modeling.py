@@ -166,14 +166,8 @@ def _classifier(spec: ModelSpec, n_train: int):
 ROWS_PER_TASK = 20_000
 
 
-def fit(spec: ModelSpec, train: DataFrame) -> FittedModel:
-    """Impute (exact median) -> scale -> encode -> assemble -> classifier."""
-    leakage_guard(spec.columns, spec.feature_set)
-    train = train.select(*spec.columns, "label")
-    if spec.kind == "dummy":
-        row = train.groupBy("label").count().orderBy(F.col("count").desc(), F.col("label").asc()).first()
-        n = train.count()
-        return FittedModel(spec, None, {}, {}, constant=float(row["label"]), n_train=n)
+def preprocess(spec: ModelSpec, train: DataFrame) -> tuple[list, dict, dict]:
+    """Fitted stages that impute (exact median), scale, encode and assemble ``features``; medians; scaling."""
     med = {r["feature"]: r["median"] for r in medians(train, spec.numeric).collect()}
     scale = scaling_stats(train, spec.numeric, med) if spec.needs_scaling else {}
     sqlt = SQLTransformer(statement=_prep_sql(spec, med, scale))
@@ -187,8 +181,7 @@ def fit(spec: ModelSpec, train: DataFrame) -> FittedModel:
         # dropLast drops the "unknown" slot StringIndexer(keep) appends: unseen -> all zeros
         ohe = OneHotEncoder(inputCols=[f"{c}__i" for c in spec.categorical],
                             outputCols=[f"{c}__v" for c in spec.categorical], dropLast=True)
-        ohe_model = ohe.fit(idx_model.transform(prepared))
-        stages.append(ohe_model)
+        stages.append(ohe.fit(idx_model.transform(prepared)))
         cat_out = [f"{c}__v" for c in spec.categorical]
     else:
         n_labels = [len(lbls) for lbls in idx_model.labelsArray]
@@ -198,8 +191,19 @@ def fit(spec: ModelSpec, train: DataFrame) -> FittedModel:
         stages.append(SQLTransformer(statement=f"SELECT *, {ordinal} FROM __THIS__"))
         cat_out = [f"{c}__o" for c in spec.categorical]
     stages.append(VectorAssembler(inputCols=[f"{c}__p" for c in spec.numeric] + cat_out, outputCol="features"))
-    pre = PipelineModel(stages)
-    assembled = pre.transform(train)
+    return stages, med, scale
+
+
+def fit(spec: ModelSpec, train: DataFrame) -> FittedModel:
+    """Impute (exact median) -> scale -> encode -> assemble -> classifier."""
+    leakage_guard(spec.columns, spec.feature_set)
+    train = train.select(*spec.columns, "label")
+    if spec.kind == "dummy":
+        row = train.groupBy("label").count().orderBy(F.col("count").desc(), F.col("label").asc()).first()
+        n = train.count()
+        return FittedModel(spec, None, {}, {}, constant=float(row["label"]), n_train=n)
+    stages, med, scale = preprocess(spec, train)
+    assembled = PipelineModel(stages).transform(train)
     n = assembled.count()
     rows = assembled.select("features", "label")
     if spec.kind == "gbt":

@@ -4,6 +4,8 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,6 +125,31 @@ def l3_missing_category(spark, sf_dir):
     return long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _onehot_sql() -> str:
+    """Slot of each test row's known category values: numeric slots first, then one block of alphabetical labels per feature."""
+    cats, blocks, before = C.CLEAN_CATEGORICAL_FEATURES, [], str(len(C.CLEAN_NUMERIC_FEATURES))
+    for c in cats:
+        labels = f"(SELECT DISTINCT coalesce({c}, 'missing') AS v FROM features WHERE split = 'train')"
+        blocks.append(f"SELECT permalink, {before} + i AS slot FROM features JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM {labels} x) l "
+                      f"ON l.v = coalesce({c}, 'missing') WHERE split = 'test'")
+        before += f" + (SELECT count(*) FROM {labels} y)"
+    return f"""
+  SELECT f.permalink, coalesce(s.slots, []::BIGINT[]) AS slots FROM (SELECT permalink FROM features WHERE split = 'test') f
+  LEFT JOIN (SELECT permalink, list(CAST(slot AS BIGINT) ORDER BY slot) AS slots FROM ({" UNION ALL ".join(blocks)}) u GROUP BY permalink) s USING (permalink)"""
+
+
+@query("l4_onehot_slots", ["features"], _onehot_sql())
+def l4_onehot_slots(spark, sf_dir):
+    """L4: the one-hot slots that are set for each test row (an unseen category sets none)."""
+    spec = mo.spec_by_name("logistic_regression_clean")
+    f = _features(spark, sf_dir)
+    stages, _, _ = mo.preprocess(spec, f.where(F.col("split") == "train").select(*spec.columns, "label"))
+    rows = PipelineModel(stages).transform(f.where(F.col("split") == "test")).select("permalink", vector_to_array("features").alias("x"))
+    first = len(spec.numeric)
+    slots = F.filter(F.transform("x", lambda v, i: F.when((i >= first) & (v != 0), i.cast("bigint"))), lambda i: i.isNotNull())
+    return rows.select("permalink", slots.alias("slots"))
+
+
 @query("l5_ordinal_codes", ["features"], """
   WITH dict AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS code FROM (
                   SELECT DISTINCT 'primary_category' AS feature, coalesce(primary_category, 'missing') AS value
@@ -570,13 +597,11 @@ def l24_m13_model_registry(spark, sf_dir):
 @query("m14_rescore_saved_model")
 def m14_rescore_saved_model(spark, sf_dir):
     """Save the fitted pipeline, load it back and re-score the test split (metrics equal the fit's)."""
-    from pyspark.ml import PipelineModel
     m = _fitted(spark, sf_dir, "logistic_regression_full")
     path = os.path.join(ensure_checkpoint_dir(spark), f"model-{uuid.uuid4().hex}")
     m.pipeline.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
     test = _features(spark, sf_dir).where(F.col("split") == "test")
-    from pyspark.ml.functions import vector_to_array
     s = loaded.transform(test).select("label", vector_to_array("probability")[1].alias("score"))
     return me.compute_metrics(s, 0.5)
 
