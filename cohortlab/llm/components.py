@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import discard, stored
+from cohortlab.llm.common import compact, discard, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -19,20 +19,20 @@ def _mark(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    least = stored(compact(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
 
 
 def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = stored(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = stored(compact(down.groupBy("u").agg(F.min("v").alias("m"))), "least")
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 def _stepped(star, edges: DataFrame) -> DataFrame:
     out, least = star(edges)
-    after = stored(out, "edges")
+    after = stored(compact(out), "edges")
     discard(edges, least)
     return after
 
@@ -43,7 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
     ``component`` is the smallest node that can be reached. Self loops, repeated rows and an empty
     table are fine; rows with a null end are ignored.
     """
-    now = stored(edges.select("u", "v").where("u <> v").distinct(), "edges")
+    now = stored(compact(edges.select("u", "v").where("u <> v").distinct()), "edges")
     mark = _mark(now)
     while mark[0]:
         now = _stepped(_small_star, _stepped(_large_star, now))

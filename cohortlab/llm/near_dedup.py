@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import discard, lists, map_arrow, release, stored
+from cohortlab.llm.common import compact, discard, lists, map_arrow, release, stored
 from cohortlab.llm.components import components
 from cohortlab.llm.words import GRAM, SPACED, U, mix, pieces, same_row
 
@@ -94,7 +94,7 @@ def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     small = stored(side.select("node", F.explode(F.concat(
         F.transform("a", lambda x: F.struct(F.lit(0).alias("side"), x.alias("h"))),
         F.transform("b", lambda x: F.struct(F.lit(1).alias("side"), x.alias("h"))))).alias("s")).select("node", "s.side", "s.h"), "small")
-    shared = stored(small.groupBy("side", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared")  # stored: the join can split hot keys
+    shared = stored(compact(small.groupBy("side", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")), "shared")  # stored: the join can split hot keys
     mine = (small.join(shared, ["side", "h"]).groupBy("node")
             .agg(F.collect_list(F.when(F.col("side") == 0, F.col("h"))).alias("a"), F.collect_list(F.when(F.col("side") == 1, F.col("h"))).alias("b"))
             .where((F.size("a") > 0) & (F.size("b") > 0)))
@@ -104,7 +104,7 @@ def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _stars(keys: DataFrame) -> DataFrame:
-    centre = stored(keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre"), "centres")
+    centre = stored(compact(keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")), "centres")
     return keys.join(centre, "key").where("node <> centre").select("node", "centre").distinct()
 
 
@@ -182,14 +182,14 @@ def _between(keys: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between components that share a bucket: blocks of the groups that such buckets connect."""
     mine = keys.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     open_keys = mine.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "lo")
-    open_keys = stored(open_keys, "keys")
-    rest = stored(mine.join(open_keys, "key").select("node", "comp", F.col("lo").alias("group")).distinct(), "open")
+    open_keys = stored(compact(open_keys), "keys")
+    rest = stored(compact(mine.join(open_keys, "key").select("node", "comp", F.col("lo").alias("group")).distinct()), "open")
     # groups that share a component are one
     near = rest.select(F.col("comp").alias("u"), F.col("group").alias("v")).distinct()
     whole = components(near)
     members = (rest.select("node", "comp").distinct().join(whole.withColumnRenamed("node", "comp"), "comp", "left")
                .select("node", "comp", F.coalesce("component", "comp").alias("group")))
-    members = stored(members, "members")
+    members = stored(compact(members), "members")
     blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(blocks, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tasks = placed.select("node", "comp", "group", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -209,14 +209,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(drawn.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(
         F.min_by(F.struct("a", "b"), "doc_id").alias("s"), F.min("doc_id").alias("node")).select("n_shingles", "d1", "d2", "node", "s.a", "s.b"), "classes")
     keys, small = _buckets(classes)
-    pairs = stored(_stars(keys), "pairs")
+    pairs = stored(compact(_stars(keys)), "pairs")
     nodes = keys.select("node").distinct()
     sets = _sets(docs, nodes)
     release(spark)
     first = stored(_confirmed(pairs.select(F.col("node").alias("u"), F.col("centre").alias("v")), sets), "links")
     comps = components(first)
     more = stored(_between(keys, comps, sets), "links")
-    comps = stored(components(first.unionByName(more)), "components")
+    comps = stored(compact(components(first.unionByName(more))), "components")
     discard(small, keys, pairs, sets, first, more)
     release(spark)
     by_class = classes.select("n_shingles", "d1", "d2", "node").join(comps, "node", "left")
