@@ -3,8 +3,12 @@
 A tree builder adds what HTML leaves implied (ends of paragraphs, list items, cells, rows and options; rows
 around loose cells; text that is loose in a table goes before it) and ignores stray end tags. Visibility rules
 drop elements that a browser does not render: the head, scripts, styles, templates, closed parts of details,
-``hidden`` elements, and those whose inline style or a simple selector (tag, .class, #id) of the page's style
-sheets says ``display: none`` or ``visibility: hidden``. Rendering collapses blanks as CSS does, separates
+``hidden`` elements, and those for which the winning declaration (importance, inline before #id before .class
+before tag, then order) of the inline style and of simple selectors in the page's style sheets says
+``display: none`` or ``visibility: hidden``. Sheets and ``@media`` blocks count if they hold on a screen
+``SCREEN`` pixels wide; other at-rules, nested rules and sheets of noscript and templates do not count. Of SVG the text
+elements and foreign objects are shown (where they stand, not where ``use`` repeats them), of MathML all but
+annotations and phantoms. Rendering collapses blanks as CSS does, separates
 blocks by line breaks or blank lines, marks and indents list items, keeps preformatted text and lays
 tables out in aligned columns with spans.
 
@@ -25,7 +29,23 @@ from cohortlab.llm.common import map_arrow
 NESTED = 20
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas datalist".split())
+#: Elements of SVG and MathML that show nothing by themselves.
+FOREIGN_HIDDEN = frozenset("annotation annotation-xml mphantom defs desc metadata symbol clippath mask pattern marker filter lineargradient radialgradient".split())
+#: Elements of SVG and MathML whose content is HTML again, and tags that end SVG and MathML elsewhere.
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small "
+    "span strong strike sub sup table tt u ul var".split())
+#: Width of the screen for media queries, in pixels; pixels of a unit; media types and display values that count.
+SCREEN = 1280
+UNITS = {"px": 1, "em": 16, "rem": 16}
+MEDIA = frozenset(("", "all", "screen"))
+DISPLAYS = frozenset(
+    "none block inline inline-block flex inline-flex grid inline-grid table inline-table table-row table-cell table-row-group table-header-group "
+    "table-footer-group table-column table-column-group table-caption list-item contents flow flow-root ruby ruby-text math -webkit-box "
+    "-webkit-inline-box -webkit-flex -webkit-inline-flex initial inherit unset revert revert-layer".split())
+VISIBILITIES = frozenset("visible hidden collapse initial inherit unset revert revert-layer".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
@@ -53,16 +73,18 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _BLANK = " \t\n\r\f"
 _RUNS = re.compile(r"[ \t\n\r\f]+")
-_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_DECIDES = re.compile(r"display|visibility", re.I)
+_CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|url\([^\"')]*\)|[{};]", re.S | re.I)
+_DECLARATION = re.compile(r"\s*(display|visibility)\s*:([^!]*)(!\s*important\s*)?", re.I)
+_FEATURE = re.compile(r"\(\s*(min-|max-)?width\s*:\s*(\d+(?:\.\d+)?)(px|r?em)\s*\)")
 _SIMPLE = re.compile(r"[.#]?[A-Za-z_][\w-]*")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "foreign")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], foreign: bool = False):
+        self.tag, self.attrs, self.kids, self.foreign = tag, attrs, [], foreign
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -74,13 +96,78 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+def on_screen(media: str) -> bool:
+    """Does a list of media queries hold on a screen ``SCREEN`` pixels wide? Unknown features do not hold."""
+    for query in media.lower().split(","):
+        kind, *features = re.split(r"\band\b", query)
+        kind = kind.strip()
+        if kind.startswith("("):
+            kind, features = "", [kind, *features]
+        flipped = kind.startswith("not ")
+        known = [_FEATURE.fullmatch(f.strip()) for f in features]
+        if not all(known):
+            continue
+        kind = re.sub(r"^(?:not|only)\s+", "", kind)
+        if flipped and kind.startswith("("):
+            continue
+        holds = kind in MEDIA
+        for m in known:
+            wide = float(m[2]) * UNITS[m[3]]
+            holds = holds and (SCREEN >= wide if m[1] == "min-" else SCREEN <= wide if m[1] else SCREEN == wide)
+        if holds != flipped:
+            return True
+    return False
+
+
+def declared(declarations) -> list[tuple[str, bool, bool]]:
+    """(property, important, hides) of the valid declarations of display and visibility."""
+    out = []
+    for x in declarations:
+        if m := _DECLARATION.fullmatch(x):
+            name, value = m[1].lower(), m[2].lower()
+            words = value.split()
+            valid = "var(" in value or words and all(w in (DISPLAYS if name == "display" else VISIBILITIES) for w in words)
+            if valid:
+                out.append((name, bool(m[3]), words == ["none"] if name == "display" else words in (["hidden"], ["collapse"])))
+    return out
+
+
+def sheet_rules(css: str):
+    """(selectors, declarations) of the rules that count on screen, in order."""
+    css = re.sub(r"/\*.*?(?:\*/|\Z)|<!--|-->", " ", css, flags=re.S)
+    todo: list[tuple[bool, str | None, list[str]]] = [(True, None, [])]  # open blocks: counts, selectors of a rule, its declarations
+    at = 0
+    for m in _CSS.finditer(css):
+        if m[0] not in "{};":
+            continue
+        counts, names, body = todo[-1]
+        text, at = css[at : m.start()], m.end()
+        if m[0] == "{":
+            text = text.strip()
+            if names is not None or text[:1] == "@":
+                media = names is None and re.match(r"@media\b", text, re.I)
+                todo.append((bool(counts and media and on_screen(text[6:])), None, []))
+            else:
+                todo.append((counts, text, []))
+        else:
+            if names is not None:
+                body.append(text)
+            if m[0] == "}" and len(todo) > 1:
+                todo.pop()
+                if names is not None and counts:
+                    yield names, body
+    if todo[-1][0] and todo[-1][1] is not None:  # the end of the sheet ends its last rule
+        yield todo[-1][1], [*todo[-1][2], css[at:]]
+
+
 class Builder:
-    """Builds the tree; ``hiding`` gathers simple selectors that style sheets hide."""
+    """Builds the tree; ``hiding`` gathers what style sheets declare of simple selectors: property -> (important, order, hides)."""
 
     def __init__(self):
         self.root = Node("html", {})
         self.open = [self.root]
-        self.hiding: set[str] = set()
+        self.hiding: dict[str, dict[str, tuple[bool, int, bool]]] = {}
+        self.order = 0
 
     def feed(self, html: str) -> None:
         at, size = 0, len(html)
@@ -98,6 +185,9 @@ class Builder:
                     self.handle_endtag(tag)
                     continue
                 self.handle_starttag(tag, attributes(m[3]) if m[3] else {})
+                if m[3] and m[3][-1] == "/" and self.open[-1].foreign and self.open[-1].tag == tag and [a.end() for a in _ATTR.finditer(m[3])][-1:] != [len(m[3])]:
+                    self.open.pop()  # <path/> ends at once
+                    continue
                 if tag in RAW or tag in TEXT_ONLY:
                     end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
                     text = html[at : end.start() if end else size]
@@ -121,6 +211,16 @@ class Builder:
         if tag == "html":
             self.root.attrs = attrs | self.root.attrs
             return
+        foreign = self.open[-1].foreign and self.open[-1].tag not in INTEGRATION
+        if foreign and tag in BREAKOUT:
+            foreign = False
+            while self.open[-1].foreign and self.open[-1].tag not in INTEGRATION:
+                self.open.pop()
+        if foreign or tag == "svg" or tag == "math":
+            node = Node(tag, attrs, True)
+            self._parent(tag).append(node)
+            self.open.append(node)
+            return
         if tag in ENDS_P:
             self._end({"p"}, SCOPE)
         if tag in IMPLIED:
@@ -146,7 +246,7 @@ class Builder:
             return
         if tag not in ("html", "body"):
             # inline elements end within their block only
-            shields = {"table"} if tag in IN_TABLE else SCOPE if tag in BLOCKS else BLOCKS
+            shields = {"table"} if tag in IN_TABLE else SCOPE if tag in BLOCKS or tag in ("svg", "math", "foreignobject") else BLOCKS
             self._end({tag}, shields - {tag})
 
     def _parent(self, tag: str) -> list:
@@ -164,10 +264,8 @@ class Builder:
 
     def handle_data(self, data: str) -> None:
         top = self.open[-1]
-        if top.tag == "style":
-            for names, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", data, flags=re.S)):
-                if _HIDES.search(body):
-                    self.hiding.update(n for n in (x.strip() for x in names.split(",")) if _SIMPLE.fullmatch(n))
+        if top.tag == "style" and _DECIDES.search(data):
+            self._sheet(top, data)
         if top.tag in IN_TABLE:
             if data.strip(_BLANK):
                 self._parent("").append(data)
@@ -175,14 +273,62 @@ class Builder:
             top.kids.append(data)
 
 
-def visible(node: Node, hiding: set[str]) -> bool:
-    if node.tag in HIDDEN or "hidden" in node.attrs or (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden"):
-        return False
-    if "style" in node.attrs and _HIDES.search(node.attrs["style"]):
-        return False
-    if hiding and (node.tag in hiding or "#" + node.attrs.get("id", "") in hiding or any("." + c in hiding for c in node.attrs.get("class", "").split())):
+    def _sheet(self, style: Node, css: str) -> None:
+        if style.attrs.get("type", "text/css").strip().lower() not in ("", "text/css") or not on_screen(style.attrs.get("media", "")):
+            return
+        if any(n.tag in ("noscript", "template") for n in self.open):
+            return
+        for names, body in sheet_rules(css):
+            for prop, important, hides in declared(body):
+                self.order += 1
+                for name in names.split(","):
+                    name = name.strip()
+                    if _SIMPLE.fullmatch(name):
+                        own = self.hiding.setdefault(name if name[0] in ".#" else name.lower(), {})
+                        own[prop] = max(own.get(prop, (False, 0, False)), (important, self.order, hides))
+
+
+def visible(node: Node, hiding: dict[str, dict[str, tuple[bool, int, bool]]]) -> bool:
+    tag, attrs = node.tag, node.attrs
+    if tag in HIDDEN or node.foreign and tag in FOREIGN_HIDDEN or (tag == "input" and attrs.get("type", "").lower() == "hidden"):
         return False
-    return True
+    if not attrs and tag not in hiding:
+        return True
+    style = attrs.get("style")
+    if style is not None and not _DECIDES.search(style):
+        style = None
+    if style is None and not (hiding and (tag in hiding or "#" + attrs.get("id", "") in hiding or any("." + c in hiding for c in attrs.get("class", "").split()))):
+        return "hidden" not in attrs
+    # of each property the largest (important, rank of the origin, order) wins
+    won = {"display": ((False, -1, 0), "hidden" in attrs), "visibility": ((False, -1, 0), False)}
+    if hiding:
+        matching = [(0, tag), *[(1, "." + c) for c in attrs.get("class", "").split()], (2, "#" + attrs.get("id", ""))]
+        for rank, name in matching:
+            for prop, (important, order, hides) in hiding.get(name, {}).items():
+                won[prop] = max(won[prop], ((important, rank, order), hides))
+    if style is not None:
+        parts, at = [], 0
+        for m in _CSS.finditer(style):
+            if m[0] == ";":
+                parts.append(style[at : m.start()])
+                at = m.end()
+        for order, (prop, important, hides) in enumerate(declared([*parts, style[at:]])):
+            won[prop] = max(won[prop], ((important, 3, order), hides))
+    return not (won["display"][1] or won["visibility"][1])
+
+
+def svg_shown(svg: Node, hiding: dict) -> list:
+    """The text elements and foreign objects of an SVG image, apart from each other."""
+    out, todo = [" "], list(reversed(svg.kids))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or not visible(x, hiding):
+            continue
+        if x.tag in ("text", "foreignobject"):
+            out += [x, " "]
+        else:
+            todo += reversed(x.kids)
+    return out
 
 
 class Page:
@@ -194,7 +340,8 @@ class Page:
         self.indent, self.marker = "", ""
 
     def gap_of(self, lines: int) -> None:
-        self.gap, self.blank = max(self.gap, lines), False
+        if lines:
+            self.gap, self.blank = max(self.gap, lines), False
 
     def _break(self) -> None:
         if self.gap:
@@ -248,7 +395,7 @@ def _number(value: str | None, default: int) -> int:
     return int(m[1]) if m else default
 
 
-def rendered(root: Node, hiding: set[str], depth: int = 0) -> list[str]:
+def rendered(root: Node, hiding: dict, depth: int = 0) -> list[str]:
     """Lines of a node's content."""
     page, pre = Page(), 0
     counters: list[int | None] = []
@@ -301,6 +448,10 @@ def rendered(root: Node, hiding: set[str], depth: int = 0) -> list[str]:
         kids = x.kids
         if tag == "details" and "open" not in x.attrs:
             kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"][:1]
+        elif x.foreign and tag == "svg":
+            kids = svg_shown(x, hiding)
+        elif x.foreign and tag in ("mtr", "mtd"):
+            page.text(" ")
         before, counted = page.indent, tag in LISTS
         if counted:
             counters.append(_number(x.attrs.get("start"), 1) if tag == "ol" else None)
@@ -320,7 +471,7 @@ def rendered(root: Node, hiding: set[str], depth: int = 0) -> list[str]:
     return page.done()
 
 
-def table_lines(table: Node, hiding: set[str], depth: int) -> list[str]:
+def table_lines(table: Node, hiding: dict, depth: int) -> list[str]:
     rows, captions = [], []
     todo = list(reversed(table.kids))
     while todo:

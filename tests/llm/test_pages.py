@@ -9,6 +9,7 @@ from cohortlab.llm import html_text, warc
 CASES = {
     "blocks": ("<p>one<p>two <b>bold</b>word<div>three</div>four", "one\n\ntwo boldword\n\nthree\nfour"),
     "blanks": ("  a\n\t b<span> c </span> d&nbsp;e", "a b c d\xa0e"),
+    "blank at the end of an element": ("<b>a </b>b<i>c</i>d", "a bcd"),
     "breaks": ("a<br>b<br><br>c", "a\nb\n\nc"),
     "lists": ("<ul><li>a<li>b<ol start=3><li>c<li value=7>d<li>e</ol><li>f</ul>", "- a\n- b\n  3. c\n  7. d\n  8. e\n- f"),
     "list wraps": ("<ul><li>a<br>b<p>c</ul>", "- a\n  b\n\n  c"),
@@ -28,6 +29,24 @@ CASES = {
     "empty": ("", ""),
 }
 
+VISIBILITY = {
+    "other properties": ("<style>body{-webkit-backface-visibility:hidden} .a{backface-visibility: hidden}</style>a<b class=a>b</b><i style='-webkit-backface-visibility:hidden'>c</i>", "abc"),
+    "print": ("<style>@media print { .nav{display:none} }</style><style media=print>.x{display:none}</style><b class=nav>a</b><b class=x>b</b>", "ab"),
+    "small screen": ("<style>@media screen and (max-width: 600px){.x{display:none}} .y{color:red}</style><b class=x>a</b>", "a"),
+    "wide screen": ("<style>.x{display:none}@media only screen and (min-width:40em){.x{display:block}}</style><b class=x>a</b>", "a"),
+    "on screen": ("<style>@media screen, print{.x{display:none}} .y{display:none}</style>a<b class=x>b</b><b class=y>c</b>", "a"),
+    "at-rules": ("<style>@import 'q;}'; .x{display:none} @supports (display:grid){.y{display:none}} @font-face{src:url(a;b)} .z{content:'}';display:none}</style><b class=x>a</b><b class=y>b</b><b class=z>c</b>", "b"),
+    "later wins": ("<style>.x{display:none}</style><style>.x{display:block}.y{display:block}.y{display:none}</style><b class=x>a</b><b class=y>b</b>", "a"),
+    "ranks": ("<style>#i{display:inline} .x{display:none} b{display:inline} .y{display:none!important}</style><b class=x id=i>a</b><b class=x>b</b><b class=y style='display:block'>c</b><b class=x style='display:block'>d</b>", "ad"),
+    "invalid": ("<style>.x{display:none;display:-ms-bogus}</style><b class=x>a</b>b", "b"),
+    "hidden shown": ("<style>.x{display:inline}</style><b hidden class=x>a</b><b hidden>b</b>", "a"),
+    "noscript sheet": ("<noscript><style>.x{display:none}</style></noscript><b class=x>a</b>", "a"),
+    "math": ("a <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>tex</annotation></semantics></math> b", "a x=2 b"),
+    "svg": ("a<svg><title>t</title><defs/><path d=x/></path><text>one <tspan>two</tspan></text><g style='display:none'><text>no</text></g><text>three</text>loose</svg>b", "a one two three b"),
+    "foreign": ("<svg><foreignObject><p>in<br/>side</foreignObject></svg>after<svg><path><p>out", "in\nside\n\nafter\n\nout"),
+}
+CASES |= VISIBILITY
+
 
 @pytest.mark.parametrize("name", CASES)
 def test_layout(name):
