@@ -1,7 +1,7 @@
 """Layout-aware HTML rendering: all visible text of a page with the layout a reader sees.
 
 A tree builder adds what HTML leaves implied (ends of paragraphs, list items, cells, rows and options; rows
-around loose cells; text that is loose in a table goes before it) and ignores stray end tags. Visibility rules
+around loose cells; what is loose in a table goes before it; a form there opens nothing) and ignores stray end tags. Visibility rules
 drop elements that a browser does not render: the head, scripts, styles, templates, closed parts of details,
 ``hidden`` elements, and those for which the winning declaration (importance, inline before #id before .class
 before tag, then order) of the inline style and of simple selectors in the page's style sheets says
@@ -62,6 +62,9 @@ IMPLIED = {
 }
 SCOPE = frozenset("table td th caption button".split())
 IN_TABLE = frozenset("table tbody thead tfoot tr".split())
+#: Parts of a table that end what is open between them and the table's innermost open part; where the search for that ends.
+PARTS = frozenset("td th tr tbody thead tfoot caption colgroup".split())
+CELLS = frozenset("td th caption template button".split())
 #: Elements whose content is text up to their end tag; references count in the second set only.
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 TEXT_ONLY = frozenset("title textarea".split())
@@ -223,15 +226,28 @@ class Builder:
             return
         if tag in ENDS_P:
             self._end({"p"}, SCOPE)
+        if self.open[-1].tag == "colgroup" and tag not in ("col", "template"):
+            self.open.pop()
+        if tag == "table" and self.open[-1].tag in IN_TABLE:
+            self._end({"table"}, ())
         if tag in IMPLIED:
             self._end(*IMPLIED[tag])
-            if tag in ("td", "th") and self.open[-1].tag in IN_TABLE and self.open[-1].tag != "tr":
-                self._push(Node("tr", {}))
+        if tag in PARTS and self.open[-1].tag not in IN_TABLE:
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag in IN_TABLE:
+                    del self.open[i + 1 :]
+                    break
+                if self.open[i].tag in CELLS:
+                    break
+        if tag in ("td", "th") and self.open[-1].tag in IN_TABLE and self.open[-1].tag != "tr":
+            self._push(Node("tr", {}))
         node = Node(tag, attrs)
         if tag in VOID:
             self._parent(tag).append(node)
+        elif tag == "form" and self.open[-1].tag in IN_TABLE:
+            self.open[-1].kids.append(node)
         else:
-            if self.open[-1].tag in IN_TABLE and tag not in IN_TABLE and tag not in ("td", "th", "caption", "colgroup", "script", "style", "template", "form"):
+            if self.open[-1].tag in IN_TABLE and tag not in IN_TABLE and tag not in ("td", "th", "caption", "colgroup", "script", "style", "template"):
                 self._parent(tag).append(node)
                 self.open.append(node)
             else:
@@ -266,6 +282,9 @@ class Builder:
         top = self.open[-1]
         if top.tag == "style" and _DECIDES.search(data):
             self._sheet(top, data)
+        if top.tag == "colgroup" and data.strip(_BLANK):
+            top = self.open[-2]
+            self.open.pop()
         if top.tag in IN_TABLE:
             if data.strip(_BLANK):
                 self._parent("").append(data)
@@ -472,17 +491,30 @@ def rendered(root: Node, hiding: dict, depth: int = 0) -> list[str]:
 
 
 def table_lines(table: Node, hiding: dict, depth: int) -> list[str]:
+    """Captions and what is loose in the table, then its rows; cells may lie below any wrapper."""
     rows, captions = [], []
     todo = list(reversed(table.kids))
     while todo:
         x = todo.pop()
-        if isinstance(x, str) or not visible(x, hiding):
+        if isinstance(x, str):
+            if x.strip(_BLANK):
+                captions.append(_RUNS.sub(" ", x).strip(_BLANK))
+            continue
+        if not visible(x, hiding):
             continue
-        if x.tag == "tr":
-            rows.append([k for k in x.kids if isinstance(k, Node) and k.tag in ("td", "th") and visible(k, hiding)])
+        if x.tag in ("td", "th"):
+            if not rows:
+                rows.append([])
+            rows[-1].append(x)
         elif x.tag == "caption":
             captions += rendered(x, hiding, depth)
+        elif x.tag == "table" or x.tag in VOID:
+            loose = Node("div", {})
+            loose.kids.append(x)
+            captions += rendered(loose, hiding, depth)
         else:
+            if x.tag == "tr":
+                rows.append([])
             todo += reversed(x.kids)
     taken: dict[tuple[int, int], bool] = {}
     cells: list[list[tuple[int, int, list[str]]]] = []  # of each row: column, span, lines

@@ -45,7 +45,15 @@ VISIBILITY = {
     "svg": ("a<svg><title>t</title><defs/><path d=x/></path><text>one <tspan>two</tspan></text><g style='display:none'><text>no</text></g><text>three</text>loose</svg>b", "a one two three b"),
     "foreign": ("<svg><foreignObject><p>in<br/>side</foreignObject></svg>after<svg><path><p>out", "in\nside\n\nafter\n\nout"),
 }
-CASES |= VISIBILITY
+TABLES = {
+    "form in a row": ("<table><tr><form action=x><td>a</td><td>b</td></form></tr><tr><td>c<td>d</table>e", "a  b\nc  d\n\ne"),
+    "form in a table": ("<table><form><td>a<td>b<tr><td>c</form><td>d</table>", "a  b\nc  d"),
+    "form in a body": ("<table><tbody><form><tr><td>a</td></tr></form></tbody></table><form>b</form>", "a\n\nb"),
+    "wrapped cells": ("<table><tr><div>x<td>a<td>b<tr><td>c</div><td>d</table>", "x\n\na  b\nc  d"),
+    "column group": ("<table><colgroup>x<col><tr><td>a</table>", "x\n\na"),
+    "table in a row": ("<table><tr><td>a<tr><table><tr><td>b</table>c", "a\n\nb\n\nc"),
+}
+CASES |= VISIBILITY | TABLES
 
 
 @pytest.mark.parametrize("name", CASES)
@@ -54,6 +62,16 @@ def test_layout(name):
     assert html_text.render(source)[1] == want
 
 
+def test_cells_and_text_below_wrappers():
+    table, row, wrapper = (html_text.Node(tag, {}) for tag in ("table", "tr", "form"))
+    for tag in "th", "td":
+        wrapper.kids.append(html_text.Node(tag, {}))
+        wrapper.kids[-1].kids.append(tag)
+    row.kids += ["loose", wrapper]
+    table.kids.append(row)
+    assert html_text.table_lines(table, {}, 1) == ["loose", "th  td"]
+
+
 def test_deep_nesting_and_title():
     assert html_text.render("<div>" * 20000 + "x" + "</div>" * 10000)[1] == "x"
     assert html_text.render("<table><tr><td>" * 60 + "x")[1] == "x"
