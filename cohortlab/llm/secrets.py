@@ -3,9 +3,11 @@
 Base patterns find credentials that are labelled by their surroundings (an assignment to a telling name)
 or by a fixed shape. Their values, as strings of character classes, form one prefix tree per kind; states
 whose symbol and end frequencies are statistically compatible (Hoeffding bound, checked down the tree) are
-merged into a probabilistic automaton. Candidates that no pattern found are merged into a background
-automaton the same way. Every candidate is then scored by the log likelihood ratio of the best kind's
-automaton against the background; those above ``EVIDENCE`` become spans of kind ``format``.
+merged into a probabilistic automaton. Candidates are what the base spans leave of the runs of credential
+characters, words included, from the base patterns' least length on; they are merged into a background
+automaton the same way. As that is fitted on a sample, the background is an even mixture of it and a chain of
+second order over character classes, counted on all candidates. Every candidate is then scored by the log
+likelihood ratio of the best kind's automaton against the background; those above ``EVIDENCE`` become spans of kind ``format``.
 
 The automata are fitted on at most ``SAMPLE`` distinct values of each kind, those of smallest hash, of at
 most ``LONGEST`` characters; scoring covers every candidate of every whole text.
@@ -17,6 +19,8 @@ are ignored.
 """
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
 import re
 
@@ -39,16 +43,16 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 HINTS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
 SAMPLE, LONGEST = 2000, 128
-#: A candidate is a run of credential characters of this length with a digit.
-CANDIDATE = 16
+#: Least length of a candidate: that of the base values.
+CANDIDATE = min(LEAST.values())
+#: Parts of the hash range that are sampled apart.
+SLOTS = 16
 EVIDENCE = 8.0
 #: Confidence of the compatibility test.
 ALPHA = 0.05
 
 _HEX = np.zeros(256, dtype=bool)
 _HEX[48:58] = _HEX[97:103] = True
-_DIGIT = np.zeros(256, dtype=bool)
-_DIGIT[48:58] = True
 _CREDENTIAL = np.zeros(256, dtype=bool)
 _CREDENTIAL[48:58] = _CREDENTIAL[65:91] = _CREDENTIAL[97:123] = True
 _CREDENTIAL[[43, 45, 46, 47, 61, 95]] = True
@@ -72,46 +76,88 @@ def base_matches(text: bytes, low: bytes) -> list[tuple[str, int, int, bytes]]:
     return out
 
 
-_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.binary())])
-
-
-def raw_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, spans: base spans, and kind 'candidate' for runs of credential characters outside them."""
+def scanned(texts: pa.Array):
+    """Pieces: rows i to j, their bytes and offsets, the base spans of each row, starts and ends of the candidates and of what is scored of them."""
+    whole, offsets = text_buffers(texts)
+    for i, j in cuts(offsets):
+        data, off = whole[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        raw = data.tobytes()
+        found: list[list[tuple[str, int, int, bytes]]] = [[] for _ in range(j - i)]
+        low = raw.lower()
+        hinted = any(h in low for h in HINTS) or b"AKIA" in raw
+        if hinted:
+            for r in range(j - i):
+                found[r] += base_matches(raw[off[r] : off[r + 1]], low[off[r] : off[r + 1]])
+        starts, ends = bounds(_HEX[data], off)
+        long = ends - starts >= LEAST["hex"]
+        for s, e in zip(starts[long].tolist(), ends[long].tolist()):
+            r = int(np.searchsorted(off, s, side="right")) - 1
+            found[r].append(("hex", s - int(off[r]), e - int(off[r]), raw[s:e]))
+        free = _CREDENTIAL[data]
+        for r, spans in enumerate(found):
+            for _, a, b, _ in spans:
+                free[off[r] + a : off[r] + b] = False
+        starts, ends = bounds(free, off)
+        some = ends - starts >= CANDIDATE
+        starts, ends = starts[some], ends[some]
+        first, last = starts.copy(), ends.copy()
+        credential, border = _CREDENTIAL[data], np.zeros(len(data) + 1, dtype=bool)
+        border[off] = True
+        # signs next to a base span join it to the rest and are not scored
+        for k in np.flatnonzero(~border[starts] & credential[starts - 1]):
+            while first[k] < last[k] and _CLASS[data[first[k]]] >= 5:
+                first[k] += 1
+        for k in np.flatnonzero(~border[ends] & credential[np.minimum(ends, len(data) - 1)]):
+            while first[k] < last[k] and _CLASS[data[last[k] - 1]] >= 5:
+                last[k] -= 1
+        some = last - first >= CANDIDATE
+        yield i, j, data, off, found, starts[some], ends[some], first[some], last[some]
+
+
+def hashed(value: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(value, digest_size=8).digest(), "big", signed=True)
+
+
+def least(values: set[bytes]) -> list[tuple[int, bytes]]:
+    """The ``SAMPLE`` values of smallest hash."""
+    return heapq.nsmallest(SAMPLE, ((hashed(v), v) for v in values))
+
+
+def triples(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of three classes in a row of the candidates, with two marks (class 11) before each, and where each one's begin."""
+    size = ends - starts
+    begin = np.cumsum(size + 2) - size - 2
+    flat = np.full(int(size.sum()) + 2 * len(size) + 1, SYMBOLS - 1, dtype=np.int64)
+    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    flat[np.repeat(begin + 2, size) + inner] = _CLASS[data[np.repeat(starts, size) + inner]]
+    return (flat[:-2] * SYMBOLS + flat[1:-1]) * SYMBOLS + flat[2:], begin
+
+
+def samples(docs: DataFrame) -> DataFrame:
+    """kind, h, value, n: of each kind, and of the candidates, the distinct values of smallest hash of every batch; counts n of triples h."""
 
     def run(batch: pa.RecordBatch):
-        whole, offsets = text_buffers(batch.column(1))
-        for i, j in cuts(offsets):
-            data, off = whole[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        seen: dict[str, set[bytes]] = {}
+        chain = np.zeros(SYMBOLS**3, dtype=np.int64)
+        for _, _, data, _, found, _, _, starts, ends in scanned(batch.column(0)):
             raw = data.tobytes()
-            found: list[list[tuple[str, int, int, bytes]]] = [[] for _ in range(j - i)]
-            low = raw.lower()
-            hinted = any(h in low for h in HINTS) or b"AKIA" in raw
-            if hinted:
-                for r in range(j - i):
-                    found[r] += base_matches(raw[off[r] : off[r + 1]], low[off[r] : off[r + 1]])
-            starts, ends = bounds(_HEX[data], off)
-            long = ends - starts >= LEAST["hex"]
-            for s, e in zip(starts[long].tolist(), ends[long].tolist()):
-                r = int(np.searchsorted(off, s, side="right")) - 1
-                found[r].append(("hex", s - int(off[r]), e - int(off[r]), raw[s:e]))
-            digits = np.r_[0, np.cumsum(_DIGIT[data])]
-            starts, ends = bounds(_CREDENTIAL[data], off)
-            some = (ends - starts >= CANDIDATE) & (digits[ends] > digits[starts])
-            for s, e in zip(starts[some].tolist(), ends[some].tolist()):
-                r = int(np.searchsorted(off, s, side="right")) - 1
-                a, b = s - int(off[r]), e - int(off[r])
-                if not any(x < b and a < y for _, x, y, _ in found[r]):
-                    found[r].append(("candidate", a, b, raw[s:e]))
-            out = []
-            for r, spans in enumerate(found):
-                if spans:  # code points before each byte
-                    points = np.r_[0, np.cumsum((data[off[r] : off[r + 1]] & 0xC0) != 0x80)]
-                    spans = [{"kind": k, "start": int(points[s]), "end": int(points[e]), "value": v} for k, s, e, v in spans]
-                out.append(spans)
-            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(out, type=pa.list_(_SPAN))], ["doc_id", "spans"])
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
-                     "doc_id long, spans array<struct<kind:string,start:long,end:long,value:binary>>")
+            for spans in found:
+                for k, _, _, v in spans:
+                    if len(v) <= LONGEST:
+                        seen.setdefault(k, set()).add(v)
+            if len(starts):
+                chain += np.bincount(triples(data, starts, ends)[0], minlength=SYMBOLS**3)
+            short = ends - starts <= LONGEST
+            seen.setdefault("candidate", set()).update([raw[s:e] for s, e in zip(starts[short].tolist(), ends[short].tolist())])
+            for k, values in seen.items():
+                if len(values) > 32 * SAMPLE:
+                    seen[k] = {v for _, v in least(values)}
+        rows = [(k, h, v, 0) for k, values in seen.items() for h, v in least(values)]
+        rows += [("triple", int(i), b"", int(chain[i])) for i in np.flatnonzero(chain)]
+        kinds = (pa.string(), pa.int64(), pa.binary(), pa.int64())
+        yield pa.record_batch([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(kinds)], ["kind", "h", "value", "n"])
+
+    return map_arrow(docs.select("text"), run, "kind string, h long, value binary, n long")
 
 
 class State:
@@ -221,57 +267,66 @@ class Automaton:
         return total + self.log[state, SYMBOLS]
 
 
-def ratios(values: list[bytes], kinds: list[Automaton], background: Automaton) -> np.ndarray:
-    size = np.array([len(v) for v in values], dtype=np.int64)
-    order = np.argsort(-size, kind="stable")
-    flat = _CLASS[np.frombuffer(b"".join(values[i] for i in order), dtype=np.uint8)]
-    size = size[order]
-    begin = np.cumsum(size) - size
-    best = np.max([a.score(flat, begin, size) for a in kinds], axis=0)
-    out = np.empty(len(values))
-    out[order] = best - background.score(flat, begin, size)
+def ratios(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: list[Automaton], background: Automaton, chain: np.ndarray) -> np.ndarray:
+    """Log likelihood ratio of the best kind against the background, of each candidate."""
+    order = np.argsort(starts - ends, kind="stable")
+    begin, size, classes = starts[order], (ends - starts)[order], _CLASS[data]
+    best = np.max([a.score(classes, begin, size) for a in kinds], axis=0)
+    codes, at = triples(data, starts, ends)
+    sums = np.r_[0.0, np.cumsum(chain[codes])]
+    chained = sums[at + (ends - starts) + 1] - sums[at]  # each symbol and the end
+    out = np.empty(len(size))
+    out[order] = best - np.logaddexp(background.score(classes, begin, size), chained[order]) + math.log(2)
     return out
 
 
-def learn(found: DataFrame) -> tuple[list[Automaton], Automaton] | None:
-    values = found.select(F.explode("spans").alias("s")).select("s.kind", "s.value").where(F.length("value") <= LONGEST)
-    values = values.select("kind", "value", F.xxhash64("value").alias("h")).distinct()
-    first = Window.partitionBy("kind").orderBy("h", "value")
-    rows = values.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE).orderBy("kind", "r").collect()  # 4 x SAMPLE x LONGEST bytes at most
-    by: dict[str, list[bytes]] = {}
+def learn(docs: DataFrame) -> tuple[list[Automaton], Automaton, np.ndarray] | None:
+    drawn = stored(samples(docs), "samples")
+    counts = np.zeros(SYMBOLS**3)
+    for r in drawn.where("kind = 'triple'").groupBy("h").agg(F.sum("n").alias("n")).collect():  # SYMBOLS ** 3 rows at most
+        counts[r["h"]] = r["n"]
+    counts = counts.reshape(-1, SYMBOLS) + 0.5
+    chain = np.log(counts / counts.sum(axis=1, keepdims=True)).ravel()
+    slot = F.pmod("h", F.lit(SLOTS))
+    first = Window.partitionBy("kind", "slot").orderBy("h", "value")
+    values = drawn.where("kind <> 'triple'").distinct().withColumn("slot", slot)
+    rows = values.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE).select("kind", "h", "value").collect()  # 4 x SLOTS x SAMPLE x LONGEST bytes at most
+    by: dict[str, list[tuple[int, bytes]]] = {}
     for r in rows:
-        by.setdefault(r["kind"], []).append(bytes(r["value"]))
-    other = by.pop("candidate", [])
-    return ([Automaton(by[k]) for k in sorted(by)], Automaton(other)) if by else None
+        by.setdefault(r["kind"], []).append((r["h"], bytes(r["value"])))
+    chosen = {k: [v for _, v in heapq.nsmallest(SAMPLE, x)] for k, x in by.items()}
+    other = chosen.pop("candidate", [])
+    return ([Automaton(chosen[k]) for k in sorted(chosen)], Automaton(other), chain) if chosen else None
 
 
-def scored(found: DataFrame, model: tuple[list[Automaton], Automaton] | None) -> DataFrame:
+def scored(docs: DataFrame, model: tuple[list[Automaton], Automaton, np.ndarray] | None) -> DataFrame:
     """doc_id, spans (kind, start, end) in order: base spans and the candidates whose likelihood ratio is high."""
-    shared = found.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     rank = {k: i for i, k in enumerate(KINDS)}
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batch: pa.RecordBatch):
-        rows = batch.column(1).to_pylist()
-        maybe = [(r, s) for r, spans in enumerate(rows) for s in spans if s["kind"] == "candidate"]
-        good = set()
-        if maybe and shared.value is not None:
-            ratio = ratios([s["value"] for _, s in maybe], *shared.value)
-            good = {(maybe[i][0], maybe[i][1]["start"]) for i in np.flatnonzero(ratio >= EVIDENCE)}
-        out = []
-        for r, spans in enumerate(rows):
-            kept = [("format" if s["kind"] == "candidate" else s["kind"], s["start"], s["end"]) for s in spans if s["kind"] != "candidate" or (r, s["start"]) in good]
-            kept.sort(key=lambda s: (s[1], rank[s[0]]))
-            out.append([{"kind": k, "start": a, "end": b} for k, a, b in kept])
-        yield pa.record_batch([batch.column(0), pa.array(out, type=pa.list_(kind))], ["doc_id", "spans"])
-
-    return map_arrow(found.select("doc_id", "spans"), run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+        for i, j, data, off, found, starts, ends, first, last in scanned(batch.column(1)):
+            spans = [[(k, a, b) for k, a, b, _ in x] for x in found]
+            if len(starts) and shared.value is not None:
+                good = ratios(data, first, last, *shared.value) >= EVIDENCE
+                for s, e in zip(starts[good].tolist(), ends[good].tolist()):
+                    r = int(np.searchsorted(off, s, side="right")) - 1
+                    spans[r].append(("format", s - int(off[r]), e - int(off[r])))
+            out = []
+            for r, x in enumerate(spans):
+                if x:  # code points before each byte
+                    points = np.r_[0, np.cumsum((data[off[r] : off[r + 1]] & 0xC0) != 0x80)]
+                    x = [{"kind": k, "start": int(points[a]), "end": int(points[b])} for k, a, b in sorted(x, key=lambda s: (s[1], rank[s[0]]))]
+                out.append(x)
+            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(out, type=pa.list_(kind))], ["doc_id", "spans"])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, spans (kind, start, end) of every row."""
-    found = stored(raw_spans(docs), "spans")
-    return scored(found, learn(found))
+    return scored(docs, learn(docs))
 
 
 def joined_spans(spans: Column) -> Column:

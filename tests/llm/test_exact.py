@@ -2,6 +2,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,29 @@ def test_learned_format_and_redaction(docs_of):
     assert clean[120] == ("seen [SECRET] and [SECRET], [SECRET]", 36) and clean[121] == ("plain words only", 16) and clean[122] == (None, None)
 
 
+def test_every_rest_of_a_run_is_scored(docs_of):
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    words = ["".join(rng.choice("aeiou" if i % 2 else "bcdlmnrst") for i in range(rng.randint(3, 14))) for _ in range(1500)]
+    rows = [f"use token = {key(40)} and password: {key(12)} with " + " ".join(rng.sample(words, 40)) for _ in range(300)]
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(30))
+    access = "AKIA" + "ABCD1234EFGH5678"
+    found = lambda more: [[tuple(s) for s in r["spans"]] for r in secrets.find_secrets(docs_of(rows + more)).orderBy("doc_id").collect()]
+    got = found([f"x {access}/{key(40)} y", f"x {access}q{key(39)} y", " ".join(words)])
+    assert got[300:] == [[("access", 2, 22), ("format", 22, 63)], [("access", 2, 22), ("format", 22, 62)], []]
+    assert all([s[0] for s in x] == ["assign", "assign"] for x in got[:300])
+    assert found([f"x {letters} y", "IDENTIFIERS and 10.20.30.40"])[300:] == [[("format", 2, 32)], []]
+
+
+def test_candidates_are_all_rests_of_six_characters():
+    import pyarrow as pa
+
+    texts = ["x q7Rk2Zp9Vw4T abcde abcdef", f"AKIA{'A1' * 8}/secretpart", None, "mykeys_token=abcdef"]
+    got = [[texts[int(np.searchsorted(off, s, side="right")) - 1][s - off[int(np.searchsorted(off, s, side="right")) - 1] :][: e - s] for s, e in zip(starts, ends)]
+           for _, _, _, off, _, starts, ends, _, _ in secrets.scanned(pa.array(texts))]
+    assert got == [["q7Rk2Zp9Vw4T", "abcdef", "/secretpart", "mykeys_"]]
+
+
 def test_states_merge_by_frequency():
     loop = secrets.merged(secrets.prefix_tree([b"a" * n for n in range(1, 60)]))
     assert len(loop) < 10
