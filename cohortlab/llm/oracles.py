@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from cohortlab.llm import quality_rules as q
+from cohortlab.llm import urls
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -104,3 +105,18 @@ k AS (SELECT t.doc_id, count(c.x) AS n_removed, string_agg(CASE WHEN c.x IS NULL
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
+
+
+def url_filter_sql() -> str:
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
+    return f"""
+WITH r(host, path, verdict) AS (VALUES {rules}),
+u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+b AS (SELECT p.*, (SELECT arg_max([r.host || r.path, r.verdict], length(r.host || r.path)) FROM r
+                   WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)) AS best FROM p),
+l AS (SELECT host FROM b WHERE host <> '' GROUP BY host
+      HAVING count(*) FILTER (best[2] = 'block') * {urls.SHARE} >= count(*) AND count(*) FILTER (best[2] = 'block') > 0 AND count(*) FILTER (best[2] = 'allow') = 0)
+SELECT page_id, host, path, best[1] AS rule, coalesce(best[2], CASE WHEN host IN (SELECT host FROM l) THEN 'block' ELSE 'allow' END) AS verdict,
+       host IN (SELECT host FROM l) AS listed FROM b"""
