@@ -1,6 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 from __future__ import annotations
 
+from cohortlab.llm import clusters as c
 from cohortlab.llm import quality_rules as q
 from cohortlab.llm import urls
 
@@ -120,3 +121,26 @@ l AS (SELECT host FROM b WHERE host <> '' GROUP BY host
       HAVING count(*) FILTER (best[2] = 'block') * {urls.SHARE} >= count(*) AND count(*) FILTER (best[2] = 'block') > 0 AND count(*) FILTER (best[2] = 'allow') = 0)
 SELECT page_id, host, path, best[1] AS rule, coalesce(best[2], CASE WHEN host IN (SELECT host FROM l) THEN 'block' ELSE 'allow' END) AS verdict,
        host IN (SELECT host FROM l) AS listed FROM b"""
+
+
+def centroid_clusters_sql() -> str:
+    """Rounds by brute force: every vector against every centroid, one row per component."""
+    parts = [f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor({c.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+     WHERE len(embedding) = {c.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {c.DIMENSIONS}),
+e AS MATERIALIZED (SELECT id, unnest(x) AS c, unnest(range(1, {c.DIMENSIONS} + 1)) AS d FROM v),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS k, x FROM v QUALIFY k < {c.CENTROIDS})"""]
+    for i in range(c.ROUNDS + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (SELECT id, arg_min(k, (dist, k)) AS k, min(dist) AS dist FROM (
+      SELECT e.id, m.k, sum((e.c - m.c) * (e.c - m.c)) AS dist FROM e JOIN (SELECT k, unnest(x) AS c, unnest(range(1, {c.DIMENSIONS} + 1)) AS d FROM c{i}) m USING (d) GROUP BY ALL) GROUP BY id)""")
+        if i < c.ROUNDS:
+            parts.append(f"""
+s{i} AS (SELECT a.k, e.d, sum(e.c) AS s, count(*) AS n FROM a{i} a JOIN e USING (id) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.k, coalesce(n.x, c{i}.x) AS x FROM c{i} LEFT JOIN (
+      SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY d) AS x FROM s{i} GROUP BY k) n USING (k))""")
+    last = c.ROUNDS
+    return ",".join(parts) + f"""
+SELECT v.vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(a.dist AS BIGINT) AS distance, CAST(sum(a.dist) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.dist) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM v JOIN a{last} a USING (id) JOIN c{last} m ON m.k = a.k"""
