@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import clusters, decontaminate, html_text, language, mixing, near_dedup, oracles, quality_model, quality_rules, recompress, secrets, urls, warc
+from cohortlab.llm import clusters, decontaminate, html_text, language, mixing, near_dedup, oracles, quality_model, quality_rules, recompress, secrets, urls, warc, whitening
 from cohortlab.llm.common import compact, held_out, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +80,12 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.with_digest(*clusters.clustered(table(spark, sf_dir, "embeddings")))
 
 
-QUERIES: dict[str, Builder] = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_decontaminate, op4_near_dedup, op5_mix_sources, op6_quality_model, op7_warc_derivatives, op8_secret_scan, op9_substring_dedup, op10_quality_rules, op11_url_filter, op12_centroid_clusters)}
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Builder] = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_decontaminate, op4_near_dedup, op5_mix_sources, op6_quality_model, op7_warc_derivatives, op8_secret_scan, op9_substring_dedup, op10_quality_rules, op11_url_filter, op12_centroid_clusters, op13_embedding_whitening)}
 ORACLES: dict[str, str] = {
     "op3_decontaminate": oracles.decontaminate_sql(),
     "op4_near_dedup": oracles.near_dedup_sql(),
