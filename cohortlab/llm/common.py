@@ -59,6 +59,16 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
+def with_text_key(docs: DataFrame) -> DataFrame:
+    """docs with ``tk``, which tells rows of one doc_id apart: the hash of the text where the id is null or several rows share it, else 0."""
+    again = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("again")), "again")
+    own = F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
+    if again.isEmpty():
+        return docs.withColumn("tk", F.when(F.col("doc_id").isNull(), own).otherwise(F.lit(0).cast("long")))
+    told = docs.join(again, "doc_id", "left")
+    return told.withColumn("tk", F.when(F.col("doc_id").isNull() | F.col("again"), own).otherwise(F.lit(0).cast("long"))).drop("again")
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``fn`` yields record batches for each input batch."""
 

@@ -9,8 +9,8 @@ work), then joined with the benchmark's. Hits are extended to whole windows of w
 fingerprint, which are joined with the benchmark's windows on 128 bits of hash.
 
 Defined cases: null texts have no words; items without words occur nowhere; items of equal words all
-count; an empty benchmark hits nothing; other columns are ignored; repeated doc_ids keep one row for
-each input row, with the hits of all texts of that id.
+count; an empty benchmark hits nothing; other columns are ignored; rows that share a doc_id, or have none,
+keep one row each, with the hits of their own text.
 """
 from __future__ import annotations
 
@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import lists, map_arrow, stored
+from cohortlab.llm.common import map_arrow, stored, with_text_key
 from cohortlab.llm.words import ALNUM, GRAM, Piece, Roll, U, WORD, mix, pieces, same_row
 
 WINDOW, K = 10, 4
 #: Bits of the bitmap (a multiple of 32768, the bits of one bitmap bucket).
 BITS = 1 << 23
 WORD2, GRAM2 = Roll(31), Roll(47)
+#: What tells documents apart: rows of one doc_id, or without one, by their texts.
+KEY = "key struct<doc_id: long, tk: long>"
 
 
 def grams_of(span: int) -> tuple[int, int]:
@@ -107,7 +109,7 @@ def _bitmap(fps: DataFrame) -> np.ndarray:
 
 
 def _counted_and_hit(docs: DataFrame, spans: list[int], bitmap: np.ndarray) -> DataFrame:
-    """One row per document: doc_id, n_words, and the (span, place, fp) of fingerprints whose bit is set."""
+    """One row per document: key, n_words, and the (span, place, fp) of fingerprints whose bit is set."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batch: pa.RecordBatch):
@@ -126,15 +128,14 @@ def _counted_and_hit(docs: DataFrame, spans: list[int], bitmap: np.ndarray) -> D
             flat = pa.StructArray.from_arrays([pa.array(x[order].astype(np.int64)) for x in (span_, place, fp_)], ["span", "place", "fp"])
             off = pa.array(np.r_[0, np.cumsum(per)].astype(np.int32))
             yield pa.record_batch([batch.column(0).slice(p.first, p.rows), pa.array(p.count.astype(np.int64)), pa.ListArray.from_arrays(off, flat)],
-                                  ["doc_id", "n_words", "hits"])
+                                  ["key", "n_words", "hits"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
-                     "doc_id long, n_words long, hits array<struct<span:long,place:long,fp:long>>")
+    return map_arrow(docs, run, f"{KEY}, n_words long, hits array<struct<span:long,place:long,fp:long>>")
 
 
 def _extended(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Windows of words around the hits of each document: doc_id, span, place, w1, w2."""
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(hits, "doc_id")
+    """Windows of words around the hits of each document: key, span, place, w1, w2."""
+    chosen = docs.join(hits, "key")
 
     def run(batch: pa.RecordBatch):
         for p in pieces(batch.column(1), ALNUM, fold=True):
@@ -155,32 +156,34 @@ def _extended(docs: DataFrame, hits: DataFrame) -> DataFrame:
                 start = np.flatnonzero(near[: len(h) - span + 1] & same_row(p.row, span))
                 w1, w2 = window_hashes(h, h2, span)
                 yield pa.record_batch([batch.column(0).take(pa.array(p.first + p.row[start])), pa.array(np.full(len(start), span)), pa.array(start - p.begin[p.row[start]]),
-                                       pa.array(w1[start].view(np.int64)), pa.array(w2[start].view(np.int64))], ["doc_id", "span", "place", "w1", "w2"])
+                                       pa.array(w1[start].view(np.int64)), pa.array(w2[start].view(np.int64))], ["key", "span", "place", "w1", "w2"])
 
-    return map_arrow(chosen, run, "doc_id long, span long, place long, w1 long, w2 long")
+    return map_arrow(chosen, run, f"{KEY}, span long, place long, w1 long, w2 long")
 
 
 def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and items (sorted as strings)."""
+    docs = with_text_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    docs = docs.select(F.struct("doc_id", "tk").alias("key"), "text")
     windows = stored(item_windows(bench), "windows")
     fps = stored(item_fingerprints(bench), "fingerprints")
     spans = [r["span"] for r in fps.select("span").distinct().collect()]  # at most WINDOW values
     drawn = stored(_counted_and_hit(docs, sorted(spans), _bitmap(fps)), "drawn")
-    hits = drawn.where(F.size("hits") > 0).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.span", "h.place", "h.fp")
-    hits = hits.join(fps, ["span", "fp"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("span", "place")).alias("spots"))
+    hits = drawn.where(F.size("hits") > 0).select("key", F.explode("hits").alias("h")).select("key", "h.span", "h.place", "h.fp")
+    hits = hits.join(fps, ["span", "fp"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("span", "place")).alias("spots"))
     known = stored(windows.select("span", "w1", "w2").distinct(), "known")  # stored: the join can split hot keys
     found = _extended(docs, hits).join(known, ["span", "w1", "w2"])
     found = stored(found, "found")
-    words = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("place", "span"))).alias("at"))
+    words = found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("place", "span"))).alias("at"))
     end = F.aggregate("at", F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")), lambda s, x: F.struct(
         F.greatest(s["end"], x["place"] + x["span"]).alias("end"),
         (s["n"] + F.greatest(F.lit(0).cast("long"), x["place"] + x["span"] - F.greatest(s["end"], x["place"]))).alias("n")))
-    words = words.select("doc_id", end["n"].alias("n_hit"))
-    items = (found.select("doc_id", "span", "w1", "w2").distinct().join(windows.distinct(), ["span", "w1", "w2"])
-             .select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
-             .groupBy("doc_id").agg(F.array_sort(F.collect_list("item")).alias("items")))
+    words = words.select("key", end["n"].alias("n_hit"))
+    items = (found.select("key", "span", "w1", "w2").distinct().join(windows.distinct(), ["span", "w1", "w2"])
+             .select("key", F.col("item_id").cast("string").alias("item")).distinct()
+             .groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items")))
     none = F.array().cast("array<string>")
-    out = (drawn.select("doc_id", "n_words").join(words.join(items, "doc_id"), "doc_id", "left")
+    out = (drawn.select("key", "n_words").join(words.join(items, "key"), "key", "left")
            .withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", none)}))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+    return out.select("key.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")

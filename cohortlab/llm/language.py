@@ -158,10 +158,9 @@ def fit(labelled: DataFrame) -> Model | None:
     for r in table:
         counts[place[r["lang"]], r["bucket"]] = r["n"]
     model = Model(langs, counts)
-    shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def errors(batch: pa.RecordBatch):
-        model, names = shared.value, batch.column(1).to_pylist()
+        names = batch.column(1).to_pylist()
         code = {x: model.code[i] for i, x in enumerate(model.langs)}
         for first, counts in gram_counts(batch.column(2)):
             margins = model.margins(counts)
@@ -179,10 +178,8 @@ def fit(labelled: DataFrame) -> Model | None:
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous for every row of docs (doc_id, text)."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch):
-        model = shared.value
         for first, counts in gram_counts(batch.column(1)):
             n = len(counts)
             letter = batch.column(2).slice(first, n).to_numpy(zero_copy_only=False)

@@ -149,10 +149,9 @@ def fit(labelled: DataFrame) -> Discriminant:
 
 def scored(drawn: DataFrame, model: Discriminant) -> DataFrame:
     """doc_id, score."""
-    shared = drawn.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch):
-        yield pa.record_batch([batch.column(0), pa.array(shared.value.score(_flat(batch, 1)))], ["doc_id", "score"])
+        yield pa.record_batch([batch.column(0), pa.array(model.score(_flat(batch, 1)))], ["doc_id", "score"])
 
     return map_arrow(drawn.select("doc_id", "x"), run, "doc_id long, score double")
 

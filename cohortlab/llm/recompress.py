@@ -19,8 +19,8 @@ windows pick the same symbol at the same place. Spark then counts in how many do
 shared symbols are verified by 128 bits of hash: their smallest document is found by one aggregate.
 
 Defined cases: null or word-free texts have no words and keep nothing; texts shorter than a window lose
-nothing; a window repeated in one document only stays; repeated doc_ids are one document for the
-comparison and keep one output row per input row; other columns are ignored.
+nothing; a window repeated in one document only stays; rows that share a doc_id are one document for the
+comparison and keep one row each, with their own text; rows without a doc_id lose nothing; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import discard, map_arrow, release, stored
+from cohortlab.llm.common import discard, map_arrow, release, stored, with_text_key
 from cohortlab.llm.words import GRAM, Piece, Roll, SPACED, U, WORD, covered, mix, pieces, same_row
 
 WINDOW, ROUNDS, BLOCK_ROUNDS = 13, 2, 11
@@ -143,23 +143,24 @@ def window_names(p: Piece, h: np.ndarray, start: np.ndarray, k: int = WINDOW) ->
 
 
 def first_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, settled: (place, stop) of the window starts of blocks that a smaller document also has.
+    """doc_id, tk, settled: (place, stop) of the window starts of blocks that a smaller document also has.
 
     Documents without any are left out.
     """
 
     def run(batch: pa.RecordBatch):
-        for p in pieces(batch.column(1)):
+        for p in pieces(batch.column(2)):
             h = p.hashes()
             b, h2 = blocks_of(p, h), p.hashes(WORD2)
             b1, b2 = GRAM.slices(h, b.start, b.end), GRAM2.slices(h2, b.start, b.end)
-            yield pa.record_batch([batch.column(0).take(pa.array(p.first + p.row[b.start])), pa.array((b.start - p.begin[p.row[b.start]]).astype(np.int32)),
-                                   pa.array((b.stop - p.begin[p.row[b.start]]).astype(np.int32)), pa.array(b1.view(np.int64)), pa.array(b2.view(np.int64))], ["doc_id", "place", "stop", "b1", "b2"])
+            own = pa.array(p.first + p.row[b.start])
+            yield pa.record_batch([batch.column(0).take(own), batch.column(1).take(own), pa.array((b.start - p.begin[p.row[b.start]]).astype(np.int32)),
+                                   pa.array((b.stop - p.begin[p.row[b.start]]).astype(np.int32)), pa.array(b1.view(np.int64)), pa.array(b2.view(np.int64))], ["doc_id", "tk", "place", "stop", "b1", "b2"])
 
-    blocks = stored(map_arrow(docs, run, "doc_id long, place int, stop int, b1 long, b2 long"), "blocks")
+    blocks = stored(map_arrow(docs, run, "doc_id long, tk long, place int, stop int, b1 long, b2 long"), "blocks")
     least = _least(blocks, "b1", "b2")
     again = blocks.join(least, ["b1", "b2"]).where("least < doc_id")
-    out = stored(again.groupBy("doc_id").agg(F.collect_list(F.struct("place", "stop")).alias("settled")), "settled")
+    out = stored(again.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("place", "stop")).alias("settled")), "settled")
     discard(blocks, least)
     return out
 
@@ -173,19 +174,19 @@ def _with(docs: DataFrame, *sides: DataFrame) -> DataFrame:
     """docs with the sides' list columns, empty where a side lacks the document."""
     lists_ = sides[0]
     for side in sides[1:]:
-        lists_ = lists_.join(side, "doc_id", "full")
-    names = [(c, t) for c, t in lists_.dtypes if c != "doc_id"]
-    return docs.join(lists_, "doc_id", "left").select("doc_id", "text", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in names])
+        lists_ = lists_.join(side, ["doc_id", "tk"], "full")
+    names = [(c, t) for c, t in lists_.dtypes if c not in ("doc_id", "tk")]
+    return docs.join(lists_, ["doc_id", "tk"], "left").select("doc_id", "tk", "text", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in names])
 
 
 def picked_symbols(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """Distinct (doc_id, symbol) that some open window of the document picks."""
+    """Distinct (doc_id, tk, symbol) that some open window of the document picks."""
 
     def run(batch: pa.RecordBatch):
-        for p in pieces(batch.column(1)):
+        for p in pieces(batch.column(2)):
             h = p.hashes()
             start, name = picked(p, h)
-            some = ~spans_mask(p, batch.column(2).slice(p.first, p.rows))[start]
+            some = ~spans_mask(p, batch.column(3).slice(p.first, p.rows))[start]
             row, name = p.row[start[some]], name[some]
             for _ in range(2):  # neighbours first, then all
                 fresh = np.ones(len(name), dtype=bool)
@@ -193,21 +194,22 @@ def picked_symbols(docs: DataFrame, first: DataFrame) -> DataFrame:
                 row, name = row[fresh], name[fresh]
                 order = np.lexsort((name, row))
                 row, name = row[order], name[order]
-            yield pa.record_batch([batch.column(0).take(pa.array(p.first + row)), pa.array(name.view(np.int64))], ["doc_id", "symbol"])
+            own = pa.array(p.first + row)
+            yield pa.record_batch([batch.column(0).take(own), batch.column(1).take(own), pa.array(name.view(np.int64))], ["doc_id", "tk", "symbol"])
 
-    return map_arrow(_with(docs, first), run, "doc_id long, symbol long")
+    return map_arrow(_with(docs, first), run, "doc_id long, tk long, symbol long")
 
 
 def _candidate_windows(docs: DataFrame, first: DataFrame, shared: DataFrame) -> DataFrame:
-    """Open windows whose picked symbol is shared: doc_id, place, w1, w2."""
+    """Open windows whose picked symbol is shared: doc_id, tk, place, w1, w2."""
 
     def run(batch: pa.RecordBatch):
-        for p in pieces(batch.column(1)):
+        for p in pieces(batch.column(2)):
             h = p.hashes()
             start, name = picked(p, h)
-            some = ~spans_mask(p, batch.column(2).slice(p.first, p.rows))[start]
+            some = ~spans_mask(p, batch.column(3).slice(p.first, p.rows))[start]
             start, name = start[some], name[some]
-            mine = batch.column(3).slice(p.first, p.rows)
+            mine = batch.column(4).slice(p.first, p.rows)
             row = np.repeat(np.arange(p.rows), np.diff(mine.offsets.to_numpy())).astype(U)
             # (row, symbol) pairs as one sorted key
             known = np.sort(mix(mine.flatten().to_numpy().view(U) ^ mix(row + U(1))))
@@ -215,17 +217,18 @@ def _candidate_windows(docs: DataFrame, first: DataFrame, shared: DataFrame) ->
             at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
             start = start[known[at] == key] if len(known) else start[:0]
             w1, w2 = window_names(p, h, start)
-            yield pa.record_batch([batch.column(0).take(pa.array(p.first + p.row[start])), pa.array((start - p.begin[p.row[start]]).astype(np.int32)),
-                                   pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], ["doc_id", "place", "w1", "w2"])
+            own = pa.array(p.first + p.row[start])
+            yield pa.record_batch([batch.column(0).take(own), batch.column(1).take(own), pa.array((start - p.begin[p.row[start]]).astype(np.int32)),
+                                   pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], ["doc_id", "tk", "place", "w1", "w2"])
 
-    told = shared.join(first, "doc_id", "left").select("doc_id", F.coalesce("settled", F.array().cast(first.schema["settled"].dataType)).alias("settled"), "symbols")
-    return map_arrow(docs.join(told, "doc_id").select("doc_id", "text", "settled", "symbols"), run, "doc_id long, place int, w1 long, w2 long")
+    told = shared.join(first, ["doc_id", "tk"], "left").select("doc_id", "tk", F.coalesce("settled", F.array().cast(first.schema["settled"].dataType)).alias("settled"), "symbols")
+    return map_arrow(docs.join(told, ["doc_id", "tk"]).select("doc_id", "tk", "text", "settled", "symbols"), run, "doc_id long, tk long, place int, w1 long, w2 long")
 
 
 def _kept(docs: DataFrame, first: DataFrame, repeats: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch):
-        for p in pieces(batch.column(1)):
-            places, done = batch.column(3).slice(p.first, p.rows), batch.column(2).slice(p.first, p.rows)
+        for p in pieces(batch.column(2)):
+            places, done = batch.column(4).slice(p.first, p.rows), batch.column(3).slice(p.first, p.rows)
             row = np.repeat(np.arange(p.rows), np.diff(places.offsets.to_numpy()))
             gone = covered(p.begin[row] + places.flatten().to_numpy(), WINDOW, len(p.starts))
             gone |= spans_mask(p, done, WINDOW - 1)
@@ -248,20 +251,20 @@ def _kept(docs: DataFrame, first: DataFrame, repeats: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = with_text_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "tk", "text")
     first = first_blocks(docs)
     release(spark)
     drawn = stored(picked_symbols(docs, first), "symbols")
     release(spark)
     twice = stored(drawn.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol"), "twice")
-    shared = stored(drawn.join(twice, "symbol").groupBy("doc_id").agg(F.collect_set("symbol").alias("symbols")), "shared")
+    shared = stored(drawn.join(twice, "symbol").groupBy("doc_id", "tk").agg(F.collect_set("symbol").alias("symbols")), "shared")
     discard(drawn, twice)
     release(spark)
     windows = stored(_candidate_windows(docs, first, shared), "windows")
     discard(shared)
     release(spark)
     least = _least(windows, "w1", "w2")
-    repeats = stored(windows.join(least, ["w1", "w2"]).where("least < doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places")), "repeats")
+    repeats = stored(windows.join(least, ["w1", "w2"]).where("least < doc_id").groupBy("doc_id", "tk").agg(F.sort_array(F.collect_set("place")).alias("places")), "repeats")
     discard(windows, least)
     release(spark)
     return _kept(docs, first, repeats)

@@ -301,15 +301,14 @@ def learn(docs: DataFrame) -> tuple[list[Automaton], Automaton, np.ndarray] | No
 
 def scored(docs: DataFrame, model: tuple[list[Automaton], Automaton, np.ndarray] | None) -> DataFrame:
     """doc_id, spans (kind, start, end) in order: base spans and the candidates whose likelihood ratio is high."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     rank = {k: i for i, k in enumerate(KINDS)}
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batch: pa.RecordBatch):
         for i, j, data, off, found, starts, ends, first, last in scanned(batch.column(1)):
             spans = [[(k, a, b) for k, a, b, _ in x] for x in found]
-            if len(starts) and shared.value is not None:
-                good = ratios(data, first, last, *shared.value) >= EVIDENCE
+            if len(starts) and model is not None:
+                good = ratios(data, first, last, *model) >= EVIDENCE
                 for s, e in zip(starts[good].tolist(), ends[good].tolist()):
                     r = int(np.searchsorted(off, s, side="right")) - 1
                     spans[r].append(("format", s - int(off[r]), e - int(off[r])))

@@ -134,9 +134,11 @@ def test_quality_rules_adapt_and_merge(spark, docs_of):
 def test_registered_queries_have_the_contracts_columns(spark, sf):
     want = {"op1": "doc_id held_out lang_pred score", "op3": "doc_id n_words n_hit n_items items_sha256 contaminated", "op4": "doc_id n_shingles component_id kept",
             "op5": "doc_id size source_size target taken", "op6": "doc_id held_out score predicted", "op8": "doc_id n_assign n_access n_hex base_sha256 spans",
-            "op9": "doc_id n_words n_removed kept_sha256", "op10": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept"}
+            "op9": "doc_id n_words n_removed kept_sha256", "op10": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+            "op11": "page_id host path rule verdict", "op12": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
+            "op13": "vec_id component n deviation whitened explained identity_error"}
     names = {q.split("_")[0]: q for q in queries.QUERIES}
-    assert len(names) == 10
+    assert len(names) == 13
     for op, columns in want.items():
         assert set(columns.split()) <= set(queries.QUERIES[names[op]](spark, sf).columns), op
 
@@ -145,7 +147,7 @@ def test_oracle_sql_matches(spark, sf):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "benchmark"):
+    for name in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf}/{name}.parquet')")
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     for name, sql in queries.ORACLES.items():
