@@ -7,7 +7,7 @@ again for the next stage, as a scheduler of separate jobs would.
 A document that the language stage rejects has no letter or an ambiguous language, one of each near-duplicate group stays (its smallest
 doc_id), contaminated documents go, spans of secrets are replaced by a mark, and the mix draws what is left to the
 sources' targets, one row per copy. Rows with a null doc_id have no identity and are dropped by the first stage; rows that
-share a doc_id are one document, of which the near-dedup stage keeps one row.
+share a doc_id are one document, of which the near-dedup stage keeps the row whose text sorts first (null before all).
 """
 from __future__ import annotations
 
@@ -32,7 +32,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs.dropDuplicates(["doc_id"]), near_dedup.near_duplicates(docs).where("kept"))
+    one = docs.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", "lang", "source")).alias("r")).select("r.*")
+    return _only(one, near_dedup.near_duplicates(docs).where("kept"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
