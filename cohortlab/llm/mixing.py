@@ -5,7 +5,7 @@ often as the source's target asks (its last walk may end inside a document). The
 of ``BLOCK`` words; a source's quota is its number of blocks. The root of a binary tree holds all quotas;
 every node splits them between its two halves of the output shards by exact hypergeometric draws, source
 by source, so block counts are conserved at every node. A leaf's quotas are consecutive places in its
-sources' block permutations: shards draw disjoint blocks. Within a shard rows are ordered by hash.
+sources' block permutations (ranks of a keyed hash of the block): shards draw disjoint blocks. Within a shard rows are ordered by hash.
 
 The line's offsets are sums per hash bucket and running sums within buckets, so no source is one task.
 All draws come from hashes of node and source: reruns agree.
@@ -26,11 +26,9 @@ from cohortlab.llm.common import SEPARATORS, kept, parts, stored
 
 WEIGHTS, CAP = (5, 2, 1), 3
 #: Words of a block and of an output shard.
-BLOCK, SHARD = 1 << 14, 1 << 22
+BLOCK, SHARD = 1 << 13, 1 << 18
 #: Hash buckets of a source's line (bits).
 BUCKET_BITS = 12
-#: Multiplier of the block permutation (a prime above any quota below 2**31).
-PRIME = 2147483647
 #: Nodes of a tree level from which on the levels are spread over the cluster.
 WIDE = 256
 
@@ -127,6 +125,22 @@ def shard_quotas(quotas: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
     return leaf.select("shard", F.col("s.places").alias("place"), F.col("s.begin").alias("begin"), F.col("s.q").alias("quota")).where("quota > 0")
 
 
+def seats(ranges: DataFrame, seed: int) -> DataFrame:
+    """ranges (shard, place, begin, quota) -> place, block, shard: the shard of every block of every source.
+
+    A block's seat is the rank of its hash in its source; ranks are running sums over hash buckets and ranks within them.
+    """
+    every = ranges.select("place", "shard", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("quota") - 1)).alias("seat"))
+    hashed = every.select("place", F.col("seat").alias("block"), F.xxhash64(F.lit(seed), F.lit("block"), "place", "seat").alias("u"))
+    hashed = hashed.withColumn("bucket", F.shiftrightunsigned("u", 64 - BUCKET_BITS))
+    sums = hashed.groupBy("place", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("place", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("place", "bucket").orderBy("u", "block")
+    ranked = hashed.join(sums, ["place", "bucket"]).select("place", "block", (F.col("first") + F.row_number().over(within) - 1).alias("seat"))
+    return ranked.join(every, ["place", "seat"]).select("place", "block", "shard")
+
+
 def mixture(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(documents, copies).
 
@@ -145,10 +159,7 @@ def mixture(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int =
     drawn = drawn.select("place", "at", "copy", "words", F.floor((F.col("copy") * F.col("source_size") + F.col("at")) / block).cast("long").alias("block"))
     quotas = targets.select("place", F.ceil(F.round("target") / block).cast("long").alias("quota")).where("quota > 0")
     ranges = shard_quotas(quotas, max(1, shard // block), seed)
-    # place in the permutation -> block: the inverse of block -> block * PRIME mod quota, applied from the block's side
-    seats = ranges.select("place", "shard", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("quota") - 1)).alias("seat"))
-    copies = drawn.join(quotas, "place").withColumn("seat", (F.col("block") * F.lit(PRIME) + F.xxhash64(F.lit(seed), "place") % 1000 + 1000) % F.col("quota"))
-    copies = copies.join(seats, ["place", "seat"]).withColumn("key", F.xxhash64(F.lit(seed), "place", "at", "copy"))
+    copies = drawn.join(stored(seats(stored(ranges, "ranges"), seed), "seats"), ["place", "block"]).withColumn("key", F.xxhash64(F.lit(seed), "place", "at", "copy"))
     return placed, copies.select("place", "at", "copy", "words", "shard", "key")
 
 

@@ -1,6 +1,7 @@
 """Learned operators: held-out accuracy, fixed cases, and the mix against its targets."""
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -152,3 +153,17 @@ def test_mixed_documents(spark, sf):
     assert words == {r["doc_id"]: r["taken"] for r in mixing.mixed_sizes(docs, block=64, shard=1024).collect() if r["taken"]}
     slots = mix.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi")).collect()
     assert all(r["lo"] == 0 and r["hi"] == r["n"] - 1 for r in slots)
+
+
+def test_blocks_are_permuted(spark):
+    """Every quota, also the divisors of 2**31 - 2: each seat once, and few blocks stay beside their neighbours."""
+    quotas = [1, 2, 3, 6, 7, 9, 11, 14, 18, 21, 22, 31, 42, 62, 66, 93, 154, 302, 1000, 20000]
+    table = spark.createDataFrame(list(enumerate(quotas)), "place long, quota long")
+    ranges = mixing.shard_quotas(table, 32, 1)
+    share = {(r["shard"], r["place"]): r["quota"] for r in ranges.collect()}
+    got = mixing.seats(ranges, 1).collect()
+    assert Counter((r["shard"], r["place"]) for r in got) == share
+    assert {(r["place"], r["block"]) for r in got} == {(p, b) for p, q in enumerate(quotas) for b in range(q)} and len(got) == sum(quotas)
+    shards = {(r["place"], r["block"]): r["shard"] for r in got}
+    big = [shards[(19, b)] for b in range(20000)]
+    assert sum(a == b for a, b in zip(big, big[1:])) < 200  # neighbouring blocks seldom share a shard
