@@ -3,49 +3,35 @@
 Linear models: exact SHAP for independent features, coef * (x - mean(x)) in the
 model's input space, summed over a categorical's one-hot slots.
 
-Boosted trees: exact path-dependent tree SHAP, leaf by leaf. A leaf of a depth-5 tree has at most
-five distinct features on its path, whatever the number of features of the model. For every pattern of
-path conditions that a row meets, the Shapley values of the leaf are precomputed on the driver
+Boosted trees: exact path-dependent tree SHAP, leaf by leaf. For every pattern of
+path conditions (at most one per feature) that a row meets, the Shapley values of the leaf are precomputed on the driver
 (2^d x d numbers per leaf, model-sized); a request batch in ``mapInPandas`` only tests the conditions and
 looks its pattern up. Ranking by absolute value happens in the JVM.
 """
 from __future__ import annotations
 
 import math
-import os
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab import constants as C
 from cohortlab.operators.modeling import FittedModel
-from cohortlab.session import ensure_checkpoint_dir
 
 # ------------------------------------------------------------------ trees
 
-def tree_table(model: FittedModel) -> pd.DataFrame:
-    """The fitted ensemble's nodes (treeID, id, prediction, cover, left, right, feature, threshold, weight).
-
-    Read from the saved model's node parquet (model-sized) via Spark.
-    """
-    gbt = model.pipeline.stages[-1]
-    sess = SparkSession.getActiveSession()
-    path = os.path.join(ensure_checkpoint_dir(sess), f"gbt-{uuid.uuid4().hex}")
-    gbt.write().overwrite().save(path)
-    nodes = sess.read.parquet(os.path.join(path, "data")).select(
-        "treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("prediction"),
-        F.col("nodeData.impurityStats").getItem(0).alias("cover"),
-        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
-        F.col("nodeData.split.featureIndex").alias("feature"),
-        F.try_element_at(F.col("nodeData.split.leftCategoriesOrThreshold"), F.lit(1)).alias("threshold")).toPandas()
-    weights = list(gbt.treeWeights)
-    nodes["weight"] = nodes["treeID"].map(lambda t: weights[t])
-    return nodes
+def tree_nodes(model: FittedModel) -> list[dict]:
+    """The fitted trees as {node: prediction, cover, left, right, feature, threshold}; a leaf has the children -1."""
+    out = []
+    for t in model.ensemble.trees:
+        leaf = t.left == np.arange(len(t.left))
+        out.append({i: {"prediction": float(t.value[i]), "cover": float(t.cover[i]), "left": -1 if leaf[i] else int(t.left[i]), "right": -1 if leaf[i] else int(t.right[i]),
+                        "feature": int(t.feature[i]), "threshold": None if leaf[i] else float(model.ensemble.edges[t.feature[i]][t.cut[i]])} for i in range(len(t.left))})
+    return out
 
 
 def _leaf_table(weight: float, tree: dict) -> list[tuple]:
@@ -67,31 +53,22 @@ def _leaf_table(weight: float, tree: dict) -> list[tuple]:
         value, feats = weight * node["prediction"], sorted(path)
         d = len(feats)
         share = [path[f][2] for f in feats]
+        met = (np.arange(1 << d)[:, None] >> np.arange(d)[None, :]) & 1  # patterns x features
+        weights = np.array([math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d) for s in range(d)])
         phi = np.zeros((1 << d, d))
-        for pattern in range(1 << d):
-            met = [(pattern >> j) & 1 for j in range(d)]
-            for j in range(d):
-                others = [k for k in range(d) if k != j]
-                # poly[s]: sum over subsets of size s of met (inside) times share (outside)
-                poly = [1.0]
-                for k in others:
-                    grown = [0.0] * (len(poly) + 1)
-                    for size, x in enumerate(poly):
-                        grown[size] += x * share[k]
-                        grown[size + 1] += x * met[k]
-                    poly = grown
-                weights = [math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d) for s in range(d)]
-                phi[pattern, j] = value * (met[j] - share[j]) * sum(w * x for w, x in zip(weights, poly))
+        for j in range(d):
+            # poly[:, s]: sum over subsets of size s of met (inside) times share (outside), for every pattern
+            poly = np.ones((1 << d, 1))
+            for k in range(d):
+                if k != j:
+                    poly = np.pad(poly * share[k], ((0, 0), (0, 1))) + np.pad(poly * met[:, k : k + 1], ((0, 0), (1, 0)))
+            phi[:, j] = value * (met[:, j] - share[j]) * (poly @ weights)
         out.append((feats, [path[f][:2] for f in feats], phi, value * math.prod(share), value))
     return out
 
 
-def _tree_arrays(nodes: pd.DataFrame) -> list[tuple]:
-    leaves = []
-    for _, g in nodes.groupby("treeID"):
-        g = g.set_index("id")
-        leaves += _leaf_table(float(g["weight"].iloc[0]), g[["prediction", "cover", "left", "right", "feature", "threshold"]].to_dict("index"))
-    return leaves
+def _tree_arrays(model: FittedModel) -> list[tuple]:
+    return [leaf for tree in tree_nodes(model) for leaf in _leaf_table(1.0, tree)]
 
 
 def _leaf_values(x: np.ndarray, leaves: list[tuple]) -> tuple[np.ndarray, np.ndarray, float]:
@@ -120,10 +97,11 @@ def _ranked(names: list[str], values, raw: list, top_n: int):
 
 
 def tree_contributions(model: FittedModel, requests: DataFrame, key: str, top_n: int = C.TOP_N_CONTRIBUTIONS) -> DataFrame:
-    """L21 for boosted trees: (key, base_value, margin, contributions) in log-odds (2F) units."""
+    """L21 for boosted trees: (key, base_value, margin, contributions) in log-odds units."""
     names = model.spec.columns
     spark = requests.sparkSession
-    bc = spark.sparkContext.broadcast(_tree_arrays(tree_table(model)))
+    bc = spark.sparkContext.broadcast(_tree_arrays(model))
+    start = model.ensemble.base
     prepared = model.prepared(requests).select(
         F.col(key).alias("_key"), vector_to_array("features").alias("_x"),
         *[F.col(c).cast("string").alias(f"_raw_{i}") for i, c in enumerate(names)])
@@ -136,8 +114,8 @@ def tree_contributions(model: FittedModel, requests: DataFrame, key: str, top_n:
                 continue
             phi, total, base = _leaf_values(np.vstack(batch["_x"].to_numpy()), leaves)
             out = batch[["_key", *raw_cols]].copy()
-            out["base_value"], out["margin"] = 2.0 * base, 2.0 * total  # margin units: probability = sigmoid(2F)
-            out["_phi"] = list(2.0 * phi)
+            out["base_value"], out["margin"] = start + base, start + total  # probability = sigmoid(margin)
+            out["_phi"] = list(phi)
             yield out
 
     schema = (f"_key {requests.schema[key].dataType.simpleString()}, " + "".join(f"{c} string, " for c in raw_cols)

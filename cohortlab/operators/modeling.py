@@ -10,14 +10,17 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab import constants as C
+from cohortlab.operators import boosting as bo
+from cohortlab.operators import logistic as lo
 from cohortlab.operators.prefix import exact_quantiles, fold_hash, ranks
 from cohortlab.session import materialize
 
@@ -121,18 +124,21 @@ class FittedModel:
     scaling: dict
     constant: float | None = None
     n_train: int = 0
+    ensemble: bo.Ensemble | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``score`` (positive-class probability)."""
         if self.spec.kind == "dummy":
             return df.withColumn("score", F.lit(float(self.constant)))
         out = self.pipeline.transform(df)
+        if self.ensemble is not None:
+            return out.withColumn("score", self.ensemble.probability(vector_to_array("features")))
         return out.withColumn("score", vector_to_array(F.col("probability"))[1]).drop(
             "rawPrediction", "probability", "prediction")
 
     def prepared(self, df: DataFrame) -> DataFrame:
         """The preprocessed feature vector only (stages before the classifier)."""
-        stages = self.pipeline.stages[:-1]
+        stages = self.pipeline.stages if self.ensemble is not None else self.pipeline.stages[:-1]
         return PipelineModel(stages).transform(df)
 
 
@@ -150,20 +156,10 @@ def _prep_sql(spec: ModelSpec, med: dict, scale: dict) -> str:
     return "SELECT *, " + ", ".join(parts) + " FROM __THIS__"
 
 
-def _classifier(spec: ModelSpec, n_train: int):
-    if spec.kind == "lr":
-        # sklearn's C=1 L2 penalty on a summed loss == regParam 1/n on Spark's mean loss
-        return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / max(n_train, 1),
-                                  elasticNetParam=0.0, standardization=False,
-                                  maxIter=spec.params.get("maxIter", 2000), tol=1e-6)
-    if spec.kind == "gbt":
-        return GBTClassifier(featuresCol="features", labelCol="label", maxIter=spec.params.get("maxIter", 100),
-                             stepSize=0.1, maxDepth=5, maxBins=255, seed=42)
-    raise ValueError(spec.kind)
-
-
-#: Training rows of one task of a boosted fit, at least.
-ROWS_PER_TASK = 20_000
+def _logistic(spec: ModelSpec, n_train: int) -> LogisticRegression:
+    # sklearn's C=1 L2 penalty on a summed loss == regParam 1/n on Spark's mean loss
+    return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False,
+                              maxIter=spec.params.get("maxIter", 2000), tol=spec.params.get("tol", 1e-6))
 
 
 def preprocess(spec: ModelSpec, train: DataFrame) -> tuple[list, dict, dict]:
@@ -204,15 +200,27 @@ def fit(spec: ModelSpec, train: DataFrame) -> FittedModel:
         return FittedModel(spec, None, {}, {}, constant=float(row["label"]), n_train=n)
     stages, med, scale = preprocess(spec, train)
     assembled = PipelineModel(stages).transform(train)
-    n = assembled.count()
-    rows = assembled.select("features", "label")
     if spec.kind == "gbt":
-        # some hundred short jobs follow: partitions of a useful size (a no-op where there are fewer)
-        rows = rows.coalesce(max(1, n // ROWS_PER_TASK))
-    clf_model = _classifier(spec, n).fit(rows)
+        return boosted(spec, PipelineModel(stages), med, assembled)
+    n = assembled.count()
+    clf_model = _logistic(spec, n).fit(assembled.select("features", "label"))
     return FittedModel(spec, PipelineModel(stages + [clf_model]), med, scale, n_train=n)
 
 
+def boosted(spec: ModelSpec, prepare: PipelineModel, med: dict, assembled: DataFrame) -> FittedModel:
+    """One boosted fit on all rows of ``assembled``."""
+    x = vector_to_array("features")
+    key = F.xxhash64(x, "label")  # rows have no key of their own here; equal rows go to the same side of an early stop
+    rows = materialize(assembled.select(key.alias("key"), "label", x.alias("x"), F.array().cast("array<int>").alias("folds")), "boosted-rows")
+    width = len(spec.columns)
+    edges = bo.bin_edges(rows, width)
+    blocks = bo.packed(rows, edges, width, 0)
+    run = bo.Boosting(blocks, edges, [bo.Fit(tuple(range(width)), iterations=spec.params.get("maxIter", bo.ITERATIONS))], 0)
+    ensemble = run.run()[0]
+    run.release()
+    return FittedModel(spec, prepare, med, {}, n_train=rows.count(), ensemble=ensemble)
+
+
 # ------------------------------------------------------------------ folds, CV, threshold
 
 def assign_folds(train: DataFrame, key: str, n_splits: int = C.CV_FOLDS, repeats: int = 1,
@@ -228,27 +236,126 @@ def assign_folds(train: DataFrame, key: str, n_splits: int = C.CV_FOLDS, repeats
     return r.withColumn("fold", ((F.col("rank") - 1) % n_splits).cast("int")).drop("_h", "rank")
 
 
-def folded(spec: ModelSpec, train: DataFrame, key: str, n_splits: int, repeats: int, seed: int) -> DataFrame:
-    """The columns a fit needs, one row per training row with one fold number per repeat (fold_0, fold_1, ...), stored."""
+def folded(columns: list, train: DataFrame, key: str, n_splits: int, repeats: int, seed: int) -> DataFrame:
+    """The columns that fits need, one row per training row with its fold in every repeat (``folds``), stored."""
     long = assign_folds(train.select(key, "label"), key, n_splits, repeats, seed)
-    wide = long.groupBy(key).agg(*[F.max(F.when(F.col("repeat") == r, F.col("fold"))).alias(f"fold_{r}") for r in range(repeats)])
-    return materialize(train.select(key, "label", *spec.columns).join(wide, key), "folds")
-
+    wide = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("repeat", "fold"))).alias("z")).select(key, F.transform("z", lambda z: z["fold"]).alias("folds"))
+    return materialize(train.select(F.col(key).cast("long").alias(key), F.col("label").cast("int").alias("label"), *columns).join(wide, key), "folds")
 
-def cross_validated_scores(spec: ModelSpec, train: DataFrame, key: str, n_splits: int = C.CV_FOLDS,
-                           repeats: int = 1, seed: int = 42, parallelism: int = 8) -> DataFrame:
-    """Held-out scores of every (repeat, fold) fit; fits run as concurrent Spark jobs."""
-    rows = folded(spec, train, key, n_splits, repeats, seed)
 
-    def one(rf):
-        r, f = rf
-        m = fit(spec, rows.where(F.col(f"fold_{r}") != f))
-        held = m.transform(rows.where(F.col(f"fold_{r}") == f))
-        return held.select(key, "label", F.lit(r).alias("repeat"), F.lit(f).alias("fold"), "score")
+def cross_validated(specs: list[ModelSpec], train: DataFrame, key: str, n_splits: int = C.CV_FOLDS, repeats: int = 1, seed: int = 42) -> DataFrame:
+    """Held-out scores of every (model, repeat, fold) fit: model_name, key, label, repeat, fold, score, stored.
 
+    All boosted fits share one set of passes, and so do all logistic ones. Medians, scaling and fold-wise constants are each fit's own; the boosted fits take
+    the medians, category codes and bin edges of the whole training table, which do not look at labels.
+    """
+    for spec in specs:
+        leakage_guard(spec.columns, spec.feature_set)
+    numeric = list(dict.fromkeys(c for s in specs for c in s.numeric))
+    categorical = list(dict.fromkeys(c for s in specs for c in s.categorical))
+    rows = folded(numeric + categorical, train, key, n_splits, repeats, seed)
     jobs = [(r, f) for r in range(repeats) for f in range(n_splits)]
+    runners = {"dummy": _dummy_scores, "gbt": _boosted_scores, "lr": _logistic_scores}
+    out = None
+    for kind, runner in runners.items():
+        mine = [s for s in specs if s.kind == kind]
+        if mine:
+            part = runner(mine, rows, key, numeric, categorical, jobs)
+            out = part if out is None else out.unionByName(part)
+    return materialize(out, "cv-scores")
+
+
+def cross_validated_scores(spec: ModelSpec, train: DataFrame, key: str, n_splits: int = C.CV_FOLDS, repeats: int = 1, seed: int = 42) -> DataFrame:
+    """The held-out scores of one model: key, label, repeat, fold, score."""
+    return cross_validated([spec], train, key, n_splits, repeats, seed).drop("model_name")
+
+
+def _named(scores: DataFrame, specs: list[ModelSpec], jobs: list, key: str) -> DataFrame:
+    """Fit numbers (spec by spec, job by job) as model_name, repeat, fold."""
+    named = scores.sparkSession.createDataFrame([(i * len(jobs) + j, s.name, r, f) for i, s in enumerate(specs) for j, (r, f) in enumerate(jobs)], "fit int, model_name string, repeat int, fold int")
+    return scores.join(F.broadcast(named), "fit").select("model_name", F.col("key").alias(key), "label", "repeat", "fold", "score")  # one row per fit
+
+
+def _dummy_scores(specs, rows, key, numeric, categorical, jobs) -> DataFrame:
+    """The most frequent label (the smaller on ties) of the other folds."""
+    names = F.array(*[F.lit(s.name) for s in specs])
+    long = rows.select(key, "label", F.posexplode("folds").alias("repeat", "fold"))
+    counts = long.groupBy("repeat", "fold").agg(F.count(F.when(F.col("label") == 1, 1)).alias("pos"), F.count(F.when(F.col("label") == 0, 1)).alias("neg"))
+    whole = counts.groupBy("repeat").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    fold = counts.join(whole, "repeat").select("repeat", "fold", F.when(F.col("all_pos") - F.col("pos") > F.col("all_neg") - F.col("neg"), 1.0).otherwise(0.0).alias("score"))
+    return long.join(fold, ["repeat", "fold"]).select(F.explode(names).alias("model_name"), key, "label", "repeat", "fold", "score")
+
+
+def _coded(rows: DataFrame, categorical: list, columns: list) -> tuple[list[int], DataFrame]:
+    """Category columns as alphabetical codes (missing is a value of its own) behind ``columns``, in one array ``x``."""
+    filled = rows.select("*", *[F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias(f"{c}__p") for c in categorical])
+    if not categorical:
+        return [], filled.select(*rows.columns, F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    codes = StringIndexer(inputCols=[f"{c}__p" for c in categorical], outputCols=[f"{c}__i" for c in categorical], handleInvalid="keep", stringOrderType="alphabetAsc").fit(filled)
+    x = F.array(*[F.col(c).cast("double") for c in columns], *[F.col(f"{c}__i") for c in categorical])
+    return [len(labels) for labels in codes.labelsArray], codes.transform(filled).select(*rows.columns, x.alias("x"))
+
+
+def _boosted_scores(specs, rows, key, numeric, categorical, jobs) -> DataFrame:
+    med = {r["feature"]: r["median"] for r in medians(rows, numeric).collect()} if numeric else {}
+    _, coded = _coded(rows.fillna({c: m for c, m in med.items() if m is not None}), categorical, numeric)
+    columns, n_folds = numeric + categorical, len({r for r, _ in jobs})
+    data = materialize(coded.select(F.col(key).alias("key"), "label", "x", "folds"), "boosted-rows")
+    edges = bo.bin_edges(data, len(columns))
+    fits = [bo.Fit(tuple(columns.index(c) for c in s.columns), r, f, s.params.get("maxIter", bo.ITERATIONS)) for s in specs for r, f in jobs]
+    run = bo.Boosting(bo.packed(data, edges, len(columns), n_folds), edges, fits, n_folds)
+    run.run()
+    out = materialize(_named(run.out_of_fold(), specs, jobs, key), "boosted-scores")
+    run.release()
+    return out
+
+
+def fold_medians(rows: DataFrame, columns: list, jobs: list) -> dict:
+    """{(repeat, fold): {column: median of the rows outside the fold}} of the columns that have nulls."""
+    have = rows.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns]).first() if columns else {}
+    gaps = [c for c in columns if have[c]]
+    out: dict = {job: {} for job in jobs}
+    if gaps:
+        stacked = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in gaps)
+        every = F.array(*[F.struct(F.lit(r).alias("repeat"), F.lit(f).alias("fold")) for r, f in jobs])
+        outside = F.filter(every, lambda j: F.get("folds", j["repeat"]) != j["fold"])
+        long = rows.selectExpr("folds", f"stack({len(gaps)}, {stacked}) AS (feature, value)").where("value IS NOT NULL").select("feature", "value", F.explode(outside).alias("j"))
+        for r in exact_quantiles(long.select("feature", "value", "j.*"), "value", [0.5], ["feature", "repeat", "fold"]).collect():  # columns x fits
+            out[(r["repeat"], r["fold"])][r["feature"]] = r["value"]
+    return out
+
+
+def logistic_tasks(specs: list[ModelSpec], rows: DataFrame, numeric: list, categorical: list, jobs: list, sizes: list[int]) -> list[lo.Task]:
+    """One task per (spec, repeat, fold); columns are the numeric ones, then the category codes."""
+    med = fold_medians(rows, numeric, jobs)
+    return [lo.Task(bo.Fit((), r, f), [numeric.index(c) for c in s.numeric], [(len(numeric) + categorical.index(c), sizes[categorical.index(c)]) for c in s.categorical],
+                    np.array([med[(r, f)].get(c, np.nan) for c in s.numeric], dtype=float)) for s in specs for r, f in jobs]
+
+
+def _logistic_scores(specs, rows, key, numeric, categorical, jobs) -> DataFrame:
+    sizes, coded = _coded(rows, categorical, numeric)
+    if sum(sizes) + len(numeric) >= lo.SLOTS:  # curvatures would not fit: Spark ML's L-BFGS, fit by fit
+        return _single_scores(specs, rows, key, jobs)
+    n_folds = len({r for r, _ in jobs})
+    blocks = bo.packed(coded.select(F.col(key).alias("key"), "label", "x", "folds"), None, len(numeric) + len(categorical), n_folds)
+    run = lo.Logistic(blocks, logistic_tasks(specs, rows, numeric, categorical, jobs, sizes), n_folds)
+    run.run()
+    out = materialize(_named(run.out_of_fold(), specs, jobs, key), "logistic-scores")
+    run.release()
+    return out
+
+
+def _single_scores(specs, rows, key, jobs, parallelism: int = 8) -> DataFrame:
+    """Every fit on its own; fits run as concurrent Spark jobs."""
+
+    def one(job):
+        spec, (r, f) = job
+        fold = F.get("folds", F.lit(r))
+        held = fit(spec, rows.where(fold != f)).transform(rows.where(fold == f))
+        return held.select(F.lit(spec.name).alias("model_name"), key, "label", F.lit(r).alias("repeat"), F.lit(f).alias("fold"), "score")
+
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        parts = list(ex.map(one, jobs))
+        parts = list(ex.map(one, [(s, j) for s in specs for j in jobs]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

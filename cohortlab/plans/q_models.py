@@ -403,31 +403,27 @@ def a17_leakage_gap(spark, sf_dir):
     return out
 
 
-#: Repeats of the five folds: a boosted fit costs some hundred Spark jobs, so boosted models are validated once.
-CV_REPEATS = {"dummy": C.CV_REPEATS, "lr": C.CV_REPEATS, "gbt": 1}
-
-
-def _cv_scores(spark, sf_dir, spec):
-    """Stored out-of-fold scores (label, repeat, fold, score) of a catalogue model."""
-    k = ("cv", _stamp(spark, sf_dir), spec.name)
-    if k not in _CACHE:
+def _cv_scores(spark, sf_dir, repeats=C.CV_REPEATS):
+    """Stored out-of-fold scores (model_name, k, label, repeat, fold, score) of every catalogue model; fewer repeats are the first ones."""
+    k = ("cv", _stamp(spark, sf_dir))
+    if k not in _CACHE or _CACHE[k][0] < repeats:
         f = _features(spark, sf_dir).where(F.col("split") == "train").withColumn("k", F.col("name").cast("bigint"))
-        _CACHE[k] = mo.cross_validated_scores(spec, f, "k", C.CV_FOLDS, CV_REPEATS[spec.kind]).checkpoint(eager=True)
-    return _CACHE[k]
+        _CACHE[k] = (repeats, mo.cross_validated(mo.build_specs(), f, "k", C.CV_FOLDS, repeats))
+    return _CACHE[k][1].where(F.col("repeat") < repeats)
 
 
-def _cv_summary(spark, sf_dir, spec):
-    """metric, mean, std, ... over the (repeat, fold) held-out parts."""
-    scores, g = _cv_scores(spark, sf_dir, spec), ["repeat", "fold"]
+def _cv_summary(spark, sf_dir):
+    """model_name, metric, mean, std, n_folds over the (repeat, fold) held-out parts."""
+    scores, g = _cv_scores(spark, sf_dir), ["model_name", "repeat", "fold"]
     fm = (me.roc_auc(scores, g).join(me.average_precision(scores, g, digits=None), g).join(me.brier(scores, g, digits=None), g))
-    lng = fm.selectExpr("repeat", "fold", "stack(3, 'roc_auc', roc_auc, 'average_precision', average_precision, "
+    lng = fm.selectExpr("model_name", "repeat", "fold", "stack(3, 'roc_auc', roc_auc, 'average_precision', average_precision, "
                         "'brier_score', brier_score) AS (metric, value)")
-    return me.metric_summary(lng, digits=6)
+    return me.metric_summary(lng, ["model_name"], digits=6)
 
 
-def _oof_threshold(spark, sf_dir, spec):
-    """The F0.5-best threshold on the first repeat's out-of-fold scores: every training row once."""
-    return me.choose_threshold(_cv_scores(spark, sf_dir, spec).where("repeat = 0").select("label", "score"))
+def _oof_thresholds(spark, sf_dir):
+    """Each model's F0.5-best threshold on the first repeat's out-of-fold scores: every training row once."""
+    return me.choose_threshold(_cv_scores(spark, sf_dir, 1).select("model_name", "label", "score"), group_cols=["model_name"])
 
 
 def _per_spec(spark, sf_dir, one):
@@ -441,32 +437,32 @@ def _per_spec(spark, sf_dir, one):
 
 @query("l12_cv_models")
 def l12_cv_models(spark, sf_dir):
-    """L12 + A18: stratified five-fold CV of every catalogue model (ten repeats; boosted models one)."""
-    return _per_spec(spark, sf_dir, lambda spec: _cv_summary(spark, sf_dir, spec).withColumn("repeats", F.lit(CV_REPEATS[spec.kind])))
+    """L12 + A18: stratified five-fold CV of every catalogue model, ten repeats."""
+    return _cv_summary(spark, sf_dir).withColumn("repeats", F.lit(C.CV_REPEATS))
 
 
 @query("l13_oof_threshold")
 def l13_oof_threshold(spark, sf_dir):
     """L13 + M8: F0.5-best threshold on 5-fold out-of-fold probabilities of every catalogue model."""
-    return _per_spec(spark, sf_dir, lambda spec: _oof_threshold(spark, sf_dir, spec))
+    return _oof_thresholds(spark, sf_dir)
 
 
 @query("l14_train_one")
 def l14_train_one(spark, sf_dir):
     """L14 + S8: CV summary, OOF threshold, final fit, test metrics at that threshold - one registry row per model."""
     test = _features(spark, sf_dir).where(F.col("split") == "test")
+    wide = _cv_summary(spark, sf_dir).groupBy("model_name").pivot("metric", ["roc_auc", "average_precision", "brier_score"]).agg(F.first("mean").alias("mean"), F.first("std").alias("std"))
+    thresholds = {r["model_name"]: r for r in _oof_thresholds(spark, sf_dir).collect()}  # one row per model
 
     def one(spec):
-        thr = _oof_threshold(spark, sf_dir, spec).first()
+        thr = thresholds[spec.name]
         model = _fitted(spark, sf_dir, spec.name)
         m = me.compute_metrics(model.transform(test).select("label", "score"), float(thr["threshold"]))
-        cvw = _cv_summary(spark, sf_dir, spec).groupBy().pivot("metric", ["roc_auc", "average_precision", "brier_score"]).agg(
-            F.first("mean").alias("mean"), F.first("std").alias("std"))
         meta = spark.createDataFrame([(spec.feature_set, spec.encoding, model.n_train, float(thr["best_f_beta"]))],
                                      "feature_set string, categorical_encoding string, n_train long, oof_f0_5 double")
-        return meta.crossJoin(m).crossJoin(cvw)  # one row each
+        return meta.crossJoin(m)  # one row each
 
-    return _per_spec(spark, sf_dir, one)
+    return _per_spec(spark, sf_dir, one).join(wide, "model_name")
 
 
 @query("m10_test_reliability")

@@ -235,7 +235,7 @@ def test_cross_validation_any_spec(spark, features):
     train = features.where(F.col("split") == "train").withColumn("k", F.col("name").cast("bigint"))
     spec = mo.ModelSpec("gbt_small", "gbt", ["founded_year"], ["country_code"], "ordinal", "clean", False,
                         {"maxIter": 5})
-    scores = mo.cross_validated_scores(spec, train, "k", n_splits=2, repeats=2, parallelism=4)
+    scores = mo.cross_validated_scores(spec, train, "k", n_splits=2, repeats=2)
     n = train.count()
     per_repeat = {r.repeat: r["count"] for r in scores.groupBy("repeat").count().collect()}
     assert per_repeat == {0: n, 1: n}
