@@ -3,8 +3,8 @@
 Isotonic calibration is Spark ML's IsotonicRegression (pool-adjacent-violators,
 linear interpolation, clamped at the ends); sigmoid calibration is a one-feature
 logistic regression. The bootstrap first compresses the calibration rows to score cells (counts of
-both labels), draws Poisson replicate counts per cell from a keyed hash, and refits the model's own
-calibrator per replicate. Isotonic refits pool adjacent violators within fixed score ranges first and
+both labels), draws every replicate's n rows with replacement by a multinomial splitting tree over the cells (or Poisson counts
+per cell), and refits the model's own calibrator per replicate. Isotonic refits pool adjacent violators within fixed score ranges first and
 then across the ranges' pooled steps (pooling is associative), so no task holds all distinct scores of
 a replicate; a sigmoid refit (chosen below 1,000 rows only) is a weighted logistic fit of the cells. The
 result is one small step function or (slope, intercept) per replicate.
@@ -15,6 +15,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlab import constants as C
+from cohortlab.operators.prefix import ranks
+from cohortlab.session import materialize
 
 
 class Calibrator:
@@ -64,8 +67,8 @@ def fit_calibrator(cal: DataFrame, method: str, raw_col: str = "raw_score", labe
 
 # Poisson(1) cumulative probabilities P(X <= k), k = 0..9
 _POISSON1_CDF = [math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(k + 1)) for k in range(10)]
-#: Ranges of [0, 1] whose cells are pooled first, and groups of replicates that share a task.
-RANGES, REPLICATE_GROUPS = 16, 8
+#: Ranges of [0, 1] whose cells are pooled first, groups of replicates that share such a task, and children of a node of the splitting tree.
+RANGES, REPLICATE_GROUPS, FAN = 16, 8, 1024
 
 
 def poisson_weight(u: Column) -> Column:
@@ -98,14 +101,61 @@ def score_cells(cal: DataFrame, raw_col: str = "raw_score", label_col: str = "la
 
 
 def bootstrap_cells(cal: DataFrame, n_bootstrap: int = C.N_BOOTSTRAP, seed: int = 42,
-                    raw_col: str = "raw_score", label_col: str = "label") -> DataFrame:
-    """(replicate, score, w, wpos): Poisson-resampled counts of every score cell and replicate."""
-    rep = score_cells(cal, raw_col, label_col).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))))
+                    raw_col: str = "raw_score", label_col: str = "label", mode: str = "exact") -> DataFrame:
+    """(replicate, score, w, wpos): resampled counts of every score cell and replicate.
+
+    ``exact`` draws n of the n rows with replacement (``multinomial_cells``); ``poisson`` draws each cell on its own, so that
+    a replicate has n rows on average.
+    """
+    cells = score_cells(cal, raw_col, label_col)
+    if mode == "exact":
+        return multinomial_cells(cells, n_bootstrap, seed)
+    rep = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))))
     u = lambda label: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "score", "replicate", F.lit(label)), 11) / F.lit(float(1 << 53))
     drawn = rep.withColumns({"_w0": poisson_draw(u(0), F.col("n0")), "wpos": poisson_draw(u(1), F.col("n1"))})
     return drawn.select("replicate", "score", (F.col("_w0") + F.col("wpos")).alias("w"), "wpos").where("w > 0")
 
 
+def multinomial_cells(cells: DataFrame, n_bootstrap: int, seed: int, fan: int = FAN) -> DataFrame:
+    """Multinomial counts of (score, n0, n1) cells by a splitting tree: every replicate has exactly as many rows as the cells.
+
+    Cells are numbered by score and label. A node of the tree holds a range of cells and a replicate's number of draws in it; it deals
+    them to at most ``fan`` children by a multinomial draw (conditional binomials) on the children's row counts, until a child is one cell.
+    Draws are keyed by seed, level, replicate and node, so reruns and retries agree.
+    """
+    spark = cells.sparkSession
+    long = cells.select("score", F.explode(F.array(F.struct(F.lit(0).alias("label"), F.col("n0").cast("long").alias("n")), F.struct(F.lit(1).alias("label"), F.col("n1").cast("long").alias("n")))).alias("c"))
+    long = ranks(long.select("score", "c.label", "c.n").where("n > 0"), "score", tie_cols=["label"])
+    long = materialize(long.select("score", "label", "n", (F.col("rank") - 1).cast("long").alias("id")), "bootstrap-cells")
+    m, total = long.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    levels = 1
+    while fan**levels < m:
+        levels += 1
+    draws = spark.range(n_bootstrap).select(F.col("id").cast("int").alias("replicate"), F.lit(0).cast("long").alias("node"), F.lit(total).cast("long").alias("n"))
+    for level in range(1, levels + 1):
+        child = long.groupBy(F.floor(F.col("id") / fan ** (levels - level)).cast("long").alias("child")).agg(F.sum("n").alias("rows"))
+        kids = child.groupBy(F.floor(F.col("child") / fan).cast("long").alias("node")).agg(F.array_sort(F.collect_list(F.struct("child", "rows"))).alias("kids"))  # at most fan
+        joined = draws.join(kids, "node").select("replicate", "node", "n", F.transform("kids", lambda k: k["child"]).alias("child"), F.transform("kids", lambda k: k["rows"]).alias("rows"))
+        draws = joined.mapInArrow(_dealt(seed, level), "replicate int, node long, n long")
+    leaf = draws.join(long.select(F.col("id").alias("node"), "score", "label"), "node")
+    return leaf.groupBy("replicate", "score").agg(F.sum("n").cast("double").alias("w"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).cast("double").alias("wpos"))
+
+
+def _dealt(seed: int, level: int):
+    """Deals each row's n draws to its children, in proportion to their rows."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows = np.array(r["rows"], dtype=float)
+                rng = np.random.Generator(np.random.Philox(key=np.array([(seed << 8) + level, (r["replicate"] << 40) ^ r["node"]], dtype=np.uint64)))
+                got = rng.multinomial(r["n"], rows / rows.sum())
+                at = np.flatnonzero(got)
+                yield pa.record_batch([pa.array(np.full(len(at), r["replicate"], dtype=np.int32)), pa.array(np.array(r["child"], dtype=np.int64)[at]), pa.array(got[at])], ["replicate", "node", "n"])
+
+    return run
+
+
 def pool(lo: np.ndarray, hi: np.ndarray, w: np.ndarray, wpos: np.ndarray) -> tuple[np.ndarray, ...]:
     """Weighted pool-adjacent-violators of ordered steps: (lo, hi, w, wpos) of the pooled steps."""
     out: list[list[float]] = []
@@ -151,11 +201,11 @@ def bootstrap_curves(cells: DataFrame, method: str = "isotonic") -> DataFrame:
     """One refit per replicate: (replicate, x, y) are the ends of isotonic steps, or a sigmoid's slope and intercept."""
     group = F.col("replicate") % REPLICATE_GROUPS
     if method == "sigmoid":
-        return cells.groupBy(group).applyInPandas(_fit_sigmoids, "replicate int, x double, y double")
+        return cells.groupBy("replicate").applyInPandas(_fit_sigmoids, "replicate int, x double, y double")
     steps = "replicate int, lo double, hi double, w double, wpos double"
     own = cells.select("replicate", F.col("score").alias("lo"), F.col("score").alias("hi"), "w", "wpos", F.floor(F.col("score") * RANGES).alias("_range"))
     first = own.groupBy("_range", group).applyInPandas(lambda pdf: _pool_replicates(pdf), steps)
-    whole = first.groupBy(group).applyInPandas(lambda pdf: _pool_replicates(pdf), steps)
+    whole = first.groupBy("replicate").applyInPandas(lambda pdf: _pool_replicates(pdf), steps)
     mean = F.col("wpos") / F.col("w")
     ends = F.when(F.col("lo") < F.col("hi"), F.array("lo", "hi")).otherwise(F.array("lo"))
     return whole.select("replicate", F.explode(ends).alias("x"), mean.alias("y"))

@@ -9,7 +9,10 @@ question tables join by term, where AQE splits hot terms.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab import constants as C
@@ -17,8 +20,8 @@ from cohortlab.functions.text import tokens
 from cohortlab.session import ensure_checkpoint_dir, materialize
 
 ORD_COLS = ["doc_id", "sec_idx", "piece_idx"]
-#: Words of a containment key, and characters of a short question's.
-KEY_WORDS, KEY_CHARS = 3, 8
+#: Bytes of question texts in one automaton, about.
+SHARD_BYTES = 1 << 24
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, stop_words=None) -> DataFrame:
@@ -163,37 +166,51 @@ def score_gap(retrieved: DataFrame, expected: DataFrame, id_col: str = "qid") ->
                  F.max(F.when(~F.col("in_corpus"), F.col("score"))).alias("max_out_of_corpus_top1"))
 
 
-def _word_keys(text: Column, inner_only: bool) -> Column:
-    """Hashes of the runs of KEY_WORDS blank-separated words; ``inner_only`` leaves out the first and last word."""
-    words = F.split(text, " ", -1)
-    words = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))) if inner_only else words
-    runs = F.transform(words, lambda _, i: F.slice(words, i + 1, KEY_WORDS))
-    return F.transform(F.filter(runs, lambda r: F.size(r) == KEY_WORDS), lambda r: F.xxhash64(r))
+def containing(docs: DataFrame, patterns: list[str]) -> DataFrame:
+    """(doc_id, _p): the patterns, by place in the list, that each document holds verbatim.
+
+    Every task builds one failure-link automaton of the patterns and runs it once over each of its texts.
+    """
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        always = [i for i, p in enumerate(patterns) if not p]
+        for i, p in enumerate(patterns):
+            if p:
+                automaton.add_word(p, i)
+        automaton.make_automaton()
+        for batch in batches:
+            ids, found = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text is not None:
+                    hits = {i for _, i in automaton.iter(text)} if len(automaton) else set()
+                    own = sorted(hits.union(always))
+                    ids += [doc] * len(own)
+                    found += own
+            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(found, pa.int32())], ["doc_id", "_p"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id string, _p int")
 
 
 def expected_by_containment(questions: DataFrame, docs: DataFrame, chunks: DataFrame, id_col: str = "qid",
-                            text_col: str = "question") -> DataFrame:
+                            text_col: str = "question", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Eval labels: every chunk of each document that contains the question text verbatim.
 
-    A text that contains the question contains its inner words (all but the first and last) as words of
-    its own. So each question is keyed by its rarest run of KEY_WORDS inner words, documents are joined on
-    the hashes of their runs, and ``contains`` verifies. Questions too short for a key are joined the
-    same way on their leading characters, against all substrings of those lengths.
+    The distinct question texts are dealt by hash into shards of about ``SHARD_BYTES``; for every shard an automaton runs once over
+    all documents. Short questions need no other way, and no document is expanded into its substrings.
     """
+    spark = questions.sparkSession
     q = questions.select(id_col, F.col(text_col).alias("_qt")).where(F.col("_qt").isNotNull())
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    keyed = q.select(id_col, "_qt", F.array_distinct(_word_keys(F.col("_qt"), True)).alias("_keys"))
-    wanted = materialize(keyed.select(F.explode("_keys").alias("_key")).distinct(), "question-keys")
-    runs = texts.select("doc_id", F.explode(F.array_distinct(_word_keys(F.col("text"), False))).alias("_key")).join(wanted, "_key", "left_semi")
-    runs = materialize(runs, "document-keys")
-    counts = wanted.join(runs.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")), "_key", "left").select("_key", F.coalesce("_n", F.lit(0)).alias("_n"))
-    rarest = (keyed.where(F.size("_keys") > 0).select(id_col, F.explode("_keys").alias("_key")).join(counts, "_key")
-                   .groupBy(id_col).agg(F.min(F.struct("_n", "_key")).alias("_r")).select(id_col, F.col("_r._key").alias("_key")))
-    pairs = rarest.join(runs, "_key").select(id_col, "doc_id")
-    short = materialize(keyed.where(F.size("_keys") == 0).select(id_col, F.substring("_qt", 1, KEY_CHARS).alias("_key")), "short-questions")
-    lengths = short.select(F.length("_key").alias("_len")).distinct()  # at most KEY_CHARS + 1 rows
-    grams = texts.crossJoin(F.broadcast(lengths)).select("doc_id", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("text") - F.col("_len") + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.col("_len"))))).alias("_key"))
-    pairs = pairs.unionByName(short.join(grams, "_key").select(id_col, "doc_id")).distinct()
-    hits = pairs.join(q, id_col).join(texts, "doc_id").where(F.col("text").contains(F.col("_qt"))).select(id_col, "doc_id")
+    each = materialize(q.select("_qt").distinct(), "question-texts")
+    shards = max(1, math.ceil((each.agg(F.sum(F.octet_length("_qt"))).first()[0] or 0) / shard_bytes))
+    pairs = None
+    for s in range(shards):
+        own = sorted(r["_qt"] for r in each.where(F.pmod(F.xxhash64("_qt"), F.lit(shards)) == s).collect())  # about shard_bytes
+        named = spark.createDataFrame(list(enumerate(own)), "_p int, _qt string")
+        found = materialize(containing(texts, own), "contained").join(named, "_p").select("_qt", "doc_id").distinct()
+        pairs = found if pairs is None else pairs.unionByName(found)
+    hits = pairs.join(q, "_qt").select(id_col, "doc_id")
     return hits.join(chunks.select("doc_id", "chunk_id"), "doc_id").select(id_col, "chunk_id")

@@ -73,6 +73,29 @@ def test_poisson_draws(spark):
         assert abs(x.mean() - n) <= 0.02 * max(n, 1) ** 0.5 + 1e-9 and abs(x.var() - n) <= 0.03 * max(n, 1)
 
 
+def test_multinomial_replicates_have_exactly_n_rows(spark):
+    """Totals are conserved, means and variances of a cell are those of draws with replacement, trees of one to four levels agree on that."""
+    cells = spark.createDataFrame([(i / 40, i % 5, (3 * i) % 7) for i in range(40)], "score double, n0 long, n1 long")
+    n = cells.selectExpr("sum(n0 + n1)").first()[0]
+    for fan in (1024, 9, 3):
+        got = ca.multinomial_cells(cells, 400, 1, fan).cache()
+        assert {r[1] for r in got.groupBy("replicate").sum("w").collect()} == {float(n)} and got.select("replicate").distinct().count() == 400
+        assert got.where("wpos > w OR wpos < 0").count() == 0
+        for r in cells.where("score IN (0.15, 0.6, 0.975)").collect():
+            own = [x for x in got.where(F.col("score") == r.score).collect()]
+            for have, share in (([x.wpos for x in own], r.n1 / n), ([x.w for x in own], (r.n0 + r.n1) / n)):
+                have = np.array(have + [0.0] * (400 - len(have)))
+                assert abs(have.mean() - n * share) < 5 * (n * share * (1 - share) / 400) ** 0.5 + 1e-9
+                assert abs(have.var() / (n * share * (1 - share)) - 1) < 0.5 if share else have.var() == 0
+        again = ca.multinomial_cells(cells.repartition(5), 400, 1, fan)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
+    assert ca.multinomial_cells(cells.limit(0), 3, 1).count() == 0
+    cal = spark.createDataFrame([(i % 7 / 7, i % 2) for i in range(300)], "raw_score double, label int")
+    for method in ("isotonic", "sigmoid"):
+        assert ca.bootstrap_curves(ca.bootstrap_cells(cal, n_bootstrap=5), method).select("replicate").distinct().count() == 5
+    assert ca.bootstrap_cells(cal, n_bootstrap=50, mode="poisson").groupBy("replicate").sum("w").select("sum(w)").distinct().count() > 1
+
+
 def test_bootstrap_cells_and_bands_above_the_old_limit(spark):
     """12,000 distinct scores: no grid, one refit per replicate, bands around the isotonic fit."""
     cal = spark.range(12000).select(((F.col("id") + 0.25) / 12000).alias("raw_score"), (F.rand(3) < (F.col("id") + 0.25) / 12000).cast("int").alias("label")).cache()

@@ -154,3 +154,17 @@ def test_answers_by_intent(spark):
     assert got[1] == C.CAPABILITY_STATEMENT
     assert got[2] == C.NO_PREDICTION_TEXT
     assert got[3].startswith("## Outside what I can answer")
+
+
+def test_containment_of_any_length(spark):
+    """Every question against every text, short, empty, repeated, overlapping and foreign ones, in one and in many shards."""
+    texts = ["alpha beta gamma", "beta", "x\ny z", "", None, "aaaa", "Ünïcode é text", "beta gamma delta " * 2000 + "end", "alpha  beta"]
+    asked = ["beta", "a", "", "alpha beta", "aa", "é", "gamma delta beta", "y z", "nowhere", "beta", None, "end", "beta gamma delta " * 2000 + "end", "\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    questions = spark.createDataFrame(list(enumerate(asked)), "qid long, question string")
+    chunks = docs.selectExpr("cast(doc_id as string) doc_id", "doc_id * 10 AS chunk_id")
+    want = sorted((q, d * 10) for q, a in enumerate(asked) for d, t in enumerate(texts) if a is not None and t is not None and a in t)
+    for shard_bytes in (1 << 24, 12000):  # one shard and three
+        got = rt.expected_by_containment(questions, docs, chunks, shard_bytes=shard_bytes)
+        assert sorted(map(tuple, got.select("qid", "chunk_id").collect())) == want
+    assert rt.expected_by_containment(questions.limit(0), docs, chunks).count() == 0
