@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortlab import constants as C
 from cohortlab.functions.columns import age_band, funding_band, funding_band_ord
+from cohortlab.operators.dictionaries import long_values, ordered_values
 from cohortlab.session import materialize
 
 
@@ -116,12 +117,8 @@ def top_values(df: DataFrame, cols: list[str], top_n: int = C.TOP_N_CATEGORIES)
 
 
 def distinct_options(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Distinct sorted options per categorical, as rows (feature, value, ord)."""
-    stacked = ", ".join(f"'{c}', `{c}`" for c in cols)
-    long = df.selectExpr(f"stack({len(cols)}, {stacked}) AS (feature, value)").where(
-        F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("feature").orderBy("value")
-    return long.withColumn("ord", F.row_number().over(w))
+    """Distinct sorted options per categorical, as rows (feature, value, ord); no task holds a feature's values."""
+    return ordered_values(long_values(df, cols))
 
 
 def regions_by_country(df: DataFrame) -> DataFrame:

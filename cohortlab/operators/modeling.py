@@ -3,7 +3,8 @@
 Everything data-sized stays in Spark: statistics are aggregates (exact medians
 from ``exact_quantiles``), encoders are Spark ML stages, fits are Spark ML
 estimators. The driver only sees constant-size summaries (one median / mean /
-std per numeric feature) and the category labels Spark ML's StringIndexer keeps.
+std per numeric feature) and the category labels of one-hot slots; ordinal codes are
+a stored dictionary that is joined.
 """
 from __future__ import annotations
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from cohortlab import constants as C
 from cohortlab.operators import boosting as bo
 from cohortlab.operators import logistic as lo
+from cohortlab.operators.dictionaries import Dictionary
 from cohortlab.operators.prefix import exact_quantiles, fold_hash, ranks
 from cohortlab.session import materialize
 
@@ -167,24 +169,18 @@ def preprocess(spec: ModelSpec, train: DataFrame) -> tuple[list, dict, dict]:
     med = {r["feature"]: r["median"] for r in medians(train, spec.numeric).collect()}
     scale = scaling_stats(train, spec.numeric, med) if spec.needs_scaling else {}
     sqlt = SQLTransformer(statement=_prep_sql(spec, med, scale))
-    cats_p = [f"{c}__p" for c in spec.categorical]
-    idx = StringIndexer(inputCols=cats_p, outputCols=[f"{c}__i" for c in spec.categorical],
-                        handleInvalid="keep", stringOrderType="alphabetAsc")
     prepared = sqlt.transform(train)
-    idx_model = idx.fit(prepared)
-    stages = [sqlt, idx_model]
-    if spec.encoding == "onehot":
+    if spec.encoding == "onehot":  # a slot per category: the labels are as many as the model's coefficients
+        idx = StringIndexer(inputCols=[f"{c}__p" for c in spec.categorical], outputCols=[f"{c}__i" for c in spec.categorical],
+                            handleInvalid="keep", stringOrderType="alphabetAsc")
+        idx_model = idx.fit(prepared)
         # dropLast drops the "unknown" slot StringIndexer(keep) appends: unseen -> all zeros
         ohe = OneHotEncoder(inputCols=[f"{c}__i" for c in spec.categorical],
                             outputCols=[f"{c}__v" for c in spec.categorical], dropLast=True)
-        stages.append(ohe.fit(idx_model.transform(prepared)))
+        stages = [sqlt, idx_model, ohe.fit(idx_model.transform(prepared))]
         cat_out = [f"{c}__v" for c in spec.categorical]
     else:
-        n_labels = [len(lbls) for lbls in idx_model.labelsArray]
-        ordinal = ", ".join(
-            f"CASE WHEN `{c}__i` >= {n} THEN -1.0 ELSE `{c}__i` END AS `{c}__o`"
-            for c, n in zip(spec.categorical, n_labels))
-        stages.append(SQLTransformer(statement=f"SELECT *, {ordinal} FROM __THIS__"))
+        stages = [sqlt, Dictionary.fit(train, spec.categorical)]
         cat_out = [f"{c}__o" for c in spec.categorical]
     stages.append(VectorAssembler(inputCols=[f"{c}__p" for c in spec.numeric] + cat_out, outputCol="features"))
     return stages, med, scale
@@ -288,12 +284,11 @@ def _dummy_scores(specs, rows, key, numeric, categorical, jobs) -> DataFrame:
 
 def _coded(rows: DataFrame, categorical: list, columns: list) -> tuple[list[int], DataFrame]:
     """Category columns as alphabetical codes (missing is a value of its own) behind ``columns``, in one array ``x``."""
-    filled = rows.select("*", *[F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias(f"{c}__p") for c in categorical])
     if not categorical:
-        return [], filled.select(*rows.columns, F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-    codes = StringIndexer(inputCols=[f"{c}__p" for c in categorical], outputCols=[f"{c}__i" for c in categorical], handleInvalid="keep", stringOrderType="alphabetAsc").fit(filled)
-    x = F.array(*[F.col(c).cast("double") for c in columns], *[F.col(f"{c}__i") for c in categorical])
-    return [len(labels) for labels in codes.labelsArray], codes.transform(filled).select(*rows.columns, x.alias("x"))
+        return [], rows.select(*rows.columns, F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    codes = Dictionary.fit(rows, categorical)
+    x = F.array(*[F.col(c).cast("double") for c in columns], *[F.col(f"{c}__o") for c in categorical])
+    return codes.sizes(), codes.transform(rows).select(*rows.columns, x.alias("x"))
 
 
 def _boosted_scores(specs, rows, key, numeric, categorical, jobs) -> DataFrame:

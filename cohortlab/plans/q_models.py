@@ -15,6 +15,7 @@ from cohortlab.operators import grouping as gr
 from cohortlab.operators import metrics as me
 from cohortlab.operators import modeling as mo
 from cohortlab.operators import serving as sv
+from cohortlab.operators.dictionaries import filled, long_values
 from cohortlab.operators.prefix import exact_quantile_sql, fold_hash_sql
 from cohortlab.plans.oracle import add_view
 from cohortlab.plans.q_etl import features_of
@@ -118,11 +119,8 @@ def l2_scaling_stats(spark, sf_dir):
   GROUP BY feature, value""")
 def l3_missing_category(spark, sf_dir):
     """L3: null categories become the 'missing' category (counts per value)."""
-    f = features_of(spark, sf_dir).where(F.col("split") == "train")
-    cols = C.CLEAN_CATEGORICAL_FEATURES
-    long = f.selectExpr(f"stack({len(cols)}, " + ", ".join(f"'{c}', coalesce(`{c}`, 'missing')" for c in cols)
-                        + ") AS (feature, value)")
-    return long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    train = features_of(spark, sf_dir).where(F.col("split") == "train")
+    return long_values(train, C.CLEAN_CATEGORICAL_FEATURES, filled).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _onehot_sql() -> str:
@@ -161,16 +159,12 @@ def l4_onehot_slots(spark, sf_dir):
   LEFT JOIN dict b ON b.feature = 'country_code' AND b.value = coalesce(t.country_code, 'missing')
   WHERE t.split = 'test'""")
 def l5_ordinal_codes(spark, sf_dir):
-    """L5 + J7: alphabetical ordinal codes from the train split; unseen test values -> -1."""
-    f = features_of(spark, sf_dir)
-    train, test = f.where(F.col("split") == "train"), f.where(F.col("split") == "test")
-    out = test.select("permalink", "primary_category", "country_code")
-    for c in ["primary_category", "country_code"]:
-        d = gr.distinct_options(train.select(F.coalesce(F.col(c), F.lit("missing")).alias(c)), [c])
-        d = d.select(F.col("value").alias("_v"), (F.col("ord") - 1).alias(f"{c}_code"))
-        out = (out.join(d, F.coalesce(F.col(c), F.lit("missing")) == F.col("_v"), "left").drop("_v")
-                  .withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(-1)).cast("bigint")))
-    return out.select("permalink", "primary_category_code", "country_code_code")
+    """L5 + J7: the boosted pipeline's own codes, alphabetical over the train split; unseen test values -> -1."""
+    spec = mo.spec_by_name("boosted_trees_clean")
+    f = _features(spark, sf_dir)
+    stages, _, _ = mo.preprocess(spec, f.where(F.col("split") == "train").select(*spec.columns, "label"))
+    rows = PipelineModel(stages).transform(f.where(F.col("split") == "test"))
+    return rows.select("permalink", *[F.col(f"{c}__o").cast("bigint").alias(f"{c}_code") for c in ["primary_category", "country_code"]])
 
 
 @query("p9_feature_set_projection", ["features"], """
