@@ -171,25 +171,66 @@ def reliability_curve(scored: DataFrame, n_bins: int = C.N_CALIBRATION_BINS, dig
         F.avg("y").alias("fraction_positive"), F.count(F.lit(1)).alias("n"))
 
 
-def roc_points(scored: DataFrame) -> DataFrame:
-    """(threshold, fpr, tpr) per distinct score, descending, plus the origin."""
+def _curve_cells(scored: DataFrame) -> DataFrame:
+    """(score, tp, fp, P, N) per distinct score: the counts at or above it, and all positives and negatives."""
     cells = running_sums(score_cells(scored), "score", ["pos", "neg"], descending=True)
-    tot = cells.agg(F.sum("pos").alias("_tot_pos"), F.sum("neg").alias("_tot_neg"))
-    pts = cells.crossJoin(F.broadcast(tot)).select(
-        F.col("score").alias("threshold"), (F.col("cum_neg") / F.col("_tot_neg")).alias("fpr"),
-        (F.col("cum_pos") / F.col("_tot_pos")).alias("tpr"))
+    tot = cells.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return cells.select("score", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp")).crossJoin(F.broadcast(tot))
+
+
+def _kept_per_slot(points: DataFrame, extremes) -> DataFrame:
+    """Distinct points of ``points`` (with ``slot``) that one of ``extremes``, aggregates of structs, picks in a slot."""
+    picked = points.groupBy("slot").agg(F.array(*extremes).alias("_kept"))
+    return picked.select("slot", F.explode("_kept").alias("_p")).select("slot", "_p.*").distinct()
+
+
+def roc_points(scored: DataFrame, max_points: int | None = None) -> DataFrame:
+    """(threshold, fpr, tpr) per distinct score, descending, plus the origin.
+
+    ``max_points`` (at least 4) bounds the points: the curve is cut into m = (max_points - 1) // 3 slots of equal fpr + tpr, and a
+    slot keeps its first and last point and the one farthest above the line between them. Between slots the curve is kept; within one
+    both it and the kept points rise inside a box of width + height <= 2 / m, so the trapezoid area differs by 1 / (2 m) at most.
+    """
+    cells = _curve_cells(scored)
+    if max_points is not None:
+        cells = _thin_roc(cells, max_points)
+    pts = cells.select(F.col("score").alias("threshold"), (F.col("fp") / F.col("N")).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"))
     origin = scored.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double")
     return pts.unionByName(origin)
 
 
-def pr_points(scored: DataFrame) -> DataFrame:
-    """(threshold, precision, recall) per distinct score, plus the (recall 0, precision 1) end."""
-    cells = running_sums(score_cells(scored), "score", ["pos", "neg"], descending=True)
-    tot = cells.agg(F.sum("pos").alias("_tot_pos"))
-    pts = cells.crossJoin(F.broadcast(tot)).select(
-        F.col("score").alias("threshold"),
-        (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
-        (F.col("cum_pos") / F.col("_tot_pos")).alias("recall"))
+def _thin_roc(cells: DataFrame, max_points: int) -> DataFrame:
+    if max_points < 4:
+        raise ValueError("max_points must be at least 4")
+    m = (max_points - 1) // 3
+    along = (F.col("fp") / F.col("N") + F.col("tp") / F.col("P")) / 2
+    cells = materialize(cells.withColumn("slot", F.least(F.floor(along * m), F.lit(m - 1))), "roc-cells")  # read for the ends and for the peaks
+    point = F.struct("score", "tp", "fp", "P", "N")
+    ends = cells.groupBy("slot").agg(F.max_by(F.struct("tp", "fp"), "score").alias("a"), F.min_by(F.struct("tp", "fp"), "score").alias("b"))  # m rows
+    x = lambda c: F.col(c).cast("double")
+    above = (x("tp") - x("a.tp")) * (x("b.fp") - x("a.fp")) - (x("fp") - x("a.fp")) * (x("b.tp") - x("a.tp"))
+    height = cells.join(F.broadcast(ends), "slot").select("slot", "score", "tp", "fp", "P", "N", above.alias("above"))
+    return _kept_per_slot(height, [F.max_by(point, "score"), F.min_by(point, "score"), F.max_by(point, F.struct("above", "score"))])
+
+
+def pr_points(scored: DataFrame, max_points: int | None = None) -> DataFrame:
+    """(threshold, precision, recall) per distinct score, plus the (recall 0, precision 1) end.
+
+    ``max_points`` (at least 5) bounds the points: m = (max_points - 1) // 4 slots of equal recall keep their first and last point and
+    those of the lowest and highest precision. Any step area over the full curve lies between those of the slots' lowest and
+    highest precisions, which the kept points give.
+    """
+    cells = _curve_cells(scored).withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
+    if max_points is not None:
+        if max_points < 5:
+            raise ValueError("max_points must be at least 5")
+        m = (max_points - 1) // 4
+        slot = F.least(F.floor(F.col("tp") / F.col("P") * m), F.lit(m - 1))
+        point = F.struct("score", "tp", "P", "precision")
+        cells = _kept_per_slot(cells.withColumn("slot", slot), [
+            F.max_by(point, "score"), F.min_by(point, "score"),
+            F.max_by(point, F.struct("precision", "score")), F.min_by(point, F.struct("precision", "score"))])
+    pts = cells.select(F.col("score").alias("threshold"), "precision", (F.col("tp") / F.col("P")).alias("recall"))
     end = scored.sparkSession.createDataFrame([(float("inf"), 1.0, 0.0)], "threshold double, precision double, recall double")
     return pts.unionByName(end)
 

@@ -164,6 +164,41 @@ def m12_pr_points(spark, sf_dir):
     return me.pr_points(scores(spark, sf_dir))
 
 
+#: Points of the bounded curves.
+MAX_POINTS = 100
+_CURVE_SQL = """
+  cells AS (SELECT score, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n
+            FROM (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM scores GROUP BY score) c)"""
+
+
+@query("m11_roc_bounded", ["scores"], f"""
+  WITH {_CURVE_SQL},
+  slots AS (SELECT *, least(floor((fp / n + tp / p) / 2 * {(MAX_POINTS - 1) // 3}), {(MAX_POINTS - 1) // 3 - 1}) AS slot FROM cells),
+  ends AS (SELECT slot, max(score) AS first_score, min(score) AS last_score, arg_max(tp, score) AS atp, arg_max(fp, score) AS afp,
+                  arg_min(tp, score) AS btp, arg_min(fp, score) AS bfp FROM slots GROUP BY slot),
+  high AS (SELECT s.*, first_score, last_score, row_number() OVER (PARTITION BY slot ORDER BY
+             (CAST(tp AS DOUBLE) - atp) * (CAST(bfp AS DOUBLE) - afp) - (CAST(fp AS DOUBLE) - afp) * (CAST(btp AS DOUBLE) - atp) DESC, score DESC) AS r
+           FROM slots s JOIN ends USING (slot))
+  SELECT score AS threshold, fp / n AS fpr, tp / p AS tpr FROM high WHERE r = 1 OR score IN (first_score, last_score)
+  UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0, 0.0""")
+def m11_roc_bounded(spark, sf_dir):
+    """ROC curve of at most 100 points whose area is within 1/66 of the full curve's."""
+    return me.roc_points(scores(spark, sf_dir), MAX_POINTS)
+
+
+@query("m12_pr_bounded", ["scores"], f"""
+  WITH {_CURVE_SQL},
+  slots AS (SELECT *, tp / (tp + fp) AS precision, least(floor(tp / p * {(MAX_POINTS - 1) // 4}), {(MAX_POINTS - 1) // 4 - 1}) AS slot FROM cells),
+  ordered AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY score) AS r1, row_number() OVER (PARTITION BY slot ORDER BY score DESC) AS r2,
+                     row_number() OVER (PARTITION BY slot ORDER BY precision, score) AS r3,
+                     row_number() OVER (PARTITION BY slot ORDER BY precision DESC, score DESC) AS r4 FROM slots)
+  SELECT score AS threshold, precision, tp / p AS recall FROM ordered WHERE least(r1, r2, r3, r4) = 1
+  UNION ALL SELECT CAST('inf' AS DOUBLE), 1.0, 0.0""")
+def m12_pr_bounded(spark, sf_dir):
+    """PR curve of at most 100 points that brackets the average precision."""
+    return me.pr_points(scores(spark, sf_dir), MAX_POINTS)
+
+
 @query("w4_stratified_folds", ["folds"], "SELECT key, label, fold FROM folds")
 def w4_stratified_folds(spark, sf_dir):
     """Stratified 5-fold assignment by keyed-hash rank within label (no 2-task window)."""
