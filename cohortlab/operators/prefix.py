@@ -1,4 +1,4 @@
-"""Distributed ordered scans: running sums, ranks, exact quantiles and as-of lookups.
+"""Distributed ordered scans: running sums, ranks and exact quantiles.
 
 A plain ``sum() over (order by x)`` window without a partition key runs in one
 task. Here the ordered domain is cut into value blocks at approximate quantiles
@@ -133,23 +133,3 @@ def fold_hash(key: Column, seed: int = 42) -> Column:
 
 def fold_hash_sql(key: str, seed: int = 42) -> str:
     return f"((((CAST({key} AS BIGINT) + {seed}) % 4294967291) * 1640531527) % 4294967296)"
-
-
-def asof_count_at_or_below(requests: DataFrame, reference: DataFrame, req_value: str, ref_value: str,
-                           n_blocks: int | None = None) -> DataFrame:
-    """For each request, the number of reference values <= its value.
-
-    Union of reference cells (count, kind 0) and requests (count 0, kind 1); on
-    equal values cells sort first, so the running count seen by a request is
-    "at or below". No broadcast of the reference set is needed.
-    """
-    ref_cells = (reference.groupBy(F.col(ref_value).cast("double").alias("_v"))
-                          .agg(F.count(F.lit(1)).alias("_c")).withColumn("_kind", F.lit(0)))
-    req_cols = requests.columns
-    req = requests.select(*req_cols, F.col(req_value).cast("double").alias("_v"),
-                          F.lit(0).cast("bigint").alias("_c"), F.lit(1).alias("_kind"))
-    ref_full = ref_cells.select(*[F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in req_cols],
-                                "_v", "_c", "_kind")
-    u = req.unionByName(ref_full)
-    out = running_sums(u, "_v", ["_c"], tie_cols=["_kind"], n_blocks=n_blocks)
-    return out.where(F.col("_kind") == 1).select(*req_cols, F.col("cum__c").alias("n_at_or_below"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortlab import constants as C
 from cohortlab.operators import calibration as ca
+from cohortlab.operators import ecdf
 from cohortlab.operators import explain as ex
 from cohortlab.operators import metrics as me
 from cohortlab.operators import modeling as mo
@@ -28,7 +29,7 @@ class ServingModel:
     base: mo.FittedModel
     calibrator: ca.Calibrator
     method: str
-    reference: DataFrame       # calibrated train scores (ECDF source)
+    reference: ecdf.Ecdf       # stored distribution of the calibrated train scores
     bands: DataFrame           # U2 table on the test split
     curves: DataFrame          # bootstrap refits
     train: DataFrame           # fit + calibration rows (means of linear contributions)
@@ -60,9 +61,8 @@ def calibrate_feature_set(features: DataFrame, feature_set: str, key: str = "nam
     with ThreadPoolExecutor(max_workers=3) as pool:
         f_test = pool.submit(lambda: calibrator.transform(
             base.transform(test).withColumnRenamed("score", "raw_score")).checkpoint(eager=True))
-        f_ref = pool.submit(lambda: calibrator.transform(
-            base.transform(train_all).withColumnRenamed("score", "raw_score"))
-            .select(F.col("probability").alias("score")).checkpoint(eager=True))
+        f_ref = pool.submit(lambda: ecdf.store(calibrator.transform(
+            base.transform(train_all).withColumnRenamed("score", "raw_score")), "probability"))
         f_curves = pool.submit(lambda: ca.bootstrap_curves(ca.bootstrap_cells(cal_raw), method).checkpoint(eager=True))
         test_scored, reference, curves = f_test.result(), f_ref.result(), f_curves.result()
     before = me.compute_metrics(test_scored.select("label", F.col("raw_score").alias("score")), 0.5).first()
@@ -94,7 +94,7 @@ def _score(model: ServingModel, requests: DataFrame, key: str, with_contribution
     raw = model.base.transform(requests).withColumnRenamed("score", "raw_score")
     # read three times: as-of sketch and scan, band
     scored = model.calibrator.transform(raw).select(key, "raw_score", "probability").checkpoint(eager=True)
-    pct = un.percentile_of(scored.select(key, "probability"), model.reference, "probability", "score")
+    pct = un.percentile_of(scored.select(key, "probability"), model.reference)
     out = scored.join(pct.select(key, "percentile"), key)
     band = un.collapse_on_failure(ca.bootstrap_band(out, model.curves, "raw_score", method=model.method))
     if with_contributions:

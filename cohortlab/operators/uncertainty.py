@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from cohortlab import constants as C
 from cohortlab.functions.columns import wilson_bounds
+from cohortlab.operators import ecdf
 from cohortlab.operators.metrics import quantile_fracs
-from cohortlab.operators.prefix import asof_count_at_or_below, exact_quantiles, running_sums
+from cohortlab.operators.prefix import exact_quantiles
 
 
 def wilson_table(counts: DataFrame, successes: str = "successes", n: str = "n",
@@ -74,22 +75,15 @@ def lookup_band(requests: DataFrame, bands: DataFrame, prob_col: str = "probabil
 
 
 def ecdf_table(reference: DataFrame, score_col: str = "score") -> DataFrame:
-    """The compressed reference distribution (score, n, cum_n, total)."""
-    cells = reference.groupBy(F.col(score_col).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    cum = running_sums(cells, "score", ["n"])
-    tot = cells.agg(F.sum("n").alias("total"))
-    return cum.crossJoin(F.broadcast(tot))
+    """The compressed reference distribution (score, n, cum_n, total), read back from its stored form."""
+    return ecdf.store(reference, score_col).cells(reference.sparkSession).drop("blk")
 
 
-def percentile_of(requests: DataFrame, reference: DataFrame, req_col: str = "probability",
+def percentile_of(requests: DataFrame, reference: DataFrame | ecdf.Ecdf, req_col: str = "probability",
                   ref_col: str = "score") -> DataFrame:
-    """100 * (reference values at or below the request value) / n, as an as-of scan."""
-    tot = reference.agg(F.count(F.lit(1)).alias("_total"))
-    # scan distinct values only: a value that very many requests share is one row of the scan
-    values = requests.select(F.col(req_col).alias("_value")).distinct()
-    cnt = (asof_count_at_or_below(values, reference, "_value", ref_col).crossJoin(F.broadcast(tot))
-           .withColumn("percentile", F.lit(100.0) * F.col("n_at_or_below") / F.col("_total")).drop("_total"))
-    return requests.join(cnt, F.col(req_col).eqNullSafe(F.col("_value")), "left").drop("_value")
+    """100 * (reference values at or below the request value) / n; a reference that is no ``Ecdf`` yet is stored first."""
+    stored = reference if isinstance(reference, ecdf.Ecdf) else ecdf.store(reference, ref_col)
+    return stored.percentile(requests, req_col)
 
 
 def collapse_on_failure(df: DataFrame, point: str = "probability", lower: str = "band_lower",
