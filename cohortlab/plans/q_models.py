@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -21,6 +22,7 @@ from cohortlab.plans.oracle import add_view
 from cohortlab.plans.q_etl import features_of
 from cohortlab.plans.registry import query
 from cohortlab.session import ensure_checkpoint_dir
+from cohortlab.sources import registry
 from cohortlab.sources import tables as tb
 from cohortlab.sources.standins import event_scores
 
@@ -56,7 +58,6 @@ def _serving(spark, sf_dir, feature_set="clean"):
 
 def _served(spark, sf_dir):
     """Both served models by feature set; they are fitted concurrently."""
-    from concurrent.futures import ThreadPoolExecutor
     _features(spark, sf_dir)
     with ThreadPoolExecutor(max_workers=2) as pool:
         models = list(pool.map(lambda fs: _serving(spark, sf_dir, fs), C.FEATURE_SETS))
@@ -370,7 +371,6 @@ def l9_l10_test_metrics(spark, sf_dir):
     f = _features(spark, sf_dir)
     test = f.where(F.col("split") == "test")
     # the five fits are independent Spark jobs: submit them concurrently
-    from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=5) as pool:
         list(pool.map(lambda s: _fitted(spark, sf_dir, s.name), mo.build_specs()))
     rows = None
@@ -479,11 +479,12 @@ def m13_model_comparison(spark, sf_dir):
 
 @query("l24_model_info")
 def l24_model_info(spark, sf_dir):
-    """The two served models' registry rows, appended one after the other and read back, with the default set marked."""
+    """The two served models' newest registry rows, committed by concurrent writers and a replay, with the default set marked."""
     path = os.path.join(ensure_checkpoint_dir(spark), f"served-{uuid.uuid4().hex}")
-    for m in _served(spark, sf_dir).values():
-        tb.write_table(sv.registry_row(spark, m), path, mode="append")
-    rows = spark.read.parquet(path)
+    models = _served(spark, sf_dir)
+    with ThreadPoolExecutor(max_workers=3) as pool:  # a writer per model, and a replay of the default model's
+        list(pool.map(lambda fs: registry.commit(sv.registry_row(spark, models[fs]), path, f"served-{fs}"), [*models, C.DEFAULT_FEATURE_SET]))
+    rows = registry.latest(spark, path)
     return rows.select("feature_set", "model_name", "roc_auc_after", "brier_after", "n_test",
                        (F.col("feature_set") == C.DEFAULT_FEATURE_SET).alias("is_default"))
 
@@ -576,12 +577,12 @@ def l25_report_lines(spark, sf_dir):
 
 @query("l24_m13_model_registry")
 def l24_m13_model_registry(spark, sf_dir):
-    """L24 + M13 + S8: registry rows appended to a parquet table and read back; test metrics per model."""
+    """L24 + M13 + S8: registry rows committed as one run and read back; test metrics per model."""
     path = os.path.join(ensure_checkpoint_dir(spark), f"registry-{uuid.uuid4().hex}")
     metrics = l9_l10_test_metrics(spark, sf_dir).select("model_name", "roc_auc", "average_precision",
                                                         "brier_score", "n")
-    tb.write_table(metrics, path, mode="append")
-    return spark.read.parquet(path)
+    registry.commit(metrics, path, "test-metrics")
+    return registry.latest(spark, path).drop("run_id", "committed_at")
 
 
 @query("m14_rescore_saved_model")
