@@ -307,7 +307,7 @@ def a16_cohort_levels(spark, sf_dir):
     return gr.cohort_levels(features_of(spark, sf_dir))
 
 
-@query("j1_cohort_lookup", ["features"], f"""
+J1_SQL = f"""
   WITH lv AS ({_COHORT_SQL}),
   req AS (SELECT permalink AS request_id, country_code, primary_category, {_FB_SQL} AS funding_band
           FROM features WHERE split = 'test'),
@@ -325,7 +325,10 @@ def a16_cohort_levels(spark, sf_dir):
   LEFT JOIN l1 ON r.country_code = l1.country_code AND r.primary_category = l1.primary_category
               AND r.funding_band = l1.funding_band
   LEFT JOIN l2 ON r.country_code = l2.country_code AND r.primary_category = l2.primary_category
-  LEFT JOIN l3 ON r.country_code = l3.country_code""")
+  LEFT JOIN l3 ON r.country_code = l3.country_code"""
+
+
+@query("j1_cohort_lookup", ["features"], J1_SQL)
 def j1_cohort_lookup(spark, sf_dir):
     """Per-request cohort with progressive back-off (test rows as requests)."""
     f = features_of(spark, sf_dir, columns=["permalink", "country_code", "primary_category", "funding_total_usd"])

@@ -7,12 +7,17 @@ import uuid
 from pyspark.sql import functions as F
 
 from cohortlab import constants as C
+from cohortlab.functions.columns import wilson_bounds
 from cohortlab.functions.text import front_matter_field, raw_tokens, sections_array, stem, strip_front_matter
 from cohortlab.operators import chunking as ch
+from cohortlab.operators import grouping as gr
 from cohortlab.operators import retrieval as rt
 from cohortlab.operators import routing as ro
 from cohortlab.operators import serving as sv
+from cohortlab.operators import uncertainty as un
+from cohortlab.operators.prefix import ranks
 from cohortlab.plans.oracle import add_view
+from cohortlab.plans.q_etl import J1_SQL, features_of
 from cohortlab.plans.registry import query
 from cohortlab.session import ensure_checkpoint_dir, materialize
 from cohortlab.sources.tables import read_markdown_corpus, spread, table
@@ -470,55 +475,101 @@ add_view("utop8f", ["uqvec", "kpostings", "chunks", "ugen"], "SELECT * FROM (" +
     + ") t WHERE score >= 0.15")
 
 
-# A stand-in for the prediction that a session holds: fixed arithmetic on an integer key (no value ends in a rounding tie).
-def facts_of_keys(keys):
-    """keys (request_id, k) -> request_id, facts."""
-    k = F.col("k")
-    part = lambda a, m: (k * a % m).cast("double") / m
-    p = part(31, 97)
-    contribution = lambda name, value, shap: F.struct(
-        F.lit(name).alias("feature"), value.alias("value"), shap.alias("shap_value"), F.when(shap > 0, "increases").otherwise("decreases").alias("direction"))
-    return keys.select("request_id", F.struct(
-        p.alias("probability"), part(17, 89).alias("raw_probability"), (p * 0.9).alias("band_lower"), (p * 0.95 + 0.05).alias("band_upper"),
-        (part(13, 83) * 100).alias("percentile"),
-        F.array(contribution("founded_year", (1980 + k % 40).cast("double").cast("string"), ((k % 41).cast("double") - 20.5) / 37),
-                contribution("region", F.concat(F.lit("R"), (k % 5).cast("string")), ((k % 7).cast("double") - 3.5) / 11)).alias("top_contributions"),
-        F.when(k % 3 == 1, "country").when(k % 3 == 2, "country+category+funding_band").alias("cohort_level"),
-        F.concat(F.lit("N"), (k % 25).cast("string")).alias("cohort_country"), F.when(k % 3 == 2, F.concat(F.lit("Cat"), (k % 4).cast("string"))).alias("cohort_category"),
-        (k + 30).alias("cohort_n"), part(7, 53).alias("cohort_success_rate")).alias("facts"))
-
-
-def _facts_sql(k: str, asked: str) -> str:
-    pct = lambda x: f"printf('%.1f%%', 100 * ({x}))"
-    part = lambda a, m: f"(CAST({k} * {a} % {m} AS DOUBLE) / {m})"
-    p, nl = part(31, 97), "chr(10)"
-    shap = {"founded_year": f"((CAST({k} % 41 AS DOUBLE) - 20.5) / 37)", "region": f"((CAST({k} % 7 AS DOUBLE) - 3.5) / 11)"}
-    value = {"founded_year": f"printf('%.2f', CAST(1980 + {k} % 40 AS DOUBLE))", "region": f"'R' || ({k} % 5)"}
-    way = {f: f"CASE WHEN {x} > 0 THEN 'increases' ELSE 'decreases' END" for f, x in shap.items()}
-    signed = {f: f"printf('%+.3f', {x})" for f, x in shap.items()}
-    row = lambda f: f"'| `{f}` | ' || {value[f]} || ' | ' || {signed[f]} || ' | ' || {way[f]} || ' |'"
-    named = " ".join(f"WHEN {asked} = '{f}' THEN '- You asked about `{f}`: it ' || {way[f]} || ' the score (SHAP ' || {signed[f]} || ', value = ' || {value[f]} || ').' || {nl}"
-                     for f in shap)
+#: What a company's scorecard adds up, in the order of the facts table.
+CARD = C.CLEAN_CATEGORICAL_FEATURES
+
+
+def company_facts(spark, sf_dir):
+    """X17 without a fitted model: facts of every test company from a scorecard of training rates.
+
+    A feature contributes its group's success rate above the base rate (groups below the cohort size: nothing); the raw score adds the
+    contributions to the base rate, the probability their mean. Its percentile is among the training companies, its band the
+    Wilson interval of its cohort, or the point itself where the two do not meet.
+    """
+    f = materialize(features_of(spark, sf_dir, columns=["permalink", "name", "primary_category", "country_code", "region", "funding_total_usd"]), "companies")
+    train = f.where(F.col("split") == "train")
+    base = train.agg(F.avg(F.col("label").cast("double")).alias("base"))  # one row
+    j = f.crossJoin(F.broadcast(base))
+    for c in CARD:
+        rates = gr.grouped_success_rate(train, c).select(F.col(c).alias("_v"), F.col("success_rate").alias("_r"))
+        j = j.join(rates, F.col(c) == F.col("_v"), "left").withColumn(f"{c}_shap", F.round(F.coalesce("_r", "base") - F.col("base"), 3)).drop("_v", "_r")
+    total = F.col(f"{CARD[0]}_shap") + F.col(f"{CARD[1]}_shap") + F.col(f"{CARD[2]}_shap")
+    clip = lambda x: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 6)
+    j = materialize(j.withColumn("raw_score", clip(F.col("base") + total)).withColumn("probability", clip(F.col("base") + total / 3)), "scorecards")
+    test = j.where(F.col("split") == "test").withColumn("request_id", F.col("permalink"))
+    cohorts = gr.cohort_lookup(test.select("request_id", "country_code", "primary_category", "funding_total_usd"), f)
+    scored = un.percentile_of(test, j.where(F.col("split") == "train"), "probability", "probability").select(
+        "request_id", "name", "raw_score", "probability", "percentile", F.array(*[F.struct(
+            F.lit(c).alias("feature"), F.col(c).alias("value"), F.col(f"{c}_shap").alias("shap_value"),
+            F.when(F.col(f"{c}_shap") > 0, "increases").otherwise("decreases").alias("direction")) for c in CARD]).alias("contributions"))
+    n = F.coalesce("cohort_n", F.lit(0))
+    low, high = wilson_bounds(F.coalesce(F.round(F.col("cohort_success_rate") * F.col("cohort_n")), F.lit(0.0)), F.nullif(n, F.lit(0)))
+    banded = scored.join(cohorts.select("request_id", "cohort_n", "cohort_success_rate"), "request_id").withColumn(
+        "band_lower", F.round(F.coalesce(low, F.lit(0.0)), 6)).withColumn("band_upper", F.round(F.coalesce(high, F.lit(1.0)), 6)).drop("cohort_n", "cohort_success_rate")
+    whole = un.collapse_on_failure(banded)
+    return sv.facts(whole, cohorts).join(whole.select("request_id", "name"), "request_id")
+
+
+def _shown(x: str, digits: int) -> str:
+    """``x`` rounded half up in its shortest decimal form, as the JVM's formatter does."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(28, 20)), {digits}) AS DOUBLE)"
+
+
+_Z = C.WILSON_Z[0.90]
+add_view("scorecards", ["features"], f"""
+  SELECT f.*, b.base, {", ".join(f"round(coalesce(r{i}.rate, b.base) - b.base, 3) + 0.0 AS shap{i}" for i in range(len(CARD)))}
+  FROM features f CROSS JOIN (SELECT avg(CAST(label AS DOUBLE)) AS base FROM features WHERE split = 'train') b
+  """ + " ".join(f"""LEFT JOIN (SELECT {c} AS v, avg(CAST(label AS DOUBLE)) AS rate FROM features WHERE split = 'train' AND {c} IS NOT NULL
+                            GROUP BY 1 HAVING count(*) >= {C.MIN_COHORT_SIZE}) r{i} ON r{i}.v = f.{c}""" for i, c in enumerate(CARD)))
+add_view("scored_companies", ["scorecards"], """
+  SELECT *, round(greatest(0.0, least(1.0, base + (shap0 + shap1 + shap2))), 6) AS raw_score,
+         round(greatest(0.0, least(1.0, base + (shap0 + shap1 + shap2) / 3)), 6) AS probability FROM scorecards""")
+add_view("company_cohorts", ["features"], J1_SQL)
+add_view("company_facts", ["scored_companies", "company_cohorts"], f"""
+  SELECT permalink AS request_id, name, {", ".join(CARD)}, shap0, shap1, shap2, raw_score, probability, percentile, level, h.country_code AS cohort_country, cohort_category,
+         cohort_n, cohort_success_rate,
+         CASE WHEN lo <= probability AND probability <= hi THEN lo ELSE probability END AS band_lower,
+         CASE WHEN lo <= probability AND probability <= hi THEN hi ELSE probability END AS band_upper
+  FROM (SELECT s.* EXCLUDE (country_code), s.country_code, c.percentile, k.* EXCLUDE (request_id, country_code), k.country_code AS kc,
+               CASE WHEN k.cohort_n IS NULL THEN 0.0 ELSE round(greatest(0.0, (ph + z2 / (2.0 * n) - {_Z!r} * sqrt(ph * (1.0 - ph) / n + z2 / (4.0 * n * n))) / (1.0 + z2 / n)), 6) END AS lo,
+               CASE WHEN k.cohort_n IS NULL THEN 1.0 ELSE round(least(1.0, (ph + z2 / (2.0 * n) + {_Z!r} * sqrt(ph * (1.0 - ph) / n + z2 / (4.0 * n * n))) / (1.0 + z2 / n)), 6) END AS hi
+        FROM scored_companies s JOIN (SELECT *, CAST(cohort_n AS DOUBLE) AS n, round(cohort_success_rate * cohort_n) / CAST(cohort_n AS DOUBLE) AS ph, {_Z!r} * {_Z!r} AS z2
+                                      FROM company_cohorts) k ON k.request_id = s.permalink
+        JOIN (SELECT probability AS v, 100.0 * sum(sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END)) OVER (ORDER BY probability)
+                     / (SELECT count(*) FROM features WHERE split = 'train') AS percentile FROM scored_companies GROUP BY 1) c ON c.v = s.probability
+        WHERE s.split = 'test') h""".replace("h.country_code AS cohort_country", "kc AS cohort_country"))
+
+
+def _facts_sql(asked: str) -> str:
+    """SQL text of the facts of a ``company_facts`` row, the feature ``asked`` in front."""
+    pct = lambda x: f"printf('%.1f%%', {_shown(f'100 * {x}', 1)})"
+    nl = "chr(10)"
+    way = [f"CASE WHEN shap{i} > 0 THEN 'increases' ELSE 'decreases' END" for i in range(len(CARD))]
+    signed = [f"printf('%+.3f', shap{i})" for i in range(len(CARD))]
+    value = [f"coalesce({c}, 'None')" for c in CARD]
+    rows = [f"'| `{c}` | ' || {value[i]} || ' | ' || {signed[i]} || ' | ' || {way[i]} || ' |'" for i, c in enumerate(CARD)]
+    named = " ".join(f"WHEN {asked} = '{c}' THEN '- You asked about `{c}`: it ' || {way[i]} || ' the score (SHAP ' || {signed[i]} || ', value = ' || {value[i]} || ').' || {nl}"
+                     for i, c in enumerate(CARD))
     head = f" || {nl} || ".join([
-        _lit(C.FACTS_HEADER), f"{_lit(C.FACTS_PROBABILITY)} || {pct(p)} || {_lit(C.FACTS_BAND)} || {pct(p + ' * 0.9')} || '-' || {pct(p + ' * 0.95 + 0.05')} || ')'",
-        f"{_lit(C.FACTS_RAW)} || {pct(part(17, 89))} || {_lit(C.FACTS_RAW_NOTE)}", f"{_lit(C.FACTS_PERCENTILE)} || {pct(part(13, 83))} || '**'"])
-    table = f" || {nl} || ".join(["''", *[_lit(x) for x in C.FACTS_TABLE_HEAD], row("founded_year"), row("region")])
-    cohort = (f"CASE WHEN {k} % 3 = 0 THEN {_lit(C.NO_COHORT_TEXT)} ELSE {_lit(C.FACTS_COHORT)} || CASE WHEN {k} % 3 = 1 THEN 'country' ELSE 'country + category + funding band' END "
-              f"|| ' = N' || ({k} % 25) || CASE WHEN {k} % 3 = 2 THEN ', Cat' || ({k} % 4) ELSE '' END || ', n=' || ({k} + 30) || {_lit(C.FACTS_COHORT_RATE)} "
-              f"|| {pct(part(7, 53))} || {_lit(C.FACTS_COHORT_END)} END")
+        _lit(C.FACTS_HEADER), f"{_lit(C.FACTS_PROBABILITY)} || {pct('probability')} || {_lit(C.FACTS_BAND)} || {pct('band_lower')} || '-' || {pct('band_upper')} || ')'",
+        f"{_lit(C.FACTS_RAW)} || {pct('raw_score')} || {_lit(C.FACTS_RAW_NOTE)}",
+        f"{_lit(C.FACTS_PERCENTILE)} || printf('%.1f%%', {_shown('percentile', 1)}) || '**'"])
+    table = f" || {nl} || ".join(["''", *[_lit(x) for x in C.FACTS_TABLE_HEAD], *rows])
+    cohort = (f"CASE WHEN level IS NULL THEN {_lit(C.NO_COHORT_TEXT)} ELSE {_lit(C.FACTS_COHORT)} || replace(replace(level, '+', ' + '), '_', ' ') || ' = ' || cohort_country "
+              f"|| coalesce(', ' || cohort_category, '') || ', n=' || cohort_n || {_lit(C.FACTS_COHORT_RATE)} || {pct('cohort_success_rate')} || {_lit(C.FACTS_COHORT_END)} END")
     return f"({head} || {nl} || (CASE {named} ELSE '' END) || {table} || {nl} || {cohort})"
 
 
-@query("x18_facts_text", [], f"""
-  SELECT event_id AS request_id, {_facts_sql("event_id", "CASE event_id % 3 WHEN 0 THEN 'founded_year' WHEN 1 THEN 'region' END")} AS answer FROM events""")
+@query("x18_facts_text", ["company_facts"], f"""
+  SELECT request_id, {_facts_sql("CASE CAST(name AS BIGINT) % 3 WHEN 0 THEN 'country_code' WHEN 1 THEN 'primary_category' END")} AS answer FROM company_facts""")
 def x18_facts_text(spark, sf_dir):
-    """X17 + X18: facts of every event's key as text, with the feature asked about (if any) in front."""
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("event_id").alias("k"))
-    facts = facts_of_keys(e).withColumn("asked", F.when(F.col("request_id") % 3 == 0, "founded_year").when(F.col("request_id") % 3 == 1, "region"))
+    """X17 + X18: facts of every test company as text, with the feature asked about (if any) in front."""
+    k = F.col("name").cast("bigint") % 3
+    facts = company_facts(spark, sf_dir).withColumn("asked", F.when(k == 0, "country_code").when(k == 1, "primary_category"))
     return sv.render_facts(facts, foreground=F.col("asked"))
 
 
-@query("x20_answers", ["user_questions", "utop8f", "kpostings", "chunks"], f"""
+@query("x20_answers", ["user_questions", "utop8f", "kpostings", "chunks", "company_facts"], f"""
   WITH rr AS ({_mmr_sql("utop8f", C.RERANK_K, C.MMR_LAMBDA, "kpostings")}),
   lines AS (SELECT rr.qid, rr.mmr_rank,
                    '- **' || c.heading || '** (' || c.doc_id || '): ' || c.text || chr(10)
@@ -529,10 +580,12 @@ def x18_facts_text(spark, sf_dir):
   routed AS (SELECT qid, qid // 1000 AS k, {_intent_sql('question')} AS intent, {_feature_sql('question')} AS asked FROM user_questions)
   SELECT r.qid, r.intent,
          CASE WHEN r.intent = 'greeting' THEN {_lit(C.CAPABILITY_STATEMENT)}
-              WHEN r.intent = 'about_prediction' THEN CASE WHEN k % 4 = 3 THEN {_lit(C.NO_PREDICTION_TEXT)} ELSE {_facts_sql("k", "asked")} END
+              WHEN r.intent = 'about_prediction' THEN CASE WHEN k % 4 = 3 OR held.request_id IS NULL THEN {_lit(C.NO_PREDICTION_TEXT)} ELSE {_facts_sql("asked")} END
               WHEN r.intent = 'general' THEN coalesce(per.answer, {_lit(C.NOTHING_MATCHED_TEXT)})
               ELSE {_lit(C.OUT_OF_SCOPE_TEXT + C.CAPABILITY_STATEMENT)} END AS answer
-  FROM routed r LEFT JOIN per USING (qid)""")
+  FROM routed r LEFT JOIN per USING (qid)
+  LEFT JOIN (SELECT *, row_number() OVER (ORDER BY CAST(name AS BIGINT)) - 1 AS place FROM company_facts) held
+  ON held.place = k % (SELECT count(*) FROM company_facts)""")
 def x20_answers(spark, sf_dir):
     """Answer per user turn by intent: general -> retrieve/filter/rerank over the chunked corpus;
     about_prediction -> the session's facts with the question's own feature in front (every fourth
@@ -545,7 +598,11 @@ def x20_answers(spark, sf_dir):
     r = rt.retrieve(general, chunks, post, idf, C.RETRIEVAL_TOP_K)
     rr = rt.mmr_rerank(rt.relevance_filter(r), post)
     about = routed.where(F.col("intent") == "about_prediction").withColumn("k", F.floor(F.col("qid") / 1000)).where("k % 4 <> 3")
-    facts = facts_of_keys(about.select(F.col("qid").alias("request_id"), "k")).join(about.select(F.col("qid").alias("request_id"), "named_feature"), "request_id")
+    held = materialize(company_facts(spark, sf_dir).withColumn("_name", F.col("name").cast("bigint")), "company-facts")
+    n_held = held.count()
+    placed = ranks(held, "_name").select((F.col("rank") - 1).alias("place"), "facts")  # the k-th conversation is about the k-th company, and round again
+    facts = (about.select(F.col("qid").alias("request_id"), (F.col("k") % max(n_held, 1)).alias("place"), "named_feature")
+             .join(placed, "place"))
     text = sv.render_facts(facts, foreground=F.col("named_feature")).withColumnRenamed("request_id", "qid")
     return ro.answer(qs, ro.render_retrieved(rr, chunks, general), text)
 

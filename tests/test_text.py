@@ -168,3 +168,32 @@ def test_containment_of_any_length(spark):
         got = rt.expected_by_containment(questions, docs, chunks, shard_bytes=shard_bytes)
         assert sorted(map(tuple, got.select("qid", "chunk_id").collect())) == want
     assert rt.expected_by_containment(questions.limit(0), docs, chunks).count() == 0
+
+
+def test_company_facts_hold_the_rates_of_the_table(spark, sf):
+    """Contributions, scores and percentiles of the scorecard facts against plain counting over the feature table."""
+    from cohortlab.plans.q_etl import features_of
+    from cohortlab.plans.q_text import CARD, company_facts
+    rows = features_of(spark, sf).select("permalink", *CARD, "label", "split").collect()
+    train = [r for r in rows if r["split"] == "train"]
+    base = sum(r["label"] for r in train) / len(train)
+
+    def shap(row, c):
+        own = [r["label"] for r in train if r[c] == row[c] and row[c] is not None]
+        return round(sum(own) / len(own) - base, 3) if len(own) >= C.MIN_COHORT_SIZE else 0.0
+
+    def score(row):
+        return round(min(1.0, max(0.0, base + sum(shap(row, c) for c in CARD) / 3)), 6)
+
+    scores = [score(r) for r in train]
+    by_id = {r["permalink"]: r for r in rows}
+    got = {r["request_id"]: r["facts"] for r in company_facts(spark, sf).collect()}
+    assert set(got) == {r["permalink"] for r in rows if r["split"] == "test"}
+    for key in sorted(got)[::7]:
+        f, row = got[key], by_id[key]
+        assert [(c["feature"], c["value"]) for c in f["top_contributions"]] == [(c, row[c]) for c in CARD]
+        assert all(abs(c["shap_value"] - shap(row, c["feature"])) < 1.1e-3 for c in f["top_contributions"])
+        assert abs(f["probability"] - score(row)) < 1e-3
+        assert abs(f["percentile"] - 100 * sum(s <= f["probability"] + 1e-9 for s in scores) / len(scores)) < 1e-6
+        assert f["band_lower"] <= f["probability"] <= f["band_upper"]
+    assert len({f["probability"] for f in got.values()}) > 5
