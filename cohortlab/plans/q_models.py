@@ -15,6 +15,7 @@ from cohortlab.operators import explain as ex
 from cohortlab.operators import grouping as gr
 from cohortlab.operators import metrics as me
 from cohortlab.operators import modeling as mo
+from cohortlab.operators import retrieval as rt
 from cohortlab.operators import serving as sv
 from cohortlab.operators.dictionaries import filled, long_values
 from cohortlab.operators.prefix import exact_quantile_sql, fold_hash_sql
@@ -242,9 +243,8 @@ def l15_calibration_split(spark, sf_dir):
   FROM calsplit WHERE part = 'calibration'""")
 def l16_calibration_method(spark, sf_dir):
     """Isotonic when the calibration split has >= 1000 rows, else sigmoid."""
-    s = l15_calibration_split(spark, sf_dir).where(F.col("part") == "calibration")
-    return s.agg(F.count(F.lit(1)).alias("n_calibration")).withColumn(
-        "method", F.when(F.col("n_calibration") >= C.ISOTONIC_MIN_ROWS, "isotonic").otherwise("sigmoid"))
+    n = l15_calibration_split(spark, sf_dir).where(F.col("part") == "calibration").count()
+    return spark.createDataFrame([(n, mo.calibration_method(n))], "n_calibration bigint, method string")
 
 
 @query("j8_split_disjointness", ["calsplit", "features"], """
@@ -615,6 +615,45 @@ def s9_eval_questions_json(spark, sf_dir):
     return spark.read.schema(schema).json(out)
 
 
+_SET_COLUMNS = {"clean": (C.CLEAN_NUMERIC_FEATURES, C.CLEAN_CATEGORICAL_FEATURES), "full": (C.FULL_NUMERIC_FEATURES, C.FULL_CATEGORICAL_FEATURES)}
+
+
+@query("s8_model_metadata", ["features", "co_boundary"], " UNION ALL ".join(f"""
+  SELECT 'base_rate_{name}' AS model_name, '{name}' AS feature_set, '{",".join(num)}' AS numeric_features, '{",".join(cat)}' AS categorical_features,
+         (DATE '1970-01-01' + CAST(floor((SELECT boundary_days FROM co_boundary)) AS INTEGER)) AS split_boundary,
+         count_if(split = 'train') AS n_train, count_if(split = 'test') AS n_test,
+         round(avg(CASE WHEN split = 'train' THEN CAST(label AS DOUBLE) END), 9) AS threshold FROM features""" for name, (num, cat) in _SET_COLUMNS.items()))
+def s8_model_metadata(spark, sf_dir):
+    """S8 + L24: metadata of the base-rate model of each feature set, as JSON in the registry: a first run, a newer one and its replay."""
+    f = features_of(spark, sf_dir, keep_dates=True)
+    facts = f.groupBy("split_boundary").agg(
+        F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"),
+        F.round(F.avg(F.when(F.col("split") == "train", F.col("label").cast("double"))), 9).alias("threshold"))
+    models = F.explode(F.array(*[F.struct(F.lit(f"base_rate_{name}").alias("model_name"), F.lit(name).alias("feature_set"),
+                                          F.lit(",".join(num)).alias("numeric_features"), F.lit(",".join(cat)).alias("categorical_features"))
+                                 for name, (num, cat) in _SET_COLUMNS.items()]))
+    rows = facts.select(models.alias("m"), "*").select("m.*", "split_boundary", "n_train", "n_test", "threshold")
+    kept = rows.select("model_name", F.to_json(F.struct(*rows.columns)).alias("metadata"))
+    path = os.path.join(ensure_checkpoint_dir(spark), f"metadata-{uuid.uuid4().hex}")
+    registry.commit(kept.select("model_name", F.lit("{}").alias("metadata")), path, "run-1")
+    for _ in range(2):
+        registry.commit(kept, path, "run-2")
+    return registry.latest(spark, path).select(F.from_json("metadata", rows.schema).alias("m")).select("m.*")
+
+
+@query("s9_expected_chunks", ["questions", "expected"], """
+  SELECT q.question, x.chunk_id FROM questions q LEFT JOIN expected x ON x.qid = q.qid""")
+def s9_expected_chunks(spark, sf_dir):
+    """Questions with their expected chunk ids, written as JSON arrays and read back by ``read_eval_questions``."""
+    q = tb.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    docs = tb.spread(tb.table(spark, sf_dir, "documents"))
+    ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"))
+    expected = rt.expected_by_containment(q, docs, ids).groupBy("qid").agg(F.sort_array(F.collect_list("chunk_id")).alias("expected_chunk_ids"))
+    out = os.path.join(ensure_checkpoint_dir(spark), f"questions-{uuid.uuid4().hex}")
+    tb.write_eval_questions(q.join(expected, "qid", "left").withColumn(
+        "expected_chunk_ids", F.coalesce("expected_chunk_ids", F.array().cast("array<string>"))), out)
+    return tb.read_eval_questions(spark, out).select("question", F.explode_outer("expected_chunk_ids").alias("chunk_id"))
+
 
 def _request_rows(spark, sf_dir):
     p = _profiles(spark, sf_dir)

@@ -60,6 +60,18 @@ def read_eval_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(EVAL_SCHEMA).json(path)
 
 
+def write_eval_questions(questions: DataFrame, path: str, per_file: int = 1000) -> str:
+    """Files of one JSON array each, which ``read_eval_questions`` reads: about ``per_file`` questions, dealt by hash."""
+    names = [f.name for f in EVAL_SCHEMA.fields]
+    files = max(1, -(-questions.count() // per_file))
+    # equal questions are numbered, so that they do not all go to one file, whichever task is run again
+    counted = questions.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).select(*names, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
+    dealt = counted.select(*names, F.pmod(F.xxhash64(*names, "_i"), F.lit(files)).alias("_file"))
+    arrays = dealt.groupBy("_file").agg(F.to_json(F.collect_list(F.struct(*names))).alias("value"))
+    arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 def read_markdown_corpus(spark: SparkSession, folder: str, pattern: str = "*.md", by_folder: bool = False) -> DataFrame:
     """One row per Markdown file: (doc_id = file stem, or with ``by_folder`` the file's folder, text)."""
     df = spark.read.text(os.path.join(folder, pattern), wholetext=True)

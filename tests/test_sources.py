@@ -45,6 +45,18 @@ def test_eval_questions_json(spark, tmp_path):
     assert rows[0].expected_chunk_ids == ["d::failure"] and rows[1].expected_chunk_ids == []
 
 
+def test_eval_questions_written_as_arrays(spark, tmp_path):
+    schema = "question string, expected_chunk_ids array<string>, other int"
+    rows = [(f"question {i}?", [f"d{i}::a", "x"] if i % 3 else [], i) for i in range(200)] + [("same", ["y"], 0)] * 50 + [("no ids", None, 1), (None, ["z"], 2)]
+    out = tb.write_eval_questions(spark.createDataFrame(rows, schema), str(tmp_path / "q"), per_file=20)
+    back = [(r.question, r.expected_chunk_ids) for r in tb.read_eval_questions(spark, out).collect()]
+    assert sorted(back, key=repr) == sorted([(q, ids) for q, ids, _ in rows], key=repr)
+    files = [json.loads(p.read_text()) for p in (tmp_path / "q").glob("part-*") if p.stat().st_size]
+    assert len(files) > 5 and all(isinstance(f, list) for f in files) and max(map(len, files)) < 60
+    empty = tb.write_eval_questions(spark.createDataFrame([], schema), str(tmp_path / "none"))
+    assert tb.read_eval_questions(spark, empty).count() == 0
+
+
 def test_feature_parquet_partitioned_by_split(spark, sf, tmp_path):
     from cohortlab.plans.q_etl import features_of
     f = features_of(spark, sf)
