@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from cohortlab import constants as C
 from cohortlab.functions.text import (
-    SEC_MARK, WS, front_matter_field, sections_array, slug, strip_front_matter, strip_ws, word_count,
+    WS, front_matter_field, sections_array, slug, strip_front_matter, strip_ws, word_count,
 )
+from cohortlab.session import materialize
 
 #: Units of one block. A block holds more units than a chunk can reach back over.
 BLOCK = 4096
@@ -28,6 +29,8 @@ FAN = 1024
 
 # regex text embedded in SQL string literals: backslashes doubled for the SQL parser
 WS_SQL = WS.replace("\\", "\\\\")
+#: Words of each unit; units have a word and neither begin nor end with a space.
+UNIT_WORDS = f"transform(units, x -> split(x, '{WS_SQL}+'))"
 
 
 def _words_sql(x: str) -> str:
@@ -69,7 +72,7 @@ def _pack_sql(target: int, overlap: int, resume: str | None = None, last: str =
             f"IF({end}.j + 1 < size(units), concat(' ', array_join(slice(units, {end}.j + 2, size(units)), ' ')), '')))")
     pieces = f"concat({done}, " + _let(rest, "x", f"IF({last} AND regexp_replace(x, '^{WS_SQL}+|{WS_SQL}+$', '') <> '', array(x), "
                                                    "CAST(array() AS ARRAY<STRING>))") + ")"
-    return _let(f"transform(units, x -> {_words_sql('x')})", "ws", _let("flatten(ws)", "words", _let(fold, "cuts", pieces)))
+    return _let(UNIT_WORDS, "ws", _let("flatten(ws)", "words", _let(fold, "cuts", pieces)))
 
 
 def _units_sql(body: str, target: int, overlap: int) -> str:
@@ -147,24 +150,29 @@ def _entries(blocks: DataFrame, target: int, overlap: int) -> DataFrame:
             .applyInPandas(members, "key string, block int, since bigint, made bigint, n_pieces bigint"))
 
 
-def split_in_blocks(sections: DataFrame, target: int, overlap: int, block: int) -> DataFrame:
-    """The pieces (with ``piece_idx`` and ``n_pieces``) of the sections that have more than ``block`` units."""
+def split_in_blocks(sections: DataFrame, target: int, overlap: int, max_section_words: int, block: int) -> DataFrame:
+    """The pieces (with ``piece_idx`` and ``n_pieces``) of the long sections that have more than ``block`` units.
+
+    The blocks are stored, as their word counts are read before their texts.
+    """
     reach = target + overlap  # units before a block that its chunks and their carried words can reach back to
     if block < reach:
         raise ValueError(f"a block must hold at least target + overlap = {reach} units")
     keep = [c for c in sections.columns if c != "body"]
-    units = sections.select(*keep, F.sha2("body", 256).alias("key"), F.expr(_units_sql("body", target, overlap)).alias("units"))
-    units = units.where(F.size("units") > block)
+    # a unit and the space after it are two characters at least, so the first test spares splitting shorter sections
+    units = sections.where(F.length("body") > 2 * block).select(*keep, "body", F.expr(_units_sql("body", target, overlap)).alias("units"))
+    units = units.where((F.size("units") > block) & (word_count(F.col("body")) > max_section_words))
+    units = units.select(*keep, F.sha2("body", 256).alias("key"), "units")
     # one row per block: its units, led by those that it can reach back to
     cut = (f"transform(sequence(0, CAST(ceil(size(units) / {block}.0) AS INT) - 1), b -> named_struct('block', b, "
            f"'lead', IF(b = 0, 0, {reach}), 'last', (b + 1) * {block} >= size(units), "
            f"'units', slice(units, b * {block} + 1 - IF(b = 0, 0, {reach}), {block} + IF(b = 0, 0, {reach}))))")
     blocks = units.select(*keep, "key", F.explode(F.expr(cut)).alias("s")).select(*keep, "key", "s.*")
-    sizes = f"transform(units, x -> size({_words_sql('x')}))"
-    counts = blocks.select("key", "block", F.expr(f"slice({sizes}, lead + 1, {block})").alias("counts"))
-    led = f"aggregate(transform(slice(units, 1, lead), x -> size({_words_sql('x')})), 0, (a, c) -> a + c)"
-    placed = blocks.join(_entries(counts, target, overlap), ["key", "block"])
-    placed = placed.withColumn("resume", F.expr(f"IF(block = 0, -1, CAST({led} - since AS INT))"))
+    sizes = blocks.withColumn("sizes", F.expr(f"transform({UNIT_WORDS}, w -> size(w))"))
+    blocks = materialize(sizes.select(*keep, "key", "block", "last", "units", F.expr(f"slice(sizes, lead + 1, {block})").alias("counts"),
+                                      F.expr("aggregate(slice(sizes, 1, lead), 0, (a, c) -> a + c)").alias("led")), "blocks")
+    placed = blocks.join(_entries(blocks, target, overlap), ["key", "block"])
+    placed = placed.withColumn("resume", F.expr("IF(block = 0, -1, CAST(led - since AS INT))"))
     out = placed.select(*keep, "n_pieces", "made", F.posexplode(F.expr(_pack_sql(target, overlap, "resume", "last"))).alias("at", "text"))
     return out.select(*keep, F.col("n_pieces").cast("int").alias("n_pieces"), (F.col("made") + F.col("at")).cast("int").alias("piece_idx"), "text")
 
@@ -200,9 +208,7 @@ def chunk_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     p = sections(d).select("doc_id", "source_url", "sec_idx", "heading", pieces.alias("_pieces"))
     p = p.select("doc_id", "source_url", "sec_idx", "heading", F.size("_pieces").alias("n_pieces"),
                  F.posexplode("_pieces").alias("piece_idx", "text"))
-    # a unit and the space after it are two characters at least, so shorter documents have no section of more than a block
-    long = sections(d.where(F.col("_length") > 2 * block)).where(word_count(F.col("body")) > max_section_words)
-    p = p.unionByName(split_in_blocks(long, target, overlap, block))
+    p = p.unionByName(split_in_blocks(sections(d.where(F.col("_length") > 2 * block)), target, overlap, max_section_words, block))
     suffix = F.when(F.col("n_pieces") > 1, F.concat(F.lit("_"), F.col("piece_idx").cast("string"))).otherwise(F.lit(""))
     return p.select(
         F.concat(F.col("doc_id"), F.lit("::"), slug(F.col("heading")), suffix).alias("chunk_id"),
