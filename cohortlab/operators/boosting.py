@@ -2,10 +2,11 @@
 
 All fits share one stored matrix of binned features. One pass over its blocks adds up, for every fit, the histograms (count, gradient,
 hessian per bin) of the nodes that the fit waits for, and finds their best splits where the sums are; the driver sees splits only.
-Both children of such a node are counted: taking one as the parent less the other would need the parents' histograms kept between passes.
-A node of at most ``SMALL`` rows is not counted any further: its rows meet in one task, which grows everything that the tree may need below it,
-the larger of two siblings as the parent less the smaller. So a tree takes about log2(rows / SMALL) + 2 passes, whatever its depth. Every fit goes
-its own pace: one may grow its tenth tree while another still splits its ninth.
+Of at most ``FEW`` fits the driver adds up the tasks' sums itself, keeps them for the tree and finds the splits: such a pass needs no shuffle, and only the
+smaller of two siblings is counted, the larger is the parent less the smaller. Of more fits both children are counted and splits are found in tasks.
+A node of at most ``SMALL`` rows is not counted any further. When a tree has no larger nodes left to count, the rows of all its small ones are dealt
+evenly to tasks, each node's rows to one task, which grows everything that the tree may need below it. So a tree moves its rows once, and takes as many passes as it
+has levels of larger nodes, and one. Every fit goes its own pace: one may grow its tenth tree while another still splits its ninth.
 
 A fit of at most ``WHOLE`` rows needs no passes at all: its rows meet in one task, which grows all its trees; other fits do so in other tasks beside it.
 Beyond that bound passes take over, so no task's share grows with the table.
@@ -20,13 +21,14 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
+from pyspark.rdd import portable_hash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +40,9 @@ LEARNING_RATE, ITERATIONS, LEAVES, LEAF_ROWS, LEAF_HESSIAN, BINS = 0.1, 100, 31,
 EARLY_ROWS, EARLY_SHARE, EARLY_PATIENCE, EARLY_TOLERANCE = 10_000, 10, 10, 1e-7
 #: Rows of a block, of a node that one task finishes, and of a fit that one task grows (about 100 bytes each there); passes after which the scores are
 #: brought up to date and kept.
-ROWS, SMALL, WHOLE, KEEP = 1 << 16, 1 << 18, 1 << 20, 8
+ROWS, SMALL, WHOLE, KEEP = 1 << 16, 1 << 20, 1 << 20, 8
+#: Most cells of a table in which features are counted together (codes are 16 bits); most fits whose sums the driver adds up itself.
+BUNDLE, FEW = 1 << 14, 4
 UNIT = float(1 << 30)
 
 
@@ -133,20 +137,25 @@ class Tree:
 
     def nodes(self, x: np.ndarray) -> np.ndarray:
         """The node at which each row ends."""
-        n, width = x.shape
-        out, flat = np.zeros(n, dtype=np.int64), x.ravel()
-        child = np.stack([self.left, self.right], axis=1).ravel()
-        ends = self.left == np.arange(len(self.left))
-        rows = np.arange(n) if not ends[0] else np.arange(0)
-        at = np.zeros(len(rows), dtype=np.int64)
-        while len(rows):
-            right = np.take(flat, rows * width + np.take(self.feature, at)) > np.take(self.cut, at)
-            at = np.take(child, 2 * at + right)
-            out[rows] = at
-            go = ~np.take(ends, at)
-            rows, at = rows[go], at[go]
+        out = np.zeros(len(x), dtype=np.int64)
+        for node, rows in self.parts(x, np.arange(len(x))):
+            out[rows] = node
         return out
 
+    def parts(self, x: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The nodes at which some of ``rows`` end, with these rows."""
+        columns = {f: np.ascontiguousarray(x[:, f]) for f in np.unique(self.feature).tolist()}
+        waiting = [(0, rows)]
+        while waiting:
+            node, own = waiting.pop()
+            if self.left[node] == node:
+                yield node, own
+                continue
+            right = np.take(columns[int(self.feature[node])], own) > self.cut[node]
+            for child, part in ((self.right[node], _where(right, own)), (self.left[node], _where(~right, own))):
+                if len(part):
+                    waiting.append((int(child), part))
+
 
 @dataclass
 class Ensemble:
@@ -173,6 +182,10 @@ class Ensemble:
         return out
 
 
+def _where(mask: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return np.take(rows, np.flatnonzero(mask))  # much faster than rows[mask]
+
+
 def held_out(keys: np.ndarray, salt: int) -> np.ndarray:
     """A tenth of the rows, by a hash of the key."""
     h = (keys.astype(np.uint64) + np.uint64(salt + 1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -200,12 +213,47 @@ class Layout:
         self.start = self.first[self.owner]
         self.last = np.zeros(self.total, dtype=bool)
         self.last[np.cumsum(self.sizes) - 1] = True
+        self.bundles: list[list[int]] = []  # features counted together, by their places here
+        for j in sorted(range(len(self.sizes)), key=lambda j: -self.sizes[j]):
+            fit = next((b for b in self.bundles if math.prod(self.sizes[i] for i in b) * self.sizes[j] <= BUNDLE), None)
+            if fit is None:
+                self.bundles.append([j])
+            else:
+                fit.append(j)
+        self.cells = sum(math.prod(self.sizes[i] for i in b) for b in self.bundles)
+
+    def codes(self, x: np.ndarray, rows: np.ndarray | None = None) -> list[np.ndarray]:
+        """One number per row (of ``rows``) and bundle, which stands for the bins of its features."""
+        out = []
+        for bundle in self.bundles:
+            code = np.zeros(len(x) if rows is None else len(rows), dtype=np.uint16)
+            for j in bundle:
+                column = x[:, self.features[j]]
+                code *= self.sizes[j]
+                code += column if rows is None else np.take(column, rows)
+            out.append(code)
+        return out
+
+    def counted(self, codes: list[np.ndarray], g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """(count, gradient, hessian) x bins, from one table per bundle."""
+        out = np.empty((3, self.total), dtype=np.int64)
+        for bundle, code in zip(self.bundles, codes):
+            at, shape = code.astype(np.intp), [self.sizes[j] for j in bundle]
+            for i, weights in enumerate((None, g, h)):
+                table = np.bincount(at, weights, math.prod(shape)).reshape(shape)
+                for axis, j in enumerate(bundle):
+                    out[i, self.first[j] : self.first[j] + self.sizes[j]] = table.sum(axis=tuple(a for a in range(len(bundle)) if a != axis))
+        return out
+
+    def of_rows(self, x: np.ndarray, rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """(count, gradient, hessian) x bins of some rows of x, whose g and h these are; many rows by bundles."""
+        return self.histograms(x, None, 1, g, h, rows)[0] if len(rows) < self.cells else self.counted(self.codes(x, rows), g, h)
 
-    def histograms(self, x: np.ndarray, slot: np.ndarray | None, n: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """n x (count, gradient, hessian) x bins of the rows of x, by slot (of one slot: None)."""
+    def histograms(self, x: np.ndarray, slot: np.ndarray | None, n: int, g: np.ndarray, h: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """n x (count, gradient, hessian) x bins of the rows of x (or of ``rows`` among them, whose g and h these are), by slot (of one slot: None)."""
         out = np.empty((n, 3, self.total), dtype=np.int64)
         for feature, size, first in zip(self.features, self.sizes, self.first):
-            at = x[:, feature].astype(np.intp)
+            at = (x[:, feature] if rows is None else np.take(x[:, feature], rows)).astype(np.intp)
             if n > 1:
                 at += slot * size
             for i, weights in enumerate((None, g, h)):
@@ -235,12 +283,16 @@ class Layout:
 def finished(layout: Layout, x: np.ndarray, g: np.ndarray, h: np.ndarray, room: int) -> list[tuple]:
     """Best-first growth of one node in memory by at most ``room`` splits: (gain, place, left sums, sums, children) by node, 0 first."""
 
+    x, g, h = np.asfortranarray(x), g.astype(float, copy=False), h.astype(float, copy=False)
+
+    codes = layout.codes(x)
+
     def cells(rows):
-        return layout.histograms(np.take(x, rows, axis=0), None, 1, np.take(g, rows), np.take(h, rows))[0]
+        own = np.take(g, rows), np.take(h, rows)
+        return layout.histograms(x, None, 1, *own, rows)[0] if len(rows) < layout.cells else layout.counted([np.take(c, rows) for c in codes], *own)
 
-    columns = {f: x[:, f].copy() for f in layout.features}
     rows = {0: np.arange(len(x))}
-    sums = {0: layout.histograms(x, None, 1, g, h)[0]}
+    sums = {0: layout.counted(codes, g, h)}
     nodes = [(*layout.best_splits(sums[0][None])[0], None)]
     heap = [(-nodes[0][0], 0)]
     while heap and room and heap[0][0] < 0:
@@ -249,8 +301,8 @@ def finished(layout: Layout, x: np.ndarray, g: np.ndarray, h: np.ndarray, room:
         place = nodes[node][1]
         o = layout.owner[place]
         own, whole = rows.pop(node), sums.pop(node)
-        left = np.take(columns[layout.features[o]], own) <= place - layout.first[o]
-        parts = own[left], own[~left]
+        left = np.take(x[:, layout.features[o]], own) <= place - layout.first[o]
+        parts = _where(left, own), _where(~left, own)
         small = 0 if len(parts[0]) <= len(parts[1]) else 1
         counted = cells(parts[small])
         both = (counted, whole - counted) if small == 0 else (whole - counted, counted)
@@ -280,7 +332,10 @@ class Growth:
         self.split: list = [None]     # gain, place and left sums of each node
         self.children: list = [None]
         self.depth = [0]
+        self.parent: list = [None]
         self.wanted = [0]
+        self.waiting: list[int] = []           # small nodes, which are finished when no others are left to count
+        self.cells: dict[int, np.ndarray] = {}  # histograms of counted nodes, where the driver adds them up
 
     def partial(self) -> Tree:
         """The tree as far as its children are numbered."""
@@ -302,9 +357,12 @@ class Growth:
                 value[i] = -LEARNING_RATE * self.sums[i][1] / self.sums[i][2]
         return Tree(feature, cut, left, right, value, cover)
 
+    def rows(self, node: int) -> int:
+        return self.n if node == 0 else int(self.sums[node][0])
+
     def small(self, node: int) -> bool:
         """Whether one task finishes the node."""
-        return (self.n if node == 0 else self.sums[node][0]) <= SMALL
+        return self.rows(node) <= SMALL
 
     def grow(self, found: dict[int, list[tuple]]):
         """Record (gain, place, left sums, sums, children) of new nodes and of those below, then ask for children or finish the tree."""
@@ -328,11 +386,31 @@ class Growth:
                     if self.split[c] is not None:  # else a child that no order can reach
                         heapq.heappush(heap, (-self.split[c][0], c))
         open_ = [node for place, node in asked if place < LEAVES - 1]
-        if not open_:
+        new = [c for node in open_ for c in self._part(node)]
+        self.waiting += [c for c in new if self.small(c)]
+        self.wanted = [c for c in new if not self.small(c)]
+        if not self.wanted:
+            self.wanted, self.waiting = self.waiting, []
+        if not self.wanted:
             for _, node in asked:
                 self._part(node)
-            return self._finish(set(order))
-        self.wanted = [c for node in open_ for c in self._part(node)]
+            self._finish(set(order))
+
+    def to_count(self, few: bool) -> list[int]:
+        """The nodes that a pass counts: with ``few`` the smaller child of every parent, as the larger is the parent less the smaller."""
+        large = [node for node in self.wanted if not self.small(node)]
+        if not few or large == [0]:
+            return large
+        return [min(self.children[p], key=self.rows) for p in dict.fromkeys(self.parent[node] for node in large)]
+
+    def counted(self, counted: list[int], cells: np.ndarray) -> dict[int, list[tuple]]:
+        """Best splits of the large wanted nodes from the sums of the counted ones."""
+        self.cells.update(zip(counted, cells))
+        large = [node for node in self.wanted if not self.small(node)]
+        for node in large:
+            if node not in self.cells:
+                self.cells[node] = self.cells[self.parent[node]] - self.cells[sum(self.children[self.parent[node]]) - node]
+        return {node: [(*split, None)] for node, split in zip(large, self.layout.best_splits(np.stack([self.cells[node] for node in large])))}
 
     def _part(self, node: int) -> tuple[int, int]:
         left = self.split[node][2]
@@ -342,6 +420,7 @@ class Growth:
         self.split += [None, None]
         self.children += [None, None]
         self.depth += [self.depth[node] + 1] * 2
+        self.parent += [node] * 2
         self.children[node] = (a, a + 1)
         return a, a + 1
 
@@ -400,8 +479,8 @@ class Order:
     base: float
     pending: list[Tree]
     tree: Tree | None
-    wanted: list[int] = field(default_factory=list)
-    #: Of the wanted nodes those that one task finishes, and the splits that are left for each.
+    #: Nodes whose histograms are asked for; nodes that one task finishes, and the splits that are left for each.
+    count: list[int] = field(default_factory=list)
     room: dict[int, int] = field(default_factory=dict)
 
 
@@ -433,43 +512,44 @@ def _up_to_date(block: dict, fit: int, order: Order) -> np.ndarray:
 
 
 def _counted(block: dict, fit: int, order: Order):
-    """For the wanted nodes (("count", fit), histograms), or (("rows", fit, node), rows) of those that one task finishes; with a new
+    """(("count", fit), histograms) of the nodes to count and (("rows", fit, node), rows) of those that one task finishes; with a new
     tree also (("loss", fit), held-out loss and rows)."""
     raw, use = _up_to_date(block, fit, order), order.fit.rows(block["folds"])
     if order.early:
-        aside = held_out(block["keys"], fit) & use
+        aside = block["aside"][fit] if fit in block["aside"] else held_out(block["keys"], fit) & use
         use &= ~aside
         if order.tree is None and aside.any():
             yield ("loss", fit), np.array([loss_sum(raw[aside], block["y"][aside]), aside.sum()])
-    at = np.flatnonzero(use)
-    slots = np.full(1 if order.tree is None else len(order.tree.feature), -1)
-    slots[order.wanted] = np.arange(len(order.wanted))
-    if order.tree is None:
-        slot = np.zeros(len(at), dtype=np.int64)
-    else:
-        slot = np.take(slots, order.tree.nodes(np.take(block["x"], at, axis=0)))
-        at, slot = at[slot >= 0], slot[slot >= 0]
-    x, (g, h) = np.take(block["x"], at, axis=0), gradients(np.take(raw, at), np.take(block["y"], at))
-    for node in order.room:
-        own = np.flatnonzero(slot == slots[node])
-        if len(own):
-            yield ("rows", fit, node), [(np.take(x, own, axis=0), np.take(g, own).astype(np.int32), np.take(h, own).astype(np.int32))]
-    if len(order.room) < len(order.wanted):
-        large = np.array([node not in order.room for node in order.wanted])
-        place = np.cumsum(large) - 1
-        if not large.all():
-            own = np.flatnonzero(large[slot])
-            x, g, h, slot = np.take(x, own, axis=0), np.take(g, own), np.take(h, own), np.take(slot, own)
-        yield ("count", fit), order.layout.histograms(x, place[slot], int(large.sum()), g, h)
-
-
-def _split(key: tuple, value, order: Order) -> list[tuple]:
-    """The found splits of one key's sums or rows."""
+    x, at = block["x"], np.flatnonzero(use)
+    place = {node: i for i, node in enumerate(order.count)}
+    cells = np.zeros((len(place), 3, order.layout.total), dtype=np.int64)
+    for node, own in [(0, at)] if order.tree is None else order.tree.parts(x, at):
+        if node in place:
+            cells[place[node]] = order.layout.of_rows(x, own, *gradients(np.take(raw, own), np.take(block["y"], own)))
+        elif node in order.room and len(own):
+            g, h = gradients(np.take(raw, own), np.take(block["y"], own))
+            yield ("rows", fit, node), [(np.take(x.T, own, axis=1), g.astype(np.int32), h.astype(np.int32))]
+    if place:
+        yield ("count", fit), cells
+
+
+def _split(key: tuple, value, order: Order, few: bool):
+    """The found splits of one key's sums or rows; with ``few`` the sums as they are."""
     if key[0] == "rows":
-        return finished(order.layout, *(np.concatenate(c) for c in zip(*value)), order.room[key[2]])
-    if key[0] == "count":
+        x, g, h = zip(*value)
+        return finished(order.layout, np.concatenate(x, axis=1).T, np.concatenate(g), np.concatenate(h), order.room[key[2]])
+    if key[0] == "count" and not few:
         return [[(*split, None)] for split in order.layout.best_splits(value)]
-    return value.tolist()
+    return value
+
+
+def dealt_evenly(sizes: dict[tuple, int], n: int) -> dict[tuple, int]:
+    """A place below ``n`` for every key, the largest first to the place that has least."""
+    heap, place = [(0, i) for i in range(n)], {}
+    for key in sorted(sizes, key=lambda k: (-sizes[k], k)):
+        held, place[key] = heapq.heappop(heap)
+        heapq.heappush(heap, (held + sizes[key], place[key]))
+    return place
 
 
 class Boosting:
@@ -480,12 +560,18 @@ class Boosting:
         self.edges = edges
         layouts = {f.features: Layout(f.features, [sizes[j] for j in f.features]) for f in fits}
         self.fits = [Growth(f, layouts[f.features], i) for i, f in enumerate(fits)]
-        self.n_blocks = blocks.count()
-        self.state = dealt(blocks, len(fits), n_folds).map(lambda s: (s[0], s[1] | {"raw": {}})).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def _added(self, found: RDD) -> RDD:
-        """Sums by key; one block has nothing to add up."""
-        return found if self.n_blocks <= 1 else found.reduceByKey(lambda a, b: a + b)
+        self.few = len(fits) <= FEW
+        self.n_blocks, self.tasks = blocks.count(), blocks.sparkSession.sparkContext.defaultParallelism
+        # as many blocks in every task, and their features column by column
+        even = blocks.repartition(min(self.n_blocks, 2 * self.tasks)) if self.n_blocks > self.tasks else blocks
+        self.state = dealt(even, len(fits), n_folds).map(lambda s: (s[0], s[1] | {"x": np.asfortranarray(s[1]["x"]), "raw": {}, "aside": {}})).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def _added(self, found: RDD, rows: dict[tuple, int] | None = None) -> RDD:
+        """Sums by key; one block has nothing to add up. ``rows``: how many rows come under keys that gather them; tasks get about as many each."""
+        if self.n_blocks <= 1:
+            return found
+        place = dealt_evenly(rows or {}, self.tasks)
+        return found.reduceByKey(lambda a, b: a + b, self.tasks, lambda key: place[key] if key in place else portable_hash(key))
 
     def _base(self):
         fits = [g.fit for g in self.fits]
@@ -538,14 +624,21 @@ class Boosting:
         for g in self.fits:
             if not g.done:
                 room = {node: LEAVES - 1 - g.depth[node] for node in g.wanted if g.small(node)}
-                out[g.number] = Order(g.fit, g.layout, g.early, g.base, g.trees[g.kept:], None if g.wanted == [0] else g.partial(), g.wanted, room)
+                out[g.number] = Order(g.fit, g.layout, g.early, g.base, g.trees[g.kept:], None if g.wanted == [0] else g.partial(), g.to_count(self.few), room)
         return out
 
     def _keep(self):
         """Bring the kept scores up to date; a lost block is computed again from the matrix and the trees."""
         orders = {g.number: Order(g.fit, g.layout, g.early, g.base, g.trees[g.kept:], None) for g in self.fits if len(g.trees) > g.kept}
         old = self.state
-        self.state = old.map(lambda s: (s[0], s[1] | {"raw": s[1]["raw"] | {k: _up_to_date(s[1], k, orders[k]) for k in s[0] if k in orders}})).persist(StorageLevel.MEMORY_AND_DISK)
+
+        def kept(s):
+            mine, b = s
+            own = [k for k in mine if k in orders]
+            aside = {k: held_out(b["keys"], k) & orders[k].fit.rows(b["folds"]) for k in own if orders[k].early and k not in b["aside"]}
+            return mine, b | {"raw": b["raw"] | {k: _up_to_date(b, k, orders[k]) for k in own}, "aside": b["aside"] | aside}
+
+        self.state = old.map(kept).persist(StorageLevel.MEMORY_AND_DISK)
         self.state.count()
         old.unpersist()
         for g in self.fits:
@@ -564,19 +657,38 @@ class Boosting:
 
     def _splits(self, orders: dict[int, Order]) -> list[tuple]:
         """Keys and found splits (or held-out loss) of one pass."""
-        found = self._added(self.state.flatMap(lambda s: [x for k in s[0] if k in orders for x in _counted(s[1], k, orders[k])]))
-        return found.map(lambda x: (x[0], _split(x[0], x[1], orders[x[0][1]]))).collect()
+        few = self.few
+        rows = {("rows", k, node): self.fits[k].rows(node) for k, order in orders.items() for node in order.room}
+
+        def sums(states):
+            """A task's sums, added up over its blocks."""
+            held: dict[tuple, np.ndarray] = {}
+            for mine, b in states:
+                for k in mine:
+                    for key, value in _counted(b, k, orders[k]) if k in orders else ():
+                        held[key] = held[key] + value if key in held else value
+            yield from held.items()
+
+        if few and not rows:  # a stage less; the driver gets a sum per task
+            out: dict[tuple, np.ndarray] = {}
+            for key, value in self.state.mapPartitions(sums).collect():
+                out[key] = out[key] + value if key in out else value
+            return list(out.items())
+        found = self._added(self.state.flatMap(lambda s: [x for k in s[0] if k in orders for x in _counted(s[1], k, orders[k])]), rows)
+        return found.map(lambda x: (x[0], _split(x[0], x[1], orders[x[0][1]], few))).collect()
 
     def _answer(self, got: list[tuple]):
         by: dict[int, dict] = {}
         for key, value in got:
             g = self.fits[key[1]]
             if key[0] == "loss":
-                g.heard(value[0] / UNIT / value[1])
+                g.heard(int(value[0]) / UNIT / int(value[1]))
             elif key[0] == "rows":
                 by.setdefault(key[1], {})[key[2]] = value
+            elif self.few:
+                by.setdefault(key[1], {}).update(g.counted(g.to_count(True), value))
             else:
-                by.setdefault(key[1], {}).update(zip([node for node in g.wanted if not g.small(node)], value))
+                by.setdefault(key[1], {}).update(zip(g.to_count(False), value))
         for k, found in by.items():
             if not self.fits[k].done:
                 self.fits[k].grow(found)

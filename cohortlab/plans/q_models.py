@@ -50,16 +50,25 @@ def _features(spark, sf_dir):
     return _CACHE[k]
 
 
+def _parts(spark, sf_dir):
+    """The training rows' fit and calibration parts, which do not depend on the model."""
+    k = ("parts", _stamp(spark, sf_dir))
+    if k not in _CACHE:
+        train = _features(spark, sf_dir).where(F.col("split") == "train")
+        _CACHE[k] = mo.stratified_holdout(train, "name").checkpoint(eager=True)
+    return _CACHE[k]
+
+
 def _serving(spark, sf_dir, feature_set="clean"):
     k = ("serving", _stamp(spark, sf_dir), feature_set)
     if k not in _CACHE:
-        _CACHE[k] = sv.calibrate_feature_set(_features(spark, sf_dir), feature_set)
+        _CACHE[k] = sv.calibrate_feature_set(_features(spark, sf_dir), feature_set, parts=_parts(spark, sf_dir))
     return _CACHE[k]
 
 
 def _served(spark, sf_dir):
     """Both served models by feature set; they are fitted concurrently."""
-    _features(spark, sf_dir)
+    _parts(spark, sf_dir)
     with ThreadPoolExecutor(max_workers=2) as pool:
         models = list(pool.map(lambda fs: _serving(spark, sf_dir, fs), C.FEATURE_SETS))
     return dict(zip(C.FEATURE_SETS, models))
