@@ -4,7 +4,7 @@ All fits share one stored matrix of binned features. One pass over its blocks ad
 hessian per bin) of the nodes that the fit waits for, and finds their best splits where the sums are; the driver sees splits only.
 Of at most ``FEW`` fits the driver adds up the tasks' sums itself, keeps them for the tree and finds the splits: such a pass needs no shuffle, and only the
 smaller of two siblings is counted, the larger is the parent less the smaller. Of more fits both children are counted and splits are found in tasks.
-A node of at most ``SMALL`` rows is not counted any further. When a tree has no larger nodes left to count, the rows of all its small ones are dealt
+A node of at most ``SMALL`` rows (of large fits a quarter of the rows, at most ``MOST``) is not counted any further. When a tree has no larger nodes left to count, the rows of all its small ones are dealt
 evenly to tasks, each node's rows to one task, which grows everything that the tree may need below it. So a tree moves its rows once, and takes as many passes as it
 has levels of larger nodes, and one. Every fit goes its own pace: one may grow its tenth tree while another still splits its ninth.
 
@@ -43,6 +43,8 @@ EARLY_ROWS, EARLY_SHARE, EARLY_PATIENCE, EARLY_TOLERANCE = 10_000, 10, 10, 1e-7
 ROWS, SMALL, WHOLE, KEEP = 1 << 16, 1 << 20, 1 << 20, 8
 #: Most cells of a table in which features are counted together (codes are 16 bits); most fits whose sums the driver adds up itself.
 BUNDLE, FEW = 1 << 14, 4
+#: Of a large fit a task finishes nodes of up to this share of the rows, as smaller ones are mostly leaves and would take passes in vain; never more rows than MOST.
+SHARE, MOST = 4, 1 << 22
 UNIT = float(1 << 30)
 
 
@@ -362,7 +364,7 @@ class Growth:
 
     def small(self, node: int) -> bool:
         """Whether one task finishes the node."""
-        return self.rows(node) <= SMALL
+        return self.rows(node) <= max(SMALL, min(self.n // SHARE, MOST))
 
     def grow(self, found: dict[int, list[tuple]]):
         """Record (gain, place, left sums, sums, children) of new nodes and of those below, then ask for children or finish the tree."""
