@@ -43,6 +43,11 @@ def compact(df: DataFrame) -> DataFrame:
     return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A join's side that grows with the corpus: it is dealt out and merged, however small it is, as a broadcast would pass it through the driver whole."""
+    return df.hint("merge")
+
+
 def parts(spark: SparkSession) -> int:
     """The session's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

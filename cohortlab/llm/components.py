@@ -2,14 +2,14 @@
 
 A step is one partial aggregate and one equi-join, so a node with very many neighbours is never
 gathered in one place; the aggregate is stored first, so that the join can split a hot node's edges. Each
-step's edges are written to the shared checkpoint folder.
+step's edges are written to the shared checkpoint folder. Joins never broadcast, so the driver holds no part of the graph.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import compact, discard, stored
+from cohortlab.llm.common import compact, discard, merged, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -20,13 +20,13 @@ def _mark(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = stored(compact(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))), "least")
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
+    return both.where("v > u").join(merged(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
 
 
 def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     least = stored(compact(down.groupBy("u").agg(F.min("v").alias("m"))), "least")
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(merged(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 

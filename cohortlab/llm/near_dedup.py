@@ -9,7 +9,8 @@ equal sets that shares none in either is dropped before any table key is formed.
 Candidates are confirmed on the full shingle sets. Within a table's bucket every member is first
 compared with one member (a star); confirmed links are contracted to components; buckets that still
 hold several components are compared in blocks of bounded size, in full, and yield at most a
-spanning forest of their links. No pair list of a bucket is ever made.
+spanning forest of their links. No pair list of a bucket is ever made. Joins whose sides grow with the corpus never broadcast, so
+the driver holds no part of them.
 
 Defined cases: null or word-free text has an empty set and no links; a text of fewer than five words
 has one shingle, its whole word sequence; equal sets are one class; repeated doc_ids keep one row
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import compact, discard, lists, map_arrow, release, stored
+from cohortlab.llm.common import compact, discard, lists, map_arrow, merged, release, stored
 from cohortlab.llm.components import components
 from cohortlab.llm.words import GRAM, SPACED, U, mix, pieces, same_row
 
@@ -95,7 +96,7 @@ def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.transform("a", lambda x: F.struct(F.lit(0).alias("side"), x.alias("h"))),
         F.transform("b", lambda x: F.struct(F.lit(1).alias("side"), x.alias("h"))))).alias("s")).select("node", "s.side", "s.h"), "small")
     shared = stored(compact(small.groupBy("side", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")), "shared")  # stored: the join can split hot keys
-    mine = (small.join(shared, ["side", "h"]).groupBy("node")
+    mine = (small.join(merged(shared), ["side", "h"]).groupBy("node")
             .agg(F.collect_list(F.when(F.col("side") == 0, F.col("h"))).alias("a"), F.collect_list(F.when(F.col("side") == 1, F.col("h"))).alias("b"))
             .where((F.size("a") > 0) & (F.size("b") > 0)))
     keys = stored(mine.select("node", "b", F.explode("a").alias("x")).select("node", "x", F.explode("b").alias("y"))
@@ -105,12 +106,12 @@ def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _stars(keys: DataFrame) -> DataFrame:
     centre = stored(compact(keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")), "centres")
-    return keys.join(centre, "key").where("node <> centre").select("node", "centre").distinct()
+    return keys.join(merged(centre), "key").where("node <> centre").select("node", "centre").distinct()
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, grams (the sorted shingle hashes as bytes) of the named classes, from the whole text of one member."""
-    chosen = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(merged(nodes), "node")
 
     def run(batch: pa.RecordBatch):
         for first, n, gram, count in shingle_sets(batch.column(1)):
@@ -132,8 +133,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             same.append(PART * both >= WHOLE * (len(x) + len(y) - both))
         yield pa.record_batch([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(same, type=pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("x")), "u")
-    both = left.join(sets.select(F.col("node").alias("v"), F.col("grams").alias("y")), "v")
+    left = pairs.join(merged(sets.select(F.col("node").alias("u"), F.col("grams").alias("x"))), "u")
+    both = left.join(merged(sets.select(F.col("node").alias("v"), F.col("grams").alias("y"))), "v")
     return map_arrow(both.select("u", "v", "x", "y"), run, "u long, v long")
 
 
@@ -180,18 +181,19 @@ def links_within(node: np.ndarray, comp: np.ndarray, part: np.ndarray, grams: li
 
 def _between(keys: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between components that share a bucket: blocks of the groups that such buckets connect."""
-    mine = keys.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    mine = keys.join(merged(comps), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     open_keys = mine.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "lo")
     open_keys = stored(compact(open_keys), "keys")
-    rest = stored(compact(mine.join(open_keys, "key").select("node", "comp", F.col("lo").alias("group")).distinct()), "open")
+    rest = stored(compact(mine.join(merged(open_keys), "key").select("node", "comp", F.col("lo").alias("group")).distinct()), "open")
     # groups that share a component are one
     near = rest.select(F.col("comp").alias("u"), F.col("group").alias("v")).distinct()
     whole = components(near)
-    members = (rest.select("node", "comp").distinct().join(whole.withColumnRenamed("node", "comp"), "comp", "left")
+    members = (rest.select("node", "comp").distinct().join(merged(whole.withColumnRenamed("node", "comp")), "comp", "left")
                .select("node", "comp", F.coalesce("component", "comp").alias("group")))
     members = stored(compact(members), "members")
-    blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(blocks, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # groups of several blocks only, a row for more than BLOCK members: the one side that may be broadcast, if its size allows
+    blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    placed = members.join(blocks, "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tasks = placed.select("node", "comp", "group", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tasks = tasks.select("node", "comp", "group", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
 
@@ -199,7 +201,7 @@ def _between(keys: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
         found = links_within(pdf["node"].to_numpy(), pdf["comp"].to_numpy(), pdf["part"].to_numpy(), list(pdf["grams"]))
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return tasks.join(sets, "node").groupBy("group", "p", "q").applyInPandas(block, "u long, v long")
+    return tasks.join(merged(sets), "node").groupBy("group", "p", "q").applyInPandas(block, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -219,8 +221,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = stored(compact(components(first.unionByName(more))), "components")
     discard(small, keys, pairs, sets, first, more)
     release(spark)
-    by_class = classes.select("n_shingles", "d1", "d2", "node").join(comps, "node", "left")
+    by_class = classes.select("n_shingles", "d1", "d2", "node").join(merged(comps), "node", "left")
     by_class = by_class.select("n_shingles", "d1", "d2", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"))
-    out = drawn.select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["n_shingles", "d1", "d2"], "left")
+    out = drawn.select("doc_id", "n_shingles", "d1", "d2").join(merged(by_class), ["n_shingles", "d1", "d2"], "left")
     own = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))

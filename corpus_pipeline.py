@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm import decontaminate, language, mixing, near_dedup, secrets
-from cohortlab.llm.common import held_out, stored, table
+from cohortlab.llm.common import held_out, merged, stored, table
 
 
 def _only(docs: DataFrame, good: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is in ``good``."""
     ids = good.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].cast("long") == ids["_id"], "left_semi")
+    return docs.join(merged(ids), docs["doc_id"].cast("long") == ids["_id"], "left_semi")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,24 @@ def test_components(spark):
     chain = spark.range(200).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert components(chain).select("component").distinct().collect()[0][0] == 0
     assert components(edges.limit(0)).count() == 0
+
+
+def test_no_side_of_a_join_passes_through_the_driver(spark, docs_of, monkeypatch):
+    """Sides that grow with the corpus are not broadcast, however small they are and whatever the threshold; a row per group of several blocks may be."""
+    from cohortlab.llm import common
+    from cohortlab.llm import components as graph
+
+    seen, stored = [], common.stored
+
+    def watched(df, label):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, label)
+
+    for module in (near_dedup, graph):
+        monkeypatch.setattr(module, "stored", watched)
+    text = " ".join(f"w{i}" for i in range(40))
+    out = near_dedup.near_duplicates(docs_of([f"{text} t{i % 5}" for i in range(20)] + [f"other {i} " * 9 for i in range(9)]))
+    seen.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.where("NOT kept").count() >= 19
+    joins = [line for plan in seen for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert sum("SortMergeJoin" in plan for plan in seen) > 8 and not [line for line in joins if "BroadcastHashJoin [group#" not in line]
