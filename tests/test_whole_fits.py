@@ -32,6 +32,31 @@ def test_small_fits_take_no_passes(table, monkeypatch):
     assert [len(t) for t in trees] == [4, 2, 2] and len(scores) > 500
 
 
+def test_many_fits_of_more_rows_take_no_passes(table, monkeypatch):
+    """More than FEW fits keep the tasks busy: each is grown whole up to SHARE times WHOLE rows, a few only up to WHOLE; beyond, passes grow the same."""
+    rows, edges = table
+    fits, passes, seen = [bo.Fit((0, 1, 2, 3), r, f, 2) for r in (0, 1) for f in (0, 1, 2)], [], bo.Boosting._splits
+
+    def splits(self, orders):
+        passes.append(len(orders))
+        return seen(self, orders)
+
+    def grown(fits):
+        passes.clear()
+        run = bo.Boosting(bo.packed(rows, edges, 4, 2), edges, fits, 2)
+        trees = [[np.stack([t.feature, t.cut, t.left, t.right, t.value, t.cover]).tolist() for t in e.trees] for e in run.run()]
+        run.release()
+        return trees
+
+    monkeypatch.setattr(bo.Boosting, "_splits", splits)
+    monkeypatch.setattr(bo, "WHOLE", 200)  # a fit has about 600 rows
+    many = grown(fits)
+    assert not passes
+    assert grown(fits[:3]) == many[:3] and passes
+    monkeypatch.setattr(bo, "WHOLE", 100)
+    assert grown(fits) == many and passes
+
+
 @pytest.mark.parametrize("small, early", [(1 << 18, 500), (0, bo.EARLY_ROWS), (150, 500)])
 def test_passes_give_the_same_fits(table, monkeypatch, small, early):
     """Beyond WHOLE rows passes grow the trees: bit by bit those of one task, with early stopping and without."""
