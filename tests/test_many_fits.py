@@ -148,3 +148,16 @@ def test_many_fits_of_the_catalogue(spark, sf):
     n = train.count()
     assert {tuple(r) for r in scores.groupBy("model_name", "repeat").agg(F.countDistinct("k"), F.count("*")).collect()} == {(s.name, r, n, n) for s in mo.build_specs() for r in (0, 1)}
     assert scores.where("score IS NULL OR score < 0 OR score > 1").count() == 0
+
+
+def test_rows_that_share_a_key(spark):
+    """Every row is held out once a repeat, with one fold a repeat, also where keys repeat with the same label or another."""
+    rows = [(i // 2 if i < 60 else i, int(i % 5 < 2) if i < 90 else int(i % 20 // 2 % 5 < 2), float(i % 7), f"c{i % 3}") for i in range(200)]
+    train = spark.createDataFrame(rows + rows[100:130] * 2, "k long, label int, a double, c string")
+    folds = mo.folded(["a", "c"], train, "k", 3, 4, 42)
+    assert folds.count() == 260 and folds.where("size(folds) <> 4 OR exists(folds, f -> f IS NULL OR f < 0 OR f > 2)").count() == 0
+    assert folds.groupBy("k", "label").agg(F.countDistinct("folds").alias("n")).where("n > 1").count() == 0
+    specs = [mo.ModelSpec("d", "dummy", ["a"], ["c"], "onehot", "full", False), mo.ModelSpec("l", "lr", ["a"], ["c"], "onehot", "full", True),
+             mo.ModelSpec("b", "gbt", ["a"], ["c"], "ordinal", "full", False, {"maxIter": 2})]
+    scores = mo.cross_validated(specs, train, "k", n_splits=3, repeats=2)
+    assert {tuple(r) for r in scores.groupBy("model_name", "repeat").count().collect()} == {(s.name, r, 260) for s in specs for r in (0, 1)}
